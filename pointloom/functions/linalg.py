@@ -146,7 +146,7 @@ def mahalanobis(s, v) -> Column:
         s[3] * s[5] - s[4] * s[4], s[2] * s[4] - s[1] * s[5], s[1] * s[4] - s[2] * s[3],
         s[0] * s[5] - s[2] * s[2], s[1] * s[2] - s[0] * s[4], s[0] * s[3] - s[1] * s[1],
     )
-    return F.sqrt(dot(v, sym_vec(adj, v)) / sym_det(s))
+    return F.sqrt(F.try_divide(dot(v, sym_vec(adj, v)), sym_det(s)))
 
 
 def with_eigenvalues(df: DataFrame, sym=SYM, out=("l0", "l1", "l2")) -> DataFrame:
@@ -164,7 +164,7 @@ def with_eigenvalues(df: DataFrame, sym=SYM, out=("l0", "l1", "l2")) -> DataFram
     p = F.col("_p")
     det = sym_det((d[0], s[1], s[2], d[1], s[4], d[2]))
     df = df.withColumn(
-        "_phi", F.when(p > 0, F.acos(clamp(det / (2.0 * p * p * p), -1.0, 1.0)) / 3.0).otherwise(F.lit(0.0))
+        "_phi", F.when(p > 1e-100, F.acos(clamp(det / (2.0 * p * p * p), -1.0, 1.0)) / 3.0).otherwise(F.lit(0.0))
     )
     phi = F.col("_phi")
     df = df.withColumns(

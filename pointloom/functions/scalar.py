@@ -68,16 +68,16 @@ def axis_distance(delta, axis, kind: Column) -> Column:
 def eigenvalue_feature(l0: Column, l1: Column, l2: Column) -> list[Column]:
     """Linearity, planarity, sphericity, omnivariance, anisotropy, eigentropy, sum, curvature."""
     total = l0 + l1 + l2
-    e1, e2, e3 = l2 / total, l1 / total, l0 / total
+    e1, e2, e3 = (F.try_divide(v, total) for v in (l2, l1, l0))
     return [
-        (e1 - e2) / e1,
-        (e2 - e3) / e1,
-        e3 / e1,
+        F.try_divide(e1 - e2, e1),
+        F.try_divide(e2 - e3, e1),
+        F.try_divide(e3, e1),
         F.pow(e1 * e2 * e3, F.lit(1.0 / 3.0)),
-        (e1 - e3) / e1,
+        F.try_divide(e1 - e3, e1),
         -e1 * F.log(e1) - e2 * F.log(e2) - e3 * F.log(e3),
         e1 + e2 + e3,
-        e3 / (e1 + e2 + e3),
+        F.try_divide(e3, e1 + e2 + e3),
     ]
 
 
@@ -85,7 +85,7 @@ def feature_score(kind: Column, l0: Column, l1: Column, l2: Column) -> Column:
     """Ranking score: normalised volume for clusters, raw spreads for planes and lines."""
     total = l0 + l1 + l2
     return (
-        F.when(kind == "Cluster", (l0 / total) * (l1 / total) * (l2 / total))
+        F.when((kind == "Cluster") & (total > 0), (l0 / total) * (l1 / total) * (l2 / total))
         .when(kind == "Plane", l1 * l2)
         .when(kind == "Line", l2)
         .otherwise(F.lit(0.0))
@@ -104,7 +104,7 @@ def descriptor_distance(a: Column, b: Column, metric: str = "2-norm", legacy: bo
             side = F.abs(a[i] - b[i]) if legacy else F.least(a[i], b[i])
             overlap = overlap * side
         union = a[0] * a[1] * a[2] + b[0] * b[1] * b[2] - overlap
-        return 1.0 - overlap / union
+        return 1.0 - F.coalesce(F.try_divide(overlap, union), F.lit(0.0))
     raise ValueError(f"unknown metric: {metric}")
 
 

@@ -60,7 +60,7 @@ def with_shape_gap(df: DataFrame, a, b, name: str = "gap") -> DataFrame:
     df = df.withColumn("_p", F.sqrt(F.greatest(q * q - F.col("_e2") / 3.0, F.lit(0.0))))
     p = F.col("_p")
     r = (2.0 * q * q * q - F.col("_e2") * q + F.col("_e3")) / (2.0 * p * p * p)
-    df = df.withColumn("_phi", F.when(p > 0, F.acos(clamp(r, -1.0, 1.0)) / 3.0).otherwise(F.lit(0.0)))
+    df = df.withColumn("_phi", F.when(p > 1e-100, F.acos(clamp(r, -1.0, 1.0)) / 3.0).otherwise(F.lit(0.0)))
     roots = F.lit(0.0)
     for k in range(3):
         value = q + 2.0 * p * F.cos(F.col("_phi") + F.lit(2.0 * math.pi * k / 3.0))

@@ -43,7 +43,7 @@ def tls_sweep(df: DataFrame, keys: list[str], x: Column, r: Column, digits: int
     )
 
 
-def tls_translation(rows: DataFrame, keys: list[str], bound: float) -> tuple[DataFrame, DataFrame]:
+def tls_translation(rows: DataFrame, keys: list[str], bound: float, digits: int = 6) -> tuple[DataFrame, DataFrame]:
     """Per-axis consensus of ``t - s`` and the rows inside on all three axes.
 
     ``rows`` have ``sx sy sz`` (already rotated) and ``tx ty tz``.
@@ -51,7 +51,7 @@ def tls_translation(rows: DataFrame, keys: list[str], bound: float) -> tuple[Dat
     axes = F.array(*[F.struct(F.lit(i).alias("axis"), (F.col("t" + a) - F.col("s" + a)).alias("value"))
                      for i, a in enumerate("xyz")])
     long = rows.select(*keys, F.explode(axes).alias("_v")).select(*keys, "_v.*")
-    best = tls_sweep(long, [*keys, "axis"], F.col("value"), F.lit(float(bound)))
+    best = tls_sweep(long, [*keys, "axis"], F.col("value"), F.lit(float(bound)), digits)
     wide = best.groupBy(*keys).agg(
         *[F.max(F.when(F.col("axis") == i, F.col("estimate"))).alias("t" + str(i)) for i in range(3)]
     )

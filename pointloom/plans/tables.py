@@ -50,7 +50,7 @@ def eigen_sql(name: str, source: str) -> str:
     return f"""{name}_q AS (SELECT *, (xx + yy + zz) / 3.0 AS q, xy * xy + xz * xz + yz * yz AS off FROM {source}),
 {name}_p AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2.0 * off) / 6.0) AS p
   FROM {name}_q),
-{name}_f AS (SELECT *, CASE WHEN p > 0 THEN acos(greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE),
+{name}_f AS (SELECT *, CASE WHEN p > 1e-100 THEN acos(greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE),
     ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz))
     / (2.0 * p * p * p)))) / 3.0 ELSE 0.0 END AS phi FROM {name}_p),
 {name}_e AS (SELECT *, q + 2.0 * p * cos(phi) AS l2, q + 2.0 * p * cos(phi + 2.0 * pi() / 3.0) AS l0 FROM {name}_f),
