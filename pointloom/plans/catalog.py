@@ -1,4 +1,4 @@
 """All named queries; importing a query module registers its queries."""
 
-from . import fit_queries, graph_queries, voxel_queries  # noqa: F401
+from . import fit_queries, graph_queries, verify_queries, voxel_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
