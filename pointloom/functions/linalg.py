@@ -149,6 +149,16 @@ def mahalanobis(s, v) -> Column:
     return F.sqrt(F.try_divide(dot(v, sym_vec(adj, v)), sym_det(s)))
 
 
+def fence(c: Column) -> Column:
+    """The same value, but computed where it stands.
+
+    Catalyst moves filters below projections by copying the projected expressions into
+    them; for nested eigenvector formulas the copies grow without bound.  It never does so
+    for an expression that depends on the partition.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def with_eigenvalues(df: DataFrame, sym=SYM, out=("l0", "l1", "l2")) -> DataFrame:
     """Ascending eigenvalues of a symmetric 3x3 matrix by the trigonometric closed form."""
     s = tuple(F.col(n) for n in sym)
@@ -167,11 +177,10 @@ def with_eigenvalues(df: DataFrame, sym=SYM, out=("l0", "l1", "l2")) -> DataFram
         "_phi", F.when(p > 1e-100, F.acos(clamp(det / (2.0 * p * p * p), -1.0, 1.0)) / 3.0).otherwise(F.lit(0.0))
     )
     phi = F.col("_phi")
-    df = df.withColumns(
-        {out[2]: q + 2.0 * p * F.cos(phi), out[0]: q + 2.0 * p * F.cos(phi + F.lit(2.0 * math.pi / 3.0))}
-    )
-    df = df.withColumn(out[1], 3.0 * q - F.col(out[0]) - F.col(out[2]))
-    return df.drop("_q", "_off", "_p", "_phi")
+    df = df.withColumns({"_l2": q + 2.0 * p * F.cos(phi), "_l0": q + 2.0 * p * F.cos(phi + F.lit(2.0 * math.pi / 3.0))})
+    low, high = F.col("_l0"), F.col("_l2")
+    df = df.withColumns({out[0]: fence(low), out[1]: fence(3.0 * q - low - high), out[2]: fence(high)})
+    return df.drop("_q", "_off", "_p", "_phi", "_l0", "_l2")
 
 
 def with_eigenvector(df: DataFrame, value: str, out=("nx", "ny", "nz"), sym=SYM) -> DataFrame:
@@ -208,6 +217,6 @@ def with_eigenvector(df: DataFrame, value: str, out=("nx", "ny", "nz"), sym=SYM)
         .otherwise(F.col("_vx"))
     )
     df = df.withColumn("_sign", F.when(flip < 0, F.lit(-1.0)).otherwise(F.lit(1.0)))
-    df = df.withColumns({o: F.col(f"_v{a}") * F.col("_sign") for o, a in zip(out, "xyz")})
+    df = df.withColumns({o: fence(F.col(f"_v{a}") * F.col("_sign")) for o, a in zip(out, "xyz")})
     drop = [n for trio in names for n in trio] + ["_n0", "_n1", "_n2", "_len", "_vx", "_vy", "_vz", "_sign"]
     return df.drop(*drop)

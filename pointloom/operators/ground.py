@@ -84,6 +84,8 @@ def cell_planes(points: DataFrame, keys: list[str], rule: GroundRule) -> DataFra
         g = gaussians(ground, cell)
         planes = with_eigenvector(with_eigenvalues(g), "l0").withColumn("d", -dot(cols("n"), cols("m")))
         planes = planes if ok is None else planes.join(ok, cell)
+        # a few hundred rows per cloud; written out so that later filters stay simple
+        planes = cut_lineage(planes)
         if step == rule.refits:
             break
         ok = planes.filter(F.col("n") >= 3).select(*cell, *[F.col("n" + a).alias("p" + a) for a in "xyz"], F.col("d").alias("pd"))
