@@ -57,8 +57,9 @@ def nearest(queries: DataFrame, targets: DataFrame, keys: list[str], cell: float
     for _ in range(max_rounds):
         if left.isEmpty():
             break
-        near = spread(left.select("*", *cells(size)))
-        there = right.select("*", *cells(size, ("tx", "ty", "tz")))
+        # the thinned targets are copied to the neighbouring cells, the queries stay single
+        near = left.select("*", *cells(size))
+        there = spread(right.select("*", *cells(size, ("tx", "ty", "tz"))))
         d = [F.col("t" + c) - F.col(c) for c in "xyz"]
         d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
         best = near.join(there, [*keys, *CELL]).groupBy(*keys, "qid").agg(F.min(F.struct(d2.alias("d2"), "tid")).alias("_b"))
