@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.linalg import SYM, cols, cross, dot, norm, sub, with_eigenvalues, with_eigenvector
+from ..functions.linalg import SYM, add, cols, cross, dot, mat_vec, norm, rigid, rotate_sym, sub, with_eigenvalues, with_eigenvector
+from ..session import cut_lineage
 from .voxels import gaussians
 
 CHUNK = 4096
@@ -46,13 +47,18 @@ def convex_hull(points: DataFrame, keys: list[str]) -> DataFrame:
     def hull(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.drop(columns="_part").iloc[hull_rows(pdf[["u", "v"]].to_numpy())]
 
-    def reduce(df: DataFrame, chunk: int) -> DataFrame:
-        size = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_parts"))
-        split = df.join(size, keys).withColumn("_part", F.pmod(F.xxhash64("u", "v"), F.col("_parts"))).drop("_parts")
-        return split.groupBy(*keys, "_part").applyInPandas(hull, schema)
-
-    once = reduce(points.dropDuplicates([*keys, "u", "v"]), CHUNK)
-    return once.withColumn("_part", F.lit(0)).groupBy(*keys).applyInPandas(hull, schema)
+    left = points.dropDuplicates([*keys, "u", "v"])
+    before = None
+    while True:
+        parts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.ceil(F.count(F.lit(1)) / CHUNK).alias("_parts"))
+        parts = cut_lineage(parts)
+        rows, most = parts.agg(F.sum("_rows"), F.max("_parts")).first()
+        if most is None or most == 1 or (before is not None and rows > 0.9 * before):
+            # one chunk per group, or next to every point is a corner already
+            return left.withColumn("_part", F.lit(0)).groupBy(*keys).applyInPandas(hull, schema)
+        before = rows
+        split = left.join(parts.drop("_rows"), keys).withColumn("_part", F.pmod(F.xxhash64("u", "v"), F.col("_parts"))).drop("_parts")
+        left = cut_lineage(split.groupBy(*keys, "_part").applyInPandas(hull, schema))
 
 
 def with_plane_basis(features: DataFrame) -> DataFrame:
@@ -201,3 +207,20 @@ def regularized(df: DataFrame, method: str) -> DataFrame:
     at = {"x": 0, "y": 1, "z": 2}
     cov = {n: v[0] * a[at[n[0]]] * a[at[n[1]]] + v[1] * b[at[n[0]]] * b[at[n[1]]] + v[2] * c[at[n[0]]] * c[at[n[1]]] for n in SYM}
     return df.withColumns(cov).drop("_ax", "_ay", "_az", "_cx", "_cy", "_cz", "l0", "l1", "l2")
+
+
+def vertex_features(vertices: DataFrame, chi2: float = 7.815) -> DataFrame:
+    """Features of graph vertices (centre and covariance): eigenvalues, axes and box size."""
+    df = with_eigenvector(with_eigenvector(with_eigenvalues(vertices), "l0"), "l2", ("dx", "dy", "dz"))
+    return df.withColumn("size", F.array(*[2.0 * chi2 * F.sqrt(F.greatest(F.col(v), F.lit(0.0))) for v in ("l0", "l1", "l2")]))
+
+
+def transform_features(features: DataFrame, tf: str = "tf") -> DataFrame:
+    """Move features by a rigid transform: centre, covariance and normal."""
+    rot, trans = rigid(tf)
+    centre = add(mat_vec(rot, cols("m")), trans)
+    cov = rotate_sym(rot, tuple(F.col(c) for c in SYM))
+    turned = mat_vec(rot, cols("n"))
+    return features.withColumns({
+        **{"m" + a: c for a, c in zip("xyz", centre)}, **dict(zip(SYM, cov)), **{"n" + a: c for a, c in zip("xyz", turned)},
+    })

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.linalg import SYM, add, clamp, norm, sub, sym_det
+from ..functions.linalg import SYM, add, clamp, fence, norm, sub, sym_det
 from .pairs import TILE_ROWS, tiled_pairs
 
 MIN_LENGTH = 1e-6
@@ -54,18 +54,18 @@ def with_shape_gap(df: DataFrame, a, b, name: str = "gap") -> DataFrame:
     m = _product(a, b)
     e1 = m[0] + m[4] + m[8]
     tr2 = sum((m[3 * i + j] * m[3 * j + i] for i in range(3) for j in range(3)), F.lit(0.0))
-    df = df.withColumns({"_e1": e1, "_e2": (e1 * e1 - tr2) / 2.0, "_e3": sym_det(a) * sym_det(b),
+    df = df.withColumns({"_e1": fence(e1), "_e2": fence((e1 * e1 - tr2) / 2.0), "_e3": fence(sym_det(a) * sym_det(b)),
                          "_tr": a[0] + a[3] + a[5] + b[0] + b[3] + b[5]})
     q = F.col("_e1") / 3.0
-    df = df.withColumn("_p", F.sqrt(F.greatest(q * q - F.col("_e2") / 3.0, F.lit(0.0))))
+    df = df.withColumn("_p", fence(F.sqrt(F.greatest(q * q - F.col("_e2") / 3.0, F.lit(0.0)))))
     p = F.col("_p")
     r = (2.0 * q * q * q - F.col("_e2") * q + F.col("_e3")) / (2.0 * p * p * p)
-    df = df.withColumn("_phi", F.when(p > 1e-100, F.acos(clamp(r, -1.0, 1.0)) / 3.0).otherwise(F.lit(0.0)))
+    df = df.withColumn("_phi", fence(F.when(p > 1e-100, F.acos(clamp(r, -1.0, 1.0)) / 3.0).otherwise(F.lit(0.0))))
     roots = F.lit(0.0)
     for k in range(3):
         value = q + 2.0 * p * F.cos(F.col("_phi") + F.lit(2.0 * math.pi * k / 3.0))
         roots = roots + F.sqrt(F.greatest(value, F.lit(0.0)))
-    return df.withColumn(name, F.col("_tr") - 2.0 * roots).drop("_e1", "_e2", "_e3", "_tr", "_p", "_phi")
+    return df.withColumn(name, fence(F.col("_tr") - 2.0 * roots)).drop("_e1", "_e2", "_e3", "_tr", "_p", "_phi")
 
 
 def _level(tests: list[Column]) -> Column:

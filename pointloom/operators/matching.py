@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pairs import TILE_ROWS, tiled_pairs
+from .running import with_row_number
 from .voxels import top_k
 
 
@@ -77,8 +78,14 @@ def bin_overlap_top_k(src_bins: DataFrame, tgt_bins: DataFrame, src_ids: DataFra
     return best_src.join(best_tgt, [*on, "src_id", "tgt_id"], "left_semi")
 
 
-def with_corr_id(corr: DataFrame, pair: list[str], order: list) -> DataFrame:
-    """Number the correspondences of a pair from 0; a pair holds at most k per feature."""
+def with_corr_id(corr: DataFrame, pair: list[str], order: list[str], bounded: bool = True) -> DataFrame:
+    """Number the correspondences of a pair from 0.
+
+    ``bounded`` is for matches of top-k feature lists, at most k per feature; other pairs
+    may be of any size and are numbered across tasks.
+    """
+    if not bounded:
+        return with_row_number(corr, pair, order, "corr_id").withColumn("corr_id", F.col("corr_id") - 1)
     w = Window.partitionBy(*pair).orderBy(*order)
     return corr.withColumn("corr_id", F.row_number().over(w).cast("long") - 1)
 
@@ -86,25 +93,26 @@ def with_corr_id(corr: DataFrame, pair: list[str], order: list) -> DataFrame:
 def tuple_test(corr: DataFrame, pair: list[str], scale: float = 0.95, trials: int = 100, seed: int = 7) -> DataFrame:
     """Keep correspondences that pass an edge-length test in some seeded triple.
 
-    Each trial shuffles the pair's correspondences by hash and takes neighbours in that
-    order as triples, so a trial costs one sort and no pair enumeration.
+    Each trial hashes the pair's correspondences into buckets of about six and tests the
+    consecutive triples of a bucket, so no task ever sorts a whole pair.
     """
-    trial = F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("_trial")
-    rows = corr.select("*", trial)
-    w = Window.partitionBy(*pair, "_trial").orderBy(F.xxhash64("corr_id", "_trial", F.lit(seed)), "corr_id")
-    point = F.struct("sx", "sy", "sz", "tx", "ty", "tz", "corr_id")
-    rows = rows.withColumns({"_a": point, "_b": F.lead(point, 1).over(w), "_c": F.lead(point, 2).over(w),
-                             "_at": F.row_number().over(w)})
-    # every third row starts a triple, so each correspondence is in one triple per trial
-    triples = rows.filter((F.col("_at") % 3 == 1) & F.col("_c").isNotNull())
-
-    def length(p: str, q: str, side: str) -> Column:
-        d = [F.col(f"{p}.{side}{a}") - F.col(f"{q}.{side}{a}") for a in "xyz"]
-        return F.sqrt(sum((v * v for v in d[1:]), d[0] * d[0]))
+    size = corr.groupBy(*pair).agg(F.greatest(F.floor(F.count(F.lit(1)) / 6), F.lit(1)).alias("_buckets"))
+    trial = F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))
+    point = F.struct("corr_id", "sx", "sy", "sz", "tx", "ty", "tz")
+    rows = corr.join(size, pair).select(*pair, "_buckets", point.alias("_p"), trial.alias("_trial"))
+    bucket = F.pmod(F.xxhash64("_p.corr_id", "_trial", F.lit(seed)), F.col("_buckets"))
+    groups = rows.groupBy(*pair, "_trial", bucket.alias("_bucket")).agg(F.array_sort(F.collect_list("_p")).alias("_l"))
+    groups = groups.filter(F.size("_l") >= 3)
+    starts = F.sequence(F.lit(1), F.floor(F.size("_l") / 3).cast("int"))
+    triples = groups.select(*pair, F.explode(F.transform(starts, lambda k: F.slice("_l", 3 * k - 2, 3))).alias("_t"))
+
+    def length(i: int, j: int, side: str) -> Column:
+        d = [F.col("_t")[i][side + a] - F.col("_t")[j][side + a] for a in "xyz"]
+        return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
     ok = F.lit(True)
-    for p, q in (("_a", "_b"), ("_b", "_c"), ("_a", "_c")):
-        s, t = length(p, q, "s"), length(p, q, "t")
+    for i, j in ((0, 1), (1, 2), (0, 2)):
+        s, t = length(i, j, "s"), length(i, j, "t")
         ok = ok & (s * scale < t) & (t * scale < s)
-    good = triples.filter(ok).select(*pair, F.explode(F.array("_a.corr_id", "_b.corr_id", "_c.corr_id")).alias("corr_id"))
+    good = triples.filter(ok).select(*pair, F.explode(F.transform("_t", lambda v: v.corr_id)).alias("corr_id"))
     return corr.join(good.distinct(), [*pair, "corr_id"], "left_semi")

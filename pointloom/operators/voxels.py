@@ -130,3 +130,18 @@ def box_filter(points: DataFrame, max_range: float) -> DataFrame:
     for c in "xyz":
         keep = keep & F.col(c).between(-max_range, max_range)
     return points.filter(keep)
+
+
+def as_array(points: DataFrame) -> DataFrame:
+    """Coordinates as one ``xyz`` array column."""
+    return points.withColumn("xyz", F.array(*[F.col(c).cast("double") for c in "xyz"])).drop("x", "y", "z")
+
+
+def from_array(points: DataFrame) -> DataFrame:
+    """Inverse of :func:`as_array`, as float32 coordinates."""
+    return points.withColumns({c: F.col("xyz")[i].cast("float") for i, c in enumerate("xyz")}).drop("xyz")
+
+
+def with_intensity(points: DataFrame, value: Column | float = 0.0) -> DataFrame:
+    """Add an intensity, for example a cluster label."""
+    return points.withColumn("intensity", (value if isinstance(value, Column) else F.lit(value)).cast("float"))

@@ -142,7 +142,7 @@ def keypoint_front_end(points: DataFrame, pairs: DataFrame, cfg: Config, keypoin
     for side, p in (("src", "s"), ("tgt", "t")):
         at = small.select(F.col("cloud").alias(side), F.col("id").alias(side + "_id"), *[F.col(a).alias(p + a) for a in "xyz"])
         found = found.join(at, [side, side + "_id"])
-    numbered = cut_lineage(matching.with_corr_id(found, PAIR, ["src_id", "tgt_id"]))
+    numbered = cut_lineage(matching.with_corr_id(found, PAIR, ["src_id", "tgt_id"], bounded=False))
     return numbered if keypoints else matching.tuple_test(numbered, PAIR)
 
 
@@ -201,6 +201,27 @@ def _decoupled(rows: DataFrame, keys: list[str], cfg: Config) -> DataFrame:
     return poses.join(shift, keys).select(*keys, F.array(*cells).alias("tf"))
 
 
+def solve_decoupled(corr: DataFrame, bound: float, estimate_scale: bool = False) -> DataFrame:
+    """Scale, then clique, rotation and translation, each by its own robust estimator.
+
+    Scale is the consensus of pairwise length ratios; without it only lengths that agree
+    within twice the bound count.
+    """
+    far = 1e12 if estimate_scale else bound
+    tims = cut_lineage(cg.compatible_pairs(corr, PAIR, [far], "point"))
+    if estimate_scale:
+        scale = cut_lineage(consensus.tls_scale(tims, PAIR, bound).select(*PAIR, F.col("estimate").alias("scale")))
+        ratio = F.col("tgt_len") / F.col("src_len")
+        tims = cut_lineage(tims.join(scale, PAIR).filter(F.abs(ratio - F.col("scale")) <= 2.0 * bound / F.col("src_len")))
+    else:
+        scale = corr.select(*PAIR).distinct().withColumn("scale", F.lit(1.0))
+    best = cliques.max_clique(tims, PAIR)
+    rows = best.select(*PAIR, F.explode("members").alias("corr_id")).join(corr, [*PAIR, "corr_id"]).join(scale, PAIR)
+    rows = cut_lineage(rows.withColumns({"s" + a: F.col("s" + a) * F.col("scale") for a in "xyz"}))
+    poses = _decoupled(rows, PAIR, Config(front_end="none", tf_solver="teaser", noise_bounds=(bound,)))
+    return poses.join(scale, PAIR)
+
+
 def solve_pyramid(corr: DataFrame, pairs: DataFrame, cfg: Config, points: DataFrame | None, kinds: DataFrame | None) -> DataFrame:
     """Graph pyramid, largest clique and pose per level, then the best verified candidate."""
     levels = list(cfg.noise_bounds)

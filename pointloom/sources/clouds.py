@@ -84,12 +84,13 @@ def count_frames(spark: SparkSession, path: str) -> DataFrame:
     return files.groupBy(F.regexp_extract("path", r"/(\d+)/[^/]+/[^/]+$", 1).cast("int").alias("seq")).agg(F.count(F.lit(1)).alias("frames"))
 
 
-def deskew(points: DataFrame, motion: DataFrame, tolerance: float = 0.1) -> DataFrame:
+def deskew(points: DataFrame, motion: DataFrame, tolerance: float = 0.1, keep_type: bool = False) -> DataFrame:
     """Undo the sensor's motion during a sweep.
 
     A point turns and moves by its share of the motion, its bearing over a full turn.
     Sweeps whose motion is within ``tolerance`` of none stay as they are.  ``motion`` has
-    seq, frame and a 4x4 ``motion``, one row per sweep.
+    seq, frame and a 4x4 ``motion``, one row per sweep.  Coordinates come back as float32
+    unless ``keep_type``.
     """
     rot, trans = rigid("motion")
     rho = axis_angle(rot)
@@ -112,4 +113,5 @@ def deskew(points: DataFrame, motion: DataFrame, tolerance: float = 0.1) -> Data
         for i, a in enumerate("xyz")
     ]
     df = df.withColumns({"_o" + a: F.when(F.coalesce(F.col("_move"), F.lit(False)), t).otherwise(F.col(a)) for a, t in zip("xyz", turned)})
-    return df.select(*[F.col("_o" + n).cast("float").alias(n) if n in "xyz" else F.col(n) for n in points.columns])
+    kind = "double" if keep_type else "float"
+    return df.select(*[F.col("_o" + n).cast(kind).alias(n) if n in ("x", "y", "z") else F.col(n) for n in points.columns])
