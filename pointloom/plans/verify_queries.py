@@ -20,7 +20,7 @@ from .voxel_queries import FEATURE_SQL, PAIR_SQL, VOX_SQL, cloud_pairs, features
 KERNELS = ("huber", "cauchy", "tukey", "geman_mcclure", "tls", "dcs")
 
 
-@query("robust_kernels", """WITH r AS (SELECT event_id, value AS r, CAST(40 AS DOUBLE) AS c FROM events)
+@query("robust_kernels", """WITH r AS (SELECT event_id, value AS r, CAST(41.3 AS DOUBLE) AS c FROM events)
 SELECT event_id, round(CASE WHEN abs(r) <= c THEN r * r / 2 ELSE c * (abs(r) - c / 2) END, 6) AS huber,
   round(c * c * ln(1 + r * r / (c * c)), 6) AS cauchy,
   round(CASE WHEN abs(r) <= c THEN c * c / 6 * (1 - pow(1 - r * r / (c * c), 3)) ELSE c * c / 6 END, 6) AS tukey,
@@ -28,7 +28,7 @@ SELECT event_id, round(CASE WHEN abs(r) <= c THEN r * r / 2 ELSE c * (abs(r) - c
   round(c * c * (1 - exp(-r * r / (2 * c * c))), 6) AS dcs FROM r""")
 def robust_kernels(spark, sf):
     ev = tables.read(spark, sf, "events")
-    return ev.select("event_id", *[F.round(scalar.robust_kernel(F.col("value"), 40.0, k), 6).alias(k) for k in KERNELS])
+    return ev.select("event_id", *[F.round(scalar.robust_kernel(F.col("value"), 41.3, k), 6).alias(k) for k in KERNELS])
 
 
 @query("radius_neighbours", f"""WITH {FEATURE_SQL}

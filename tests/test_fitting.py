@@ -58,13 +58,12 @@ def test_plain_fit_is_exact(spark):
 
 def test_back_ends_recover_transforms(spark):
     rng = np.random.default_rng(2)
-    scenes = [scene(rng, 60, f) for f in (0.0, 0.5, 0.8)]
+    scenes = [scene(rng, 50, f) for f in (0.2, 0.7)]
     corr = table(spark, scenes)
     for cfg in (
         Config(front_end="none", tf_solver="svd", noise_bounds=(0.2,)),
         Config(front_end="none", tf_solver="gnc", noise_bounds=(0.2,)),
-        Config(front_end="none", tf_solver="teaser", noise_bounds=(0.2,)),
-        Config(front_end="none", back_end="ransac", ransac_iterations=3000),
+        Config(front_end="none", back_end="ransac", ransac_iterations=1000),
         Config(front_end="none", back_end="cliques"),
     ):
         check(solve_from_correspondences(corr, cfg), scenes)
