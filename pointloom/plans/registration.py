@@ -47,8 +47,9 @@ def cluster_points(points: DataFrame, cfg: Config) -> DataFrame:
     return polar.euclidean_cluster(points.withColumn("id", F.struct("pid", "x", "y", "z")), CLOUD, 1.0, cfg.min_cluster_size)
 
 
-def extract_features(points: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    """Line, plane and cluster features, and the voxels with their kind and axis."""
+def extract_features(points: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Line, plane and cluster features, the voxels with their kind and axis, and the points
+    of every feature."""
     labelled = ground.segment_ground(points, CLOUD, ground_rule(cfg))
     above = cut_lineage(labelled.filter(F.col("label") == "nonground").select("cloud", "pid", "x", "y", "z"))
     vox = cut_lineage(voxels.voxel_gaussians(above, CLOUD, cfg.plane_resolution, 10, cfg.eigen_ratio))
@@ -82,7 +83,30 @@ def extract_features(points: DataFrame, cfg: Config) -> tuple[DataFrame, DataFra
     on_line = voxels.with_voxel(clustered, cfg.plane_resolution).join(lines.select("cloud", "cluster", "dx", "dy", "dz"), ["cloud", "cluster"])
     line_cells = on_line.groupBy(*CLOUD, *voxels.KEY).agg(F.min(F.struct("dx", "dy", "dz")).alias("_d")).select(*CLOUD, *voxels.KEY, "_d.*")
     kinds = planes.voxel_kinds(vox, regions, flat, line_cells, CLOUD)
-    return cut_lineage(feats), cut_lineage(kinds)
+
+    def owned(df: DataFrame, kind: str, name: str) -> DataFrame:
+        return df.select("cloud", F.lit(kind).alias("class"), F.xxhash64(F.lit(kind), name).alias("id"), "x", "y", "z")
+
+    members = owned(clustered.join(lines.select("cloud", "cluster"), ["cloud", "cluster"], "left_semi"), "Line", "cluster")
+    if cfg.plane_aided:
+        on_plane = celled.join(regions.join(flat.select("cloud", "region"), ["cloud", "region"], "left_semi"), [*CLOUD, *voxels.KEY])
+        members = members.unionByName(owned(on_plane, "Plane", "region")).unionByName(owned(others, "Cluster", "cluster"))
+    else:
+        upright = plane_rows.select("cloud", "cluster")
+        members = members.unionByName(owned(others.join(upright, ["cloud", "cluster"], "left_semi"), "Plane", "cluster"))
+        members = members.unionByName(owned(others.join(upright, ["cloud", "cluster"], "left_anti"), "Cluster", "cluster"))
+    return cut_lineage(feats), cut_lineage(kinds), members
+
+
+def with_boxes(features: DataFrame, members: DataFrame, cfg: Config) -> DataFrame:
+    """Add tight boxes to ranked features; ``use_pseudo_cov`` also takes its covariance from the box."""
+    key = ["cloud", "class", "id"]
+    fitted = boxes.tight_boxes(members.join(features.select(*key), key, "left_semi"), features, key)
+    fitted = boxes.box_covariance(fitted, cfg.volume_chi2).select(*key, "size", "prior", *[F.col(c).alias("_" + c) for c in SYM])
+    out = features.join(fitted, key)
+    if cfg.use_pseudo_cov:
+        out = out.withColumns({**{c: F.col("_" + c) for c in SYM}, "l2": F.col("prior")})
+    return out.drop("prior", *["_" + c for c in SYM])
 
 
 def rank_features(features: DataFrame, cfg: Config) -> DataFrame:
@@ -113,8 +137,6 @@ def associate(features: DataFrame, pairs: DataFrame, cfg: Config, points: DataFr
     elif method == "ev_feature":
         desc = features.select("cloud", "class", "id", eigen_descriptor().alias("desc"))
     elif method == "iou3d":
-        if "size" not in features.columns:
-            raise ValueError("iou3d needs fitted boxes: join tight_boxes sizes to the features first")
         metric, desc = "iou3d", features.select("cloud", "class", "id", F.col("size").alias("desc"))
     else:
         desc = features.select("cloud", "class", "id", spread_descriptor().alias("desc"))
@@ -149,8 +171,10 @@ def keypoint_front_end(points: DataFrame, pairs: DataFrame, cfg: Config, keypoin
 def front_end(points: DataFrame, pairs: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame | None]:
     """Correspondences of every pair, and the voxel table of the ellipsoid front end."""
     if cfg.front_end == "ellipsoid":
-        feats, kinds = extract_features(points, cfg)
+        feats, kinds, members = extract_features(points, cfg)
         best = cut_lineage(rank_features(feats, cfg))
+        if cfg.use_pseudo_cov or cfg.assoc_method == "iou3d":
+            best = cut_lineage(with_boxes(best, members, cfg))
         return cut_lineage(correspondences(associate(best, pairs, cfg), best)), kinds
     if cfg.front_end in ("fpfh", "iss_fpfh"):
         return cut_lineage(keypoint_front_end(points, pairs, cfg, cfg.front_end == "iss_fpfh")), None

@@ -1,7 +1,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from pointloom.config import Config
 from pointloom.operators import ground
@@ -53,10 +52,13 @@ def test_registers_a_street(spark):
     pairs = spark.createDataFrame([(1, 2)], "src long, tgt long")
     cfg = Config(min_range=1.0, max_range=40.0, min_cluster_size=20, tf_solver="gmm_tls", cluster_method="euc", noise_bounds=(0.2, 0.4),
                  eigen_ratio=10.0, vertex_type="point")
-    feats, _ = reg.extract_features(pts, cfg)
+    feats, _, members = reg.extract_features(pts, cfg)
     counts = {(x["cloud"], x["class"]): x["count"] for x in feats.groupBy("cloud", "class").count().collect()}
     assert counts[(1, "Plane")] >= 3 and counts[(1, "Line")] >= 5 and counts[(1, "Cluster")] >= 3
-    out = reg.register(pts.withColumn("cloud", F.col("cloud")), pairs, cfg).first()
+    boxed = reg.with_boxes(reg.rank_features(feats, cfg), members, cfg).filter("cloud = 1").collect()
+    tall = [max(b["size"]) for b in boxed if b["class"] == "Line"]
+    assert len(boxed) == sum(v for k, v in counts.items() if k[0] == 1) and all(3.0 < h < 6.5 for h in tall)
+    out = reg.register(pts, pairs, cfg).first()
     m = np.array(out["tf"]).reshape(4, 4)
     angle = np.degrees(np.arccos(np.clip((np.trace(r.T @ m[:3, :3]) - 1) / 2, -1, 1)))
     assert out["valid"] and angle < 5.0 and np.linalg.norm(m[:3, 3] - t) < 2.0
