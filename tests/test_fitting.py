@@ -8,7 +8,7 @@ from pointloom.config import Config
 from pointloom.functions.linalg import with_eigenvalues, with_eigenvector
 from pointloom.operators import cliques, consensus, fitting, gaussian_fit
 from pointloom.operators.running import with_running_sums
-from pointloom.plans.registration import solve_from_correspondences
+from pointloom.plans.registration import solve_decoupled, solve_from_correspondences
 
 NAMES = ["sx", "sy", "sz", "tx", "ty", "tz"]
 
@@ -199,3 +199,11 @@ def test_eigen_decomposition(spark):
         assert abs(np.linalg.norm(n) - 1) < 1e-6
         if r["i"] < 50 and vals[1] - vals[0] > 1e-2:
             assert abs(n @ vecs[:, 0]) > 1 - 1e-5
+
+
+def test_decoupled_solver_with_scale(spark):
+    rng = np.random.default_rng(11)
+    src, tgt, r, t = scene(rng, 40, 0.3)
+    out = solve_decoupled(table(spark, [(src, tgt)]), 0.2, estimate_scale=True).first()
+    a, b = errors(out["tf"], r, t)
+    assert a < 1.0 and b < 0.5 and abs(out["scale"] - 1.0) < 0.01
