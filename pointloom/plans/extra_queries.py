@@ -15,7 +15,7 @@ from ..sources.datasets import DATASETS
 from . import registration as reg
 from . import tables
 from .correspondences import PAIR
-from .graph_queries import CORR_SQL, LEVELS, corr_table, edge_table
+from .graph_queries import CORR_SQL, LEVELS, corr_table, edge_table, level_sql
 from .registry import query
 from .segment_queries import centred, centred_sql
 from .voxel_queries import FEATURE_SQL, features, rounded, top
@@ -79,7 +79,32 @@ def mahalanobis_norms(spark, sf):
     return f.filter(det > 1.0).select("cloud", "id", F.round(mahalanobis(s, cols("m")), 4).alias("m"))
 
 
-@query("compat_graph_gaussian")
+def _gap_sql() -> str:
+    """CTEs gm .. gg: squared Wasserstein gap of the summed covariances of every edge in ``ge``."""
+    def cell(p: str, i: int, j: int) -> str:
+        return p + "xyz"[min(i, j)] + "xyz"[max(i, j)]
+
+    def det(p: str) -> str:
+        a, b, c, d, e, f = (p + n for n in SYM)
+        return f"({a} * ({d} * {f} - {e} * {e}) - {b} * ({b} * {f} - {e} * {c}) + {c} * ({b} * {e} - {d} * {c}))"
+
+    prod = ", ".join(
+        " + ".join(f"{cell('s', i, k)} * {cell('t', k, j)}" for k in range(3)) + f" AS m{i}{j}" for i in range(3) for j in range(3))
+    square = " + ".join(f"m{i}{j} * m{j}{i}" for i in range(3) for j in range(3))
+    roots = " + ".join(f"sqrt(greatest(e1 / 3.0 + 2.0 * p * cos(phi + 2.0 * pi() * {k} / 3.0), 0.0))" for k in range(3))
+    return f"""gm AS (SELECT *, {prod} FROM ge),
+gn AS (SELECT *, m00 + m11 + m22 AS e1, {det('s')} * {det('t')} AS e3, sxx + syy + szz + txx + tyy + tzz AS tr FROM gm),
+gs AS (SELECT *, (e1 * e1 - ({square})) / 2.0 AS e2 FROM gn),
+gp AS (SELECT *, sqrt(greatest(e1 / 3.0 * (e1 / 3.0) - e2 / 3.0, 0.0)) AS p FROM gs),
+gf AS (SELECT *, CASE WHEN p > 1e-100 THEN acos(greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE),
+   (2.0 * (e1 / 3.0) * (e1 / 3.0) * (e1 / 3.0) - e2 * (e1 / 3.0) + e3) / (2.0 * p * p * p)))) / 3.0 ELSE 0.0 END AS phi FROM gp),
+gg AS (SELECT *, tr - 2.0 * ({roots}) AS gap FROM gf)"""
+
+
+@query("compat_graph_gaussian", f"""WITH {CORR_SQL},
+ge AS (SELECT *, {level_sql('abs(sl - tl) < 2.0 * {b}', LEVELS)} AS min_level FROM prs2 WHERE sl >= 1e-6 AND tl >= 1e-6 AND abs(sl - tl) < CAST(1.6 AS DOUBLE)),
+{_gap_sql()}
+SELECT src, tgt, u, v, min_level FROM gg WHERE gap < 5.0""")
 def compat_graph_gaussian(spark, sf):
     return edge_table(spark, sf, "gaussian").select(*PAIR, "u", "v", "min_level")
 
