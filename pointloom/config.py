@@ -82,10 +82,6 @@ YAML_KEYS = {
     ("plane_extraction", "normal_thresh"): "plane_normal", ("plane_extraction", "eigenvalue_thresh"): "eigen_ratio",
 }
 
-# Older names of the same choices in existing run files.
-OLD_NAMES = {"gem": "ellipsoid", "pagor": "pyramid", "3dmac": "cliques", "gem_based": "voxel"}
-
-
 def lookup(node: dict, *path: str, default=None):
     """Nested value with a default."""
     for key in path:
@@ -95,8 +91,11 @@ def lookup(node: dict, *path: str, default=None):
     return node
 
 
-def load_config(*paths: str, base: Config = Config()) -> Config:
-    """Apply run and sensor YAML files in order; unread sections stay in ``extra``."""
+def load_config(*paths: str, base: Config = Config(), aliases: dict[str, str] | None = None) -> Config:
+    """Apply run and sensor YAML files in order; sensor sections are kept in ``extra``.
+
+    ``aliases`` renames choices in files written for another program.
+    """
     kinds = {f.name: type(getattr(base, f.name)) for f in fields(Config)}
     values: dict = {}
     extra: dict = {}
@@ -108,7 +107,7 @@ def load_config(*paths: str, base: Config = Config()) -> Config:
             if found is None:
                 continue
             if isinstance(found, str):
-                found = OLD_NAMES.get(found, found)
+                found = (aliases or {}).get(found, found)
             values[name] = tuple(float(v) for v in found) if kinds[name] is tuple else kinds[name](found)
         extra.update({k: v for k, v in doc.items() if k in ("travel", "dcvc")})
     return replace(base, **values, extra=extra)

@@ -97,8 +97,8 @@ def test_statistics_and_stream(spark, tmp_path):
 
 
 def test_config(tmp_path):
-    (tmp_path / "run.yaml").write_text("dataset: {name: kitti, max_range: 80}\nfront_end: gem\nback_end: pagor\ntf_solver: gmm_tls\nvertex: {type: ellipse, noise_bound_vec: [0.1, 0.3]}\n")
-    cfg = load_config(str(tmp_path / "run.yaml"))
+    (tmp_path / "run.yaml").write_text("dataset: {name: kitti, max_range: 80}\nfront_end: shapes\nback_end: pyramid\ntf_solver: gmm_tls\nvertex: {type: ellipse, noise_bound_vec: [0.1, 0.3]}\n")
+    cfg = load_config(str(tmp_path / "run.yaml"), aliases={"shapes": "ellipsoid"})
     assert (cfg.front_end, cfg.back_end, cfg.max_range, cfg.noise_bounds) == ("ellipsoid", "pyramid", 80.0, (0.1, 0.3))
     for bad in ({"back_end": "x"}, {"noise_bounds": (0.3, 0.1)}, {"front_end": "fpfh", "tf_solver": "gmm_tls"}):
         with pytest.raises(ValueError):
