@@ -141,20 +141,55 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return mixed(out)
 
 
+def runs_of(texts: list[bytes], most_bytes: int = 1 << 21, most_texts: int = 60_000):
+    """Consecutive slices (from, to) of ``texts`` of bounded size; a longer text stands alone."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        if i > at and (size + len(t) > most_bytes or i - at >= most_texts):
+            yield at, i
+            at, size = i, 0
+        size += len(t)
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def _long_word_hashes(text: bytes, block: int = 1 << 21) -> np.ndarray:
+    """Word hashes of one text of any length, block by block between white space."""
+    out, at = [], 0
+    while at < len(text):
+        end = min(at + block, len(text))
+        while end < len(text) and not _IS_SPACE[text[end]]:
+            end += 1
+        out.append(word_hashes([text[at:end]])[0])
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its ``k``-word runs.
 
     A text with fewer words gives one hash, of all its words; one without words none.
     """
-    words, counts = word_hashes(texts)
-    runs = run_hashes(words, k)
-    out, at = [], 0
-    for n in counts:
-        if n >= k:
-            out.append(np.unique(runs[at : at + n - k + 1]))
-        elif n:
-            out.append(run_hashes(words[at : at + n], int(n)) ^ np.uint64(int(n)))
+    out: list[np.ndarray] = []
+    for i, j in runs_of(texts):
+        if j - i == 1:
+            words = _long_word_hashes(texts[i])
+            counts = np.array([len(words)])
         else:
-            out.append(np.empty(0, np.uint64))
-        at += n
+            words, counts = word_hashes(texts[i:j])
+        runs = run_hashes(words, k)
+        at = 0
+        for n in counts.tolist():
+            if n >= k:
+                out.append(np.unique(runs[at : at + n - k + 1]))
+            elif n:
+                out.append(run_hashes(words[at : at + n], n) ^ np.uint64(n))
+            else:
+                out.append(np.empty(0, np.uint64))
+            at += n
     return out
+
+
+def by_size(small: DataFrame, rows: int, row_bytes: int = 32, most_bytes: int = 64 << 20) -> DataFrame:
+    """``small`` ready for a join: broadcast if its counted rows fit the bound, else left to Spark."""
+    return F.broadcast(small) if rows * row_bytes <= most_bytes else small

@@ -85,3 +85,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
     return line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query("op1_ngram_jaccard_join")
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the size of their shingle set and their component."""
+    from .ngram_join import ngram_jaccard_join
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_jaccard_join(docs).select("doc_id", "n_shingles", "component_id")
