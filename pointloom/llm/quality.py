@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import NOT_SPACE, SPACE, digest, own_columns, plain_text
+from ._shared import NOT_SPACE, SPACE, by_size, digest, own_columns, plain_text, stored
 
 #: A run of this many words that comes twice or more in a text counts as repetition.
 RUN = 8
@@ -108,24 +108,25 @@ def quality_rules(
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_words", "clean_text", "kept")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
     p = own_columns(docs, *new)
-    t, at, key, bad = (f"{p}{n}" for n in ("text", "host", "key", "bad"))
+    t, at, bad, gone = (f"{p}{n}" for n in ("text", "host", "bad", "gone"))
     body, place = plain_text(text), plain_text(F.col(host).cast("string"))
 
-    common = common_lines(docs, place, body, max_share, min_documents)
-    lines = docs.select(place.alias("host"), body.alias("t")).select(
-        "host", digest(F.col("t")).alias("d"), F.explode(F.array_distinct(F.transform(_lines(F.col("t")), normal_line))).alias("s")
-    )
-    hit = lines.filter(F.col("s") != "").withColumn("line", digest(F.col("s"))).join(common, ["host", "line"])
-    per_text = hit.groupBy(F.col("host").alias(at), F.col("d").alias(key)).agg(F.collect_set("s").alias(bad))
-
-    out = docs.withColumn(t, body).withColumn(at, place).withColumn(key, digest(F.col(t)))
-    out = text_counts(out, F.col(t), p).join(per_text, [at, key], "left")
-    clean = F.array_join(F.filter(_lines(F.col(t)), lambda x: ~F.array_contains(F.col(bad), normal_line(x))), "\n")
-    out = out.withColumn("clean_text", F.when(F.col(bad).isNull(), F.col(t)).otherwise(clean))
-    left = F.when(F.col(bad).isNull(), F.col("n_words")).otherwise(F.size(words_of(F.col("clean_text"))))
-    out = out.withColumn("n_common_words", F.col("n_words") - left)
+    # a host has at most (mean lines of a text) / max_share such lines
+    common = common_lines(docs, place, body, max_share, min_documents).groupBy("host").agg(F.collect_set("line").alias(bad))
+    common = stored(common.withColumnRenamed("host", at), "common-lines")
+    size = common.agg(F.sum(32 * F.size(bad) + 64)).first()[0] or 0
+
+    out = text_counts(docs.withColumn(t, body).withColumn(at, place), F.col(t), p)
+    out = out.join(by_size(common, size, 1), at, "left")
+    hit = lambda x: F.array_contains(F.col(bad), digest(normal_line(x)))
+    out = out.withColumn(gone, F.when(F.col(bad).isNotNull(), F.filter(_lines(F.col(t)), hit)))
+    some = F.coalesce(F.size(gone), F.lit(0)) > 0
+    clean = F.array_join(F.filter(_lines(F.col(t)), lambda x: ~hit(x)), "\n")
+    out = out.withColumn("clean_text", F.when(some, clean).otherwise(F.col(t)))
+    lost = F.when(some, F.size(words_of(F.array_join(F.col(gone), "\n")))).otherwise(0)
+    out = out.withColumn("n_common_words", lost.cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     return out.withColumn(
         "kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_common_words") >= min_left * F.col("n_words"))
-    ).drop(t, at, key, bad)
+    ).drop(t, at, bad, gone)
