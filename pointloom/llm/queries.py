@@ -94,3 +94,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_jaccard_join(docs).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with what is left once repeated 100-byte strings are gone."""
+    from .suffix_dedup import suffix_dedup
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
