@@ -117,3 +117,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_fit_packing
 
     return best_fit_packing(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
+@query("op6_token_output")
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files, read back."""
+    from .token_output import read_tokens, write_tokens
+
+    manifest = write_tokens(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(manifest).drop("ids")
