@@ -126,3 +126,20 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     manifest = write_tokens(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
     return read_tokens(manifest).drop("ids")
+
+
+WARC_SQL = """WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM f"""
+
+
+@query("op7_warc", WARC_SQL)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back by byte ranges."""
+    from .warc import read_warc, write_warc
+
+    return read_warc(write_warc(read(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
