@@ -36,6 +36,13 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts may be long: send at most so many rows to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
 def digest(c: Column) -> Column:
     """128-bit key of a string."""
     return F.unhex(F.md5(c))
@@ -141,7 +148,7 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return mixed(out)
 
 
-def runs_of(texts: list[bytes], most_bytes: int = 1 << 21, most_texts: int = 60_000):
+def runs_of(texts: list[bytes], most_bytes: int = 1 << 20, most_texts: int = 60_000):
     """Consecutive slices (from, to) of ``texts`` of bounded size; a longer text stands alone."""
     at = size = 0
     for i, t in enumerate(texts):
@@ -153,7 +160,7 @@ def runs_of(texts: list[bytes], most_bytes: int = 1 << 21, most_texts: int = 60_
         yield at, len(texts)
 
 
-def _long_word_hashes(text: bytes, block: int = 1 << 21) -> np.ndarray:
+def _long_word_hashes(text: bytes, block: int = 1 << 20) -> np.ndarray:
     """Word hashes of one text of any length, block by block between white space."""
     out, at = [], 0
     while at < len(text):
@@ -193,3 +200,14 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
 def by_size(small: DataFrame, rows: int, row_bytes: int = 32, most_bytes: int = 64 << 20) -> DataFrame:
     """``small`` ready for a join: broadcast if its counted rows fit the bound, else left to Spark."""
     return F.broadcast(small) if rows * row_bytes <= most_bytes else small
+
+
+def numbered(df: DataFrame, doc_id: str, name: str) -> DataFrame:
+    """``df`` with a unique number per row: the id itself if it is one, else a stored row number.
+
+    Stored, so that a lost task cannot give its rows other numbers.
+    """
+    c = df.agg(F.count(F.lit(1)).alias("a"), F.countDistinct(doc_id).alias("b")).first()
+    if c["a"] == c["b"]:
+        return df.withColumn(name, F.col(doc_id).cast("long"))
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")

@@ -143,3 +143,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_warc, write_warc
 
     return read_warc(write_warc(read(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_lm_score")
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a bigram model learnt from six sevenths of them."""
+    from .lm import lm_score
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
