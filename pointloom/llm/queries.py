@@ -152,3 +152,12 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return lm_score(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op5_embedding_near_dup")
+def op5_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors with their links at a cosine of 0.98."""
+    from .near_dup import embedding_near_dup
+
+    out = embedding_near_dup(read(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "n_links", "component_id", "kept", "audit_recall")
