@@ -161,3 +161,16 @@ def op5_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = embedding_near_dup(read(spark, sf_dir, "embeddings"))
     return out.select("vec_id", "n_links", "component_id", "kept", "audit_recall")
+
+
+@query("op10_piece_scan")
+def op10_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded to pieces and decoded again."""
+    from pyspark.sql import functions as F
+
+    from .piece_scan import decode_pieces, encode_pieces, ids_crc32
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    docs = decode_pieces(encode_pieces(read(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_crc32(F.col("ids")).alias("ids_crc32"), same.alias("round_trip"))
