@@ -34,10 +34,9 @@ class Config:
     rot_thresh: float = 5.0
     assoc_method: str = "wasserstein"
     assoc_topk: int = 20
-    num_clusters: int = 50
-    num_planes: int = 50
-    num_lines: int = 50
-    max_corrs: int = 3000
+    num_clusters: int | None = None
+    num_planes: int | None = None
+    num_lines: int | None = None
     use_pseudo_cov: bool = False
     plane_aided: bool = True
     volume_chi2: float = 7.815
@@ -45,7 +44,6 @@ class Config:
     noise_bounds: tuple[float, ...] = (0.2,)
     ransac_iterations: int = 100000
     ransac_threshold: float = 0.5
-    ransac_stop: float = 0.5
     normal_radius: float = 1.0
     fpfh_radius: float = 2.5
     plane_resolution: float = 1.0
@@ -73,11 +71,11 @@ YAML_KEYS = {
     ("back_end",): "back_end", ("tf_solver",): "tf_solver", ("verify_mtd",): "verify_method", ("robust_kernel",): "robust_kernel",
     ("evaluation", "tp_thresh"): "tp_thresh", ("evaluation", "trans_thresh"): "trans_thresh", ("evaluation", "rot_thresh"): "rot_thresh",
     ("association", "method"): "assoc_method", ("association", "topK"): "assoc_topk", ("association", "num_clusters"): "num_clusters",
-    ("association", "num_planes"): "num_planes", ("association", "num_lines"): "num_lines", ("association", "max_corrs"): "max_corrs",
+    ("association", "num_planes"): "num_planes", ("association", "num_lines"): "num_lines",
     ("use_pseudo_cov",): "use_pseudo_cov", ("plane_aided",): "plane_aided", ("volume_chi2",): "volume_chi2",
     ("vertex", "type"): "vertex_type", ("vertex", "noise_bound_vec"): "noise_bounds",
     ("ransac", "max_iterations"): "ransac_iterations", ("ransac", "inlier_threshold"): "ransac_threshold",
-    ("ransac", "inliers_to_end"): "ransac_stop", ("fpfh", "normal_radius"): "normal_radius", ("fpfh", "fpfh_radius"): "fpfh_radius",
+    ("fpfh", "normal_radius"): "normal_radius", ("fpfh", "fpfh_radius"): "fpfh_radius",
     ("plane_extraction", "resolution"): "plane_resolution", ("plane_extraction", "distance_thresh"): "plane_distance",
     ("plane_extraction", "normal_thresh"): "plane_normal", ("plane_extraction", "eigenvalue_thresh"): "eigen_ratio",
 }
@@ -91,6 +89,11 @@ def lookup(node: dict, *path: str, default=None):
     return node
 
 
+def base_is_unset(base: Config, name: str) -> bool:
+    """Counts that mean "all" until a run file sets them."""
+    return getattr(base, name) is None
+
+
 def load_config(*paths: str, base: Config = Config(), aliases: dict[str, str] | None = None) -> Config:
     """Apply run and sensor YAML files in order; sensor sections are kept in ``extra``.
 
@@ -102,12 +105,14 @@ def load_config(*paths: str, base: Config = Config(), aliases: dict[str, str] |
     for path in paths:
         with open(path) as f:
             doc = yaml.safe_load(f) or {}
+        if lookup(doc, "association", "max_corrs") is not None:
+            raise ValueError("association.max_corrs is not supported: no correspondence is left out")
         for keys, name in YAML_KEYS.items():
             found = lookup(doc, *keys)
             if found is None:
                 continue
             if isinstance(found, str):
                 found = (aliases or {}).get(found, found)
-            values[name] = tuple(float(v) for v in found) if kinds[name] is tuple else kinds[name](found)
+            values[name] = tuple(float(v) for v in found) if kinds[name] is tuple else int(found) if base_is_unset(base, name) else kinds[name](found)
         extra.update({k: v for k, v in doc.items() if k in ("travel", "dcvc")})
     return replace(base, **values, extra=extra)

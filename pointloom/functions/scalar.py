@@ -67,17 +67,25 @@ def axis_distance(delta, axis, kind: Column) -> Column:
 
 def eigenvalue_feature(l0: Column, l1: Column, l2: Column) -> list[Column]:
     """Linearity, planarity, sphericity, omnivariance, anisotropy, eigentropy, sum, curvature."""
+    l0, l1, l2 = (F.greatest(v, F.lit(0.0)) for v in (l0, l1, l2))  # rounding may leave a flat one below 0
     total = l0 + l1 + l2
-    e1, e2, e3 = (F.try_divide(v, total) for v in (l2, l1, l0))
+    e1, e2, e3 = (F.coalesce(F.try_divide(v, total), F.lit(0.0)) for v in (l2, l1, l0))
+
+    def entropy(e: Column) -> Column:
+        return F.when(e > 0, -e * F.log(e)).otherwise(0.0)
+
+    def ratio(a: Column, b: Column) -> Column:
+        return F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
     return [
-        F.try_divide(e1 - e2, e1),
-        F.try_divide(e2 - e3, e1),
-        F.try_divide(e3, e1),
+        ratio(e1 - e2, e1),
+        ratio(e2 - e3, e1),
+        ratio(e3, e1),
         F.pow(e1 * e2 * e3, F.lit(1.0 / 3.0)),
-        F.try_divide(e1 - e3, e1),
-        -e1 * F.log(e1) - e2 * F.log(e2) - e3 * F.log(e3),
+        ratio(e1 - e3, e1),
+        entropy(e1) + entropy(e2) + entropy(e3),
         e1 + e2 + e3,
-        F.try_divide(e3, e1 + e2 + e3),
+        ratio(e3, e1 + e2 + e3),
     ]
 
 

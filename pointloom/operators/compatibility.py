@@ -100,7 +100,7 @@ def compatible_pairs(corr: DataFrame, pair: list[str], levels: list[float], kind
     if kind in ("point", "gaussian"):
         tests = [diff < 2.0 * b for b in bounds]
     elif kind == "point_ratio":
-        tests = [(F.abs(src / tgt - 1.0) < 2.0 * b) & (F.abs(tgt / src - 1.0) < 2.0 * b) for b in bounds]
+        tests = [(F.abs(F.try_divide(src, tgt) - 1.0) < 2.0 * b) & (F.abs(F.try_divide(tgt, src) - 1.0) < 2.0 * b) for b in bounds]
     elif kind == "ellipse":
         rho_s = spectral_bound(cov_s, F.col("a_sl2") + F.col("b_sl2"))
         rho_t = spectral_bound(cov_t, F.col("a_tl2") + F.col("b_tl2"))
@@ -220,30 +220,6 @@ def clustering_summary(factors: DataFrame, pair: list[str]) -> DataFrame:
     )
 
 
-def density_cut(edges: DataFrame, factors: DataFrame, pair: list[str], otsu: DataFrame, floor: float = 3.0,
-                min_rows: int = 50) -> DataFrame:
-    """Drop low-factor vertices of dense graphs before clique search.
-
-    Only pairs with more than ``min_rows`` correspondences and a threshold above
-    ``floor`` are cut.  The multiplier starts at 10 and goes down in steps of 0.05 until
-    the cut no longer exceeds the 50th largest factor.
-    """
-    summary = clustering_summary(factors, pair).join(otsu, pair)
-    counts = factors.groupBy(*pair).agg(F.count(F.lit(1)).alias("rows"))
-    w = Window.partitionBy(*pair).orderBy(F.desc("factor"), "corr_id")
-    fiftieth = factors.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 50)
-    fiftieth = fiftieth.groupBy(*pair).agg(F.min("factor").alias("at50"))
-    base = F.greatest("threshold", "total_factor")
-    steps = F.greatest(F.ceil((10.0 - F.col("at50") / base) / 0.05), F.lit(0))
-    gate = (F.least("threshold", "mean_factor", "total_factor") > floor) & (F.col("rows") > min_rows)
-    cut = summary.join(counts, pair).join(fiftieth, pair).select(
-        *pair, F.when(gate, (10.0 - 0.05 * steps) * base).alias("_cut")
-    )
-    keep = factors.join(cut, pair).filter(F.col("_cut").isNull() | (F.col("factor") > F.col("_cut"))).select(*pair, "corr_id")
-    out = edges.join(keep.withColumnRenamed("corr_id", "u"), [*pair, "u"], "left_semi")
-    return out.join(keep.withColumnRenamed("corr_id", "v"), [*pair, "v"], "left_semi")
-
-
 def chain(members: DataFrame, keys: list[str]) -> DataFrame:
     """Differences of consecutive clique members, the last one closing on the first."""
     w = Window.partitionBy(*keys).orderBy("corr_id")

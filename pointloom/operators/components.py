@@ -40,11 +40,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 5
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def k_core(edges: DataFrame, keys: list[str], k: int, max_rounds: int = 200) -> DataFrame:
+def k_core(edges: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Drop vertices with fewer than ``k`` neighbours until none is left."""
     e = cut_lineage(edges)
     count = e.count()
-    for _ in range(max_rounds):
+    while True:  # every round but the last drops an edge
         ends = e.select(*keys, F.explode(F.array("u", "v")).alias("id"))
         keep = ends.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") >= k)
         e2 = e.join(keep.select(*keys, F.col("id").alias("u")), [*keys, "u"], "left_semi")
@@ -54,7 +54,6 @@ def k_core(edges: DataFrame, keys: list[str], k: int, max_rounds: int = 200) ->
         if left == count:
             return e
         count = left
-    raise RuntimeError("core pruning did not settle; raise max_rounds")
 
 
 def sized(labels: DataFrame, keys: list[str], minimum: int, maximum: int | None = None) -> DataFrame:

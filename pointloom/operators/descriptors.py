@@ -80,7 +80,7 @@ def _bin(value: Column) -> Column:
 def fpfh(points: DataFrame, keys: list[str], radius: float, wanted: DataFrame | None = None) -> DataFrame:
     """33-bin fast point feature histogram ``desc`` of every point, or of ``wanted`` ids.
 
-    First the simple histogram of each point's pairs, then the sum of the neighbours'
+    Every point gets a row.  First the simple histogram of each point's pairs, then the sum of the neighbours'
     histograms weighted by inverse squared distance; each third is scaled to 100.
     """
     near = cut_lineage(pair_features(oriented_pairs(points, keys, radius, [])).select(*keys, "a", "b", "d2", "f1", "f2", "f3"))
@@ -97,8 +97,10 @@ def fpfh(points: DataFrame, keys: list[str], radius: float, wanted: DataFrame |
     sums = mixed.groupBy(*keys, "a", third.alias("third")).agg(F.sum("v").alias("_t"))
     scaled = mixed.withColumn("third", third).join(sums, [*keys, "a", "third"])
     scaled = scaled.withColumn("v", F.when(F.col("_t") > 0, 100.0 * F.col("v") / F.col("_t")).otherwise(0.0))
+    every = (points if wanted is None else points.join(wanted.select(*keys, "id"), [*keys, "id"], "left_semi")).select(*keys, "id")
     filled = scaled.groupBy(*keys, F.col("a").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("_m"))
     desc = F.transform(F.sequence(F.lit(0), F.lit(3 * BINS - 1)), lambda i: F.coalesce(F.try_element_at("_m", i.cast("int")), F.lit(0.0)))
+    filled = every.join(filled, [*keys, "id"], "left")  # zeros where nothing was counted
     return filled.select(*keys, "id", desc.alias("desc"))
 
 

@@ -255,7 +255,7 @@ def with_distance(rows: DataFrame, tf: str = "tf") -> DataFrame:
 
 
 def ransac_fit(corr: DataFrame, pair: list[str], iterations: int, threshold: float = 0.5, scale: float = 0.95,
-               min_inliers: int = 3, seed: int = 7, stop_fraction: float | None = None) -> DataFrame:
+               min_inliers: int = 3, seed: int = 7) -> DataFrame:
     """Best of seeded three-point fits per pair, by inlier count.
 
     A draw picks three row numbers by hash; draws that share a point or whose edge
@@ -287,13 +287,7 @@ def ransac_fit(corr: DataFrame, pair: list[str], iterations: int, threshold: flo
         F.count_if(F.sqrt(residual2("tf")) < threshold).alias("inliers"), F.first("tf").alias("tf")
     )
     good = scored.filter(F.col("inliers") >= min_inliers)
-    if stop_fraction is not None:
-        # the first draw that reaches the wanted share ends the search, as in a serial run
-        need = F.floor(F.lit(stop_fraction) * F.col("_n"))
-        good = good.join(counts, pair).withColumn("_hit", F.col("inliers") >= need)
-        order = F.struct((~F.col("_hit")).alias("miss"), F.when(F.col("_hit"), F.lit(0)).otherwise(-F.col("inliers")).alias("neg"), "draw")
-    else:
-        order = F.struct((-F.col("inliers")).alias("neg"), "draw")
+    order = F.struct((-F.col("inliers")).alias("neg"), "draw")
     best = good.groupBy(*pair).agg(F.min_by(F.struct("inliers", "draw", "tf"), order).alias("_b"))
     identity = F.array(*[F.lit(v) for v in IDENTITY])
     return counts.join(best, pair, "left").select(

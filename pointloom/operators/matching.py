@@ -43,10 +43,18 @@ def all_to_all(src: DataFrame, tgt: DataFrame, on: list[str]) -> DataFrame:
     return tiled_pairs(left, right, on, ["src_id"], ["tgt_id"], tile_rows=None).select(*on, "src_id", "tgt_id")
 
 
-def first_k(src: DataFrame, tgt: DataFrame, on: list[str], k: int) -> DataFrame:
-    """Every source feature with the first ``k`` target features of its class by id."""
+#: Modulus of the draw; a prime.
+DRAW = 1_000_003
+
+
+def first_k(src: DataFrame, tgt: DataFrame, on: list[str], k: int, seed: int = 17) -> DataFrame:
+    """Every source feature with ``k`` target features of its class, drawn at random.
+
+    The draw is the order of a seeded hash over all targets, the same for every source.
+    """
     left, right = _sides(src, tgt, on)
-    head = top_k(right, on, k, [F.col("tgt_id")]).drop("rank")
+    mixed = (F.pmod(F.col("tgt_id"), F.lit(DRAW)) * 7919 + seed) % DRAW
+    head = top_k(right, on, k, [mixed, F.col("tgt_id")]).drop("rank")
     return left.join(head, on).select(*on, "src_id", "tgt_id")
 
 

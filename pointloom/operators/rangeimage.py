@@ -27,7 +27,7 @@ class RangeImageRule:
     min_range: float = 2.0
     max_range: float = 80.0
     min_size: int = 20
-    max_size: int = 30000
+    max_size: int | None = None
 
 
 def project(points: DataFrame, keys: list[str], order: list[str], rule: RangeImageRule) -> DataFrame:

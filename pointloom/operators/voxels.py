@@ -109,6 +109,26 @@ def sample_per_voxel(points: DataFrame, keys: list[str], size, k: int, order: li
     return ranked.filter(keep).drop("rn", "n")
 
 
+#: Cell numbers run from -HALF_SPAN to HALF_SPAN - 1 on every axis.
+HALF_SPAN = 1 << 20
+
+
+def cell_id(x: Column | str, y: Column | str, z: Column | str) -> Column:
+    """One number per cell: 21 bits an axis; a cell outside the span is an error."""
+    parts = [(F.col(c) if isinstance(c, str) else c).cast("long") for c in (x, y, z)]
+    inside = F.lit(True)
+    for c in parts:
+        inside = inside & c.between(-HALF_SPAN, HALF_SPAN - 1)
+    a, b, c = (p + HALF_SPAN for p in parts)
+    code = (a * (2 * HALF_SPAN) + b) * (2 * HALF_SPAN) + c
+    return F.when(inside, code).otherwise(F.raise_error(F.lit("cell outside the span of cell ids")).cast("long"))
+
+
+def cell_id_sql(x: str, y: str, z: str) -> str:
+    n = 2 * HALF_SPAN
+    return f"((CAST({x} AS BIGINT) + {HALF_SPAN}) * {n} + (CAST({y} AS BIGINT) + {HALF_SPAN})) * {n} + (CAST({z} AS BIGINT) + {HALF_SPAN})"
+
+
 def first_per_cell(points: DataFrame, cell: list[str], order: list[str], value: list[str]) -> DataFrame:
     """Keep the first point of every cell.
 

@@ -65,7 +65,7 @@ def fpfh_matches(spark, sf):
 @query("iss_keypoints")
 def iss_keypoints(spark, sf):
     small = voxels.downsample(tables.points(spark, sf), ["cloud"], 8.0)
-    ids = (F.col("vx").cast("long") * 1000 + F.col("vy")) * 1000 + F.col("vz")
+    ids = voxels.cell_id("vx", "vy", "vz")
     pts = cut_lineage(small.select("cloud", ids.alias("id"), "x", "y", "z"))
     out = descriptors.iss_keypoints(pts, ["cloud"], 3.0)
     return out.select("cloud", "id", F.round("saliency", 5).alias("saliency"))

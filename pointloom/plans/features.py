@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linalg import cols, norm
 from ..functions.scalar import eigenvalue_feature, feature_score
-from ..operators.voxels import KEY, gaussians, top_k, with_shape, with_voxel
+from ..operators.voxels import KEY, cell_id, gaussians, top_k, with_shape, with_voxel
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ def voxel_features(points: DataFrame, rule: FeatureRule) -> DataFrame:
         {
             # rounded so that equal scores tie the same way on every engine
             "score": F.round(score, 6),
-            "id": (F.col("vx").cast("long") * 1000 + F.col("vy")) * 1000 + F.col("vz"),
+            "id": cell_id("vx", "vy", "vz"),
             "dist": norm(cols("m")),
         }
     )

@@ -102,7 +102,7 @@ ws AS (SELECT src, tgt, u, v, w FROM we UNION ALL SELECT src, tgt, v, u, w FROM
 
 def weight_table(spark, sf):
     corr = corr_table(spark, sf)
-    return corr, cut_lineage(cg.weighted_pairs(corr, PAIR, tile_rows=None))
+    return corr, cut_lineage(cg.weighted_pairs(corr, PAIR))
 
 
 @query("sc2_weights", f"""WITH {WEIGHT_SQL}

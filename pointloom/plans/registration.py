@@ -112,11 +112,16 @@ def with_boxes(features: DataFrame, members: DataFrame, cfg: Config) -> DataFram
 def rank_features(features: DataFrame, cfg: Config) -> DataFrame:
     """Best features of each class inside the range ring."""
     limit = {"Line": cfg.num_lines, "Plane": cfg.num_planes, "Cluster": cfg.num_clusters}
+    asked = {k: v for k, v in limit.items() if v is not None}
+    ring = features.filter(norm(cols("m")).between(cfg.min_range, cfg.max_range))
+    if not asked:
+        return ring
     score = feature_score(F.col("class"), F.col("l0"), F.col("l1"), F.col("l2"))
-    ring = features.filter(norm(cols("m")).between(cfg.min_range, cfg.max_range)).withColumn("score", score)
-    best = voxels.top_k(ring, ["cloud", "class"], max(limit.values()), [F.desc("score"), F.col("id")])
-    allowed = F.coalesce(*[F.when(F.col("class") == k, F.lit(v)) for k, v in limit.items()])
-    return best.filter(F.col("rank") <= allowed).drop("rank", "score")
+    some = ring.filter(F.col("class").isin(*asked)).withColumn("score", score)
+    best = voxels.top_k(some, ["cloud", "class"], max(asked.values()), [F.desc("score"), F.col("id")])
+    allowed = F.coalesce(*[F.when(F.col("class") == k, F.lit(v)) for k, v in asked.items()])
+    best = best.filter(F.col("rank") <= allowed).drop("rank", "score")
+    return best.unionByName(ring.filter(~F.col("class").isin(*asked)))
 
 
 def associate(features: DataFrame, pairs: DataFrame, cfg: Config, points: DataFrame | None = None) -> DataFrame:
@@ -146,7 +151,7 @@ def associate(features: DataFrame, pairs: DataFrame, cfg: Config, points: DataFr
         return matching.all_to_all(src, tgt, on)
     if method == "random_select":
         return matching.first_k(src, tgt, on, k)
-    return matching.mutual_top_k(src, tgt, on, k, lambda a, b: descriptor_distance(a, b, metric), None)
+    return matching.mutual_top_k(src, tgt, on, k, lambda a, b: descriptor_distance(a, b, metric))
 
 
 def keypoint_front_end(points: DataFrame, pairs: DataFrame, cfg: Config, keypoints: bool) -> DataFrame:
@@ -249,7 +254,7 @@ def solve_decoupled(corr: DataFrame, bound: float, estimate_scale: bool = False)
 def solve_pyramid(corr: DataFrame, pairs: DataFrame, cfg: Config, points: DataFrame | None, kinds: DataFrame | None) -> DataFrame:
     """Graph pyramid, largest clique and pose per level, then the best verified candidate."""
     levels = list(cfg.noise_bounds)
-    tile = None if kinds is not None else 512
+    tile = 512
     edges = cut_lineage(cg.compatible_pairs(corr, PAIR, levels, cfg.vertex_type, tile))
     best = cut_lineage(cliques.max_clique_levels(edges, PAIR, len(levels)))
     poses = level_poses(corr, best, cfg)
@@ -298,11 +303,8 @@ def solve_by_cliques(corr: DataFrame) -> DataFrame:
     """Second-order graph, all maximal cliques, best scored hypothesis, refinement."""
     first = cut_lineage(cg.weighted_pairs(corr, PAIR))
     edges = cut_lineage(cg.second_order(first, PAIR))
-    factors = cut_lineage(cg.clustering(corr, edges, PAIR))
-    limit = consensus.otsu(factors, PAIR, F.col("factor"))
-    kept = cut_lineage(cg.density_cut(edges, factors, PAIR, limit))
-    found = cut_lineage(cliques.maximal_cliques(kept, PAIR))
-    best = cliques.best_cliques_per_node(found, kept, PAIR)
+    found = cut_lineage(cliques.maximal_cliques(edges, PAIR))
+    best = cliques.best_cliques_per_node(found, edges, PAIR)
     poses = cut_lineage(fitting.clique_hypotheses(corr, best, PAIR))
     return fitting.refine(corr, poses, PAIR)
 
@@ -312,7 +314,7 @@ def solve(corr: DataFrame, pairs: DataFrame, cfg: Config, points: DataFrame | No
     if cfg.back_end == "pyramid":
         return solve_pyramid(corr, pairs, cfg, points, kinds)
     if cfg.back_end == "ransac":
-        out = fitting.ransac_fit(corr, PAIR, cfg.ransac_iterations, cfg.ransac_threshold, stop_fraction=cfg.ransac_stop)
+        out = fitting.ransac_fit(corr, PAIR, cfg.ransac_iterations, cfg.ransac_threshold)
     else:
         out = solve_by_cliques(corr)
     identity = F.array(*[F.lit(v) for v in IDENTITY])

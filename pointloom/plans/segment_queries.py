@@ -15,7 +15,7 @@ from .voxel_queries import rounded
 KEYS = ["cloud"]
 ORDER = ["pid", "x", "y", "z"]
 IMAGE = rangeimage.RangeImageRule(rows=17, cols=360, min_angle=-25.0, max_angle=25.0, row_gap=1.5, link_gap=1.0, link_rows=2,
-                                  link_cols=3, skip=3, extension=3, min_range=2.0, max_range=60.0, min_size=3, max_size=500)
+                                  link_cols=3, skip=3, extension=3, min_range=2.0, max_range=60.0, min_size=3)
 POLAR = polar.PolarRule(start=3.0, shrink=0.01, pitch=6.0, azimuth=6.0, min_range=2.0, max_range=60.0, min_size=3)
 GROUND = ground.GroundRule(min_range=2.0, max_range=64.0, cell=32.0)
 
@@ -114,7 +114,7 @@ nd AS (SELECT cloud, row * 1000 + run AS id FROM rn),
 eg AS (SELECT cloud, row_a * 1000 + run_a AS u, row_b * 1000 + run_b AS v FROM lk UNION ALL SELECT cloud, row * 1000 + a, row * 1000 + b FROM rl),
 {component_sql('nd', 'eg')}
 SELECT comp.cloud, CAST(root AS INT) AS cluster, count(*) AS size FROM comp JOIN pn ON pn.cloud = comp.cloud AND pn.row * 1000 + pn.run = comp.id
-GROUP BY comp.cloud, root HAVING count(*) BETWEEN 3 AND 500""")
+GROUP BY comp.cloud, root HAVING count(*) >= 3""")
 def range_clusters(spark, sf):
     pix = cut_lineage(run_pixels(spark, sf))
     labelled = rangeimage.cluster(pix, KEYS, IMAGE)
@@ -169,7 +169,7 @@ def polar_clusters(spark, sf):
 
 
 @query("euclidean_clusters", f"""WITH RECURSIVE {POINTS_SQL},
-dn AS (SELECT cloud, (CAST(floor(x / 4.0) AS BIGINT) * 1000 + CAST(floor(y / 4.0) AS BIGINT)) * 1000 + CAST(floor(z / 4.0) AS BIGINT) AS id, avg(x) AS x, avg(y) AS y, avg(z) AS z
+dn AS (SELECT cloud, {voxels.cell_id_sql('floor(x / 4.0)', 'floor(y / 4.0)', 'floor(z / 4.0)')} AS id, avg(x) AS x, avg(y) AS y, avg(z) AS z
    FROM pts GROUP BY ALL),
 eg AS (SELECT a.cloud, a.id AS u, b.id AS v FROM dn a JOIN dn b ON a.cloud = b.cloud AND a.id < b.id
    AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z) <= 6.25),
@@ -177,7 +177,7 @@ eg AS (SELECT a.cloud, a.id AS u, b.id AS v FROM dn a JOIN dn b ON a.cloud = b.c
 SELECT cloud, id, CAST(sum(1) OVER (PARTITION BY cloud, root) AS BIGINT) AS size FROM comp""")
 def euclidean_clusters(spark, sf):
     small = voxels.downsample(tables.points(spark, sf), KEYS, 4.0)
-    ids = (F.col("vx").cast("long") * 1000 + F.col("vy")) * 1000 + F.col("vz")
+    ids = voxels.cell_id("vx", "vy", "vz")
     pts = cut_lineage(small.select("cloud", ids.alias("id"), "x", "y", "z"))
     out = cut_lineage(polar.euclidean_cluster(pts, KEYS, 2.5))
     size = out.groupBy("cloud", "cluster").agg(F.count(F.lit(1)).alias("size"))
@@ -255,7 +255,7 @@ def ground_segmentation(spark, sf):
 REGION_SQL = f"""{POINTS_SQL},
 v8 AS (SELECT *, CAST(floor(x / 8.0) AS INT) AS vx, CAST(floor(y / 8.0) AS INT) AS vy, CAST(floor(z / 8.0) AS INT) AS vz FROM pts),
 {gauss_sql('h0', 'v8', 'cloud, vx, vy, vz')}, {eigen_sql('h1', 'h0')}, {normal_sql('h2', 'h1')},
-pl AS (SELECT *, (CAST(vx AS BIGINT) * 1000 + vy) * 1000 + vz AS id FROM h2 WHERE n >= 5 AND l1 >= CAST(3 AS DOUBLE) * greatest(l0, 0.0)),
+pl AS (SELECT *, {voxels.cell_id_sql('vx', 'vy', 'vz')} AS id FROM h2 WHERE n >= 5 AND l1 >= CAST(3 AS DOUBLE) * greatest(l0, 0.0)),
 eg AS (SELECT a.cloud, a.id AS u, b.id AS v FROM pl a JOIN pl b ON a.cloud = b.cloud AND a.id < b.id AND abs(a.vx - b.vx) <= 1 AND abs(a.vy - b.vy) <= 1 AND abs(a.vz - b.vz) <= 1
    WHERE abs((b.mx - a.mx) * a.nx + (b.my - a.my) * a.ny + (b.mz - a.mz) * a.nz) <= CAST(2 AS DOUBLE)
      AND abs((a.mx - b.mx) * b.nx + (a.my - b.my) * b.ny + (a.mz - b.mz) * b.nz) <= CAST(2 AS DOUBLE)
@@ -269,7 +269,7 @@ def region_table(spark, sf):
 
 
 def _code(s: str):
-    return (F.col(s + "vx").cast("long") * 1000 + F.col(s + "vy")) * 1000 + F.col(s + "vz")
+    return voxels.cell_id(s + "vx", s + "vy", s + "vz")
 
 
 @query("plane_regions", f"WITH RECURSIVE {REGION_SQL} SELECT cloud, id, root AS region FROM comp")
@@ -279,7 +279,7 @@ def plane_regions(spark, sf):
 
 
 @query("plane_features", f"""WITH RECURSIVE {REGION_SQL},
-mm AS (SELECT comp.cloud, root, p.x, p.y, p.z FROM comp JOIN v8 p ON p.cloud = comp.cloud AND (CAST(p.vx AS BIGINT) * 1000 + p.vy) * 1000 + p.vz = comp.id),
+mm AS (SELECT comp.cloud, root, p.x, p.y, p.z FROM comp JOIN v8 p ON p.cloud = comp.cloud AND {voxels.cell_id_sql('p.vx', 'p.vy', 'p.vz')} = comp.id),
 {gauss_sql('m0', 'mm', 'cloud, root')}
 SELECT cloud, root AS region, n, round(mx, 5) AS mx, round(my, 5) AS my, round(mz, 5) AS mz, round(xx, 4) AS xx, round(yz, 4) AS yz FROM m0 WHERE n > 12""")
 def plane_features(spark, sf):
@@ -292,7 +292,7 @@ def plane_features(spark, sf):
 @query("plane_split", f"""WITH RECURSIVE {REGION_SQL},
 sz AS (SELECT comp.cloud, root, sum(n) AS n FROM comp JOIN pl USING (cloud, id) GROUP BY comp.cloud, root HAVING sum(n) > 12),
 tk AS (SELECT comp.cloud, comp.id FROM comp JOIN sz ON sz.cloud = comp.cloud AND sz.root = comp.root)
-SELECT cloud, pid, x, y, z FROM v8 p WHERE NOT EXISTS (SELECT 1 FROM tk WHERE tk.cloud = p.cloud AND tk.id = (CAST(p.vx AS BIGINT) * 1000 + p.vy) * 1000 + p.vz)""")
+SELECT cloud, pid, x, y, z FROM v8 p WHERE NOT EXISTS (SELECT 1 FROM tk WHERE tk.cloud = p.cloud AND tk.id = {voxels.cell_id_sql('p.vx', 'p.vy', 'p.vz')})""")
 def plane_split(spark, sf):
     vox, regions = region_table(spark, sf)
     regions = cut_lineage(regions)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.linalg import with_eigenvalues
 from ..functions.scalar import descriptor_distance, eigenvalue_feature
 from ..operators import matching, voxels
+from ..operators.voxels import cell_id_sql
 from ..session import cut_lineage
 from . import features as fx
 from . import tables
@@ -77,7 +78,7 @@ cls AS (SELECT *, CASE WHEN l1 >= CAST(1.6 AS DOUBLE) * greatest(l0, 0.0) THEN '
                        WHEN l2 >= CAST(1.9 AS DOUBLE) * greatest(l0, 0.0) THEN 'Line' ELSE 'Cluster' END AS class FROM e),
 feat AS (SELECT *, round(CASE class WHEN 'Cluster' THEN (l0 / (l0 + l1 + l2)) * (l1 / (l0 + l1 + l2)) * (l2 / (l0 + l1 + l2))
                               WHEN 'Plane' THEN l1 * l2 WHEN 'Line' THEN l2 ELSE 0.0 END, 6) AS score,
-         (CAST(vx AS BIGINT) * 1000 + vy) * 1000 + vz AS id, sqrt(mx * mx + my * my + mz * mz) AS dist FROM cls),
+         {cell_id_sql('vx', 'vy', 'vz')} AS id, sqrt(mx * mx + my * my + mz * mz) AS dist FROM cls),
 topf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cloud, class ORDER BY score DESC, id) AS rank
          FROM feat WHERE dist BETWEEN 2.0 AND 60.0) WHERE rank <= 8)"""
 
@@ -179,7 +180,7 @@ def class_pairs(spark, sf):
 
 
 @query("first_k", f"""WITH {FEATURE_SQL}, {PAIR_SQL},
-h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cloud, class ORDER BY id) AS r FROM topf) WHERE r <= 3)
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cloud, class ORDER BY (id % 1000003 * 7919 + 17) % 1000003, id) AS r FROM topf) WHERE r <= 3)
 SELECT p.src, p.tgt, a.class, a.id AS src_id, b.id AS tgt_id FROM prs p JOIN topf a ON a.cloud = p.src
 JOIN h b ON b.cloud = p.tgt AND b.class = a.class""")
 def first_k(spark, sf):

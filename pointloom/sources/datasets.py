@@ -51,23 +51,22 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """
     n = F.transform(numbers(F.col("value")), lambda v: v.cast("float").cast("double"))
     rows = numbered_lines(spark, path).filter(F.col("line") > 0).select(n.alias("n"))
-    return rows.filter(F.size("n") >= 20).select(
+    short = F.raise_error(F.format_string("pair line with %d numbers, not 20 or 21", F.size("n")))
+    return rows.filter(F.size("n") > 0).withColumn("n", F.when(F.size("n") >= 20, F.col("n")).otherwise(short)).select(
         *[F.col("n")[i].cast("int").alias(c) for i, c in enumerate(("seq", "src_idx", "seq_db", "tgt_idx"))],
         F.slice("n", 5, 16).alias("pose"), F.coalesce(F.get(F.col("n"), F.lit(20)), F.lit(1.0)).alias("overlap"),
     )
 
 
-def read_correspondences(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Six numbers per line; file name ``<src>_<tgt>``.  ``limit`` keeps the first rows of a
-    file, the reference setting for all back ends but random sampling."""
+def read_correspondences(spark: SparkSession, path: str) -> DataFrame:
+    """Six numbers per line; file name ``<src>_<tgt>``."""
     n = numbers(F.col("value"))
-    rows = numbered_lines(spark, path).select(
+    return numbered_lines(spark, path).select(
         F.regexp_extract("path", r"(\d+)_(\d+)\.[^/]*$", 1).cast("int").alias("src"),
         F.regexp_extract("path", r"(\d+)_(\d+)\.[^/]*$", 2).cast("int").alias("tgt"),
         F.col("line").cast("long").alias("corr_id"),
         *[n[i].alias(c) for i, c in enumerate(("sx", "sy", "sz", "tx", "ty", "tz"))],
     )
-    return rows if limit is None else rows.filter(F.col("corr_id") < limit)
 
 
 @dataclass(frozen=True)
@@ -100,10 +99,16 @@ def sessions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(SESSIONS)), "seq int, session string")
 
 
+def _apollo_folders(spark: SparkSession, root: str, tail: str) -> list[str]:
+    """Sessions lie two or three folders deep."""
+    return [f"{root}/*Data/*/*/{tail}", f"{root}/*Data/*/*/*/{tail}"]
+
+
 def _apollo_clouds(spark: SparkSession, root: str) -> DataFrame:
-    pts = clouds.read_pcd(spark, f"{root}/*Data/*/*/pcds/*.pcd,{root}/*Data/*/*/*/pcds/*.pcd".split(","))
-    named = F.broadcast(sessions(spark))
-    return pts.join(named, F.expr("path LIKE concat('%', session, 'pcds/%')")).withColumn("frame", F.regexp_extract("path", r"/(\d+)\.pcd$", 1).cast("int"))
+    pts = clouds.read_pcd(spark, _apollo_folders(spark, root, "pcds/*.pcd"))
+    named = F.broadcast(sessions(spark))  # 27 fixed rows
+    pts = pts.withColumn("session", poses.session_of(F.col("path"), "pcds"))
+    return pts.join(named, "session").withColumn("frame", F.regexp_extract("path", r"/(\d+)\.pcd$", 1).cast("int"))
 
 
 DATASETS: dict[str, Dataset] = {
@@ -116,7 +121,7 @@ DATASETS: dict[str, Dataset] = {
         lambda seq, frame: F.format_string("data_3d_raw/2013_05_28_drive_%04d_sync/velodyne_points/data/%010d.bin", seq, frame),
     ),
     "apollo": Dataset(
-        _apollo_clouds, lambda s, r: poses.apollo_poses(s, f"{r}/*Data/*/*/poses/gt_poses.txt", sessions(s)),
+        _apollo_clouds, lambda s, r: poses.apollo_poses(s, _apollo_folders(s, r, "poses/gt_poses.txt"), sessions(s)),
         lambda seq, frame: F.concat(F.array(*[F.lit(v) for v in SESSIONS])[seq], F.format_string("pcds/%d.pcd", frame)),
     ),
     "hit_ms": Dataset(

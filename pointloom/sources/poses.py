@@ -56,15 +56,20 @@ def _quaternion_pose(n: Column, at: int) -> Column:
     return rigid_array(quaternion_rotation(n[at + 3], n[at + 4], n[at + 5], n[at + 6]), t)
 
 
-def apollo_poses(spark: SparkSession, path: str, sessions: DataFrame) -> DataFrame:
+def session_of(path: Column, folder: str) -> Column:
+    """The session part of a path: from the folder that ends in Data to the one before ``folder``."""
+    return F.regexp_extract(path, rf"/([^/]*Data/[^/]+/[^/]+/(?:[^/]+/)?){folder}/[^/]*$", 1)
+
+
+def apollo_poses(spark: SparkSession, path: str | list[str], sessions: DataFrame) -> DataFrame:
     """``num ts tx ty tz qx qy qz qw`` per line; the session folder gives the sequence."""
     n = numbers(F.col("value"))
     rows = numbered_lines(spark, path).select(
         "path", n[0].cast("int").alias("frame"), n[1].alias("ts"), _quaternion_pose(n, 2).alias("tf")
     )
+    rows = rows.withColumn("session", session_of(F.col("path"), "poses"))
     # the session list is a fixed table of 27 rows
-    hit = F.expr("path LIKE concat('%', session, 'poses/%')")
-    return rows.join(F.broadcast(sessions), hit).select("seq", "frame", "ts", "tf")
+    return rows.join(F.broadcast(sessions), "session").select("seq", "frame", "ts", "tf")
 
 
 def hit_poses(spark: SparkSession, path: str) -> DataFrame:

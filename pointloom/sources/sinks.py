@@ -39,19 +39,21 @@ def pcd_parts(points: DataFrame, coloured: bool = False) -> DataFrame:
     counts = points.groupBy("cloud").agg(F.count(F.lit(1)).alias("n"))
     text = (f"# .PCD v0.7 - Point Cloud Data file format\nVERSION 0.7\nFIELDS {' '.join(names)}\nSIZE {' '.join(['4'] * n)}\nTYPE {kind}\n"
             f"COUNT {' '.join(['1'] * n)}\nWIDTH %d\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS %d\nDATA ascii")
-    head = counts.select("cloud", F.lit(0).alias("part"), F.format_string(text, "n", "n").alias("value"))
-    body = points.select("cloud", F.lit(1).alias("part"), F.concat_ws(" ", *[F.col(c).cast("string") for c in names]).alias("value"))
+    order = F.col("pid").cast("long") if "pid" in points.columns else F.xxhash64(*[F.col(c) for c in names])
+    head = counts.select("cloud", F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), F.format_string(text, "n", "n").alias("value"))
+    body = points.select("cloud", F.lit(1).alias("part"), order.alias("at"), F.concat_ws(" ", *[F.col(c).cast("string") for c in names]).alias("value"))
     return head.unionByName(body)
 
 
 def write_pcd(points: DataFrame, folder: str, coloured: bool = False) -> None:
     """ASCII PCD text, one folder per cloud, header first in the part order.
 
-    Rows are range-partitioned by (cloud, part) and sorted, so concatenating a cloud's part
+    Rows are range-partitioned by (cloud, part, point) and sorted, so a large cloud spreads over
+    tasks and concatenating a cloud's part
     files in name order gives the file.
     """
     lines = pcd_parts(points, coloured)
-    ordered = lines.repartitionByRange("cloud", "part").sortWithinPartitions("cloud", "part")
+    ordered = lines.repartitionByRange("cloud", "part", "at").sortWithinPartitions("cloud", "part", "at")
     ordered.select("cloud", "value").write.mode("overwrite").partitionBy("cloud").text(folder)
 
 
