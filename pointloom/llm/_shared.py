@@ -32,7 +32,7 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     later joins can still choose their strategy by size.
     """
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

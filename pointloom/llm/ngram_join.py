@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ._shared import as_text, by_size, mixed, own_columns, runs_of, shingle_sets, stored
+from ._shared import as_text, by_size, mixed, own_columns, runs_of, shingle_sets, small_batches, stored
 
 _NONE = np.uint32(0xFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -49,7 +49,8 @@ def _sets_of(column: pa.Array, k: int) -> list[np.ndarray]:
 
 
 def _blocks(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    sizes = [sum(len(t or "") for t in x) for x in batch.column("texts").to_pylist()]
+    texts = batch.column("texts")
+    sizes = [sum(len(t or "") for t in x.as_py()) for x in texts]
     for i, j in runs_of([range(s) for s in sizes], most_bytes):
         yield batch.slice(i, j - i)
 
@@ -70,7 +71,8 @@ def _set_keys(k: int):
     return run
 
 
-_PACKED = "range int, ids binary, idx binary, toks binary"
+_PACKED = "range int, pack bigint, ids binary, idx binary, toks binary"
+_COUNTED = "pack bigint, ids binary, counts binary"
 
 
 def _pack(k: int, ranges: int):
@@ -98,48 +100,69 @@ def _pack(k: int, ranges: int):
                 toks, idx = toks[first], np.where(times > 1, _NONE, idx[first])
                 where = ((toks >> _HALF) * np.uint64(ranges)) >> _HALF
                 cut = np.searchsorted(where, np.arange(ranges + 1, dtype=np.uint64))
-                out = [(int(ids[0]) % ranges, ids.tobytes(), local.tobytes(), b"")]
+                pack = int(ids[0])  # where counts meet again
+                out = [(pack % ranges, pack, ids.tobytes(), local.tobytes(), b"")]
                 for r in np.flatnonzero(np.diff(cut)):
                     t, d = toks[cut[r] : cut[r + 1]], idx[cut[r] : cut[r + 1]]
                     own, at = np.unique(d[d != _NONE], return_inverse=True)
                     place = np.full(len(d), 0xFFFF, np.uint16)  # packs stay below 60,000 documents
                     place[d != _NONE] = at
-                    out.append((int(r), ids[own].tobytes(), place.tobytes(), (t & _LOW).astype(np.uint32).tobytes()))
+                    out.append((int(r), pack, ids[own].tobytes(), place.tobytes(), (t & _LOW).astype(np.uint32).tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
-                    ["range", "ids", "idx", "toks"],
+                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+                    ["range", "pack", "ids", "idx", "toks"],
                 )
 
     return run
 
 
 def _count_repeats(batches):
-    """(id, r): how many shingles of a document this hash range has from other documents too."""
+    """Per pack its documents' shingles that this hash range has from other documents too."""
     got: dict[int, list] = {}
     for batch in batches:
-        for r, ids, idx, toks in zip(*[c.to_pylist() for c in batch.columns]):
-            ids = np.frombuffer(ids, np.int64)
-            if not toks:
-                yield _id_counts(ids, np.frombuffer(idx, np.int64))
-                continue
-            got.setdefault(r, []).append((ids, np.frombuffer(idx, np.uint16), np.frombuffer(toks, np.uint32)))
-    for parts in got.values():
-        toks = np.concatenate([p[2] for p in parts])
-        start = np.cumsum([0, *[len(p[0]) for p in parts]])
-        ids = np.concatenate([p[0] for p in parts])
-        place = np.concatenate([np.where(p[1] == 0xFFFF, -1, p[1].astype(np.int64) + s) for p, s in zip(parts, start)])
+        through = []
+        for r, pack, ids, idx, toks in zip(*[c.to_pylist() for c in batch.columns]):
+            if toks:
+                got.setdefault(r, []).append((pack, ids, np.frombuffer(idx, np.uint16), np.frombuffer(toks, np.uint32)))
+            else:
+                through.append((pack, ids, idx))
+        if through:
+            yield _counted(through)
+    while got:
+        parts = got.popitem()[1]
+        toks = np.concatenate([p[3] for p in parts])
+        start = np.cumsum([0, *[len(p[1]) // 8 for p in parts]])
+        place = np.concatenate([np.where(p[2] == 0xFFFF, -1, p[2].astype(np.int64) + s) for p, s in zip(parts, start)])
         order = np.argsort(toks, kind="stable")
         toks, place = toks[order], place[order]
         same = toks[1:] == toks[:-1]
-        again = np.r_[same, False] | np.r_[False, same]
-        own, at = np.unique(ids, return_inverse=True)
-        hit = place[again & (place >= 0)]
-        yield _id_counts(own, np.bincount(at[hit], minlength=len(own)))
+        hit = place[(np.r_[same, False] | np.r_[False, same]) & (place >= 0)]
+        counts = np.bincount(hit, minlength=start[-1]).astype(np.int64)
+        yield _counted([(p[0], p[1], counts[i:j].tobytes()) for p, i, j in zip(parts, start[:-1], start[1:])])
 
 
-def _id_counts(ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    keep = counts > 0
-    return pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array(counts[keep].astype(np.int64), pa.int64())], ["id", "r"])
+def _counted(rows) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, ["pack", "ids", "counts"])
+
+
+def _sum_counts(batches):
+    """(id, r) over the hash ranges of the packs in this partition."""
+    ids, counts = [], []
+
+    def summed():
+        own, at = np.unique(np.concatenate(ids), return_inverse=True)
+        return own, np.bincount(at, np.concatenate(counts), len(own)).astype(np.int64)
+
+    for batch in batches:
+        ids += [np.frombuffer(x, np.int64) for x in batch.column("ids").to_pylist()]
+        counts += [np.frombuffer(x, np.int64) for x in batch.column("counts").to_pylist()]
+        if sum(map(len, ids)) > 1 << 21:
+            own, n = summed()
+            ids, counts = [own], [n]
+    if ids:
+        own, n = summed()
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], ["id", "r"])
 
 
 def _explode_sets(k: int):
@@ -318,6 +341,7 @@ def ngram_jaccard_join(
     with 64-bit hashes of shingles and equal sets with 128-bit sums.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_shingles", "component_id")])
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
     base = own.filter("id is not null")
@@ -334,7 +358,8 @@ def ngram_jaccard_join(
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 4_000_000), 1)
     packs = base.mapInArrow(_pack(k, parts), _PACKED).repartitionById(parts, F.col("range"))
-    repeats = packs.mapInArrow(_count_repeats, "id bigint, r bigint").groupBy("id").agg(F.sum("r").alias("r"))
+    counted = packs.mapInArrow(_count_repeats, _COUNTED).repartition(parts, "pack")
+    repeats = counted.mapInArrow(_sum_counts, "id bigint, r bigint").groupBy("id").agg(F.sum("r").alias("r"))
     alive = sets.join(repeats, "id").filter(100 * F.col("r") >= percent * F.col("n"))
     alive = stored(alive.join(heads.select(F.col("head").alias("id"), "n", "f1", "f2"), ["id", "n", "f1", "f2"], "left_semi").select("id"), "alive")
 
