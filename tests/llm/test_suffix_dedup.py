@@ -58,9 +58,9 @@ def test_repeated_and_null_ids_and_clashing_names(spark):
     long = "".join(rnd.choice("qwertyuiop") for _ in range(300))
     rows = [(7, long), (7, long), (3, long[:200] + "tail"), (None, long + "x"), (7, "other"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("uid", F.lit("u")).withColumn("n_spans", F.lit(5))
-    got = sd.suffix_dedup(df, with_bytes=True).collect()
+    got = sd.suffix_dedup(df, with_text=True).collect()
     assert len(got) == len(rows)
-    left = sorted((r["doc_id"] or -1, bytes(r["kept_bytes"]).decode(), r["uid"]) for r in got)
+    left = sorted((r["doc_id"] or -1, r["clean_text"], r["uid"]) for r in got)
     assert left == sorted([(3, long[:200] + "tail", "u"), (7, long[200:], "u"), (7, long[200:], "u"), (7, "other", "u"), (-1, "x", "u"), (-1, "", "u")])
 
 
