@@ -25,14 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.running import with_row_number
-from ._shared import _power_table, as_text, by_size, digest, mixed, own_columns, plain_text, runs_of, stored
+from ._shared import _power_table, as_text, by_size, digest, mixed, own_columns, plain_text, runs_of, small_batches, stored
 
 GRAM = 32
 _BITS = 24
 _MASK = np.uint64((1 << _BITS) - 1)
-_PIECE = 4 << 20
+_PIECE = 1 << 20
 _LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
@@ -95,7 +96,8 @@ def _anchors(texts: list[bytes], width: int) -> dict[str, np.ndarray]:
         np.maximum.at(new_hi, run[rest], s[rest])
         lo[near], hi[near] = new_lo[near], new_hi[near]
         keep[near] = hi[near] >= 0
-    pos, lo, hi, doc, h = pos[keep], lo[keep], hi[keep], doc[keep], h[keep]
+    # anchors have small hashes by choice: mixed again, so that they spread over the hash ranges
+    pos, lo, hi, doc, h = pos[keep], lo[keep], hi[keep], doc[keep], mixed(h[keep] ^ np.uint64(0x5851F42D4C957F2D))
     return {"doc": doc, "pos": pos - off[doc], "lo": lo - off[doc], "hi": hi - off[doc], "h": h, "rdoc": rdoc, "rstart": rstart}
 
 
@@ -124,11 +126,11 @@ def _intervals(doc: np.ndarray, start: np.ndarray):
 
 
 def _positions(doc: np.ndarray, pos: np.ndarray):
-    """Per document its positions, packed."""
+    """Per document its positions, packed as 32-bit integers (a row holds less than 4 GB)."""
     if not len(doc):
         return
     order = np.argsort(doc, kind="stable")
-    doc, pos = doc[order], pos[order].astype(np.int64)
+    doc, pos = doc[order], pos[order].astype(np.uint32)
     cut = np.flatnonzero(np.r_[True, np.diff(doc) != 0, True])
     for i, j in zip(cut[:-1], cut[1:]):
         yield int(doc[i]), pos[i:j].tobytes()
@@ -229,7 +231,7 @@ def _pack_contexts(width: int, ranges: int):
             order = np.argsort(np.array(batch.column("uid").to_pylist(), np.int64), kind="stable")
             batch = batch.take(pa.array(order))
             uids, texts = batch.column("uid").to_pylist(), [as_text(t) for t in batch.column("text").to_pylist()]
-            wanted = {u: np.unique(np.frombuffer(b"".join(d), np.int64)) for u, d in zip(uids, batch.column("data").to_pylist())}
+            wanted = {u: np.unique(np.frombuffer(b"".join(d), np.uint32).astype(np.int64)) for u, d in zip(uids, batch.column("data").to_pylist())}
             for ids, offs, part in _pieces(uids, texts, width):
                 a = _anchors(part, width)
                 lists = [wanted[u] - o for u, o in zip(ids, offs)]
@@ -359,44 +361,42 @@ def _search_columns(width: int):
     return run
 
 
-def _remove(width: int, with_bytes: bool):
+def _remove(width: int, columns: list[str], text: str, copy: str, data: str, with_text: bool):
     def run(batches):
         for batch in batches:
             out = []
-            for text, copy, data in zip(*[batch.column(c).to_pylist() for c in ("text", "copy", "data")]):
-                body = as_text(text)
-                n = len(body)
-                pairs = np.frombuffer(b"".join(data or ()), np.int64).reshape(-1, 2)
-                if copy and n >= width:
-                    pairs = np.array([[0, n - width]])
-                kept, spans, removed, at = [], 0, 0, 0
-                end = -1
+            for body, whole, packed in zip(*[batch.column(c).to_pylist() for c in (text, copy, data)]):
+                body = as_text(body)
+                pairs = np.frombuffer(b"".join(packed or ()), np.int64).reshape(-1, 2)
+                if whole and len(body) >= width:
+                    pairs = np.array([[0, len(body) - width]])
+                kept, spans, end = [], 0, 0
                 for a, b in sorted(map(tuple, pairs.tolist())):
-                    if a > end:
-                        if end >= 0:
-                            removed += end - begin
-                        kept.append(body[max(end, 0) : a])
-                        begin, spans = a, spans + 1
+                    if a > end or not spans:
+                        kept.append(body[end:a])
+                        spans += 1
                     end = max(end, b + width)
-                if spans:
-                    removed += end - begin
-                kept.append(body[max(end, 0) :])
+                kept.append(body[end:])
                 left = b"".join(kept)
-                out.append((n, removed, spans, hashlib.sha256(left).hexdigest(), left if with_bytes else None))
-            columns = list(zip(*out)) or [()] * 5
-            new = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), *new], ["uid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+                clean = left.decode("utf-8", "ignore") if with_text else None
+                out.append((len(body), len(body) - len(left), spans, hashlib.sha256(left).hexdigest(), clean))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            new = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, types)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *new], [*columns, *_NEW])
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 100, with_bytes: bool = False) -> DataFrame:
+_NEW = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "clean_text")
+
+
+def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 100, with_text: bool = False) -> DataFrame:
     """Remove each byte covered by a ``width``-byte string that also starts earlier.
 
     Earlier: in a document with a smaller id, or further left in the same one.  Strings are
     judged on the input.  Adds ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs),
-    ``kept_sha256`` and ``kept_bytes`` (only filled for ``with_bytes``: what is left, which may
-    end inside a character).  Columns of ``docs`` with these names are replaced.
+    ``kept_sha256`` (of the remaining bytes) and ``clean_text`` (only filled for ``with_text``: the
+    remaining bytes without parts of characters).  Columns of ``docs`` with these names are replaced.
 
     Null text is empty.  Null ids come after all others.  Rows with equal id and text are one
     document; rows with equal id and other text are ordered by the text's hash.  Texts shorter
@@ -405,9 +405,9 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     if not GRAM < width <= 128:
         raise ValueError(f"width must be {GRAM + 1} to 128")
     spark = docs.sparkSession
-    new = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
-    p = own_columns(docs, *new)
+    small_batches(spark)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in _NEW])
+    p = own_columns(docs, *_NEW)
     ids = docs.agg(F.count(F.lit(1)).alias("a"), F.countDistinct(doc_id).alias("b")).first()
     if ids["a"] == ids["b"]:
         keyed = docs.withColumn(f"{p}u", F.col(doc_id).cast("long"))
@@ -434,7 +434,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     anchors = stored(packs.mapInArrow(_repeated_anchors, _FOUND), "anchors")
     wanted = anchors.filter("what = 1").groupBy("uid").agg(F.collect_list("data").alias("data"))
     n_wanted = anchors.filter("what = 1").agg(F.sum(F.octet_length("data") + 32)).first()[0] or 0
-    bins = max(parts, n_wanted // (8 * 100_000), 1)
+    bins = max(parts, n_wanted // (4 * 100_000), 1)
     contexts = firsts.join(by_size(wanted, n_wanted, 1), "uid").mapInArrow(_pack_contexts(width, bins), _CONTEXT)
     found = contexts.repartitionById(bins, F.col("range")).mapInArrow(_search_columns(width), _FOUND)
     flags = stored(anchors.filter("what = 2").unionByName(found), "repeats").groupBy("uid").agg(F.collect_list("data").alias("data"))
@@ -442,9 +442,10 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     flags = stored(flags.select("uid", F.coalesce("copy", F.lit(False)).alias("copy"), "data"), "flags")
     size = flags.agg(F.sum(48 + F.coalesce(F.aggregate("data", F.lit(0), lambda a, x: a + F.octet_length(x)), F.lit(0)))).first()[0] or 0
 
-    out_type = "uid bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_bytes binary"
-    done = base.join(by_size(flags, size, 1), "uid", "left").mapInArrow(_remove(width, with_bytes), out_type)
-    if not set(docs.columns) - {doc_id, text} and ids["a"] == ids["b"] and not with_bytes:
-        return done.select(F.col("uid").alias(doc_id), *new)
-    done = done.dropDuplicates(["uid"]) if ids["a"] != ids["b"] else done
-    return keyed.join(done.withColumnRenamed("uid", f"{p}u"), f"{p}u").drop(f"{p}u")
+    names = {c: f"{p}{c}" for c in ("uid", "copy", "data")}
+    marked = keyed.withColumnRenamed(f"{p}u", names["uid"]).join(by_size(flags.withColumnsRenamed(names), size, 1), names["uid"], "left")
+    plain = marked.withColumn(f"{p}t", plain_text(text))
+    schema = T.StructType(list(docs.schema.fields))
+    for c in _NEW:
+        schema = schema.add(c, T.StringType() if c in ("kept_sha256", "clean_text") else T.LongType())
+    return plain.mapInArrow(_remove(width, docs.columns, f"{p}t", names["copy"], names["data"], with_text), schema)
