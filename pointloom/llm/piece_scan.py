@@ -24,6 +24,8 @@ from ._shared import numbered, own_columns, plain_text, small_batches, stored
 
 #: Matrices that are multiplied by one task.
 GROUP = 64
+#: Stretches up to this length are merged directly and remembered.
+LONG = 64
 NO = -np.inf
 
 
@@ -81,14 +83,12 @@ class Pieces:
             return [(0, 0)]
         return [(s, s + len(p)) for s in range(max(0, b - self.longest), b) for p in self.at(text, s) if s + len(p) >= b]
 
-    def run(self, text: str, lo: int, hi: int, last: bool, exact: tuple | None = None):
-        """Forward pass over the pieces that start in [lo, hi).
+    def lattice(self, text: str, lo: int, hi: int, entries: list, exits: list | None = None, exact: tuple | None = None):
+        """Forward pass over the pieces that start in [lo, hi), from states at ``lo`` to states at ``hi``.
 
-        Without ``exact`` returns the transfer matrix; with (entry state, exit state) the pieces
-        of the best path between them.
+        With ``exits`` returns the weights; with a single entry and ``exact``, an exit state, the
+        pieces of the best path to it.
         """
-        entries = [exact[0]] if exact else self.states(text, lo)
-        exits = [s for s in self.states(text, hi) if not last or s[1] == len(text)]
         n = len(entries)
         ends: dict[int, dict[tuple[int, int], np.ndarray]] = {}
         back: dict[tuple[int, int], tuple[int, int]] = {}
@@ -113,16 +113,51 @@ class Pieces:
                             best = np.maximum(best, v)
                 if best is not None:
                     ends.setdefault(tail[1], {})[tail] = best + self.weight(p)
-            if pos < hi:
-                ends.pop(pos - 1, None)  # nothing that starts later touches it
+            ends.pop(pos - 1, None)  # nothing that starts later touches it
         if exact is None:
             return np.stack([ends.get(e, {}).get((s, e), np.full(n, NO)) for s, e in exits], 1) if exits else np.empty((n, 0))
-        out, at = [], exact[1]
-        while at != exact[0]:
+        out, at = [], exact
+        while at != entries[0]:
             out.append(text[at[0] : at[1]])
             at = back[at]
         return out[::-1]
 
+    def best(self, word: str) -> list[str]:
+        """The best path of a stretch whose two ends no piece crosses."""
+        if self.bpe and len(word) <= LONG:
+            return self.merged(word)
+        known = self._words.get(word)
+        if known is None:
+            exits = [s for s in self.states(word, len(word)) if s[1] == len(word)]
+            last = exits[int(self.lattice(word, 0, len(word), [(0, 0)], exits)[0].argmax())]
+            known = self.lattice(word, 0, len(word), [(0, 0)], exact=last)
+            if len(word) <= LONG:
+                self._words[word] = known
+        return known
+
+    def run(self, text: str, lo: int, hi: int, last: bool, exact: tuple | None = None):
+        """Transfer matrix of the chunk [lo, hi); with (entry state, exit state) its pieces between them.
+
+        Between places that no piece crosses all entry states have become one, so only what
+        lies before the first and behind the last such place needs the lattice.
+        """
+        entries = [exact[0]] if exact else self.states(text, lo)
+        exits = [s for s in self.states(text, hi) if not last or s[1] == len(text)]
+        free = [p for p in range(lo, hi + 1) if p in (0, len(text)) or text[p - 1 : p + 1] not in self.inside]
+        if len(free) < 2:
+            return self.lattice(text, lo, hi, entries, exits) if exact is None else self.lattice(text, lo, hi, entries, exact=exact[1])
+        first, end = free[0], free[-1]
+        middle = [p for a, b in zip(free, free[1:]) for p in self.best(text[a:b])]
+        turn = (end - len(middle[-1]), end)
+        meet = self.states(text, first) if first > lo else []
+        left = self.lattice(text, lo, first, entries, meet) if first > lo else np.zeros((len(entries), 1))
+        if exact:
+            out = self.lattice(text, lo, first, entries, exact=meet[int(left[0].argmax())]) if first > lo else []
+            return out + middle + (self.lattice(text, end, hi, [turn], exact=exact[1]) if end < hi else [])
+        weight = sum(map(self.weight, middle))
+        right = self.lattice(text, end, hi, [turn], exits)[0] if end < hi else np.array([0.0 if s == turn else NO for s in exits])
+        return left.max(1)[:, None] + weight + right[None, :]
+
 
 class Model:
     def __init__(self, path: str):
