@@ -10,7 +10,9 @@ import numpy as np
 
 #: Long stretches without a blank are encoded but not remembered.
 _LONG = 64
-_MOST = 400_000
+_MOST = 1_000_000
+#: Marks that end a word and are split off by both kinds of tokenizer.
+_MARKS = ",.;:!?"
 _SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) != " "]
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -38,6 +40,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = _kind(json.loads(spec))
         self.size = self.tokenizer.get_vocab_size()
+        self.folds = '"Lowercase"' in spec
+        self.marks = dict(zip(_MARKS, self._encode(list(_MARKS)))) if self.kind != "whole" else {}
         self.led: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
 
@@ -52,10 +56,16 @@ class Encoder:
             cache.clear()
             new = list(parts)
         long = [p for p in new if len(p) > _LONG]
-        new = [p for p in new if len(p) <= _LONG]
+        marked = [p for p in new if p[-1:] in self.marks and len(p) <= _LONG and p[:-1].isalpha() and max(p) < "\u0250"]
+        ends = set(marked)
+        new = {p for p in new if len(p) <= _LONG and p not in ends}
+        new |= {p[:-1] for p in marked if p[:-1] not in cache}
+        new = list(new)
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             cache.update(zip(some, self._encode([lead + p for p in some])))
+        for p in marked:
+            cache[p] = cache[p[:-1]] + self.marks[p[-1]]
         if not long:
             return cache
         return cache | dict(zip(long, self._encode([lead + p for p in long])))
@@ -74,7 +84,7 @@ class Encoder:
         if self.kind == "whole":
             return self._encode(texts)
         if self.kind == "dropped":
-            parts = [t.replace("\n", " ").split(" ") for t in texts]
+            parts = [(_folded(t) if self.folds else t).replace("\n", " ").split(" ") for t in texts]
             table = self._learn(self.plain, set().union(*parts), "")
             return [b"".join([table[p] for p in x]) for x in parts]
         parts = [t.split(" ") if _simple(t) else None for t in texts]
@@ -87,6 +97,14 @@ class Encoder:
         ]
 
 
+def _folded(text: str) -> str:
+    """A-Z in lower case if no character could combine with them; the tokenizer does the rest."""
+    try:
+        return text.encode("latin-1").lower().decode("latin-1")
+    except UnicodeEncodeError:
+        return text
+
+
 def _simple(text: str) -> bool:
     """No blank stands beside other white space, so each may be cut off on its left."""
     if "  " in text:
