@@ -363,6 +363,8 @@ def ids_crc32(column):
 
     @F.arrow_udf("bigint")
     def crc(lists: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else zlib.crc32(np.array(x, "<u4").tobytes()) for x in lists.to_pylist()], pa.int64())
+        cut, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
+        known = lists.is_valid().to_pylist()
+        return pa.array([zlib.crc32(ids[i:j].tobytes()) if ok else None for ok, i, j in zip(known, cut[:-1], cut[1:])], pa.int64())
 
     return crc(column)
