@@ -3,8 +3,9 @@
 Counts are kept on a logarithmic scale: an n-gram with quantised count q is stored as the q
 pairs (n-gram, 1) to (n-gram, q).  A reader probes (n-gram, 1), (n-gram, 2), ... until one is
 missing; a false positive can only raise a count.  The filter is built in segments by hash
-range, each by the task that has counted that range, and broadcast once.  Its size is bounded
-by a parameter, whatever the corpus.
+range, each by the task that has counted that range, with about twelve bits per stored level
+whatever the corpus.  A filter within a bound is broadcast once; the segments of a larger one
+stay with their hash range, where the n-grams of each pack of documents are sent to be probed.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ END = np.uint64(0x45D9F3B3335B369)  # stands for the end of a text
 _HALF = np.uint64(32)
 _PACK = "range int, what int, a binary, b binary, c binary, d binary"
 _HOT = 65_536
+_PROBES = 1 << 18  # n-grams whose bit positions are computed at once
+_SHORT = np.uint64((1 << 40) - 1)  # what the filter sees of a hash besides its range: a chance match in a range of 10 ** 7 entries has odds of 1 to 10 ** 5
+_ANY = np.uint64(1 << 63)
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +55,16 @@ def _grams(tokens: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
     return h
 
 
+def _shortened(h: np.ndarray) -> bytes:
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _lengthened(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
     return ((h >> _HALF) * np.uint64(ranges)) >> _HALF
 
@@ -61,7 +75,7 @@ def _rows(rows) -> pa.RecordBatch:
 
 
 def _count_packs(order: int, ranges: int):
-    """Counts per pack of documents by hash range: what = order of the n-grams, a = hashes, b = counts."""
+    """Counts per pack of documents by hash range: what = order of the n-grams, a = hashes (shortened but for tokens), b = counts."""
 
     def run(batches):
         for batch in batches:
@@ -74,7 +88,8 @@ def _count_packs(order: int, ranges: int):
                     keys, times = np.unique(h[h != 0], return_counts=True)
                     cut = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1, dtype=np.uint64))
                     for r in np.flatnonzero(np.diff(cut)):
-                        out.append((int(r), n, keys[cut[r] : cut[r + 1]].tobytes(), times[cut[r] : cut[r + 1]].astype(np.uint32).tobytes(), b"", b""))
+                        own = keys[cut[r] : cut[r + 1]]
+                        out.append((int(r), n, own.tobytes() if n == 1 else _shortened(own), times[cut[r] : cut[r + 1]].astype(np.uint32).tobytes(), b"", b""))
                 if out:
                     yield _rows(out)
 
@@ -98,12 +113,12 @@ def expected(level: np.ndarray, base: float) -> np.ndarray:
 def _bits(h: np.ndarray, level: int, k: int, size) -> np.ndarray:
     """The ``k`` bit positions of (n-gram, level) in a segment of ``size`` bits; one row per hash function."""
     with np.errstate(over="ignore"):
-        a = mixed(h + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
+        a = mixed((h & _SHORT) + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
         b = mixed(a) | np.uint64(1)
         return np.stack([((a + np.uint64(i) * b) >> np.uint64(1)) % size for i in range(k)])
 
 
-def _count_ranges(order: int, base: float, segment_bits: int, hot: int, bits_per_entry: int = 12):
+def _count_ranges(base: float, hot: int, bits_per_entry: int = 12):
     """Per range: the filter segment (what 0: a = bytes, b = number of hash functions, entries),
     token totals (what 1) and the most frequent tokens (what 2)."""
 
@@ -116,7 +131,7 @@ def _count_ranges(order: int, base: float, segment_bits: int, hot: int, bits_per
             r, by_order = got.popitem()
             grams, counts, out = [], [], []
             for n, parts in by_order.items():
-                keys = np.concatenate([np.frombuffer(p[0], np.uint64) for p in parts])
+                keys = np.concatenate([np.frombuffer(p[0], np.uint64) if n == 1 else _lengthened(p[0]) for p in parts])
                 times = np.concatenate([np.frombuffer(p[1], np.uint32) for p in parts]).astype(np.int64)
                 sort = np.argsort(keys, kind="stable")
                 keys, times = keys[sort], times[sort]
@@ -130,12 +145,14 @@ def _count_ranges(order: int, base: float, segment_bits: int, hot: int, bits_per
                 counts.append(times)
             keys, level = np.concatenate(grams), quantised(np.concatenate(counts), base)
             entries = int(level.sum())
-            size = min(segment_bits, max(512, 1 << int(entries * bits_per_entry).bit_length()))
-            k = max(1, round(0.693 * size / max(1, entries)))
+            size = max(512, -(-entries * bits_per_entry // 8) * 8)
+            k = min(8, max(1, round(0.693 * size / max(1, entries))))
             bits = np.zeros(size, np.uint8)
             for q in range(1, int(level.max()) + 1):
-                bits[_bits(keys[level >= q], q, min(k, 8), np.uint64(size))] = 1
-            info = np.array([min(k, 8), entries, size], np.int64)
+                own = keys[level >= q]
+                for at in range(0, len(own), _PROBES):
+                    bits[_bits(own[at : at + _PROBES], q, k, np.uint64(size))] = 1
+            info = np.array([k, entries, size], np.int64)
             out.append((r, 0, np.packbits(bits, bitorder="little").tobytes(), info.tobytes(), b"", b""))
             yield _rows(out)
 
@@ -143,25 +160,23 @@ def _count_ranges(order: int, base: float, segment_bits: int, hot: int, bits_per
 
 
 @dataclass
-class Model:
-    """The broadcast part of the model: filter segments, totals and exact counts of frequent tokens."""
+class Filter:
+    """Segments of the filter by hash range."""
 
-    order: int
-    base: float
-    weight: float
     ranges: int
-    n_tokens: int
-    n_types: int
-    entries: int
     segments: np.ndarray
     start: np.ndarray
     size: np.ndarray
     k: np.ndarray
-    hot_keys: np.ndarray
-    hot_counts: np.ndarray
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """Quantised counts by membership probes, level by level for those that are still found."""
+        out = np.zeros(len(h), np.int64)
+        for at in range(0, len(h), _PROBES):
+            out[at : at + _PROBES] = self._level(h[at : at + _PROBES])
+        return out
+
+    def _level(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), np.int64)
         r = _range_of(h, self.ranges).astype(np.int64)
         alive = np.flatnonzero((h != 0) & (self.size[r] > 0))
@@ -177,18 +192,39 @@ class Model:
             level += 1
         return out
 
-    def log_probabilities(self, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+
+@dataclass
+class Model:
+    """Totals, exact counts of frequent tokens, and the filter if it is small enough to be broadcast."""
+
+    order: int
+    base: float
+    weight: float
+    ranges: int
+    n_tokens: int
+    n_types: int
+    entries: int
+    filter: Filter | None
+    hot_keys: np.ndarray
+    hot_counts: np.ndarray
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        if self.filter is None:
+            raise ValueError("the filter lies with its hash ranges")
+        return self.filter.level(h)
+
+    def log_probabilities(self, tokens: np.ndarray, counts: np.ndarray, level) -> np.ndarray:
         """log10 of the smoothed probability of each token after the ones before it.
 
-        Counts come from the filter.  An order is mixed with the next lower one as with
+        Counts come from the filter, by ``level``.  An order is mixed with the next lower one as with
         ``weight`` pseudo-counts; the lowest is add-one over the known types and one unknown.
         """
-        below = expected(self.level(tokens), self.base)
+        below = expected(level(tokens), self.base)
         p = (below + 1) / (self.n_tokens + self.n_types + 1)
         first = np.cumsum(counts) - counts
         for n in range(2, self.order + 1):
             h = _grams(tokens, counts, n)
-            here = expected(self.level(h), self.base)
+            here = expected(level(h), self.base)
             context = np.concatenate([[0.0], below[:-1]])
             context[first] = 0.0
             here = np.minimum(here, context)  # an n-gram is never more frequent than its context
@@ -213,9 +249,13 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, base: float = 2.0
     """Count the n-grams of all rows of ``docs`` and build the filter.
 
     Every n-gram up to ``order`` is counted, none is cut off.  The filter takes about twelve
-    bits per stored level while that fits ``filter_bytes``, and fills up beyond it: then more
-    probes hit by chance, which ``Model.entries`` against the size tells.
+    bits per stored level; one larger than ``filter_bytes`` is not part of the model.
     """
+    return _train(docs, text, order, base, weight, filter_bytes)[0]
+
+
+def _train(docs: DataFrame, text: str, order: int, base: float, weight: float, filter_bytes: int) -> tuple[Model, DataFrame]:
+    """The model, and the stored segments of its filter (what 0)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(plain_text(text).alias("text"))
@@ -223,19 +263,17 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, base: float = 2.0
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(ranges, -(-size // (64 << 20)))
     packs = rows.mapInArrow(_count_packs(order, ranges), _PACK).repartitionById(ranges, F.col("range"))
-    segment_bits = 1 << max(9, (filter_bytes * 8 // ranges).bit_length() - 1)
     hot = max(1, 2 * _HOT // ranges)
-    parts = stored(packs.mapInArrow(_count_ranges(order, base, segment_bits, hot), _PACK), "counts")
-    # at most filter_bytes of segments and 2 * _HOT tokens, whatever the corpus
-    segments, start, sizes, ks = [], np.zeros(ranges, np.int64), np.zeros(ranges, np.int64), np.ones(ranges, np.int64)
+    parts = stored(packs.mapInArrow(_count_ranges(base, hot), _PACK), "counts")
+    start, sizes, ks = np.zeros(ranges, np.int64), np.zeros(ranges, np.int64), np.ones(ranges, np.int64)
     total = types = entries = at = 0
     hot_keys, hot_counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for r in parts.orderBy("range", "what").collect():
+    # a few numbers per range and 2 * _HOT tokens, whatever the corpus
+    for r in parts.select("range", "what", F.when(F.col("what") > 0, F.col("a")).alias("a"), "b").orderBy("range", "what").collect():
         if r["what"] == 0:
             k, n, bits = np.frombuffer(r["b"], np.int64)
             start[r["range"]], sizes[r["range"]], ks[r["range"]] = at, bits, k
-            segments.append(np.frombuffer(r["a"], np.uint8))
-            at += len(r["a"])
+            at += int(bits) // 8
             entries += int(n)
         elif r["what"] == 1:
             a, b = np.frombuffer(r["a"], np.int64)
@@ -245,8 +283,89 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, base: float = 2.0
             hot_counts.append(np.frombuffer(r["b"], np.int64))
     keys, counts = np.concatenate(hot_keys), np.concatenate(hot_counts)
     sort = np.argsort(keys)
-    bits = np.concatenate(segments) if segments else np.zeros(1, np.uint8)
-    return Model(order, base, weight, ranges, total, types, entries, bits, start, sizes, ks, keys[sort], counts[sort])
+    held = None
+    if at <= filter_bytes:
+        segments = [np.frombuffer(r["a"], np.uint8) for r in parts.filter("what = 0").select("range", "a").orderBy("range").collect()]
+        held = Filter(ranges, np.concatenate(segments) if segments else np.zeros(1, np.uint8), start, sizes, ks)
+    return Model(order, base, weight, ranges, total, types, entries, held, keys[sort], counts[sort]), parts.filter("what = 0")
+
+
+_TEXTS = "pack bigint, ids binary, sizes binary, data binary"
+_PROBE = "range int, pack bigint, data binary, info binary"
+_ANSWER = "pack bigint, range int, levels binary"
+
+
+def _batch(rows, names: str) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(zip(*rows), fields)], [n for n, _ in fields])
+
+
+def _text_packs(batches):
+    """Packs of documents, named by their first number; ids = numbers with the training flag in the last bit."""
+    for batch in batches:
+        rids, train = (np.array(batch.column(c).to_pylist()) for c in ("rid", "train"))
+        texts = [as_text(t) for t in batch.column("text").to_pylist()]
+        flagged = (rids.astype(np.int64) << 1) | train.astype(np.int64)
+        for i, j in runs_of(texts, 4 << 20):
+            sizes = np.array([len(t) for t in texts[i:j]], np.int64)
+            yield _batch([(int(rids[i]), flagged[i:j].tobytes(), sizes.tobytes(), pa.compress(b"".join(texts[i:j]), "zstd", asbytes=True))], _TEXTS)
+
+
+def _unpacked(sizes: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a pack of documents."""
+    ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
+    raw = pa.decompress(data, decompressed_size=ends[-1], codec="zstd", asbytes=True) if ends[-1] else b""
+    return _token_runs([raw[i:j] for i, j in zip([0, *ends], ends)])
+
+
+def _own_grams(tokens: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
+    """The distinct n-grams of a pack, ascending, and so by hash range."""
+    h = np.unique(np.concatenate([_grams(tokens, counts, n) for n in range(1, order + 1)]))
+    return h[h != 0]
+
+
+def _probe_packs(order: int, ranges: int):
+    def run(batches):
+        for batch in batches:
+            for pack, sizes, data in zip(*[batch.column(c).to_pylist() for c in ("pack", "sizes", "data")]):
+                h = _own_grams(*_unpacked(sizes, data), order)
+                cut = np.searchsorted(_range_of(h, ranges), np.arange(ranges + 1, dtype=np.uint64))
+                rows = [(int(r), pack, _shortened(h[cut[r] : cut[r + 1]]), None) for r in np.flatnonzero(np.diff(cut))]
+                if rows:
+                    yield _batch(rows, _PROBE)
+
+    return run
+
+
+def _answer_probes(batches):
+    """Levels of the n-grams of each pack, from the filter segment of their range (the row with ``info``)."""
+    asked: dict[int, list] = {}
+    held: dict[int, Filter] = {}
+    for batch in batches:
+        for r, pack, data, info in zip(*[c.to_pylist() for c in batch.columns]):
+            if info is None:
+                asked.setdefault(r, []).append((pack, data))
+            else:
+                k, _, size = np.frombuffer(info, np.int64)
+                held[r] = Filter(1, np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.array([size]), np.array([k]))
+    while asked:
+        r, probes = asked.popitem()
+        h, place = np.unique(_lengthened(b"".join(d for _, d in probes)), return_inverse=True)
+        level = (held[r].level(h | _ANY) if r in held else np.zeros(len(h), np.int64)).astype(np.uint16)[place]
+        ends = np.cumsum([len(d) // 5 for _, d in probes]).tolist()
+        rows = [(pack, r, level[i:j].tobytes()) for (pack, _), i, j in zip(probes, [0, *ends], ends)]
+        for i in range(0, len(rows), 1000):
+            yield _batch(rows[i : i + 1000], _ANSWER)
+
+
+def _answered(texts: DataFrame, segments: DataFrame, order: int, ranges: int) -> DataFrame:
+    """Packs of documents with the levels of their n-grams, by hash range."""
+    probes = texts.mapInArrow(_probe_packs(order, ranges), _PROBE)
+    filters = segments.select("range", F.lit(-1).cast("long").alias("pack"), F.col("a").alias("data"), F.col("b").alias("info"))
+    answers = probes.unionByName(filters).repartitionById(ranges, F.col("range")).mapInArrow(_answer_probes, _ANSWER)
+    answers = answers.groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("range", "levels"))).alias("l"))
+    return texts.join(answers.select("pack", F.col("l.levels").alias("levels")), "pack").select("ids", "sizes", "data", "levels")
 
 
 def _score_packs(shared, ranges: int):
@@ -261,38 +380,56 @@ def _score_packs(shared, ranges: int):
         model: Model = shared.value
         for batch in batches:
             rids, train = (np.array(batch.column(c).to_pylist()) for c in ("rid", "train"))
+            flagged = (rids.astype(np.int64) << 1) | train.astype(np.int64)
             texts = [as_text(t) for t in batch.column("text").to_pylist()]
             for i, j in runs_of(texts, 4 << 20):
-                tokens, counts = _token_runs(texts[i:j])
-                ids = rids[i:j].astype(np.int64)
-                first = np.cumsum(counts) - counts
-                score = np.add.reduceat(model.log_probabilities(tokens, counts), first)
-                doc = np.repeat(np.arange(j - i), counts)
-                is_hot, exact = model.hot_count(tokens)
-                denominator = np.log10(model.n_tokens + model.n_types + 1)
-                log = np.where(is_hot, np.log10(exact + 1) - denominator, 0.0)
-                known = np.bincount(doc, is_hot & (exact > 0), j - i).astype(np.int64)
-                base = np.add.reduceat(log, first)
-                out = [(int(ids[0] % ranges), 1, ids.tobytes(), counts.astype(np.int64).tobytes(), known.tobytes() + base.tobytes(), score.tobytes())]
-                rare = np.flatnonzero(~is_hot)
-                sort = rare[np.lexsort((doc[rare], tokens[rare]))]
-                keys, owner = tokens[sort], doc[sort]
-                head = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]) if len(keys) else np.empty(0, np.int64)
-                times = np.diff(np.r_[head, len(keys)]).astype(np.uint32)
-                keys, owner = keys[head], owner[head]
-                cut = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1, dtype=np.uint64))
-                flagged = (ids << 1) | train[i:j].astype(np.int64)
-                for r in np.flatnonzero(np.diff(cut)):
-                    k, o, t = (x[cut[r] : cut[r + 1]] for x in (keys, owner, times))
-                    used, local = np.unique(o, return_inverse=True)
-                    own, n = np.unique(k, return_counts=True)
-                    b = own.tobytes() + n.astype(np.uint32).tobytes()
-                    out.append((int(r), 0, flagged[used].tobytes(), b, local.astype(np.uint16).tobytes(), t.tobytes()))
-                yield _rows(out)
+                yield _scored(model, flagged[i:j], *_token_runs(texts[i:j]), model.level, ranges)
+
+    return run
+
+
+def _score_answered(shared, ranges: int):
+    """As ``_score_packs``, for packs that bring the levels of their n-grams."""
+
+    def run(batches):
+        model: Model = shared.value
+        for batch in batches:
+            for ids, sizes, data, levels in zip(*[c.to_pylist() for c in batch.columns]):
+                tokens, counts = _unpacked(sizes, data)
+                keys, found = _own_grams(tokens, counts, model.order), np.frombuffer(b"".join(levels), np.uint16).astype(np.int64)
+                level = lambda h: np.where(h != 0, found[np.searchsorted(keys, np.maximum(h, keys[0]))], 0)  # noqa: B023, E731
+                yield _scored(model, np.frombuffer(ids, np.int64), tokens, counts, level, ranges)
 
     return run
 
 
+def _scored(model: Model, flagged: np.ndarray, tokens: np.ndarray, counts: np.ndarray, level, ranges: int) -> pa.RecordBatch:
+    ids = flagged >> 1
+    first = np.cumsum(counts) - counts
+    score = np.add.reduceat(model.log_probabilities(tokens, counts, level), first)
+    doc = np.repeat(np.arange(len(ids)), counts)
+    is_hot, exact = model.hot_count(tokens)
+    denominator = np.log10(model.n_tokens + model.n_types + 1)
+    log = np.where(is_hot, np.log10(exact + 1) - denominator, 0.0)
+    known = np.bincount(doc, is_hot & (exact > 0), len(ids)).astype(np.int64)
+    base = np.add.reduceat(log, first)
+    out = [(int(ids[0] % ranges), 1, ids.tobytes(), counts.astype(np.int64).tobytes(), known.tobytes() + base.tobytes(), score.tobytes())]
+    rare = np.flatnonzero(~is_hot)
+    sort = rare[np.lexsort((doc[rare], tokens[rare]))]
+    keys, owner = tokens[sort], doc[sort]
+    head = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]) if len(keys) else np.empty(0, np.int64)
+    times = np.diff(np.r_[head, len(keys)]).astype(np.uint32)
+    keys, owner = keys[head], owner[head]
+    cut = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1, dtype=np.uint64))
+    for r in np.flatnonzero(np.diff(cut)):
+        k, o, t = (x[cut[r] : cut[r + 1]] for x in (keys, owner, times))
+        used, local = np.unique(o, return_inverse=True)
+        own, n = np.unique(k, return_counts=True)
+        b = own.tobytes() + n.astype(np.uint32).tobytes()
+        out.append((int(r), 0, flagged[used].tobytes(), b, local.astype(np.uint16).tobytes(), t.tobytes()))
+    return _rows(out)
+
+
 _PARTIAL = "rid bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -354,6 +491,9 @@ def lm_score(
     n_tokens, n_known, train_tokens, base_score (exact add-one unigram log10 probability) and
     score (the model's).  Columns of ``docs`` with these names are replaced.
 
+    A filter of up to ``filter_bytes`` is broadcast; with a larger one, packs of documents send
+    their distinct n-grams to the segments and get the levels back.  The scores are the same.
+
     Exact counts of the most frequent tokens are broadcast (a bounded number); all others are
     counted where their hash range is, in the same shuffle that brings in the documents' own
     tokens, and go back as one partial sum per document and range.
@@ -368,11 +508,16 @@ def lm_score(
     docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
     p = own_columns(docs, *new)
     docs = docs.withColumn(f"{p}h", held_out(F.col(doc_id)) if held is None else held)
-    model = train(docs.filter(~F.col(f"{p}h")), text, order, base, weight, filter_bytes)
+    model, segments = _train(docs.filter(~F.col(f"{p}h")), text, order, base, weight, filter_bytes)
     docs = numbered(docs, doc_id, f"{p}r")
     rows = docs.select(F.col(f"{p}r").alias("rid"), (~F.col(f"{p}h")).alias("train"), plain_text(text).alias("text"))
     shared = spark.sparkContext.broadcast(model)
-    packs = rows.mapInArrow(_score_packs(shared, model.ranges), _PACK).repartitionById(model.ranges, F.col("range"))
+    if model.filter is not None:
+        packs = rows.mapInArrow(_score_packs(shared, model.ranges), _PACK)
+    else:
+        texts = stored(rows.mapInArrow(_text_packs, _TEXTS), "texts")
+        packs = _answered(texts, segments, order, model.ranges).mapInArrow(_score_answered(shared, model.ranges), _PACK)
+    packs = packs.repartitionById(model.ranges, F.col("range"))
     partial = packs.mapInArrow(_score_ranges(model.n_tokens, model.n_types), _PARTIAL)
     sums = partial.groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     sums = sums.withColumnRenamed("rid", f"{p}r")

@@ -75,3 +75,18 @@ def test_filter_never_undercounts(spark):
         assert (level >= want).all() and (level == want).mean() > 0.97
     strange = lm.mixed(np.arange(1, 5000, dtype=np.uint64))
     assert (model.level(strange) == 0).mean() > 0.97
+
+
+def test_filter_over_the_broadcast_bound(spark):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(f"w{rnd.randrange(2000)}" for _ in range(150))) for i in range(300)] + [(None, None), (7, ""), (7, "w1 w1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = F.coalesce(F.col("doc_id") % 5 == 2, F.lit(False))
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"])
+    want = sorted(lm.lm_score(df, held=held).collect(), key=key)
+    got = sorted(lm.lm_score(df, held=held, filter_bytes=512).collect(), key=key)
+    assert [g[:7] for g in got] == [w[:7] for w in want]
+    assert np.allclose([[g["base_score"], g["score"]] for g in got], [[w["base_score"], w["score"]] for w in want], rtol=1e-12)
+    per = lambda h: sum(g["score"] for g in got if g["held_out"] == h) / sum(g["n_tokens"] for g in got if g["held_out"] == h)
+    assert per(False) > per(True) + 0.5  # seen and unseen text stay apart
+    assert lm.lm_score(df, held=F.lit(True), filter_bytes=0).filter("score is not null").count() == len(rows)
