@@ -14,6 +14,8 @@ from ._shared import numbered, own_columns, stored
 BLOCK, JOIN, TILE = 1024, 64, 1000
 #: Vectors of the audit: a bounded, documented sample that is compared with all vectors.
 AUDIT = 256
+#: Rounds of blocks and turns before a recall below the bound is an error.
+ATTEMPTS = 12
 _VECTOR = "nid bigint, grp string, vec binary"
 _NEAR = "id bigint, nb bigint, sim double"
 
@@ -158,12 +160,78 @@ def _tile_links(threshold: float):
     return run
 
 
-def _exact(vectors: DataFrame, edges: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(id, n) links of each class and (u, v) edges, both exact inside the components of ``edges``."""
-    near = edges.filter(F.col("sim") >= threshold - 1e-4).select(F.col("id").alias("u"), F.col("nb").alias("v"))
+def _leaders(reach: float):
+    """Members of a tile such that each other one lies within the angle ``reach`` of one, and the largest angle."""
+
+    def run(key, table):
+        ids = table.column("id").to_pylist()
+        vecs = table.column("vec").to_pylist()
+        x, left, out = _matrix(table.column("vec")), np.arange(len(ids)), []
+        while len(left):
+            cos = x[left] @ x[left[0]]
+            own = cos >= np.cos(reach)
+            own[0] = True
+            out.append((key[0].as_py(), key[1].as_py(), ids[left[0]], vecs[left[0]], float(np.arccos(np.clip(cos[own].min(), -1, 1)))))
+            left = left[~own]
+        types = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["grp", "component", "id", "vec", "radius"])
+
+    return run
+
+
+def _close_balls(threshold: float):
+    """Pairs of components of which two balls around leaders may hold a link."""
+
+    def run(key, table):
+        side = np.array(table.column("side").to_pylist())
+        comp, radius = np.array(table.column("component").to_pylist(), np.int64), np.array(table.column("radius").to_pylist())
+        x = _matrix(table.column("vec"))
+        a = np.flatnonzero(side == 0)
+        b = a if key[1].as_py() == key[2].as_py() else np.flatnonzero(side == 1)
+        angle = np.arccos(np.clip(x[a] @ x[b].T, -1, 1))
+        close = (angle <= np.arccos(threshold) + radius[a][:, None] + radius[b] + 1e-6) & (comp[a][:, None] != comp[b])
+        i, j = np.nonzero(close)
+        pairs = np.unique(np.stack([comp[a][i], comp[b][j]], 1), axis=0)
+        return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
+
+    return run
+
+
+def _between(vectors: DataFrame, lists: DataFrame, comp: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(u, v): components that may be linked by vectors whose lists are full of links.
+
+    A list with room holds all links found for its vector.  Full lists may have lost those to
+    other components, so all balls of such vectors are compared by the triangle inequality.
+    """
+    full = lists.filter((F.size("nbs") >= k) & (F.element_at("nbs", -1)["sim"] >= threshold - 1e-4)).select("id")
+    wide = full.join(comp, "id").join(vectors.select("id", "grp", "vec"), "id")
+    wide = wide.join(wide.select("grp", "component").distinct().groupBy("grp").count().filter("count > 1").select("grp"), "grp", "left_semi")
+    tiles = wide.groupBy("grp", "component").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+    wide = wide.join(tiles, ["grp", "component"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))).select("grp", "component", "tile", "id", "vec")
+    schema = "grp string, component bigint, id bigint, vec binary, radius double"
+    balls = stored(wide.groupBy("grp", "component", "tile").applyInArrow(_leaders(np.arccos(threshold) / 2), schema), "balls")
+    tiles = balls.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    balls = balls.join(tiles, "grp").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    rows = balls.select("grp", "component", "tile", "vec", "radius", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
+    rows = rows.select(
+        "grp", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), (F.col("tile") > F.col("o")).cast("int").alias("side"), "component", "vec", "radius"
+    )
+    return stored(rows.groupBy("grp", "i", "j").applyInArrow(_close_balls(threshold), "u bigint, v bigint"), "close")
+
+
+def _exact(vectors: DataFrame, lists: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(id, n) links of each class and (u, v) edges, both exact inside the components of the lists.
+
+    Components that ``_between`` finds close are counted as one; only true links connect.
+    """
+    near = _edges(lists).filter(F.col("sim") >= threshold - 1e-4).select(F.col("id").alias("u"), F.col("nb").alias("v"))
     near = stored(near, "near")
     nodes = near.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     comp = stored(connected_components(nodes, near).select("id", "component"), "components")
+    close = _between(vectors, lists, comp, k, threshold)
+    if not close.isEmpty():
+        near = stored(near.unionByName(close), "near")
+        comp = stored(connected_components(nodes, near).select("id", "component"), "components")
     tiles = comp.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     placed = comp.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).join(vectors, "id")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o")
@@ -176,9 +244,15 @@ def _exact(vectors: DataFrame, edges: DataFrame, threshold: float) -> tuple[Data
     return counts, found.filter("v is not null").select("u", "v")
 
 
-def _audit(vectors: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Share of the true links of a bounded sample of vectors that were found."""
-    asked = vectors.orderBy(F.xxhash64("id")).limit(AUDIT).join(counts, "id", "left").collect()
+def _audit(vectors: DataFrame, counts: DataFrame, threshold: float) -> float | None:
+    """Mean share of its true links that were found for a vector that has links; None if the sample has none.
+
+    Half of the bounded sample are vectors with links found, half without, each counted for as
+    many as its half stands for.
+    """
+    known = vectors.join(counts, "id", "left").withColumn("linked", F.coalesce(F.col("n") > 0, F.lit(False)))
+    there = {r["linked"]: r["count"] for r in known.groupBy("linked").count().collect()}
+    asked = [r for half in (True, False) for r in known.filter(F.col("linked") == half).orderBy(F.xxhash64("id")).limit(AUDIT // 2).collect()]
     queries: dict[str, tuple[list[int], list]] = {}
     for r in asked:
         ids, vecs = queries.setdefault(r["grp"], ([], []))
@@ -200,8 +274,9 @@ def _audit(vectors: DataFrame, counts: DataFrame, threshold: float) -> float:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["id", "n"])
 
     truth = {r["id"]: r["n"] for r in vectors.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    want = sum(truth.values())
-    return 1.0 if not want else sum(min(r["n"] or 0, truth.get(r["id"], 0)) for r in asked) / want
+    stands = {half: n / min(n, AUDIT // 2) for half, n in there.items()}
+    share = [(stands[r["linked"]], min(1.0, (r["n"] or 0) / truth[r["id"]])) for r in asked if truth.get(r["id"])]
+    return sum(w * x for w, x in share) / sum(w for w, _ in share) if share else None
 
 
 def embedding_near_dup(
@@ -221,10 +296,12 @@ def embedding_near_dup(
     2. Random-projection blocks give each class its first ``k`` neighbours.
     3. NN-descent: neighbours of neighbours are compared turn by turn until hardly a list
        changes; a list full of links doubles (to 64).
-    4. Edges at the threshold connect components.  Inside each, all members are compared exactly,
-       in double precision and tile by tile, so ``n_links`` does not depend on list lengths.
+    4. Edges at the threshold connect components; components with full lists that balls around
+       their members cannot keep apart are taken together.  Inside each, all members are compared
+       exactly, in double precision and tile by tile, so ``n_links`` does not depend on list lengths.
     5. A bounded sample is compared with all vectors.  Below the wanted ``recall`` more blocks and
-       turns follow; ``audit_recall`` says what was reached.
+       turns follow, and after ``ATTEMPTS`` an error; ``audit_recall`` says what was reached (null
+       if the sample has no links).
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a
     null label link with nothing; vectors of unequal length do not either.  ``component_id`` is the
@@ -242,7 +319,7 @@ def embedding_near_dup(
     total = vectors.count()
 
     lists, seeds, reached = None, 0, 0.0
-    for attempt in range(3):
+    for _ in range(ATTEMPTS):
         near = _blocks(vectors, range(seeds, seeds + tables), k)
         seeds += tables
         if lists is not None:
@@ -256,10 +333,12 @@ def embedding_near_dup(
             lists = after
             if fresh <= 0.001 * total * k:
                 break
-        counts, links = _exact(vectors, _edges(lists), threshold)
+        counts, links = _exact(vectors, lists, k, threshold)
         reached = _audit(vectors, counts, threshold)
-        if reached >= recall:
+        if reached is None or reached >= recall:
             break
+    else:
+        raise RuntimeError(f"recall {reached:.4f} is below {recall} after {ATTEMPTS} attempts")
 
     found = connected_components(vectors.select("id"), links) if not links.isEmpty() else vectors.select("id", F.col("id").alias("component"))
     info = vectors.join(found, "id").join(counts, "id", "left").select("grp", "vec", "mult", "component", F.coalesce("n", F.lit(0)).alias("n"))
@@ -268,4 +347,4 @@ def embedding_near_dup(
     out = out.withColumn(f"{p}c", F.coalesce(f"{p}c", -1 - F.col(f"{p}n")))
     least = out.groupBy(f"{p}c").agg(F.min(F.col(vec_id)).cast("long").alias("component_id"))
     out = out.join(least, f"{p}c").withColumn("kept", F.coalesce(F.col(vec_id) == F.col("component_id"), F.col("component_id").isNull()))
-    return out.withColumn("audit_recall", F.lit(reached)).drop(f"{p}n", f"{p}c")
+    return out.withColumn("audit_recall", F.lit(reached).cast("double")).drop(f"{p}n", f"{p}c")

@@ -58,3 +58,24 @@ def test_groups_and_edges(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert near_dup.embedding_near_dup(df).collect() == []
+
+
+def test_links_between_groups_that_fill_their_lists(spark):
+    rnd = np.random.default_rng(8)
+    a, b = np.linalg.qr(rnd.standard_normal((16, 2)))[0].T
+    far = 0.985 * a + np.sqrt(1 - 0.985**2) * b
+    rows = [(i, ((a if i < 150 else far) + 0.001 * rnd.standard_normal(16)).tolist(), 1) for i in range(300)]
+    rows += [(i, rnd.standard_normal(16).tolist(), i % 2 * 2) for i in range(400, 500)]  # no other vector of label 1 leads from group to group
+    out = near_dup.embedding_near_dup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in out)
+    assert got == sorted(brute(rows))
+    assert got[200][1:3] == (299, 0) and {r["audit_recall"] for r in out} == {1.0}
+
+
+def test_audit_counts_vectors_not_links(spark):
+    turn = lambda w: [float(np.cos(w)), float(np.sin(w))]
+    rows = [(i, turn(0.0001 * i)) for i in range(50)] + [(100, turn(2.0)), (101, turn(2.01))]
+    vectors = spark.createDataFrame([(i, "2:1", 1, bytearray(np.array(v).tobytes())) for i, v in rows], "id long, grp string, mult long, vec binary")
+    counts = spark.createDataFrame([(i, 49) for i in range(50)], "id long, n long")
+    assert abs(near_dup._audit(vectors, counts, 0.98) - 50 / 52) < 1e-9
+    assert near_dup._audit(vectors.filter("id in (0, 100)"), counts.filter("n < 0"), 0.98) is None
