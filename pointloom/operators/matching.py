@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .pairs import TILE_ROWS, tiled_pairs
@@ -23,7 +23,6 @@ def mutual_top_k(src: DataFrame, tgt: DataFrame, on: list[str], k: int, distance
     ``src``/``tgt`` have ``on``, ``id`` and ``desc``; ``distance`` maps two descriptor
     columns to a dissimilarity.  Ties go to the smaller id.  Both rank filters prune to
     k rows per id before their shuffle, so the pair space itself is never moved.
-    ``tile_rows=None`` is for sides already cut to a top-k list per group.
     """
     left, right = _sides(src, tgt, on)
     pairs = tiled_pairs(left, right, on, ["src_id"], ["tgt_id"], tile_rows=tile_rows).select(
@@ -35,12 +34,9 @@ def mutual_top_k(src: DataFrame, tgt: DataFrame, on: list[str], k: int, distance
 
 
 def all_to_all(src: DataFrame, tgt: DataFrame, on: list[str]) -> DataFrame:
-    """Every same-class pair of two top-k feature lists.
-
-    Only meant for lists already cut to k per class, as the feature extractor does.
-    """
+    """Every same-class pair of two feature lists, tile by tile: all pairs are what is asked for."""
     left, right = _sides(src, tgt, on)
-    return tiled_pairs(left, right, on, ["src_id"], ["tgt_id"], tile_rows=None).select(*on, "src_id", "tgt_id")
+    return tiled_pairs(left, right, on, ["src_id"], ["tgt_id"]).select(*on, "src_id", "tgt_id")
 
 
 #: Modulus of the draw; a prime.
@@ -86,16 +82,9 @@ def bin_overlap_top_k(src_bins: DataFrame, tgt_bins: DataFrame, src_ids: DataFra
     return best_src.join(best_tgt, [*on, "src_id", "tgt_id"], "left_semi")
 
 
-def with_corr_id(corr: DataFrame, pair: list[str], order: list[str], bounded: bool = True) -> DataFrame:
-    """Number the correspondences of a pair from 0.
-
-    ``bounded`` is for matches of top-k feature lists, at most k per feature; other pairs
-    may be of any size and are numbered across tasks.
-    """
-    if not bounded:
-        return with_row_number(corr, pair, order, "corr_id").withColumn("corr_id", F.col("corr_id") - 1)
-    w = Window.partitionBy(*pair).orderBy(*order)
-    return corr.withColumn("corr_id", F.row_number().over(w).cast("long") - 1)
+def with_corr_id(corr: DataFrame, pair: list[str], order: list[str]) -> DataFrame:
+    """Number the correspondences of a pair from 0, across tasks: a pair may be of any size."""
+    return with_row_number(corr, pair, order, "corr_id").withColumn("corr_id", F.col("corr_id") - 1)
 
 
 def tuple_test(corr: DataFrame, pair: list[str], scale: float = 0.95, trials: int = 100, seed: int = 7) -> DataFrame:

@@ -10,9 +10,9 @@ from ..session import cut_lineage
 from . import tables
 from .registry import query
 from .tables import normal_sql
-from .voxel_queries import FEATURE_SQL, PAIR_SQL, cloud_pairs, rounded, top
+from .voxel_queries import FEATURE_SQL, PAIR_SQL, cloud_pairs, rounded, ring_features
 
-BIN_SQL = f"""{FEATURE_SQL}, {normal_sql('tf', 'topf')},
+BIN_SQL = f"""{FEATURE_SQL}, {normal_sql('tf', 'ringf')},
 hp AS (SELECT a.cloud, a.id, b.mx - a.mx AS ex, b.my - a.my AS ey, b.mz - a.mz AS ez, a.nx AS ax, a.ny AS ay, a.nz AS az, b.nx AS bx, b.ny AS by_, b.nz AS bz, a.class AS ac, b.class AS bc
   FROM tf a JOIN tf b ON a.cloud = b.cloud AND (b.mx - a.mx) * (b.mx - a.mx) + (b.my - a.my) * (b.my - a.my) + (b.mz - a.mz) * (b.mz - a.mz) <= 400.0),
 h1 AS (SELECT *, ex * ax + ey * ay + ez * az AS la, ex * bx + ey * by_ + ez * bz AS lb FROM hp),
@@ -23,7 +23,7 @@ hb AS (SELECT cloud, id, CAST(floor(greatest(d1, d2) / 0.5) AS INT) AS bx, CAST(
 
 
 def oriented_features(spark, sf):
-    f = cut_lineage(top(spark, sf))
+    f = cut_lineage(ring_features(spark, sf))
     return f.select("cloud", "class", "id", *[F.col("m" + a).alias(a) for a in "xyz"], "nx", "ny", "nz")
 
 
@@ -35,8 +35,8 @@ def hash_desc(spark, sf):
 @query("hash_desc_matches", f"""WITH {BIN_SQL}, {PAIR_SQL},
 hh AS (SELECT p.src, p.tgt, a.id AS src_id, b.id AS tgt_id, count(*) AS hits FROM prs p JOIN hb a ON a.cloud = p.src JOIN hb b ON b.cloud = p.tgt
    AND abs(a.bx - b.bx) <= 1 AND abs(a.by - b.by) <= 1 AND abs(a.bz - b.bz) <= 1 GROUP BY ALL),
-sm AS (SELECT p.src, p.tgt, a.class, a.id AS src_id, b.id AS tgt_id, CAST(1 AS DOUBLE) / (1 + coalesce(hits, 0)) AS dist FROM prs p JOIN topf a ON a.cloud = p.src
-   JOIN topf b ON b.cloud = p.tgt AND b.class = a.class LEFT JOIN hh ON hh.src = p.src AND hh.tgt = p.tgt AND hh.src_id = a.id AND hh.tgt_id = b.id)
+sm AS (SELECT p.src, p.tgt, a.class, a.id AS src_id, b.id AS tgt_id, CAST(1 AS DOUBLE) / (1 + coalesce(hits, 0)) AS dist FROM prs p JOIN ringf a ON a.cloud = p.src
+   JOIN ringf b ON b.cloud = p.tgt AND b.class = a.class LEFT JOIN hh ON hh.src = p.src AND hh.tgt = p.tgt AND hh.src_id = a.id AND hh.tgt_id = b.id)
 SELECT src, tgt, class, src_id, tgt_id, round(dist, 6) AS dist FROM (
    SELECT *, row_number() OVER (PARTITION BY src, tgt, class, src_id ORDER BY dist, tgt_id) AS ri,
              row_number() OVER (PARTITION BY src, tgt, class, tgt_id ORDER BY dist, src_id) AS rj FROM sm) WHERE ri <= 3 AND rj <= 3""")

@@ -18,7 +18,7 @@ from .correspondences import PAIR
 from .graph_queries import CORR_SQL, LEVELS, corr_table, edge_table, level_sql
 from .registry import query
 from .segment_queries import centred, centred_sql
-from .voxel_queries import FEATURE_SQL, features, rounded, top
+from .voxel_queries import FEATURE_SQL, features, rounded, ring_features
 from .tables import normal_sql
 
 
@@ -58,12 +58,12 @@ def deskew(spark, sf):
     return rounded(out.drop("seq", "frame"), list("xyz"), 3)
 
 
-@query("feature_transform", f"""WITH {FEATURE_SQL}, {normal_sql('tf', 'topf')}
+@query("feature_transform", f"""WITH {FEATURE_SQL}, {normal_sql('tf', 'ringf')}
 SELECT cloud, class, id, round(-my + 3.0, 5) AS mx, round(mx - 2.0, 5) AS my, round(mz + 1.0, 5) AS mz, round(yy, 5) AS xx, round(-xy, 5) AS xy, round(-yz, 5) AS xz,
   round(xx, 5) AS yy, round(xz, 5) AS yz, round(zz, 5) AS zz FROM tf""")
 def feature_transform(spark, sf):
     quarter = rigid_array(tuple(F.lit(v) for v in (0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0)), (F.lit(3.0), F.lit(-2.0), F.lit(1.0)))
-    out = boxes.transform_features(cut_lineage(top(spark, sf)).withColumn("tf", quarter))
+    out = boxes.transform_features(cut_lineage(ring_features(spark, sf)).withColumn("tf", quarter))
     names = ["mx", "my", "mz", *SYM]
     return rounded(out.select("cloud", "class", "id", *names), names, 5)
 
@@ -111,7 +111,7 @@ def compat_graph_gaussian(spark, sf):
 
 @query("k_core")
 def k_core(spark, sf):
-    edges = cg.compatible_pairs(corr_table(spark, sf), PAIR, LEVELS, "point", None)
+    edges = cg.compatible_pairs(corr_table(spark, sf), PAIR, LEVELS, "point")
     return components.k_core(edges.select(*PAIR, "u", "v"), PAIR, 3)
 
 
@@ -127,7 +127,7 @@ def vertex_differences(spark, sf):
 
 @query("regularized_covariances")
 def regularized_covariances(spark, sf):
-    f = cut_lineage(top(spark, sf)).select("cloud", "class", "id", *SYM)
+    f = cut_lineage(ring_features(spark, sf)).select("cloud", "class", "id", *SYM)
     out = None
     for method in ("PLANE", "LINE", "MIN_EIG", "NORMALIZED_MIN_EIG", "FROBENIUS"):
         part = boxes.regularized(f, method).select("cloud", "class", "id", F.lit(method).alias("method"), *[F.round(c, 4).alias(c) for c in SYM])

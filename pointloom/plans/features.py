@@ -50,10 +50,14 @@ def voxel_features(points: DataFrame, rule: FeatureRule) -> DataFrame:
     )
 
 
+def in_range(features: DataFrame, rule: FeatureRule) -> DataFrame:
+    """Features inside the range ring."""
+    return features.filter(F.col("dist").between(rule.min_range, rule.max_range))
+
+
 def top_features(features: DataFrame, rule: FeatureRule) -> DataFrame:
     """Features inside the range ring, best ``per_class`` by score in each class."""
-    ring = features.filter(F.col("dist").between(rule.min_range, rule.max_range))
-    return top_k(ring, ["cloud", "class"], rule.per_class, [F.desc("score"), F.col("id")])
+    return top_k(in_range(features, rule), ["cloud", "class"], rule.per_class, [F.desc("score"), F.col("id")])
 
 
 def spread_descriptor() -> Column:

@@ -23,7 +23,7 @@ cl AS (SELECT src, tgt, [u, v] AS m, v AS last FROM {edges}
 SELECT src, tgt, CAST(len(m) AS INT) AS size, array_to_string(m, ',') AS members FROM (
   SELECT *, row_number() OVER (PARTITION BY src, tgt ORDER BY len(m) DESC, m) AS r FROM cl) WHERE r = 1""")
 def max_clique(spark, sf):
-    edges = cg.compatible_pairs(corr_table(spark, sf), PAIR, LEVELS, "point", None).filter("min_level <= 1")
+    edges = cg.compatible_pairs(corr_table(spark, sf), PAIR, LEVELS, "point").filter("min_level <= 1")
     out = cliques.max_clique(cut_lineage(edges), PAIR)
     return out.select(*PAIR, "size", F.array_join("members", ",").alias("members"))
 
@@ -36,7 +36,7 @@ cl AS (SELECT src, tgt, level, [u, v] AS m, v AS last FROM el
   JOIN nb ON nb.src = c.src AND nb.tgt = c.tgt AND nb.level = c.level AND nb.v > c.last AND list_has_all(nb.ins, c.m))
 SELECT src, tgt, level, max(len(m)) AS size FROM cl GROUP BY src, tgt, level""")
 def max_clique_levels(spark, sf):
-    edges = cut_lineage(cg.compatible_pairs(corr_table(spark, sf), PAIR, LEVELS, "point", None))
+    edges = cut_lineage(cg.compatible_pairs(corr_table(spark, sf), PAIR, LEVELS, "point"))
     out = cliques.max_clique_levels(edges, PAIR, len(LEVELS))
     return out.select(*PAIR, F.col("level").cast("long").alias("level"), F.col("size").cast("long").alias("size"))
 
@@ -50,7 +50,7 @@ mx AS (SELECT src, tgt, m FROM cl c WHERE len(m) >= 3 AND NOT EXISTS (
 
 def maximal_table(spark, sf):
     corr = corr_table(spark, sf)
-    edges = cg.compatible_pairs(corr, PAIR, LEVELS, "point", None).filter("min_level <= 1")
+    edges = cg.compatible_pairs(corr, PAIR, LEVELS, "point").filter("min_level <= 1")
     d = F.col("src_len") - F.col("tgt_len")
     edges = cut_lineage(edges.select(*PAIR, "u", "v", (1.0 - d * d).alias("w")))
     return corr, edges, cliques.maximal_cliques(edges, PAIR)
@@ -134,7 +134,7 @@ def tls_translation(spark, sf):
 def clique_chain(spark, sf, planar: bool):
     """Consecutive differences along the largest clique of every pair."""
     corr = corr_table(spark, sf)
-    edges = cut_lineage(cg.compatible_pairs(corr, PAIR, LEVELS, "point", None))
+    edges = cut_lineage(cg.compatible_pairs(corr, PAIR, LEVELS, "point"))
     best = cliques.max_clique(edges, PAIR).select(*PAIR, F.explode("members").alias("corr_id"))
     chained = cg.chain(corr.join(best, [*PAIR, "corr_id"]), PAIR)
     flat = {"z"} if planar else set()

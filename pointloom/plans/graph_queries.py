@@ -11,7 +11,7 @@ from . import features as fx
 from . import tables
 from .correspondences import PAIR, correspondences
 from .registry import query
-from .voxel_queries import MUTUAL_SQL, cloud_pairs, rounded, top
+from .voxel_queries import MUTUAL_SQL, cloud_pairs, rounded, ring_features
 from ..operators.matching import mutual_top_k
 from ..functions.scalar import descriptor_distance
 
@@ -22,9 +22,9 @@ SYM = ["xx", "xy", "xz", "yy", "yz", "zz"]
 
 def corr_table(spark, sf):
     """Numbered correspondences of every pair, written once: several joins read them."""
-    feats = cut_lineage(top(spark, sf))
+    feats = cut_lineage(ring_features(spark, sf))
     src, tgt = fx.pair_sides(feats, cloud_pairs(spark, sf), fx.spread_descriptor())
-    found = mutual_top_k(src, tgt, ["src", "tgt", "class"], 3, descriptor_distance, None)
+    found = mutual_top_k(src, tgt, ["src", "tgt", "class"], 3, descriptor_distance)
     return cut_lineage(correspondences(found, feats))
 
 
@@ -33,8 +33,8 @@ ct AS (SELECT c.src, c.tgt, c.class, c.src_id, c.tgt_id,
    row_number() OVER (PARTITION BY c.src, c.tgt ORDER BY c.class, c.src_id, c.tgt_id) - 1 AS corr_id,
    a.mx AS sx, a.my AS sy, a.mz AS sz, b.mx AS tx, b.my AS ty, b.mz AS tz, a.l2 AS sl2, b.l2 AS tl2,
    {', '.join(f'a.{c} AS s{c}, b.{c} AS t{c}' for c in SYM)}
-   FROM corr c JOIN topf a ON a.cloud = c.src AND a.class = c.class AND a.id = c.src_id
-   JOIN topf b ON b.cloud = c.tgt AND b.class = c.class AND b.id = c.tgt_id),
+   FROM corr c JOIN ringf a ON a.cloud = c.src AND a.class = c.class AND a.id = c.src_id
+   JOIN ringf b ON b.cloud = c.tgt AND b.class = c.class AND b.id = c.tgt_id),
 prs2 AS (SELECT a.src, a.tgt, a.corr_id AS u, b.corr_id AS v,
    sqrt((b.sx - a.sx) * (b.sx - a.sx) + (b.sy - a.sy) * (b.sy - a.sy) + (b.sz - a.sz) * (b.sz - a.sz)) AS sl,
    sqrt((b.tx - a.tx) * (b.tx - a.tx) + (b.ty - a.ty) * (b.ty - a.ty) + (b.tz - a.tz) * (b.tz - a.tz)) AS tl,
@@ -57,7 +57,7 @@ POINT_SQL = edges_sql("abs(sl - tl) < 2.0 * {b}", LEVELS)
 
 
 def edge_table(spark, sf, kind="point", levels=LEVELS):
-    return cg.compatible_pairs(corr_table(spark, sf), PAIR, levels, kind, None)
+    return cg.compatible_pairs(corr_table(spark, sf), PAIR, levels, kind)
 
 
 @query("compat_graph_pyramid", f"""WITH {POINT_SQL}
@@ -214,7 +214,7 @@ SELECT src, tgt, a AS corr_id, min(b) AS component FROM reach GROUP BY src, tgt,
 @query("connected_components", COMPONENT_SQL)
 def connected_components(spark, sf):
     corr = corr_table(spark, sf)
-    edges = cg.compatible_pairs(corr, PAIR, LEVELS, "point", None).filter("min_level = 0")
+    edges = cg.compatible_pairs(corr, PAIR, LEVELS, "point").filter("min_level = 0")
 
     def node(c):
         return F.struct(*PAIR, F.col(c).alias("corr_id"))

@@ -79,25 +79,25 @@ cls AS (SELECT *, CASE WHEN l1 >= CAST(1.6 AS DOUBLE) * greatest(l0, 0.0) THEN '
 feat AS (SELECT *, round(CASE class WHEN 'Cluster' THEN (l0 / (l0 + l1 + l2)) * (l1 / (l0 + l1 + l2)) * (l2 / (l0 + l1 + l2))
                               WHEN 'Plane' THEN l1 * l2 WHEN 'Line' THEN l2 ELSE 0.0 END, 6) AS score,
          {cell_id_sql('vx', 'vy', 'vz')} AS id, sqrt(mx * mx + my * my + mz * mz) AS dist FROM cls),
-topf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cloud, class ORDER BY score DESC, id) AS rank
-         FROM feat WHERE dist BETWEEN 2.0 AND 60.0) WHERE rank <= 8)"""
+ringf AS (SELECT * FROM feat WHERE dist BETWEEN 2.0 AND 60.0)"""
 
 
 def features(spark, sf):
     return fx.voxel_features(tables.points(spark, sf), RULE)
 
 
-def top(spark, sf):
-    return fx.top_features(features(spark, sf), RULE)
+def ring_features(spark, sf):
+    """All features inside the range ring; only ``topk_per_class`` ranks and cuts them."""
+    return fx.in_range(features(spark, sf), RULE)
 
 
 def pair_lists(spark, sf, desc):
     """Both feature lists of every pair.
 
-    The lists are tiny next to the points and feed several joins, so they are written
+    The lists are small next to the points and feed several joins, so they are written
     out once instead of scanning the points for each use.
     """
-    return fx.pair_sides(cut_lineage(top(spark, sf)), cloud_pairs(spark, sf), desc)
+    return fx.pair_sides(cut_lineage(ring_features(spark, sf)), cloud_pairs(spark, sf), desc)
 
 
 @query("shape_classes", f"WITH {FEATURE_SQL} SELECT cloud, id, class, n, score FROM feat")
@@ -117,9 +117,11 @@ def eigen_features(spark, sf):
     return features(spark, sf).select("cloud", "id", *[F.round(v, 5).alias(n) for n, v in zip(names, values)])
 
 
-@query("topk_per_class", f"WITH {FEATURE_SQL} SELECT cloud, class, id, CAST(rank AS INT) AS rank, score FROM topf")
+@query("topk_per_class", f"""WITH {FEATURE_SQL}
+SELECT cloud, class, id, rank, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY cloud, class ORDER BY score DESC, id) AS INT) AS rank FROM ringf) WHERE rank <= 8""")
 def topk_per_class(spark, sf):
-    return top(spark, sf).select("cloud", "class", "id", "rank", "score")
+    return fx.top_features(features(spark, sf), RULE).select("cloud", "class", "id", "rank", "score")
 
 
 def cloud_pairs(spark, sf):
@@ -135,7 +137,7 @@ SIM_SQL = f"""{FEATURE_SQL}, {PAIR_SQL},
 sim AS (SELECT p.src, p.tgt, a.class, a.id AS src_id, b.id AS tgt_id,
    sqrt(pow(sqrt(greatest(a.l0, 0.0)) - sqrt(greatest(b.l0, 0.0)), 2) + pow(sqrt(greatest(a.l1, 0.0)) - sqrt(greatest(b.l1, 0.0)), 2)
         + pow(sqrt(greatest(a.l2, 0.0)) - sqrt(greatest(b.l2, 0.0)), 2)) AS dist
-   FROM prs p JOIN topf a ON a.cloud = p.src JOIN topf b ON b.cloud = p.tgt AND b.class = a.class)"""
+   FROM prs p JOIN ringf a ON a.cloud = p.src JOIN ringf b ON b.cloud = p.tgt AND b.class = a.class)"""
 MUTUAL_SQL = f"""{SIM_SQL},
 corr AS (SELECT src, tgt, class, src_id, tgt_id, dist FROM (
    SELECT *, row_number() OVER (PARTITION BY src, tgt, class, src_id ORDER BY dist, tgt_id) AS ri,
@@ -145,7 +147,7 @@ corr AS (SELECT src, tgt, class, src_id, tgt_id, dist FROM (
 
 def matches(spark, sf, k=3):
     src, tgt = pair_lists(spark, sf, fx.spread_descriptor())
-    return matching.mutual_top_k(src, tgt, ["src", "tgt", "class"], k, descriptor_distance, None)
+    return matching.mutual_top_k(src, tgt, ["src", "tgt", "class"], k, descriptor_distance)
 
 
 @query("mutual_topk", f"WITH {MUTUAL_SQL} SELECT src, tgt, class, src_id, tgt_id, round(dist, 5) AS dist FROM corr")
@@ -154,7 +156,7 @@ def mutual_topk(spark, sf):
 
 
 EV_SQL = f"""{FEATURE_SQL}, {PAIR_SQL},
-s AS (SELECT cloud, class, id, l0 / (l0 + l1 + l2) AS e3, l1 / (l0 + l1 + l2) AS e2, l2 / (l0 + l1 + l2) AS e1 FROM topf),
+s AS (SELECT cloud, class, id, l0 / (l0 + l1 + l2) AS e3, l1 / (l0 + l1 + l2) AS e2, l2 / (l0 + l1 + l2) AS e1 FROM ringf),
 d AS (SELECT cloud, class, id, [(e1 - e2) / e1, (e2 - e3) / e1, e3 / e1, pow(e1 * e2 * e3, CAST(1 AS DOUBLE) / 3), (e1 - e3) / e1,
   -e1 * ln(e1) - e2 * ln(e2) - e3 * ln(e3), e1 + e2 + e3, e3 / (e1 + e2 + e3)] AS v FROM s),
 sim AS (SELECT p.src, p.tgt, a.class, a.id AS src_id, b.id AS tgt_id, list_distance(a.v, b.v) AS dist
@@ -168,20 +170,20 @@ SELECT src, tgt, class, src_id, tgt_id, round(dist, 5) AS dist FROM (
    WHERE ri <= 3 AND rj <= 3""")
 def mutual_topk_eigen(spark, sf):
     src, tgt = pair_lists(spark, sf, fx.eigen_descriptor())
-    return rounded(matching.mutual_top_k(src, tgt, ["src", "tgt", "class"], 3, descriptor_distance, None), ["dist"], 5)
+    return rounded(matching.mutual_top_k(src, tgt, ["src", "tgt", "class"], 3, descriptor_distance), ["dist"], 5)
 
 
 @query("class_pairs", f"""WITH {FEATURE_SQL}, {PAIR_SQL}
-SELECT p.src, p.tgt, a.class, a.id AS src_id, b.id AS tgt_id FROM prs p JOIN topf a ON a.cloud = p.src
-JOIN topf b ON b.cloud = p.tgt AND b.class = a.class""")
+SELECT p.src, p.tgt, a.class, a.id AS src_id, b.id AS tgt_id FROM prs p JOIN ringf a ON a.cloud = p.src
+JOIN ringf b ON b.cloud = p.tgt AND b.class = a.class""")
 def class_pairs(spark, sf):
     src, tgt = pair_lists(spark, sf, fx.spread_descriptor())
     return matching.all_to_all(src, tgt, ["src", "tgt", "class"])
 
 
 @query("first_k", f"""WITH {FEATURE_SQL}, {PAIR_SQL},
-h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cloud, class ORDER BY (id % 1000003 * 7919 + 17) % 1000003, id) AS r FROM topf) WHERE r <= 3)
-SELECT p.src, p.tgt, a.class, a.id AS src_id, b.id AS tgt_id FROM prs p JOIN topf a ON a.cloud = p.src
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cloud, class ORDER BY (id % 1000003 * 7919 + 17) % 1000003, id) AS r FROM ringf) WHERE r <= 3)
+SELECT p.src, p.tgt, a.class, a.id AS src_id, b.id AS tgt_id FROM prs p JOIN ringf a ON a.cloud = p.src
 JOIN h b ON b.cloud = p.tgt AND b.class = a.class""")
 def first_k(spark, sf):
     src, tgt = pair_lists(spark, sf, fx.spread_descriptor())
