@@ -70,7 +70,14 @@ class EliasFano:
         one = byte * 8 + int(bits[left])
         return ((one - i) << self.low) | int(self._low(np.array([i]))[0])
 
-    def all(self) -> np.ndarray:
-        i = np.arange(self.n)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
+    def block(self, first: int, last: int) -> np.ndarray:
+        """select for positions ``first`` to ``last`` (exclusive): only the bytes between their samples are looked at."""
+        first, last = max(first, 0), min(last, self.n)
+        if first >= last:
+            return np.empty(0, np.uint64)
+        at, after = int(self.samples[first // STEP]), (last - 1) // STEP + 1
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[at >> 3 : (end >> 3) + 1], bitorder="little")) + (at & ~7)
+        ones = ones[np.searchsorted(ones, at) + first % STEP :][: last - first]
+        i = np.arange(first, last)
         return ((ones - i).astype(np.uint64) << np.uint64(self.low)) | self._low(i)

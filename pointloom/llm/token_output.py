@@ -19,6 +19,8 @@ from .tokens import encoder
 
 MAGIC = b"PTLOOM01"
 _TAIL = "<QQQQB7x8s"  # documents, null ids, bytes of ids, bytes of the index, width of an id, magic
+#: Documents whose boundaries are selected together.
+_BLOCK = 4096
 _MANIFEST = "shard int, uri string, n_docs bigint, n_tokens bigint, n_bytes bigint"
 
 
@@ -123,17 +125,19 @@ def _read(with_ids: bool, most: int = 1 << 20):
         for batch in batches:
             for uri, first in zip(batch.column("uri").to_pylist(), batch.column("first").to_pylist()):
                 f = TokenFile(uri)
-                bounds = f.bounds.all().astype(np.int64)
-                docs = [int(x) + f.shift for x in f.doc_ids.all()] + [None] * f.n_null
                 at = 0
                 while at < f.n_docs:  # some documents at a time: at most ``most`` ids, or one document
-                    end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
-                    ids = f.ids(int(bounds[at]), int(bounds[end]))
-                    cut = [ids[a:b] for a, b in zip(bounds[at:end] - bounds[at], bounds[at + 1 : end + 1] - bounds[at])]
+                    frame = f.bounds.block(at, at + _BLOCK + 1).astype(np.int64)
+                    n = max(1, int(np.searchsorted(frame, frame[0] + most, "right")) - 1)
+                    frame = frame[: n + 1]
+                    end = at + len(frame) - 1
+                    known = [int(x) + f.shift for x in f.doc_ids.block(at, end)]
+                    ids = f.ids(int(frame[0]), int(frame[-1]))
+                    cut = [ids[a:b] for a, b in zip(frame[:-1] - frame[0], frame[1:] - frame[0])]
                     columns = [
-                        pa.array(docs[at:end], pa.int64()),
-                        pa.array(bounds[at:end] + first),
-                        pa.array(np.diff(bounds[at : end + 1])),
+                        pa.array(known + [None] * (end - at - len(known)), pa.int64()),
+                        pa.array(frame[:-1] + first),
+                        pa.array(np.diff(frame)),
                         pa.array([zlib.crc32(c.tobytes()) for c in cut], pa.int64()),
                         pa.array([c.tolist() for c in cut] if with_ids else [None] * len(cut), pa.list_(pa.int64())),
                     ]

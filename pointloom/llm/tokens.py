@@ -27,7 +27,8 @@ class Encoder:
       with other characters on both sides.
     * ``dropped``: white space only separates words.  A text is cut at blanks and line ends.
 
-    All other tokenizers encode whole texts.  The cache is emptied when it is full.
+    All other tokenizers encode whole texts, and so are texts that hold the string of an added
+    token, which the library finds before it splits.  The cache is emptied when it is full.
     """
 
     def __init__(self, path: str):
@@ -37,8 +38,9 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = f.read()
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = _kind(json.loads(spec))
+        parsed = json.loads(spec)
+        self.added = [t["content"].lower() for t in parsed.get("added_tokens") or ()]
+        self.kind = _kind(parsed)
         self.size = self.tokenizer.get_vocab_size()
         self.folds = '"Lowercase"' in spec
         self.marks = dict(zip(_MARKS, self._encode(list(_MARKS)))) if self.kind != "whole" else {}
@@ -56,7 +58,7 @@ class Encoder:
             cache.clear()
             new = list(parts)
         long = [p for p in new if len(p) > _LONG]
-        marked = [p for p in new if p[-1:] in self.marks and len(p) <= _LONG and p[:-1].isalpha() and max(p) < "\u0250"]
+        marked = [p for p in new if p[-1:] in self.marks and len(p) <= _LONG and _letters(p[:-1])]
         ends = set(marked)
         new = {p for p in new if len(p) <= _LONG and p not in ends}
         new |= {p[:-1] for p in marked if p[:-1] not in cache}
@@ -83,6 +85,20 @@ class Encoder:
     def _slice(self, texts: list[str]) -> list[bytes]:
         if self.kind == "whole":
             return self._encode(texts)
+        whole = [i for i, t in enumerate(texts) if self._has_added(t)]
+        if whole:
+            held = set(whole)
+            out = self._by_word([t if i not in held else "" for i, t in enumerate(texts)])
+            for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
+                out[i] = ids
+            return out
+        return self._by_word(texts)
+
+    def _has_added(self, text: str) -> bool:
+        low = text.lower()
+        return any(a in low for a in self.added)
+
+    def _by_word(self, texts: list[str]) -> list[bytes]:
         if self.kind == "dropped":
             parts = [(_folded(t) if self.folds else t).replace("\n", " ").split(" ") for t in texts]
             table = self._learn(self.plain, set().union(*parts), "")
@@ -97,6 +113,11 @@ class Encoder:
         ]
 
 
+def _letters(word: str) -> bool:
+    """Only letters that stay one letter each in lower case and combine with nothing."""
+    return word.isalpha() and max(word) < "\u0250" and len(word.lower()) == len(word)
+
+
 def _folded(text: str) -> str:
     """A-Z in lower case if no character could combine with them; the tokenizer does the rest."""
     try:

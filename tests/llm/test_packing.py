@@ -14,7 +14,6 @@ from pointloom.llm import packing, queries
 
 def check(got, docs, capacity, path, end_id=1):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = []
     for i, text in docs:
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [end_id], "<u4")
@@ -69,4 +68,4 @@ def test_evolution_beats_best_fit():
     plain = packing.Packing(sizes, 1000).best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]))
     best = packing.evolve(sizes, 1000, 1, [], generations=200)
     assert sorted(i for b in best.bins for i in b) == list(range(len(sizes)))
-    assert 60 <= len(best.bins) <= len(plain.bins)
+    assert 60 <= len(best.bins) < len(plain.bins)

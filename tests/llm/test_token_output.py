@@ -18,7 +18,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def expected(docs):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     at, out = 0, []
     for i, text in docs:
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
@@ -35,7 +34,7 @@ def test_whole_table(spark):
 
 
 def test_edges_and_random_access(spark):
-    docs = [(-5, "minus"), (3, None), (4, ""), (9, "long " * 5000), (9, "again"), (9, "again"), (70, "é\0 end"), (None, "none"), (None, None)]
+    docs = [(-5, "minus"), (3, None), (4, ""), (9, "long " * 5000), (9, "again"), (9, "again"), (70, "é\0 end"), (80, "hello <|endoftext|> world"), (None, "none"), (None, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).withColumn("uri", F.lit("x")).withColumn("start", F.lit(1))
     manifest = write_tokens(df, PATH, end_id=2)
     got = read_tokens(manifest, with_ids=True).collect()
@@ -43,7 +42,7 @@ def test_edges_and_random_access(spark):
     key = lambda x: (x[0] is None, x[0] or 0, x[2], x[3])
     assert sorted([(r["doc_id"], 0, r["n_tokens"], r["ids_crc32"]) for r in got], key=key) == sorted([(i, 0, n, c) for i, _, n, c in expected(docs)], key=key)
     order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
-    assert order == [-5, 3, 4, 9, 9, 9, 70, None, None]
+    assert order == [-5, 3, 4, 9, 9, 9, 70, 80, None, None]
     seen = []
     for r in manifest.orderBy("shard").collect():
         f = TokenFile(r["uri"])
@@ -65,7 +64,9 @@ def test_elias_fano(n):
         data = encode(np.array(values, np.uint64))
         ef = EliasFano(data + b"more")
         assert ef.size == len(data)
-        assert ef.all().tolist() == values
+        assert ef.block(0, n).tolist() == values
+        for a, b in [(0, 1), (n // 3, n // 2), (250, 260), (n - 3, n + 9)]:
+            assert ef.block(a, b).tolist() == values[max(a, 0) : max(b, 0)]
         assert [ef[i] for i in range(0, n, 7)] == values[::7]
         if n == 5000:
             assert len(data) * 8 < n * (2.2 + max(0, np.log2(max(1, most / n)))) + 800

@@ -1,5 +1,6 @@
 """Word-wise encoding against the library on whole texts."""
 
+import json
 import random
 
 import numpy as np
@@ -14,10 +15,13 @@ from pointloom.llm import tokens
 def test_equals_the_library(spark, name):
     path = public_tokenizers.path(name)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     rnd = random.Random(4)
     odd = ["a", "B", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x1f", "\x85", "\xa0", " ", "　", "é", "́", "İ", "ß", "'s", "'", "12", "...", "<|endoftext|>", "日本", "🙂", "\0", "_", "ﬁ", "Σ", "."]
     texts = ["", " ", "\n", " a", "a ", None] + ["".join(rnd.choice(odd) for _ in range(rnd.randrange(1, 30))) for _ in range(3000)]
+    texts += ["".join(rnd.choice("ab ,.!İıǅſKÅ;ǰ") + chr(rnd.randrange(1, 0x2FF)) + rnd.choice(["", "!", ".", " "]) for _ in range(6)) for _ in range(3000)]
+    texts += ["".join(chr(rnd.choice([rnd.randrange(32, 0xD7FF), rnd.randrange(0xE000, 0x1FFFF)])) for _ in range(20)) for _ in range(2000)]
+    texts += ["hello <|endoftext|> world", "<|ENDOFTEXT|>", "a<|endoftext|>b", "<|endoftext|", "x <|startoftext|>  y", "<|endoftext|><|endoftext|>"]
+    texts += [f"one {t['content']} two{t['content']}" for t in json.loads(whole.to_str())["added_tokens"]]
     texts += ["x" * 500, "word " * 300 + "y" * 200]
     texts += [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     enc = tokens.Encoder(path)
