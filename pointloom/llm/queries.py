@@ -174,3 +174,91 @@ def op10_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = decode_pieces(encode_pieces(read(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_crc32(F.col("ids")).alias("ids_crc32"), same.alias("round_trip"))
+
+
+_WORDS = rf"len(list_filter(string_split_regex(coalesce(text, ''), '{_W}+'), lambda x: x <> ''))"
+
+MIX_SQL = rf"""WITH d AS (SELECT doc_id, source, {_WORDS}::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS rk FROM s),
+q AS (SELECT *, list_extract([5, 2, 1], ((rk - 1) % 3 + 1)::INT)::DOUBLE AS weight, source_size::DOUBLE * 2 AS lim FROM r),
+w AS (SELECT *, lim / weight AS ratio, sum(lim) OVER o AS c, sum(weight) OVER o AS ws, row_number() OVER o AS k FROM q
+      WINDOW o AS (ORDER BY lim / weight, rk ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT CAST(1.5 AS DOUBLE) * sum(source_size)::DOUBLE AS wanted, sum(weight) AS wt FROM q),
+l AS (SELECT arg_min(level, k) AS level FROM (SELECT k, ratio, (wanted - (c - lim)) / (wt - (ws - weight)) AS level FROM w, t) WHERE level <= ratio),
+g AS (SELECT source, source_size, least(lim, level * weight) AS target FROM w, l),
+p AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS rate,
+   row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, d.doc_id) AS place FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+u AS (SELECT source, j, list_sum(list_transform(range(1, 9), lambda i: (strpos('0123456789abcdef', substr(h, i, 1)) - 1) * (1::BIGINT << (4 * (8 - i)))))::DOUBLE / 4294967296 AS u
+   FROM (SELECT source, j, md5(concat('11/', j, '/', CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END)) AS h FROM s, range(16) x(j))),
+c AS (SELECT p.*, u.j, (floor(rate * place + u) - floor(rate * (place - 1) + u))::BIGINT AS copies FROM p JOIN u ON p.source IS NOT DISTINCT FROM u.source),
+b AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY abs(sum(copies * size)::DOUBLE - any_value(target)), j) AS best, j FROM c GROUP BY source, j)
+SELECT doc_id, size, source_size, target, copies * size AS taken FROM c JOIN b ON c.j = b.j AND c.source IS NOT DISTINCT FROM b.source WHERE best = 1"""
+
+
+@query("op11_source_mixing", MIX_SQL)
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mix takes of them."""
+    from .mixing import sample_sources
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return sample_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+HARD_SQL = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+sc AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS s
+   FROM v a JOIN v b ON a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, s AS positive_score FROM (
+   SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, id) AS r FROM sc WHERE same AND id <> anchor_id) WHERE r <= 5)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM (
+   SELECT p.*, id AS negative_id, s AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, id) AS rank
+   FROM p JOIN sc USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s AND 100 * s <= 95 * positive_score) WHERE rank <= 3"""
+
+
+@query("op12_hard_negatives", HARD_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for every anchor (ids divisible by 50) among all vectors."""
+    from pyspark.sql import functions as F
+
+    from .hard_negatives import hard_negatives
+
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+AUDIT_SQL = rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+   list_filter(string_split_regex(coalesce(text, ''), '{_W}+'), lambda x: x <> '') AS w FROM documents),
+m AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x
+     WHEN 'A' THEN len(w) < 200 WHEN 'B' THEN 100 * len(list_distinct(w)) < 50 * len(w)
+     WHEN 'C' THEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) WHEN 'D' THEN regexp_matches(t, '[#$%&*|]')
+     ELSE coalesce(d.doc_id, 9223372036854775807) > first END) AS fails
+   FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS first FROM d) d LEFT JOIN m USING (doc_id)),
+h AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.x || b.x || c.x || e.x || g.x AS filter_order FROM l a JOIN l b ON b.x <> a.x JOIN l c ON c.x NOT IN (a.x, b.x)
+   JOIN l e ON e.x NOT IN (a.x, b.x, c.x) JOIN l g ON g.x NOT IN (a.x, b.x, c.x, e.x)),
+st AS (SELECT filter_order, step::INT AS step, substr(filter_order, step::INT, 1) AS x, string_split(substr(filter_order, 1, step::INT - 1), '') AS before
+   FROM o, range(1, 6) r(step)),
+k AS (SELECT part, filter_order, step, x,
+   coalesce(sum(n) FILTER (NOT list_has_any(fails, before) AND NOT list_contains(fails, x)), 0)::BIGINT AS kept,
+   coalesce(sum(n) FILTER (NOT list_has_any(fails, before) AND list_contains(fails, x)), 0)::BIGINT AS removed,
+   coalesce(sum(n) FILTER (list_has_any(fails, before) AND list_contains(fails, x)), 0)::BIGINT AS redundant,
+   coalesce(sum(n) FILTER (fails = [x]), 0)::BIGINT AS unique_fails,
+   coalesce(sum(good) FILTER (NOT list_has_any(fails, before) AND list_contains(fails, x)), 0)::BIGINT AS good_lost,
+   coalesce(sum(toxic) FILTER (NOT list_has_any(fails, before) AND list_contains(fails, x)), 0)::BIGINT AS toxic_lost
+   FROM h, st GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+   (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM k"""
+
+
+@query("op13_filter_audit", AUDIT_SQL)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, in all orders, for every source."""
+    from .filter_audit import filter_audit
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit(docs, read(spark, sf_dir, "labels"))
