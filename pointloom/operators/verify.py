@@ -27,7 +27,7 @@ def drop_near_repeats(candidates: DataFrame, pair: list[str], tolerance: float =
 
 
 def score_candidates(samples: DataFrame, targets: DataFrame, candidates: DataFrame, pair: list[str], kernel: str,
-                     scale: float, cell: float, squared: bool = False) -> DataFrame:
+                     scale: float, squared: bool = False) -> DataFrame:
     """Mean robust residual of every candidate.
 
     ``samples``: pair, ``sid``, x y z.  ``targets``: pair, ``tid``, x y z and, unless
@@ -37,13 +37,12 @@ def score_candidates(samples: DataFrame, targets: DataFrame, candidates: DataFra
     moved = samples.join(candidates, pair)
     point = rigid_apply("tf", tuple(F.col(c) for c in "xyz"))
     queries = moved.select(*pair, F.struct("level", "sid").alias("qid"), *[p.alias(c) for p, c in zip(point, "xyz")])
-    hits = nearest(queries, targets, pair, cell)
     if squared:
+        rows = nearest(queries, targets.select(*pair, "tid", "x", "y", "z"), pair)
         value = F.col("d2")
-        rows = hits
     else:
-        axis = targets.select(*pair, "tid", *[F.col(c).alias("v" + c) for c in "xyz"], "kind", "ax", "ay", "az")
-        rows = hits.join(queries, [*pair, "qid"]).join(axis, [*pair, "tid"])
+        centre = {"v" + c: F.col(c) for c in "xyz"}
+        rows = nearest(queries, targets.withColumns(centre), pair, [*centre, "kind", "ax", "ay", "az"])
         value = voxel_residual(
             tuple(F.col(c) for c in "xyz"), tuple(F.col("v" + c) for c in "xyz"), F.col("kind"),
             tuple(F.col("a" + c) for c in "xyz"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import bin_overlap_distance, descriptor_distance
+from ..functions.scalar import bin_overlap_distance
 from ..operators import boxes, descriptors, matching, voxels
 from ..session import cut_lineage
 from . import tables
@@ -59,7 +59,7 @@ def fpfh_matches(spark, sf):
     desc = cut_lineage(descriptors.fpfh(f, ["cloud"], 30.0))
     pairs = cut_lineage(cloud_pairs(spark, sf))
     src, tgt = (pairs.join(desc.withColumnRenamed("cloud", c), c) for c in ("src", "tgt"))
-    return rounded(matching.mutual_top_k(src, tgt, ["src", "tgt"], 5, descriptor_distance), ["dist"], 4)
+    return rounded(matching.mutual_nearest(src, tgt, ["src", "tgt"], 5), ["dist"], 4)
 
 
 @query("iss_keypoints")

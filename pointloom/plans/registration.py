@@ -165,7 +165,7 @@ def keypoint_front_end(points: DataFrame, pairs: DataFrame, cfg: Config, keypoin
     wanted = descriptors.iss_keypoints(small, CLOUD, res).select("cloud", "id") if keypoints else None
     desc = cut_lineage(descriptors.fpfh(shaped, CLOUD, 8.0 * res if keypoints else cfg.fpfh_radius, wanted))
     src, tgt = (pairs.select(*PAIR, F.col(c).alias("cloud")).join(desc, "cloud").drop("cloud") for c in ("src", "tgt"))
-    found = matching.mutual_top_k(src, tgt, PAIR, 5 if keypoints else 1, descriptor_distance)
+    found = matching.mutual_nearest(src, tgt, PAIR, 5 if keypoints else 1)
     for side, p in (("src", "s"), ("tgt", "t")):
         at = small.select(F.col("cloud").alias(side), F.col("id").alias(side + "_id"), *[F.col(a).alias(p + a) for a in "xyz"])
         found = found.join(at, [side, side + "_id"])
@@ -285,7 +285,7 @@ def verify_candidates(cand: DataFrame, pairs: DataFrame, cfg: Config, points: Da
         small = cut_lineage(voxels.downsample(points, CLOUD, res).withColumn("key", F.struct(*voxels.KEY)))
         samples = pairs.join(small.select(F.col("cloud").alias("src"), F.col("key").alias("sid"), "x", "y", "z"), "src")
         targets = pairs.join(small.select(F.col("cloud").alias("tgt"), F.col("key").alias("tid"), "x", "y", "z"), "tgt")
-        scores = verify.score_candidates(samples, targets, cand.drop("valid"), PAIR, "dcs", 2.0 * res, res, squared=True)
+        scores = verify.score_candidates(samples, targets, cand.drop("valid"), PAIR, "dcs", 2.0 * res, squared=True)
         return verify.best_candidate(scores, cand, PAIR)
     if method == "plane_based":
         vox = voxels.voxel_gaussians(points, CLOUD, res, 10, cfg.eigen_ratio)
@@ -295,7 +295,7 @@ def verify_candidates(cand: DataFrame, pairs: DataFrame, cfg: Config, points: Da
     sampled = sampled.select(F.col("cloud").alias("src"), F.struct("pid", "x", "y", "z").alias("sid"), "x", "y", "z")
     targets = kinds.select(F.col("cloud").alias("tgt"), F.struct(*voxels.KEY).alias("tid"), *[F.col("m" + a).alias(a) for a in "xyz"], "kind", "ax", "ay", "az")
     kept = cut_lineage(verify.drop_near_repeats(cand, PAIR))
-    scores = verify.score_candidates(pairs.join(sampled, "src"), pairs.join(targets, "tgt"), kept, PAIR, cfg.robust_kernel, res, res)
+    scores = verify.score_candidates(pairs.join(sampled, "src"), pairs.join(targets, "tgt"), kept, PAIR, cfg.robust_kernel, res)
     return verify.best_candidate(scores, kept, PAIR)
 
 

@@ -80,7 +80,7 @@ def nearest_centres(spark, sf):
     moved = samples.join(candidates, PAIR)
     q = moved.select(*PAIR, F.struct("level", "sid").alias("qid"), (F.col("x") + F.col("tf")[3]).alias("x"),
                      (F.col("y") + F.col("tf")[7]).alias("y"), "z")
-    out = spatial.nearest(q, targets, PAIR, 16.0)
+    out = spatial.nearest(q, targets.select(*PAIR, "tid", "x", "y", "z"), PAIR)
     return out.select(*PAIR, F.col("qid.level").cast("long").alias("level"), F.col("qid.sid.pid").alias("pid"),
                       F.round("qid.sid.x", 6).alias("x"), F.round(F.sqrt("d2"), 5).alias("dist"))
 
@@ -93,7 +93,7 @@ scr AS (SELECT src, tgt, level, avg(CAST(256 AS DOUBLE) * (1.0 - exp(-(rr * rr)
 @query("candidate_scores", f"WITH {SCORE_SQL} SELECT src, tgt, level, round(score, 4) AS score, n FROM scr")
 def candidate_scores(spark, sf):
     samples, targets, candidates = verify_inputs(spark, sf)
-    s = verify.score_candidates(samples, targets, candidates, PAIR, "dcs", 16.0, 16.0)
+    s = verify.score_candidates(samples, targets, candidates, PAIR, "dcs", 16.0)
     return s.select(*PAIR, F.col("level").cast("long").alias("level"), F.round("score", 4).alias("score"), "n")
 
 
@@ -102,7 +102,7 @@ def candidate_scores(spark, sf):
 def nn_verify(spark, sf):
     samples, targets, candidates = verify_inputs(spark, sf)
     candidates = cut_lineage(verify.drop_near_repeats(candidates, PAIR))
-    s = verify.score_candidates(samples, targets, candidates, PAIR, "dcs", 16.0, 16.0)
+    s = verify.score_candidates(samples, targets, candidates, PAIR, "dcs", 16.0)
     best = verify.best_candidate(s, candidates, PAIR, 7)
     return best.select(*PAIR, F.col("level").cast("long").alias("level"), F.round("score", 4).alias("score"))
 

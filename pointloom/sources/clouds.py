@@ -1,7 +1,7 @@
 """Point cloud files as DataFrames of points.
 
-A file is one sensor sweep of a few MB; Spark lists the files, spreads them over tasks and
-each task decodes its files in Arrow batches.
+Readers by path pattern, one task per file, for stores that only Spark's own readers reach;
+``cloud_source`` reads whole dataset folders by ranges and with pushed filters.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linalg import axis_angle, rigid
 from ..functions.scalar import file_stem
+from .pcd import parse_pcd
 
 POINT_SCHEMA = "path string, point_id long, x float, y float, z float"
 _ARROW = pa.schema([("path", pa.string()), ("point_id", pa.int64()), ("x", pa.float32()), ("y", pa.float32()), ("z", pa.float32())])
@@ -32,26 +33,6 @@ def _decode_bin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(path, np.frombuffer(content.as_buffer(), dtype="<f4").reshape(-1, 4)[:, :3])
 
 
-def parse_pcd(content: bytes) -> np.ndarray:
-    """x, y, z of an ASCII or uncompressed binary PCD file."""
-    head, _, body = content.partition(b"\nDATA ")
-    kind, _, body = body.partition(b"\n")
-    fields = dict(line.split(None, 1) for line in head.decode("ascii").splitlines() if " " in line and not line.startswith("#"))
-    names, sizes, types = (fields[k].split() for k in ("FIELDS", "SIZE", "TYPE"))
-    counts = fields.get("COUNT", " ".join("1" for _ in names)).split()
-    count = int(fields["POINTS"])
-    if kind.strip() == b"ascii":
-        at = [sum(int(c) for c in counts[: names.index(a)]) for a in "xyz"]
-        rows = [line.split() for line in body.decode("ascii").split("\n") if line.strip()]
-        return np.array([[float(r[i]) for i in at] for r in rows], dtype=np.float32).reshape(-1, 3)
-    if kind.strip() != b"binary":
-        raise ValueError(f"PCD data kind {kind!r} is not supported")
-    code = {"F": "f", "I": "i", "U": "u"}
-    dtype = np.dtype([(n, f"<{code[t]}{s}", (int(c),)) for n, s, t, c in zip(names, sizes, types, counts)])
-    rows = np.frombuffer(body, dtype=dtype, count=count)
-    return np.stack([rows[a][:, 0] for a in "xyz"], axis=1).astype(np.float32)
-
-
 def _decode_pcd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):

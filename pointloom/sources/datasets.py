@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linalg import rigid_mul
 from . import clouds, poses
+from .cloud_source import read_clouds
 from .text import numbered_lines, numbers
 
 # Session folders by sequence number.
@@ -83,7 +84,7 @@ def _kitti_poses(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _kitti360_clouds(spark: SparkSession, root: str) -> DataFrame:
-    raw = clouds.with_frame(clouds.read_bin(spark, f"{root}/data_3d_raw/*/velodyne_points/data/*.bin"), r"drive_(\d+)_sync")
+    raw = read_clouds(spark, root, "kitti360")
     return clouds.deskew(raw, poses.ego_motion(_kitti360_poses(spark, root)))
 
 
@@ -105,15 +106,14 @@ def _apollo_folders(spark: SparkSession, root: str, tail: str) -> list[str]:
 
 
 def _apollo_clouds(spark: SparkSession, root: str) -> DataFrame:
-    pts = clouds.read_pcd(spark, _apollo_folders(spark, root, "pcds/*.pcd"))
     named = F.broadcast(sessions(spark))  # 27 fixed rows
-    pts = pts.withColumn("session", poses.session_of(F.col("path"), "pcds"))
-    return pts.join(named, "session").withColumn("frame", F.regexp_extract("path", r"/(\d+)\.pcd$", 1).cast("int"))
+    return read_clouds(spark, root, "apollo").join(named, "seq")
 
 
+# Path formats of the four layouts.
 DATASETS: dict[str, Dataset] = {
     "kitti": Dataset(
-        lambda s, r: clouds.with_frame(clouds.read_bin(s, f"{r}/*/velodyne/*.bin"), r"/(\d+)/velodyne/"), _kitti_poses,
+        lambda s, r: read_clouds(s, r, "kitti"), _kitti_poses,
         lambda seq, frame: F.format_string("%02d/velodyne/%06d.bin", seq, frame),
     ),
     "kitti360": Dataset(
@@ -125,7 +125,7 @@ DATASETS: dict[str, Dataset] = {
         lambda seq, frame: F.concat(F.array(*[F.lit(v) for v in SESSIONS])[seq], F.format_string("pcds/%d.pcd", frame)),
     ),
     "hit_ms": Dataset(
-        lambda s, r: clouds.with_frame(clouds.read_pcd(s, f"{r}/*/pcd/*.pcd"), r"/(\d+)/pcd/"),
+        lambda s, r: read_clouds(s, r, "hit_ms"),
         lambda s, r: poses.hit_poses(s, f"{r}/*/poses.txt"), lambda seq, frame: F.format_string("%02d/pcd/%d.pcd", seq, frame),
     ),
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text_sink import write_parts
+
 STATISTICS = ("rot_err", "trans_err", "total_time", "feature_time", "clique_time", "graph_time", "verify_time", "tf_solver_time")
 
 
@@ -20,12 +22,19 @@ def write_statistics(results: DataFrame, folder: str, per_sequence: bool = False
     ])
     by = ["seq"] if per_sequence else []
     rows = results.select(*by, F.explode(values).alias("_s")).select(*by, "_s.*").filter(F.col("value").isNotNull())
-    rows.withColumn("value", F.col("value").cast("string")).write.mode("overwrite").partitionBy(*by, "metric").text(folder)
+    name = F.concat(*([F.lit("seq="), F.col("seq").cast("string"), F.lit("/")] if per_sequence else []), F.lit("metric="), F.col("metric"))
+    lines = rows.select(name.alias("file"), F.col("value").cast("string").alias("value"))
+    write_parts(lines.repartitionByRange("file", "value").sortWithinPartitions("file", "value"), folder)
 
 
 def write_report(summary: DataFrame, folder: str) -> None:
     """Overall and per-sequence summary rows as JSON lines."""
-    summary.write.mode("overwrite").json(folder)
+    write_parts(summary.select(F.lit("summary.json").alias("file"), F.to_json(F.struct(*summary.columns)).alias("value")), folder)
+
+
+def write_log(results: DataFrame, folder: str) -> None:
+    """The log lines of all pairs."""
+    write_parts(pair_log(results).select(F.lit("pairs.log").alias("file"), "value").repartitionByRange("value").sortWithinPartitions("value"), folder)
 
 
 def pcd_parts(points: DataFrame, coloured: bool = False) -> DataFrame:
@@ -49,12 +58,13 @@ def write_pcd(points: DataFrame, folder: str, coloured: bool = False) -> None:
     """ASCII PCD text, one folder per cloud, header first in the part order.
 
     Rows are range-partitioned by (cloud, part, point) and sorted, so a large cloud spreads over
-    tasks and concatenating a cloud's part
-    files in name order gives the file.
+    tasks and concatenating a cloud's part files in name order gives the file.  A failed job
+    leaves the old folder whole.
     """
     lines = pcd_parts(points, coloured)
     ordered = lines.repartitionByRange("cloud", "part", "at").sortWithinPartitions("cloud", "part", "at")
-    ordered.select("cloud", "value").write.mode("overwrite").partitionBy("cloud").text(folder)
+    name = F.concat(F.lit("cloud="), F.col("cloud").cast("string"))
+    write_parts(ordered.select(name.alias("file"), "value"), folder)
 
 
 def feature_colours(points: DataFrame, feature: str) -> DataFrame:
