@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.linalg import SYM, add, cols, cross, dot, mat_vec, norm, rigid, rotate_sym, sub, with_eigenvalues, with_eigenvector
 from ..session import cut_lineage
+from .running import with_row_number
 from .voxels import gaussians
 
 CHUNK = 4096
@@ -36,29 +36,80 @@ def hull_rows(p: np.ndarray) -> np.ndarray:
     return np.array(half(order) + half(order[::-1]))
 
 
+def _steepest(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Per point of ``p``: greatest and least slope to later points of ``q``, least and greatest from earlier ones.
+
+    Points are in order of (u, v).  A point straight above is later and infinitely steep.
+    """
+    out = np.tile(np.array([-np.inf, np.inf, np.inf, -np.inf]), (len(p), 1))
+    step = max(1, (1 << 20) // max(1, len(q)))
+    for i in range(0, len(p), step):
+        du, dv = (q[None, :, k] - p[i : i + step, None, k] for k in range(2))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = np.where(du == 0, np.inf, dv / du)
+        later, before = (du > 0) | ((du == 0) & (dv > 0)), (du < 0) | ((du == 0) & (dv < 0))
+        out[i : i + step, 0] = np.where(later, slope, -np.inf).max(axis=1, initial=-np.inf)
+        out[i : i + step, 1] = np.where(later, slope, np.inf).min(axis=1, initial=np.inf)
+        out[i : i + step, 2] = np.where(before, slope, np.inf).min(axis=1, initial=np.inf)
+        out[i : i + step, 3] = np.where(before, slope, -np.inf).max(axis=1, initial=-np.inf)
+    return out
+
+
+def _hull_by_slabs(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Hull points of groups of any size, most of whose points may be corners.
+
+    A group is cut by u into slabs of at most ``CHUNK`` points.  A point is a corner above
+    if every later point lies less steeply than every earlier one, and below if more
+    steeply.  So each slab meets each other one in a task of its own, which returns the
+    steepest slopes of its points, and those merge by maximum and minimum.
+    """
+    placed = with_row_number(points.select(*keys, "u", "v"), keys, ["u", "v"], "_at")
+    slab = F.floor((F.col("_at") - 1) / CHUNK).alias("_slab")
+    slabs = cut_lineage(placed.groupBy(*keys, slab).agg(F.sort_array(F.collect_list(F.struct("u", "v"))).alias("_p")))
+    other = slabs.select(*keys, F.col("_slab").alias("_other"), F.col("_p").alias("_q"))
+
+    def slopes(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                p, q = (batch.column(c)[r].values for c in ("_p", "_q"))
+                p, q = (np.stack([x.field("u").to_numpy(), x.field("v").to_numpy()], axis=1) for x in (p, q))
+                own = [pa.array([batch.column(k)[r].as_py()] * len(p), batch.schema.field(k).type) for k in keys]
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, p.T), *map(pa.array, _steepest(p, q).T)], [*keys, "u", "v", "a", "b", "c", "d"])
+
+    names = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+    met = slabs.drop("_slab").join(other, keys).mapInArrow(slopes, f"{names}, u double, v double, a double, b double, c double, d double")
+    met = met.groupBy(*keys, "u", "v").agg(F.max("a").alias("a"), F.min("b").alias("b"), F.min("c").alias("c"), F.max("d").alias("d"))
+    # the first point has no earlier one and the last no later one: both are corners
+    corner = (F.col("a") < F.col("c")) | (F.col("b") > F.col("d"))
+    return points.join(met.filter(corner).select(*keys, "u", "v"), [*keys, "u", "v"], "left_semi").select(points.columns)
+
+
 def convex_hull(points: DataFrame, keys: list[str]) -> DataFrame:
     """Hull points of ``u, v`` per group; other columns are kept.
 
-    Hulls of bounded random chunks come first, then hulls of what is left, until a group
-    fits one chunk: the hull of hulls is the hull, and no task sees a whole large group.
+    Large groups lose most points by the hulls of bounded random chunks, as the hull of
+    hulls is the hull.  What then fits a chunk is finished in one; groups that stay larger,
+    because most of their points are corners, are compared slab by slab.
     """
     schema = points.schema
 
     def hull(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.drop(columns="_part").iloc[hull_rows(pdf[["u", "v"]].to_numpy())]
 
-    left = points.dropDuplicates([*keys, "u", "v"])
-    before = None
-    while True:
-        parts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.ceil(F.count(F.lit(1)) / CHUNK).alias("_parts"))
-        parts = cut_lineage(parts)
-        rows, most = parts.agg(F.sum("_rows"), F.max("_parts")).first()
-        if most is None or most == 1 or (before is not None and rows > 0.9 * before):
-            # one chunk per group, or next to every point is a corner already
-            return left.withColumn("_part", F.lit(0)).groupBy(*keys).applyInPandas(hull, schema)
-        before = rows
-        split = left.join(parts.drop("_rows"), keys).withColumn("_part", F.pmod(F.xxhash64("u", "v"), F.col("_parts"))).drop("_parts")
+    left, slabs = points.dropDuplicates([*keys, "u", "v"]), None
+    for last in (False, True):
+        parts = cut_lineage(left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_parts")))
+        if (parts.agg(F.max("_parts")).first()[0] or 0) <= 1:
+            break
+        split = left.join(parts, keys)
+        if last:
+            slabs = _hull_by_slabs(split.filter(F.col("_parts") > 1).select(points.columns), keys)
+            left = split.filter(F.col("_parts") == 1).select(points.columns)
+            break
+        split = split.withColumn("_part", F.pmod(F.xxhash64("u", "v"), F.col("_parts"))).drop("_parts")
         left = cut_lineage(split.groupBy(*keys, "_part").applyInPandas(hull, schema))
+    done = left.withColumn("_part", F.lit(0)).groupBy(*keys).applyInPandas(hull, schema)
+    return done if slabs is None else done.unionByName(slabs)
 
 
 def with_plane_basis(features: DataFrame) -> DataFrame:
@@ -74,48 +125,45 @@ def with_plane_basis(features: DataFrame) -> DataFrame:
     return df.withColumns({"f" + a: c for a, c in zip("xyz", f)})
 
 
-def box_score(points: np.ndarray, degrees: float) -> float:
-    """Area plus summed distance of the hull points to the box border."""
-    a = math.radians(degrees)
-    turn = np.array([[math.cos(a), math.sin(a)], [-math.sin(a), math.cos(a)]])
-    q = points @ turn.T
-    low, high = q.min(axis=0), q.max(axis=0)
-    return float(np.prod(high - low) + np.minimum(q - low, high - q).min(axis=1).sum())
+#: Candidate box angles: the middles of so many equal parts of a right angle.
+ANGLES = 128
+
+
+def best_angles(hull: DataFrame, keys: list[str], angles: int = ANGLES) -> DataFrame:
+    """Best box of the hull points ``u, v`` of each group among ``angles`` candidates.
+
+    Every point is turned by every candidate; the extremes per (group, angle) give the
+    boxes, and a second pass adds up how far the points are from the border.  The score is
+    area plus that sum; of equal scores (to nine digits) the smaller angle wins.
+    """
+    degrees = (F.col("k") + 0.5) * F.lit(90.0 / angles)
+    turned = hull.select(*keys, "u", "v", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))).alias("k")).withColumn("angle", degrees)
+    c, s = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
+    turned = turned.select(*keys, "k", "angle", (c * F.col("u") + s * F.col("v")).alias("p"), (c * F.col("v") - s * F.col("u")).alias("q"))
+    box = turned.groupBy(*keys, "k").agg(
+        F.min("p").alias("lo_u"), F.max("p").alias("hi_u"), F.min("q").alias("lo_v"), F.max("q").alias("hi_v")
+    )
+    gap = F.least(F.col("p") - F.col("lo_u"), F.col("hi_u") - F.col("p"), F.col("q") - F.col("lo_v"), F.col("hi_v") - F.col("q"))
+    area = (F.col("hi_u") - F.col("lo_u")) * (F.col("hi_v") - F.col("lo_v"))
+    scored = turned.join(box, [*keys, "k"]).groupBy(*keys, "k", "angle", "lo_u", "hi_u", "lo_v", "hi_v").agg(F.sum(gap).alias("_gaps"))
+    scored = scored.withColumn("score", area + F.col("_gaps"))
+    names = ["angle", "lo_u", "hi_u", "lo_v", "hi_v", "score"]
+    best = scored.groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct(F.round("score", 9), "k")).alias("_b"))
+    return best.select(*keys, "_b.*")
 
 
 def tight_boxes(points: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
     """Tight rotated box of each feature: ``size``, ``angle``, ``area``, box centre and its basis.
 
     ``features`` give the normal ``nx ny nz``.  Points are projected on the plane of the
-    normal; the box angle is found by halving [0, 90) towards the better quarter point
-    until one degree is left, on hull points only.
+    normal, reduced to their hull and boxed at the best of the candidate angles.
     """
     based = with_plane_basis(features.select(*keys, "nx", "ny", "nz"))
     rows = points.select(*keys, "x", "y", "z").join(based, keys)
     p = cols("")
     flat = rows.select(*keys, dot(p, cols("e")).alias("u"), dot(p, cols("f")).alias("v"))
     depth = rows.groupBy(*keys).agg(F.min(dot(p, cols("n"))).alias("w_low"), F.max(dot(p, cols("n"))).alias("w_high"))
-    hull = convex_hull(flat, keys)
-    names = {k: hull.schema[k].dataType.simpleString() for k in keys}
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = pdf[["u", "v"]].to_numpy()
-        low, high = 0.0, 90.0
-        while high - low > 1.0:
-            mid = (low + high) / 2.0
-            if box_score(pts, (low + mid) / 2.0) < box_score(pts, (high + mid) / 2.0):
-                high = mid
-            else:
-                low = mid
-        angle = (low + high) / 2.0
-        a = math.radians(angle)
-        q = pts @ np.array([[math.cos(a), math.sin(a)], [-math.sin(a), math.cos(a)]]).T
-        lo, hi = q.min(axis=0), q.max(axis=0)
-        head = pdf[keys].iloc[:1].reset_index(drop=True)
-        return head.assign(angle=angle, lo_u=lo[0], hi_u=hi[0], lo_v=lo[1], hi_v=hi[1], score=box_score(pts, angle))
-
-    schema = ", ".join([*(f"{k} {t}" for k, t in names.items()), "angle double, lo_u double, hi_u double, lo_v double, hi_v double, score double"])
-    boxes = hull.groupBy(*keys).applyInPandas(search, schema).join(depth, keys).join(based, keys)
+    boxes = best_angles(cut_lineage(convex_hull(flat, keys)), keys).join(depth, keys).join(based, keys)
     c, s = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
     turned = {**{"g" + a: c * F.col("e" + a) + s * F.col("f" + a) for a in "xyz"}, **{"h" + a: c * F.col("f" + a) - s * F.col("e" + a) for a in "xyz"}}
     boxes = boxes.withColumns(turned)

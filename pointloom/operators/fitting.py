@@ -8,6 +8,8 @@ themselves are read in place and never rewritten.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.linalg import add, dot, mat_vec, norm, rigid_apply, rigid_array, sub
 from ..session import cut_lineage
-from .pairs import tiled_pairs
+from .pairs import beside, tiled_pairs
 
 MOMENTS = ["w", *["s" + a for a in "xyz"], *["t" + a for a in "xyz"], *[f"h{i}{j}" for i in range(3) for j in range(3)]]
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
@@ -141,7 +143,8 @@ def gnc_fit(rows: DataFrame, keys: list[str], bound: float, model: str = "rotati
             per_stage: int = 4) -> tuple[DataFrame, DataFrame]:
     """Graduated non-convexity fit with truncated least squares.
 
-    Returns (one pose per group, rows with their final weight and inlier flag).  The
+    Returns (one pose per group and whether its cost settled, rows with their final weight and
+    inlier flag).  Rows are never shuffled while the state is small enough to be broadcast.  The
     loop state is one row per group: current pose and graduation, the previous ones
     (the weights of a round are a function of them), the last cost and a done flag.
     Rounds are chained ``per_stage`` at a time and the state is written out in between.
@@ -157,6 +160,7 @@ def gnc_fit(rows: DataFrame, keys: list[str], bound: float, model: str = "rotati
         F.lit(None).cast("double").alias("cost"), (F.coalesce(mu0, F.lit(0.0)) <= 0).alias("done"),
     )
     state, settled = cut_lineage(state), None
+    groups = state.count()
     for first in range(0, max_rounds, per_stage):
         live = state.filter(~F.col("done"))
         if live.isEmpty():
@@ -164,13 +168,13 @@ def gnc_fit(rows: DataFrame, keys: list[str], bound: float, model: str = "rotati
         finished = state.filter("done")
         settled = finished if settled is None else settled.unionByName(finished)
         for _ in range(min(per_stage, max_rounds - first)):
-            live = _gnc_round(rows, live, keys, bound2, model, factor, tolerance)
+            live = _gnc_round(rows, beside(live, groups), keys, bound2, model, factor, tolerance)
         state = cut_lineage(live)
     state = state if settled is None else state.unionByName(settled)
     weights = F.when(F.col("mu_w").isNull(), 1.0).otherwise(gnc_weight(residual2("tf_w"), F.col("mu_w"), bound2))
-    final = rows.join(state.select(*keys, "tf", "tf_w", "mu_w"), keys).withColumn("weight", weights)
+    final = rows.join(beside(state.select(*keys, "tf", "tf_w", "mu_w"), groups), keys).withColumn("weight", weights)
     final = final.withColumn("inlier", F.col("weight") >= inlier_weight).drop("tf", "tf_w", "mu_w")
-    return state.select(*keys, "tf"), final
+    return state.select(*keys, "tf", F.col("done").alias("converged")), final
 
 
 STATE = ("tf", "tf_w", "mu", "mu_w", "cost", "done")
@@ -202,7 +206,8 @@ def graduated_fit(rows: DataFrame, keys: list[str], bound: float, diameter: Data
                   max_rounds: int = 100, tolerance: float = 1e-6, per_stage: int = 4) -> DataFrame:
     """Rotation by graduated Geman-McClure line processes.
 
-    ``diameter`` has, per group, the larger extent of both sides in ``extent``.
+    ``diameter`` has, per group, the larger extent of both sides in ``extent``.  Returns the
+    pose of every group and whether it ``converged``.
     """
     bound2 = bound * bound
     rows = cut_lineage(rows)
@@ -211,6 +216,7 @@ def graduated_fit(rows: DataFrame, keys: list[str], bound: float, diameter: Data
         *keys, F.array(*[F.lit(v) for v in IDENTITY]).alias("tf"), (scale * scale / bound2).alias("mu"), F.lit(False).alias("done")
     )
     state, settled = cut_lineage(state), None
+    groups = state.count()
     for first in range(0, max_rounds, per_stage):
         live = state.filter(~F.col("done"))
         if live.isEmpty():
@@ -218,22 +224,22 @@ def graduated_fit(rows: DataFrame, keys: list[str], bound: float, diameter: Data
         finished = state.filter("done")
         settled = finished if settled is None else settled.unionByName(finished)
         for _ in range(min(per_stage, max_rounds - first)):
-            live = _graduated_round(rows, live, keys, bound2, factor, tolerance)
+            live = _graduated_round(rows, live, keys, bound2, factor, tolerance, groups)
         state = cut_lineage(live)
     state = state if settled is None else state.unionByName(settled)
-    return state.select(*keys, "tf")
+    return state.select(*keys, "tf", F.col("done").alias("converged"))
 
 
-def _graduated_round(rows, state, keys, bound2, factor, tolerance):
+def _graduated_round(rows, state, keys, bound2, factor, tolerance, groups):
     m = F.col("mu") * bound2
     ratio = m / (m + residual2("tf"))
-    sums = rows.join(state, keys).groupBy(*keys).agg(
+    sums = rows.join(beside(state, groups), keys).groupBy(*keys).agg(
         *moment_aggs(ratio * ratio), *[F.first(c).alias("p_" + c) for c in ("tf", "mu", "done")]
     )
     new = with_pose(sums, "rotation").select(*keys, "tf", F.col("p_mu").alias("mu"), "p_tf", "p_done")
     r2 = residual2("tf")
     carried = [F.first(c).alias(c) for c in ("tf", "mu", "p_tf", "p_done")]
-    new = rows.join(new, keys).groupBy(*keys).agg(F.sum(m * r2 / (m + r2)).alias("_cost"), *carried)
+    new = rows.join(beside(new, groups), keys).groupBy(*keys).agg(F.sum(m * r2 / (m + r2)).alias("_cost"), *carried)
     stop = (F.col("_cost") < tolerance) | (F.col("mu") < 1.0)
     done = F.col("p_done")
     return new.select(
@@ -242,27 +248,60 @@ def _graduated_round(rows, state, keys, bound2, factor, tolerance):
     )
 
 
-def extent_bound(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Larger bounding-box diagonal of both sides: a linear-time stand-in for the diameter."""
-    spans = [F.max(c) - F.min(c) for c in ("sx", "sy", "sz", "tx", "ty", "tz")]
-    g = rows.groupBy(*keys).agg(*[s.alias(f"d{i}") for i, s in enumerate(spans)])
-    a, b = (norm(tuple(F.col(f"d{i}") for i in r)) for r in (range(3), range(3, 6)))
-    return g.select(*keys, F.greatest(a, b).alias("extent"))
+#: Directions whose extreme points give a first lower bound of a diameter.
+_WAYS = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, -1, 0), (1, 0, 1), (1, 0, -1), (0, 1, 1), (0, 1, -1), (1, 1, 1), (1, 1, -1), (1, -1, 1), (-1, 1, 1)]
+#: Parts of a group's box per axis.
+_GRID = 8
+
+
+def set_diameter(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact largest distance between two points ``x y z`` of each group: ``diameter``.
+
+    The extreme points in some directions give a lower bound.  Points whose farthest box
+    corner is nearer than that are out; the rest meet cell against cell, in tiles, and only
+    where the far corners of both cells are at least the bound apart.
+    """
+    rows = cut_lineage(points.select(*keys, *[F.col(a).cast("double").alias(a) for a in "xyz"]).distinct())
+    here = F.struct("x", "y", "z")
+    along = [sum((F.col(a) * w for a, w in zip("xyz", way)), F.lit(0.0)) for way in _WAYS]
+    ends = F.array(*[f(here, d) for d in along for f in (F.max_by, F.min_by)])
+    box = rows.groupBy(*keys).agg(ends.alias("_e"), *[f(a).alias(e + a) for a in "xyz" for e, f in (("lo", F.min), ("hi", F.max))])
+
+    def gap2(p, q):
+        return sum(((p[a] - q[a]) * (p[a] - q[a]) for a in "xyz"), F.lit(0.0))
+
+    low = F.array_max(F.transform("_e", lambda p: F.array_max(F.transform("_e", lambda q: gap2(p, q)))))
+    box = cut_lineage(box.withColumn("_low", low).drop("_e"))
+    far = [F.greatest(F.col(a) - F.col("lo" + a), F.col("hi" + a) - F.col(a)) for a in "xyz"]
+    left = rows.join(box, keys).filter(far[0] * far[0] + far[1] * far[1] + far[2] * far[2] >= F.col("_low"))
+    part = [F.least(F.floor(F.coalesce(F.try_divide(F.col(a) - F.col("lo" + a), F.col("hi" + a) - F.col("lo" + a)), F.lit(0.0)) * _GRID), F.lit(_GRID - 1)) for a in "xyz"]
+    left = cut_lineage(left.select(*keys, "x", "y", "z", ((part[0] * _GRID + part[1]) * _GRID + part[2]).alias("cell")))
+    cells = cut_lineage(left.groupBy(*keys, "cell").agg(*[f(a).alias(e + a) for a in "xyz" for e, f in (("lo", F.min), ("hi", F.max))]))
+    u, v = (cells.select(*keys, F.col("cell").alias(s), *[F.col(e + a).alias(f"{s}{e}{a}") for e in ("lo", "hi") for a in "xyz"]) for s in "uv")
+    span = [F.greatest(F.col(f"uhi{a}") - F.col(f"vlo{a}"), F.col(f"vhi{a}") - F.col(f"ulo{a}")) for a in "xyz"]
+    pairs = u.join(v, keys).filter(F.col("u") <= F.col("v")).join(box.select(*keys, "_low"), keys)  # at most 512 cells a group
+    pairs = cut_lineage(pairs.filter(span[0] * span[0] + span[1] * span[1] + span[2] * span[2] >= F.col("_low")).select(*keys, "u", "v"))
+    p = left.withColumnRenamed("cell", "u").join(pairs, [*keys, "u"]).withColumnsRenamed({a: "p" + a for a in "xyz"})
+    q = left.withColumnRenamed("cell", "v").join(pairs, [*keys, "v"]).withColumnsRenamed({a: "q" + a for a in "xyz"})
+    d2 = sum(((F.col("q" + a) - F.col("p" + a)) * (F.col("q" + a) - F.col("p" + a)) for a in "xyz"), F.lit(0.0))
+    met = tiled_pairs(p, q, [*keys, "u", "v"], ["px", "py", "pz"], ["qx", "qy", "qz"])
+    best = met.groupBy(*keys).agg(F.max(d2).alias("_d2"))
+    return box.select(*keys, "_low").join(best, keys, "left").select(*keys, F.sqrt(F.greatest("_low", F.coalesce("_d2", "_low"))).alias("diameter"))
+
+
+def larger_diameter(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Larger diameter of the source and the target points of each group: ``extent``."""
+    sides = [set_diameter(rows.select(*keys, *[F.col(s + a).alias(a) for a in "xyz"]), keys) for s in "st"]
+    return sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.max("diameter").alias("extent"))
 
 
 def with_distance(rows: DataFrame, tf: str = "tf") -> DataFrame:
     return rows.withColumn("dist", F.sqrt(residual2(tf)))
 
 
-def ransac_fit(corr: DataFrame, pair: list[str], iterations: int, threshold: float = 0.5, scale: float = 0.95,
-               min_inliers: int = 3, seed: int = 7) -> DataFrame:
-    """Best of seeded three-point fits per pair, by inlier count.
-
-    A draw picks three row numbers by hash; draws that share a point or whose edge
-    lengths differ too much are dropped before any fit.  Equal counts go to the first draw.
-    """
-    counts = corr.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n"))
-    draws = counts.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+def _drawn(corr: DataFrame, live: DataFrame, pair: list[str], size: int, threshold: float, scale: float, min_inliers: int, seed: int) -> DataFrame:
+    """Best model of each pair among ``size`` more draws: inliers, draw, tf."""
+    draws = live.withColumn("draw", F.explode(F.sequence(F.col("drawn"), F.col("drawn") + (size - 1))))
     picks = draws.select(
         *pair, "draw", F.posexplode(F.array(*[
             F.pmod(F.xxhash64("draw", F.lit(k), F.lit(seed), *pair), F.col("_n")) for k in range(3)
@@ -288,10 +327,42 @@ def ransac_fit(corr: DataFrame, pair: list[str], iterations: int, threshold: flo
     )
     good = scored.filter(F.col("inliers") >= min_inliers)
     order = F.struct((-F.col("inliers")).alias("neg"), "draw")
-    best = good.groupBy(*pair).agg(F.min_by(F.struct("inliers", "draw", "tf"), order).alias("_b"))
+    return good.groupBy(*pair).agg(F.min_by(F.struct("inliers", "draw", "tf"), order).alias("_b"))
+
+
+def ransac_fit(corr: DataFrame, pair: list[str], threshold: float = 0.5, scale: float = 0.95, confidence: float = 0.999,
+               most: int = 100_000, block: int = 128, min_inliers: int = 3, seed: int = 7) -> DataFrame:
+    """Best of seeded three-point fits per pair, by inlier count.
+
+    A draw picks three row numbers by hash; draws that share a point or whose edge
+    lengths differ too much are dropped before any fit.  Equal counts go to the first draw.
+
+    Draws come in blocks that double.  After each, a pair is done once so many draws would
+    have hit three inliers with the wanted ``confidence``, given the share of inliers found
+    so far, or once there are ``most``; ``converged`` tells the first from the second.
+    Adds ``drawn``.
+    """
+    corr = cut_lineage(corr)
+    state = corr.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n")).withColumns(
+        {"drawn": F.lit(0), "_b": F.lit(None).cast("struct<inliers:bigint,draw:int,tf:array<double>>"), "converged": F.lit(False)})
+    state, size = cut_lineage(state), block
+    while True:
+        live = state.filter(~F.col("converged") & (F.col("drawn") < most))
+        if live.isEmpty():
+            break
+        found = _drawn(corr, live.select(*pair, "_n", "drawn"), pair, size, threshold, scale, min_inliers, seed)
+        new = live.join(found.withColumnRenamed("_b", "_f"), pair, "left").withColumn("drawn", F.col("drawn") + size)
+        better = F.col("_f").isNotNull() & (F.col("_b").isNull() | (F.col("_f.inliers") > F.col("_b.inliers")))
+        new = new.withColumn("_b", F.when(better, F.col("_f")).otherwise(F.col("_b"))).drop("_f")
+        share = F.coalesce(F.col("_b.inliers"), F.lit(0)) / F.col("_n")
+        missed = F.log1p(-share * share * share)  # of one draw; log of 0 where all rows are inliers
+        needed = F.when(share >= 1.0, F.lit(1.0)).when(share > 0, F.lit(math.log(1.0 - confidence)) / missed)
+        new = new.withColumn("converged", F.coalesce(F.col("drawn") >= needed, F.lit(False)))
+        state = cut_lineage(new.unionByName(state.filter(F.col("converged") | (F.col("drawn") >= most))))
+        size *= 2
     identity = F.array(*[F.lit(v) for v in IDENTITY])
-    return counts.join(best, pair, "left").select(
-        *pair, F.coalesce("_b.inliers", F.lit(0)).alias("inliers"), F.coalesce(F.col("_b.tf"), identity).alias("tf"),
+    return state.select(
+        *pair, F.coalesce("_b.inliers", F.lit(0)).alias("inliers"), F.coalesce(F.col("_b.tf"), identity).alias("tf"), "drawn", "converged",
     )
 
 
@@ -313,20 +384,21 @@ def clique_hypotheses(corr: DataFrame, cliques: DataFrame, pair: list[str], reac
 
 def refine(corr: DataFrame, poses: DataFrame, pair: list[str], reach: float = 0.6, rounds: int = 20,
            per_stage: int = 4) -> DataFrame:
-    """Reweighted refits while the inlier score does not fall; identity where no pose is known."""
+    """Reweighted refits while the inlier score does not fall; ``converged`` where it did within ``rounds``."""
     corr = cut_lineage(corr)
     state = cut_lineage(poses.select(*pair, "tf", F.lit(0.0).alias("score"), F.lit(False).alias("done")))
+    groups = state.count()
     for first in range(0, rounds, per_stage):
         if state.filter(~F.col("done")).isEmpty():
             break
         for _ in range(min(per_stage, rounds - first)):
-            state = _refine_round(corr, state, pair, reach)
+            state = _refine_round(corr, beside(state, groups), pair, reach)
         state = cut_lineage(state)
-    return state.select(*pair, "tf", "score")
+    return state.select(*pair, "tf", "score", F.col("done").alias("converged"))
 
 
 def _refine_round(corr, state, pair, reach):
-    live = with_distance(state.join(corr, pair))
+    live = with_distance(corr.join(state, pair))
     near = F.col("dist") < reach
     ratio = F.col("dist") / reach
     sums = _centroid_sums(live, pair, F.when(near, 1.0 / (1.0 + ratio * ratio)).otherwise(0.0), near,

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.linalg import SYM
 from ..session import cut_lineage
+from .pairs import beside
 
 DOUBLES = T.ArrayType(T.DoubleType())
 KINDS = ("point", "plane", "line", "point_gaussian", "gaussian")
@@ -92,11 +93,14 @@ def stepped(tf: pd.Series, sums: pd.Series) -> pd.Series:
 
 
 def refine_pose(rows: DataFrame, start: DataFrame, keys: list[str], kind: str = "gaussian", factor: float = 1.4,
-                rounds: int = 30, per_stage: int = 5, bound2: float = BOUND2) -> DataFrame:
+                rounds: int = 100, per_stage: int = 5, bound2: float = BOUND2, tolerance: float = 1e-6) -> DataFrame:
     """Graduated truncated-least-squares refinement from the poses ``start`` (``tf``).
 
     ``rows`` have ``sx .. tz``; ``gaussian`` reads the covariances of both ends,
-    ``point_gaussian`` the target's, ``plane`` and ``line`` the axis ``ax ay az``.
+    ``point_gaussian`` the target's, ``plane`` and ``line`` the axis ``ax ay az``.  A group is
+    done once its weighted cost changes by no more than ``tolerance`` (relative above 1);
+    ``converged`` tells which were within ``rounds``.  Done groups take no part in later stages,
+    and rows are not shuffled while the state is small enough to be broadcast.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown residual kind: {kind}")
@@ -112,16 +116,36 @@ def refine_pose(rows: DataFrame, start: DataFrame, keys: list[str], kind: str =
     worst = first.groupBy(*keys).agg(F.max(F.col("_t")[0]).alias("_m"), F.first("tf").alias("tf"))
     # no outlier at the start means plain least squares: a graduation that keeps all rows
     mu = F.when(2.0 * F.col("_m") > bound2, F.try_divide(F.lit(bound2), 2.0 * F.col("_m") - bound2)).otherwise(1e-9)
-    state = cut_lineage(worst.select(*keys, "tf", mu.alias("mu")))
+    state = worst.select(*keys, "tf", mu.alias("mu"), F.lit(None).cast("double").alias("cost"), F.lit(False).alias("done"))
+    state, settled = cut_lineage(state), None
+    groups = state.count()
     for begin in range(0, rounds, per_stage):
+        live = state.filter(~F.col("done"))
+        if live.isEmpty():
+            break
+        finished = state.filter("done")
+        settled = finished if settled is None else settled.unionByName(finished)
         for _ in range(min(per_stage, rounds - begin)):
-            live = data.join(state, keys).withColumn("_t", terms("tf", "_p", "_c", "_x"))
-            r2, m = F.col("_t")[0], F.col("mu")
-            w = (F.when(r2 >= (m + 1.0) / m * bound2, 0.0).when(r2 <= m / (m + 1.0) * bound2, 1.0)
-                 .otherwise(F.sqrt(bound2 * m * (m + 1.0) / r2) - m))
-            live = live.withColumn("_w", w)
-            sums = live.groupBy(*keys).agg(
-                F.first("tf").alias("tf"), F.first("mu").alias("mu"), F.array(*[F.sum(F.col("_w") * F.col("_t")[i]) for i in range(1, 28)]).alias("_s"))
-            state = sums.select(*keys, stepped("tf", "_s").alias("tf"), F.least(F.col("mu") * factor, F.lit(1e9)).alias("mu"))
-        state = cut_lineage(state)
-    return state.select(*keys, "tf")
+            live = _round(data, beside(live, groups), keys, terms, factor, bound2, tolerance)
+        state = cut_lineage(live)
+    state = state if settled is None else state.unionByName(settled)
+    return state.select(*keys, "tf", F.col("done").alias("converged"))
+
+
+def _round(data: DataFrame, state: DataFrame, keys: list[str], terms, factor: float, bound2: float, tolerance: float) -> DataFrame:
+    """One step; groups that settle within a stage keep their pose."""
+    live = data.join(state, keys).withColumn("_t", terms("tf", "_p", "_c", "_x"))
+    r2, m = F.col("_t")[0], F.col("mu")
+    w = (F.when(r2 >= (m + 1.0) / m * bound2, 0.0).when(r2 <= m / (m + 1.0) * bound2, 1.0)
+         .otherwise(F.sqrt(bound2 * m * (m + 1.0) / r2) - m))
+    live = live.withColumn("_w", w)
+    sums = live.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in ("tf", "mu", "cost", "done")], F.sum(F.col("_w") * r2).alias("_cost"),
+        F.array(*[F.sum(F.col("_w") * F.col("_t")[i]) for i in range(1, 28)]).alias("_s"))
+    same = F.coalesce(F.abs(F.col("_cost") - F.col("cost")) <= tolerance * F.greatest(F.lit(1.0), F.col("cost")), F.lit(False))
+    stop = F.col("done") | same
+    moved = sums.select(*keys, "tf", stepped("tf", "_s").alias("_new"), "mu", "cost", "_cost", stop.alias("_stop"))
+    return moved.select(
+        *keys, F.when(F.col("_stop"), F.col("tf")).otherwise(F.col("_new")).alias("tf"), F.least(F.col("mu") * factor, F.lit(1e9)).alias("mu"),
+        F.when(F.col("_stop"), F.col("cost")).otherwise(F.col("_cost")).alias("cost"), F.col("_stop").alias("done"),
+    )

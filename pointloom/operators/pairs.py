@@ -44,3 +44,12 @@ def tiled_pairs(left: DataFrame, right: DataFrame, on: list[str], left_id: list[
     if where is not None:
         out = out.filter(where)
     return out.drop("_i", "_j")
+
+
+def beside(state: DataFrame, groups: int, row_bytes: int = 512, most_bytes: int = 64 << 20) -> DataFrame:
+    """One row per group, ready to be joined with the groups' rows.
+
+    Up to a proven size it is broadcast, so the rows stay where they are and only partial
+    sums are shuffled; beyond it Spark chooses the join.
+    """
+    return F.broadcast(state) if groups * row_bytes <= most_bytes else state

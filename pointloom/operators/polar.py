@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .components import connected_components, sized
-from .spatial import radius_pairs, stencil
+from .spatial import nearest, stencil
 
 CELL = ["ring", "pitch_bin", "azimuth_bin"]
 
@@ -95,22 +96,74 @@ def segment(points: DataFrame, keys: list[str], rule: PolarRule) -> DataFrame:
     return labelled.join(sized(labelled, [*keys, "cluster"], rule.min_size).drop("size"), [*keys, "cluster"], "left_semi")
 
 
+_AXES = ("x", "y", "z")
+
+
+def _cell_pairs(boxes: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """Pairs u < v of cells that may hold points within the tolerance; ``sure`` where all of them are.
+
+    Cells are a little narrower than the tolerance over the root of three, so partners lie at
+    most two cells away.
+    """
+    steps = F.sequence(F.lit(-2), F.lit(2))
+    around = F.explode(F.flatten(F.transform(steps, lambda a: F.flatten(F.transform(steps, lambda b: F.transform(
+        steps, lambda c: F.struct(a.alias("x"), b.alias("y"), c.alias("z"))))))))
+    one = boxes.select(*keys, F.col("cell").alias("u"), *[F.col(e + a).alias(f"u_{e}{a}") for e in ("lo", "hi") for a in _AXES], around.alias("_o"))
+    one = one.withColumn("v", F.struct(*[(F.col("u." + a) + F.col("_o." + a)).alias(a) for a in _AXES])).filter(F.col("u") < F.col("v")).drop("_o")
+    two = boxes.select(*keys, F.col("cell").alias("v"), *[F.col(e + a).alias(f"v_{e}{a}") for e in ("lo", "hi") for a in _AXES])
+    both = one.join(two, [*keys, "v"])
+    gap = [F.greatest(F.col(f"u_lo{a}") - F.col(f"v_hi{a}"), F.col(f"v_lo{a}") - F.col(f"u_hi{a}"), F.lit(0.0)) for a in _AXES]
+    far = [F.greatest(F.col(f"u_hi{a}") - F.col(f"v_lo{a}"), F.col(f"v_hi{a}") - F.col(f"u_lo{a}")) for a in _AXES]
+    low, high = (sum((c * c for c in cs[1:]), cs[0] * cs[0]) for cs in (gap, far))
+    reach = tolerance * tolerance
+    return both.filter(low <= reach).withColumn("sure", high <= reach)
+
+
+def _touching(celled: DataFrame, pairs: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """Pairs of cells with two points within the tolerance, by the nearest point of one for each of the other.
+
+    Only points within the tolerance of the other cell's box take part.
+    """
+    pair = [*keys, "u", "v"]
+
+    def side(own: str, other: str, name: str) -> DataFrame:
+        rows = celled.withColumnRenamed("cell", own).join(pairs, [*keys, own])
+        gap = [F.greatest(F.col(f"{other}_lo{a}") - F.col(a), F.col(a) - F.col(f"{other}_hi{a}"), F.lit(0.0)) for a in _AXES]
+        near = gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] <= tolerance * tolerance
+        return rows.filter(near).select(*pair, F.col("id").alias(name), *_AXES)
+
+    best = nearest(side("u", "v", "qid"), side("v", "u", "tid"), pair)
+    return best.filter(F.col("d2") <= tolerance * tolerance).select(*pair).distinct()
+
+
 def euclidean_cluster(points: DataFrame, keys: list[str], tolerance: float = 1.0, min_size: int = 1) -> DataFrame:
     """Components of points closer than ``tolerance``; ``points`` have ``id``.
 
-    Points of one cell whose diagonal is the tolerance are joined through the cell, so only
-    cell pairs become edges.  Meant for voxel-filtered clouds, which bound a cell's points.
+    All points of one cell, whose diagonal is the tolerance, belong together, and so do those
+    of two cells whose boxes lie within it.  Points are compared only for pairs of cells
+    that boxes do not decide and that are not joined by way of others, so a cell full of
+    points costs one pass over them.
     """
     side = tolerance / 3.0 ** 0.5 * (1.0 - 1e-9)
-    cell = F.struct(*[F.floor(F.col(c) / F.lit(side)).alias(c) for c in "xyz"])
-    celled = points.withColumn("cell", cell)
-    pts = celled.select(*keys, F.struct("cell", "id").alias("id"), "x", "y", "z")
-    near = radius_pairs(pts, pts, keys, tolerance).select(*keys, F.col("a.cell").alias("u"), F.col("b.cell").alias("v"))
-    edges = near.filter(F.col("u") < F.col("v")).distinct()
-    labels = connected_components(
-        celled.select(F.struct(*keys, "cell").alias("id")).distinct(),
-        edges.select(F.struct(*keys, F.col("u").alias("cell")).alias("u"), F.struct(*keys, F.col("v").alias("cell")).alias("v")),
-    )
-    named = labels.select(*[F.col("id." + k) for k in keys], "id.cell", F.col("component.cell").alias("cluster"))
-    out = celled.join(named, [*keys, "cell"]).drop("cell")
+    cell = F.struct(*[F.floor(F.col(c) / F.lit(side)).alias(c) for c in _AXES])
+    celled = cut_lineage(points.withColumn("cell", cell))
+    boxes = celled.groupBy(*keys, "cell").agg(*[f(a).alias(e + a) for e, f in (("lo", F.min), ("hi", F.max)) for a in _AXES])
+    boxes = cut_lineage(boxes)
+    pairs = cut_lineage(_cell_pairs(boxes, keys, tolerance))
+
+    def named(edges: DataFrame) -> DataFrame:
+        return edges.select(F.struct(*keys, F.col("u").alias("cell")).alias("u"), F.struct(*keys, F.col("v").alias("cell")).alias("v"))
+
+    nodes = boxes.select(F.struct(*keys, "cell").alias("id"))
+    sure = named(pairs.filter("sure"))
+    groups = cut_lineage(connected_components(nodes, sure))
+    open_pairs = pairs.filter("not sure")
+    for end in "uv":
+        at = groups.select(*[F.col("id." + k).alias(k) for k in keys], F.col("id.cell").alias(end), F.col("component").alias("_" + end))
+        open_pairs = open_pairs.join(at, [*keys, end])
+    open_pairs = cut_lineage(open_pairs.filter(F.col("_u") != F.col("_v")).drop("_u", "_v", "sure"))
+    links = _touching(celled.select(*keys, "cell", "id", *_AXES), open_pairs, keys, tolerance)
+    labels = connected_components(nodes, sure.unionByName(named(links)))
+    found = labels.select(*[F.col("id." + k) for k in keys], "id.cell", F.col("component.cell").alias("cluster"))
+    out = celled.join(found, [*keys, "cell"]).drop("cell")
     return out.join(sized(out, [*keys, "cluster"], min_size).drop("size"), [*keys, "cluster"], "left_semi")

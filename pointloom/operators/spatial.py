@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .pairs import tiled_pairs
 
 CELL = ("_cx", "_cy", "_cz")
 
@@ -32,13 +33,14 @@ def radius_pairs(left: DataFrame, right: DataFrame, keys: list[str], radius: flo
     """Pairs closer than or at ``radius`` within ``keys``.
 
     ``left`` and ``right`` have ``keys``, ``id``, ``x y z``; the result has ``a``, ``b``
-    and the squared distance ``d2``.  Rows meet only in equal or adjacent cells.
+    and the squared distance ``d2``.  Rows meet only in equal or adjacent cells, those of a
+    full cell tile by tile.
     """
     a = spread(left.select(*keys, F.col("id").alias("a"), *[F.col(c).alias("a" + c) for c in "xyz"], *cells(radius)))
     b = right.select(*keys, F.col("id").alias("b"), *[F.col(c).alias("b" + c) for c in "xyz"], *cells(radius))
     d = [F.col("b" + c) - F.col("a" + c) for c in "xyz"]
     d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-    return a.join(b, [*keys, *CELL]).filter(d2 <= radius * radius).select(*keys, "a", "b", d2.alias("d2"))
+    return tiled_pairs(a, b, [*keys, *CELL], ["a"], ["b"], d2 <= radius * radius).select(*keys, "a", "b", d2.alias("d2"))
 
 
 #: A cell with at most this many targets is searched as a whole.

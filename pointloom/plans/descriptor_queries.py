@@ -9,7 +9,7 @@ from ..operators import boxes, descriptors, matching, voxels
 from ..session import cut_lineage
 from . import tables
 from .registry import query
-from .tables import normal_sql
+from .tables import POINTS_SQL, eigen_sql, gauss_sql, normal_sql
 from .voxel_queries import FEATURE_SQL, PAIR_SQL, cloud_pairs, rounded, ring_features
 
 BIN_SQL = f"""{FEATURE_SQL}, {normal_sql('tf', 'ringf')},
@@ -62,7 +62,20 @@ def fpfh_matches(spark, sf):
     return rounded(matching.mutual_nearest(src, tgt, ["src", "tgt"], 5), ["dist"], 4)
 
 
-@query("iss_keypoints")
+_D = ["b.x - a.x", "b.y - a.y", "b.z - a.z"]
+_GAP2 = " + ".join(f"({d}) * ({d})" for d in _D)
+ISS_SQL = f"""WITH {POINTS_SQL},
+dn AS (SELECT cloud, {voxels.cell_id_sql('floor(x / 8.0)', 'floor(y / 8.0)', 'floor(z / 8.0)')} AS id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pts GROUP BY ALL),
+nr AS (SELECT a.cloud, a.id AS a, b.id AS b, {_GAP2} AS d2, {', '.join(f'({d}) AS d{c}' for d, c in zip(_D, 'xyz'))}
+  FROM dn a JOIN dn b ON a.cloud = b.cloud AND a.id <> b.id AND {_GAP2} <= 324.0),
+sc AS (SELECT cloud, a AS id, {', '.join(f'avg(d{c[0]} * d{c[1]}) AS {c}' for c in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))} FROM nr GROUP BY cloud, a HAVING count(*) >= 4),
+{eigen_sql('ie', 'sc')},
+sal AS (SELECT cloud, id, CASE WHEN l1 < CAST(0.975 AS DOUBLE) * l2 AND l0 < CAST(0.975 AS DOUBLE) * l1 THEN l0 ELSE 0.0 END AS saliency FROM ie),
+rg AS (SELECT nr.cloud, nr.a AS id, max(saliency) AS m, count(*) AS n FROM nr JOIN sal ON sal.cloud = nr.cloud AND sal.id = nr.b WHERE d2 <= 144.0 GROUP BY ALL)
+SELECT cloud, id, round(saliency, 5) AS saliency FROM sal JOIN rg USING (cloud, id) WHERE saliency > 0 AND saliency > m AND n >= 4"""
+
+
+@query("iss_keypoints", ISS_SQL)
 def iss_keypoints(spark, sf):
     small = voxels.downsample(tables.points(spark, sf), ["cloud"], 8.0)
     ids = voxels.cell_id("vx", "vy", "vz")
@@ -83,7 +96,30 @@ def convex_hull(spark, sf):
     return boxes.convex_hull(flat, ["cloud"])
 
 
-@query("tight_boxes")
+def _box_sql() -> str:
+    """Boxes of whole clouds: plane basis, hull by slopes, score of every candidate angle."""
+    n = boxes.ANGLES
+    return f"""WITH {POINTS_SQL}, {gauss_sql('bg', 'pts', 'cloud')}, {eigen_sql('be', 'bg')}, {normal_sql('bn', 'be')},
+bl AS (SELECT cloud, nx, ny, nz, sqrt((ny - nz) * (ny - nz) + nx * nx + nx * nx) AS len FROM bn),
+bf AS (SELECT *, CASE WHEN len > 1e-12 THEN (ny - nz) / len ELSE 1.0 END AS ex, CASE WHEN len > 1e-12 THEN -nx / len ELSE 0.0 END AS ey, CASE WHEN len > 1e-12 THEN nx / len ELSE 0.0 END AS ez FROM bl),
+bb AS (SELECT *, ny * ez - nz * ey AS fx, nz * ex - nx * ez AS fy, nx * ey - ny * ex AS fz FROM bf),
+fl AS (SELECT DISTINCT cloud, x * ex + y * ey + z * ez AS u, x * fx + y * fy + z * fz AS v FROM pts JOIN bb USING (cloud)),
+dp AS (SELECT cloud, max(x * nx + y * ny + z * nz) - min(x * nx + y * ny + z * nz) AS w FROM pts JOIN bb USING (cloud) GROUP BY cloud),
+sl AS (SELECT p.cloud, p.u, p.v, (q.u > p.u OR (q.u = p.u AND q.v > p.v)) AS later, CASE WHEN q.u = p.u THEN CAST('Infinity' AS DOUBLE) ELSE (q.v - p.v) / (q.u - p.u) END AS s
+   FROM fl p JOIN fl q ON q.cloud = p.cloud AND (q.u <> p.u OR q.v <> p.v)),
+hl AS (SELECT cloud, u, v FROM sl GROUP BY cloud, u, v
+   HAVING coalesce(max(s) FILTER (later), CAST('-Infinity' AS DOUBLE)) < coalesce(min(s) FILTER (NOT later), CAST('Infinity' AS DOUBLE))
+       OR coalesce(min(s) FILTER (later), CAST('Infinity' AS DOUBLE)) > coalesce(max(s) FILTER (NOT later), CAST('-Infinity' AS DOUBLE))),
+tu AS (SELECT cloud, k, (k + CAST(0.5 AS DOUBLE)) * CAST({90.0 / n} AS DOUBLE) AS angle, u, v FROM hl, range({n}) r(k)),
+tp AS (SELECT cloud, k, angle, cos(radians(angle)) * u + sin(radians(angle)) * v AS p, cos(radians(angle)) * v - sin(radians(angle)) * u AS q FROM tu),
+bx AS (SELECT cloud, k, min(p) AS lu, max(p) AS hu, min(q) AS lv, max(q) AS hv FROM tp GROUP BY cloud, k),
+st AS (SELECT cloud, k, any_value(angle) AS angle, any_value(hu - lu) AS su, any_value(hv - lv) AS sv, any_value((hu - lu) * (hv - lv)) + sum(least(p - lu, hu - p, q - lv, hv - q)) AS score
+   FROM tp JOIN bx USING (cloud, k) GROUP BY cloud, k),
+bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cloud ORDER BY round(score, 9), k) AS r FROM st) WHERE r = 1)
+SELECT cloud, round(angle, 3) AS angle, round(su * sv, 4) AS area, round(pow(greatest(su, sv, w), 2) / 4.0 / CAST(7.815 AS DOUBLE), 5) AS prior FROM bs JOIN dp USING (cloud)"""
+
+
+@query("tight_boxes", _box_sql())
 def tight_boxes(spark, sf):
     pts = tables.points(spark, sf)
     shaped = voxels.with_shape(voxels.gaussians(pts, ["cloud"]))

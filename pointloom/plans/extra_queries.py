@@ -15,7 +15,7 @@ from ..sources.datasets import DATASETS
 from . import registration as reg
 from . import tables
 from .correspondences import PAIR
-from .graph_queries import CORR_SQL, LEVELS, corr_table, edge_table, level_sql
+from .graph_queries import CORR_SQL, LEVELS, POINT_SQL, corr_table, edge_table, level_sql
 from .registry import query
 from .segment_queries import centred, centred_sql
 from .voxel_queries import FEATURE_SQL, features, rounded, ring_features
@@ -109,7 +109,14 @@ def compat_graph_gaussian(spark, sf):
     return edge_table(spark, sf, "gaussian").select(*PAIR, "u", "v", "min_level")
 
 
-@query("k_core")
+CORE_ROUNDS = 30
+CORE_SQL = ",\n".join(
+    f"""d{i} AS (SELECT src, tgt, x, count(*) AS d FROM (SELECT src, tgt, u AS x FROM k{i} UNION ALL SELECT src, tgt, v FROM k{i}) GROUP BY src, tgt, x HAVING count(*) >= 3),
+k{i + 1} AS MATERIALIZED (SELECT k{i}.* FROM k{i} JOIN d{i} a ON a.src = k{i}.src AND a.tgt = k{i}.tgt AND a.x = u JOIN d{i} b ON b.src = k{i}.src AND b.tgt = k{i}.tgt AND b.x = v)"""
+    for i in range(CORE_ROUNDS))  # rounds that drop nothing change nothing
+
+
+@query("k_core", f"WITH {POINT_SQL}, k0 AS MATERIALIZED (SELECT src, tgt, u, v FROM ed),\n{CORE_SQL}\nSELECT src, tgt, u, v FROM k{CORE_ROUNDS}")
 def k_core(spark, sf):
     edges = cg.compatible_pairs(corr_table(spark, sf), PAIR, LEVELS, "point")
     return components.k_core(edges.select(*PAIR, "u", "v"), PAIR, 3)
@@ -125,7 +132,29 @@ def vertex_differences(spark, sf):
     return t.select(*PAIR, F.col("i").alias("u"), F.col("j").alias("v"), F.round(length("s"), 5).alias("src_len"), F.round(length("t"), 5).alias("tgt_len"))
 
 
-@query("regularized_covariances")
+def _regular_sql() -> str:
+    """The five regularised covariances of every feature, from its eigenvalues and outer eigenvectors."""
+    values = {
+        "PLANE": ("1.0", "1.0", "1e-3"), "LINE": ("1.0", "1e-3", "1e-3"),
+        "MIN_EIG": tuple(f"greatest({v}, 1e-3)" for v in ("l2", "l1", "l0")),
+        "NORMALIZED_MIN_EIG": tuple(f"greatest({v} / greatest(l2, 1e-300), 1e-3)" for v in ("l2", "l1", "l0")),
+    }
+    parts = []
+    for method, v in values.items():
+        cov = ", ".join(
+            f"round({' + '.join(f'CAST({w} AS DOUBLE) * {e}{c[0]} * {e}{c[1]}' for w, e in zip(v, 'abc'))}, 4) AS {c}" for c in SYM)
+        parts.append(f"SELECT cloud, class, id, '{method}' AS method, {cov} FROM rb")
+    size = "sqrt(i0 * i0 + i3 * i3 + i5 * i5 + 2.0 * (i1 * i1 + i2 * i2 + i4 * i4)) / abs(xx * i0 + xy * i1 + xz * i2)"
+    parts.append("SELECT cloud, class, id, 'FROBENIUS' AS method, " + ", ".join(f"round({c} * {size}, 4) AS {c}" for c in SYM) + " FROM ri")
+    return f"""WITH {FEATURE_SQL}, {normal_sql('rc', 'ringf')}, {normal_sql('ra', 'ringf').replace('l0', 'l2')},
+rv AS (SELECT c.cloud, c.class, c.id, c.l0, c.l1, c.l2, a.nx AS ax, a.ny AS ay, a.nz AS az, c.nx AS cx, c.ny AS cy, c.nz AS cz FROM rc c JOIN ra a USING (cloud, id)),
+rb AS (SELECT *, cy * az - cz * ay AS bx, cz * ax - cx * az AS "by", cx * ay - cy * ax AS bz FROM rv),
+rs AS (SELECT cloud, class, id, xx + CAST(1e-3 AS DOUBLE) AS xx, xy, xz, yy + CAST(1e-3 AS DOUBLE) AS yy, yz, zz + CAST(1e-3 AS DOUBLE) AS zz FROM ringf),
+ri AS (SELECT *, yy * zz - yz * yz AS i0, xz * yz - xy * zz AS i1, xy * yz - xz * yy AS i2, xx * zz - xz * xz AS i3, xy * xz - xx * yz AS i4, xx * yy - xy * xy AS i5 FROM rs)
+""" + " UNION ALL ".join(parts).replace("by *", '"by" *').replace("* by", '* "by"')
+
+
+@query("regularized_covariances", _regular_sql())
 def regularized_covariances(spark, sf):
     f = cut_lineage(ring_features(spark, sf)).select("cloud", "class", "id", *SYM)
     out = None
@@ -138,8 +167,8 @@ def regularized_covariances(spark, sf):
 @query("gaussian_refinement")
 def gaussian_refinement(spark, sf):
     corr = corr_table(spark, sf)
-    out = gaussian_fit.refine_pose(corr, fitting.fit_pose(corr, PAIR), PAIR, "gaussian", rounds=10)
-    return out.select(*PAIR, F.transform("tf", lambda v: F.round(v, 3)).alias("tf"))
+    out = gaussian_fit.refine_pose(corr, fitting.fit_pose(corr, PAIR), PAIR, "gaussian")
+    return out.select(*PAIR, "converged", F.transform("tf", lambda v: F.round(v, 3)).alias("tf"))
 
 
 @query("register_correspondences")

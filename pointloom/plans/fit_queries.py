@@ -10,6 +10,7 @@ from ..session import cut_lineage
 from .correspondences import PAIR
 from .graph_queries import CORR_SQL, LEVELS, POINT_SQL, WEIGHT_SQL, corr_table, weight_table
 from .registry import query
+from .tables import eigen_sql
 from .voxel_queries import rounded
 
 CLIQUE_CTE = """nb AS (SELECT src, tgt, v, list(u) AS ins FROM {edges} GROUP BY src, tgt, v),
@@ -94,10 +95,36 @@ def kabsch_sums(spark, sf):
     )
 
 
-@query("kabsch_fit")
+def _optimum_sql() -> str:
+    """Least possible mean squared residual of a rigid fit, from the singular values of the covariance of both sides.
+
+    No rotation is built: the squared singular values are the eigenvalues of H'H, and the
+    smallest counts negative where a reflection would fit better.
+    """
+    h = {(i, j): f"h{i}{j}" for i in "xyz" for j in "xyz"}
+    gram = {p + q: " + ".join(f"{h[r, p]} * {h[r, q]}" for r in "xyz") for p, q in ("xx", "xy", "xz", "yy", "yz", "zz")}
+    det = ("hxx * (hyy * hzz - hyz * hzy) - hxy * (hyx * hzz - hyz * hzx) + hxz * (hyx * hzy - hyy * hzx)")
+    return f"""WITH {CORR_SQL},
+kc AS (SELECT src, tgt, count(*) AS n, {', '.join(f'avg({s}{a}) AS m{s}{a}' for s in 'st' for a in 'xyz')} FROM ct GROUP BY src, tgt),
+kd AS (SELECT ct.src, ct.tgt, any_value(n) AS n, {', '.join(f'sum((s{i} - ms{i}) * (t{j} - mt{j})) AS h{i}{j}' for i in 'xyz' for j in 'xyz')},
+  sum({' + '.join(f'({s}{a} - m{s}{a}) * ({s}{a} - m{s}{a})' for s in 'st' for a in 'xyz')}) AS spread FROM ct JOIN kc USING (src, tgt) GROUP BY ct.src, ct.tgt),
+kg AS (SELECT src, tgt, n, spread, {det} AS det, {', '.join(f'{e} AS {c}' for c, e in gram.items())} FROM kd), {eigen_sql('ke', 'kg')}
+SELECT src, tgt, n, true AS proper, round(sqrt(greatest(spread - 2.0 * (sqrt(greatest(l2, 0.0)) + sqrt(greatest(l1, 0.0)) + sign(det) * sqrt(greatest(l0, 0.0))), 0.0) / n), 3) AS rms FROM ke"""
+
+
+@query("kabsch_fit", _optimum_sql())
 def kabsch_fit(spark, sf):
-    out = fitting.fit_pose(corr_table(spark, sf), PAIR)
-    return out.select(*PAIR, "n", F.transform("tf", lambda v: F.round(v, 6)).alias("tf"))
+    """Residual of the fitted pose, and whether its rotation is one: what no other pose can beat."""
+    corr = corr_table(spark, sf)
+    fit = cut_lineage(fitting.fit_pose(corr, PAIR))
+    tf = F.col("tf")
+    cells = [[tf[4 * i + j] for j in range(3)] for i in range(3)]
+    square = [F.abs(sum((cells[k][i] * cells[k][j] for k in range(3)), F.lit(0.0)) - float(i == j)) for i in range(3) for j in range(i, 3)]
+    det = sum((cells[0][i] * (cells[1][(i + 1) % 3] * cells[2][(i + 2) % 3] - cells[1][(i + 2) % 3] * cells[2][(i + 1) % 3]) for i in range(3)), F.lit(0.0))
+    proper = (F.greatest(*square) < 1e-9) & (det > 0)
+    rows = corr.join(fit.select(*PAIR, "n", "tf", proper.alias("proper")), PAIR)
+    out = rows.groupBy(*PAIR, "n", "proper").agg(F.avg(fitting.residual2("tf")).alias("_m"))
+    return out.select(*PAIR, F.col("n").cast("long").alias("n"), "proper", F.round(F.sqrt("_m"), 3).alias("rms"))
 
 
 @query("yaw_fit", f"""WITH {CORR_SQL}
@@ -158,5 +185,5 @@ def gnc_yaw(spark, sf):
 
 @query("ransac_fit")
 def ransac_fit(spark, sf):
-    out = fitting.ransac_fit(corr_table(spark, sf), PAIR, 200, 3.0)
-    return out.select(*PAIR, "inliers", F.transform("tf", lambda v: F.round(v, 4)).alias("tf"))
+    out = fitting.ransac_fit(corr_table(spark, sf), PAIR, 3.0)
+    return out.select(*PAIR, "inliers", "converged", F.transform("tf", lambda v: F.round(v, 4)).alias("tf"))

@@ -310,15 +310,24 @@ def solve_by_cliques(corr: DataFrame) -> DataFrame:
 
 
 def solve(corr: DataFrame, pairs: DataFrame, cfg: Config, points: DataFrame | None = None, kinds: DataFrame | None = None) -> DataFrame:
-    """Transform of every pair by the configured back end; identity where nothing was found."""
+    """Transform of every pair by the configured back end; identity where nothing was found.
+
+    All back ends return ``candidates`` and, where correspondences have a class, inliers by class.
+    """
     if cfg.back_end == "pyramid":
         return solve_pyramid(corr, pairs, cfg, points, kinds)
     if cfg.back_end == "ransac":
-        out = fitting.ransac_fit(corr, PAIR, cfg.ransac_iterations, cfg.ransac_threshold)
+        out, reach = fitting.ransac_fit(corr, PAIR, cfg.ransac_threshold, most=cfg.ransac_iterations), cfg.ransac_threshold
     else:
-        out = solve_by_cliques(corr)
+        out, reach = solve_by_cliques(corr), 0.6
     identity = F.array(*[F.lit(v) for v in IDENTITY])
-    return pairs.join(out, PAIR, "left").withColumns({"valid": F.col("tf").isNotNull(), "tf": F.coalesce("tf", identity)})
+    out = pairs.join(out, PAIR, "left").withColumns({"valid": F.col("tf").isNotNull(), "tf": F.coalesce("tf", identity)})
+    out = out.withColumn("candidates", F.array("tf"))
+    if "class" not in corr.columns:
+        return out
+    out = cut_lineage(out)
+    near = fitting.with_distance(corr.join(out.select(*PAIR, "tf"), PAIR)).filter(F.col("dist") < reach)
+    return out.join(verify.inliers_by_class(near, PAIR), PAIR, "left")
 
 
 def register(points: DataFrame, pairs: DataFrame, cfg: Config) -> DataFrame:

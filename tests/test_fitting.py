@@ -116,7 +116,7 @@ def test_geman_mcclure_rotation(spark):
     tgt = src @ r.T + rng.normal(0, 0.02, (50, 3))
     tgt[:10] = rng.uniform(-30, 30, (10, 3))
     rows = table(spark, [(src, tgt)])
-    out = fitting.graduated_fit(rows, ["src", "tgt"], 1.0, fitting.extent_bound(rows, ["src", "tgt"]))
+    out = fitting.graduated_fit(rows, ["src", "tgt"], 1.0, fitting.larger_diameter(rows, ["src", "tgt"]))
     assert errors(out.first()["tf"], r, np.zeros(3))[0] < 1.0
 
 
