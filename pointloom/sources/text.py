@@ -13,8 +13,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     pair lists are a few MB each and are read side by side.
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
-    return lines.filter(F.trim("value") != "")
+    each = F.transform(F.split("value", r"\r?\n"), lambda v, i: F.struct(i.alias("line"), v.alias("value")))
+    # blank lines go before the rows are made, so that no later step ever sees them
+    return files.select("path", F.explode(F.filter(each, lambda x: F.trim(x["value"]) != "")).alias("_l")).select("path", "_l.line", "_l.value")
 
 
 def numbers(value: Column) -> Column:
