@@ -11,6 +11,8 @@ import numpy as np
 #: Long stretches without a blank are encoded but not remembered.
 _LONG = 64
 _MOST = 1_000_000
+#: Stretches that are encoded together.
+_JOINED = 500
 #: Marks that end a word and are split off by both kinds of tokenizer.
 _MARKS = ",.;:!?"
 _SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) != " "]
@@ -40,6 +42,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         parsed = json.loads(spec)
         self.added = [t["content"].lower() for t in parsed.get("added_tokens") or ()]
+        self.spaced = any(c.isspace() for a in self.added for c in a)
         self.kind = _kind(parsed)
         self.size = self.tokenizer.get_vocab_size()
         self.folds = '"Lowercase"' in spec
@@ -51,21 +54,49 @@ class Encoder:
         done = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in done]
 
+    def _encode_joined(self, parts: list[str], lead: str) -> list[bytes]:
+        """Ids of each part after ``lead``; many parts are one text for the library, cut again by its offsets.
+
+        A call of the library costs more than the few letters of a part.  Parts stand apart by
+        blanks, where texts may be cut anyway.
+        """
+        if self.spaced:
+            return self._encode([lead + p for p in parts])
+        out: list[bytes] = []
+        groups = [parts[i : i + _JOINED] for i in range(0, len(parts), _JOINED)]
+        done = self.tokenizer.encode_batch([lead + " ".join(g) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, done):
+            at = np.cumsum([0, *[len(p) + 1 for p in group]])[:-1] + len(lead)
+            starts = np.array([o[0] for o in e.offsets], np.int64)
+            cut = [0, *np.searchsorted(starts, at[1:] - 1).tolist(), len(starts)]  # the blank belongs to what follows
+            raw = np.array(e.ids, "<u4").tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip(cut, cut[1:])]
+        return out
+
     def _learn(self, cache: dict[str, bytes], parts: set[str], lead: str) -> dict[str, bytes]:
         """A table that has all of ``parts``: the cache itself, unless a part is too long for it."""
         new = [p for p in parts if p not in cache]
         if len(cache) + len(new) > _MOST:
             cache.clear()
             new = list(parts)
-        long = [p for p in new if len(p) > _LONG]
-        marked = [p for p in new if p[-1:] in self.marks and len(p) <= _LONG and _letters(p[:-1])]
-        ends = set(marked)
-        new = {p for p in new if len(p) <= _LONG and p not in ends}
-        new |= {p[:-1] for p in marked if p[:-1] not in cache}
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            cache.update(zip(some, self._encode([lead + p for p in some])))
+        long, marked, apart, words = [], [], [], set()
+        for p in new:
+            if len(p) > _LONG:
+                long.append(p)
+            elif p[-1:] in self.marks and _letters(p[:-1]):
+                marked.append(p)
+                if p[:-1] not in cache:
+                    words.add(p[:-1])
+            elif not p or p.strip() != p:
+                apart.append(p)
+            else:
+                words.add(p)
+        encode = self._encode_joined if lead or self.kind == "dropped" else lambda some, lead: self._encode([lead + p for p in some])
+        words = list(words)
+        for i in range(0, len(words), 20_000):
+            some = words[i : i + 20_000]
+            cache.update(zip(some, encode(some, lead)))
+        cache.update(zip(apart, self._encode([lead + p for p in apart])))
         for p in marked:
             cache[p] = cache[p[:-1]] + self.marks[p[-1]]
         if not long:
@@ -115,7 +146,7 @@ class Encoder:
 
 def _letters(word: str) -> bool:
     """Only letters that stay one letter each in lower case and combine with nothing."""
-    return word.isalpha() and max(word) < "\u0250" and len(word.lower()) == len(word)
+    return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and len(word.lower()) == len(word)))
 
 
 def _folded(text: str) -> str:
