@@ -70,7 +70,8 @@ def _upper(box) -> Column:
 
 
 def _leaves(rows: DataFrame, by: list[str], carry: list[str]) -> DataFrame:
-    return rows.groupBy(*by).agg(F.collect_list(F.struct("tid", "tx", "ty", "tz", *carry)).alias("_points"))
+    """Points of each leaf in order of ``tid``."""
+    return rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("tid", "tx", "ty", "tz", *carry))).alias("_points"))
 
 
 def _pyramid(targets: DataFrame, keys: list[str], carry: list[str]) -> tuple[list[DataFrame], DataFrame]:
@@ -155,20 +156,23 @@ def nearest(queries: DataFrame, targets: DataFrame, keys: list[str], carry: list
     one = cut_lineage(one.select(*keys, "tx", "ty", "tz", "_v.*"))
     most = one.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
-    def closest(points: Column | str) -> Column:
+    def closest(points: Column) -> Column:
         def gap(t: Column) -> Column:
             d = [t["t" + a] - F.col(a) for a in "xyz"]
             return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
 
-        return F.array_min(F.transform(points, lambda t: F.struct(gap(t).alias("d2"), *[t[c].alias(c) for c in ("tid", *carry)])))
+        # points are in order of tid: of equal distances the first wins
+        near = F.array_min(F.transform(points, lambda t, i: F.struct(gap(t).alias("d2"), i.alias("i"))))
+        one = F.get(points, near["i"])
+        return F.struct(near["d2"].alias("d2"), *[one[c].alias(c) for c in ("tid", *carry)])
 
     if most <= LEAF:
-        hit = queries.join(_leaves(one, keys, carry), keys).withColumn("_h", closest("_points")).drop("_points")
+        hit = queries.join(_leaves(one, keys, carry), keys).withColumn("_h", closest(F.col("_points"))).drop("_points")
         return hit.select(*queries.columns, *[F.col("_h." + c).alias(c) for c in ("tid", "d2", *carry)])
     rows = cut_lineage(queries)
     levels, leaves = _pyramid(one, keys, carry)
     cells = _descend(rows, levels, keys).join(rows.select(*keys, "qid", "x", "y", "z"), [*keys, "qid"])
-    hit = cells.join(leaves, [*keys, "_level", "_cell"]).select(*keys, "qid", closest("_points").alias("_h"))
+    hit = cells.join(leaves, [*keys, "_level", "_cell"]).select(*keys, "qid", closest(F.col("_points")).alias("_h"))
     best = hit.groupBy(*keys, "qid").agg(F.min("_h").alias("_h"))
     return rows.join(best, [*keys, "qid"]).select(*queries.columns, *[F.col("_h." + c).alias(c) for c in ("tid", "d2", *carry)])
 
