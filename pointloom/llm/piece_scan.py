@@ -6,18 +6,20 @@ BPE model two pieces may be neighbours only if merging the two alone gives just
 one path all of whose neighbours may is the encoding.  (A unigram model has no such rule.)
 
 A chunk's transfer matrix has, for each state at its left and right boundary, the best weight
-between them; a state is the last piece that starts before the boundary.  Matrices multiply in
-the max-plus semiring, which is associative, so they are combined in groups, level by level.
+between them; a state is the last piece that starts before the boundary.  A chunk with a place
+that no piece crosses has a matrix that is a column plus a row, and is kept as those two.  Matrices
+multiply in the max-plus semiring, which is associative, so they are combined in groups, level by level.
 Going down again fixes the states at all boundaries, and each chunk traces its own path.
 """
 
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import numbered, own_columns, plain_text, small_batches, stored
@@ -29,6 +31,49 @@ LONG = 64
 NO = -np.inf
 
 
+@dataclass
+class Meeting:
+    """The matrix ``column[:, None] + row[None, :]``: all its paths go through one place."""
+
+    column: np.ndarray
+    row: np.ndarray
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.column[i] + self.row
+
+    def into(self, j: int) -> np.ndarray:
+        return self.column + self.row[j]
+
+
+@dataclass
+class Dense:
+    """A matrix in full."""
+
+    all: np.ndarray
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.all[i]
+
+    def into(self, j: int) -> np.ndarray:
+        return self.all[:, j]
+
+
+def after(v: np.ndarray, m: Meeting | Dense) -> np.ndarray:
+    """Best weights behind ``m``, from those before it."""
+    if isinstance(m, Meeting):
+        return (v + m.column).max() + m.row
+    return (v[:, None] + m.all).max(0) if len(v) else np.full(m.all.shape[1], NO)
+
+
+def times(a: Meeting | Dense, b: Meeting | Dense) -> Meeting | Dense:
+    """Max-plus product; a column plus a row as soon as one factor is."""
+    if isinstance(a, Meeting):
+        return Meeting(a.column, after(a.row, b))
+    if isinstance(b, Meeting):
+        return Meeting((a.all + b.column[None, :]).max(1), b.row)
+    return Dense((a.all[:, :, None] + b.all[None, :, :]).max(1) if a.all.shape[1] else np.full((a.all.shape[0], b.all.shape[1]), NO))
+
+
 class Pieces:
     """Vocabulary of a model as the lattice needs it."""
 
@@ -145,7 +190,7 @@ class Pieces:
         exits = [s for s in self.states(text, hi) if not last or s[1] == len(text)]
         free = [p for p in range(lo, hi + 1) if p in (0, len(text)) or text[p - 1 : p + 1] not in self.inside]
         if len(free) < 2:
-            return self.lattice(text, lo, hi, entries, exits) if exact is None else self.lattice(text, lo, hi, entries, exact=exact[1])
+            return Dense(self.lattice(text, lo, hi, entries, exits)) if exact is None else self.lattice(text, lo, hi, entries, exact=exact[1])
         first, end = free[0], free[-1]
         middle = [p for a, b in zip(free, free[1:]) for p in self.best(text[a:b])]
         turn = (end - len(middle[-1]), end)
@@ -156,7 +201,7 @@ class Pieces:
             return out + middle + (self.lattice(text, end, hi, [turn], exact=exact[1]) if end < hi else [])
         weight = sum(map(self.weight, middle))
         right = self.lattice(text, end, hi, [turn], exits)[0] if end < hi else np.array([0.0 if s == turn else NO for s in exits])
-        return left.max(1)[:, None] + weight + right[None, :]
+        return Meeting(left.max(1) + weight, right)
 
 
 class Model:
@@ -197,14 +242,14 @@ def model(path: str) -> Model:
     return _MODELS[path]
 
 
-def _encode_small(path: str):
-    def run(batches):
-        sp = model(path).sp
-        for batch in batches:
-            ids = sp.encode([t or "" for t in batch.column("text").to_pylist()], num_threads=1)
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(ids, pa.list_(pa.int32()))], ["rid", "ids"])
+def _encoded(path: str, text: Column) -> Column:
+    """Ids of texts of moderate length, by the library."""
 
-    return run
+    @F.arrow_udf("array<int>")
+    def ids_of(column: pa.Array) -> pa.Array:
+        return pa.array(model(path).sp.encode([t or "" for t in column.to_pylist()], num_threads=1), pa.list_(pa.int32()))
+
+    return ids_of(text)
 
 
 _CHUNK = "rid bigint, c int, n int, lo int, hi int, text string"
@@ -230,7 +275,20 @@ def _chunks(path: str, size: int):
     return run
 
 
-_MATRIX = "rid bigint, c int, n int, rows int, m binary"
+_MATRIX = "rid bigint, c int, n int, rows int, m binary, row binary"
+
+
+def _matrix_rows(rid: int, c: int, n: int, m: Meeting | Dense) -> pa.Table:
+    first = m.column if isinstance(m, Meeting) else m.all
+    row = m.row.tobytes() if isinstance(m, Meeting) else None
+    data = [rid, c, n, first.shape[0], np.ascontiguousarray(first).tobytes(), row]
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.table([pa.array([v], t) for v, t in zip(data, types)], ["rid", "c", "n", "rows", "m", "row"])
+
+
+def _matrix(rows: int, data: bytes, row: bytes | None) -> Meeting | Dense:
+    first = np.frombuffer(data, np.float64)
+    return Dense(first.reshape(rows, -1)) if row is None else Meeting(first, np.frombuffer(row, np.float64))
 
 
 def _matrices(path: str):
@@ -238,40 +296,27 @@ def _matrices(path: str):
         pieces = model(path).pieces
         for batch in batches:
             for rid, c, n, lo, hi, text in zip(*[x.to_pylist() for x in batch.columns]):
-                m = pieces.run(text, lo, hi, c == n - 1)
-                row = [rid, c, n, m.shape[0], np.ascontiguousarray(m).tobytes()]
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["rid", "c", "n", "rows", "m"])
+                yield from _matrix_rows(rid, c, n, pieces.run(text, lo, hi, c == n - 1)).to_batches()
 
     return run
 
 
-def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product."""
-    return (a[:, :, None] + b[None, :, :]).max(1) if a.shape[1] else np.full((a.shape[0], b.shape[1]), NO)
-
-
-def _matrix(rows: int, data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.float64).reshape(rows, -1)
-
-
 def _ordered(table) -> list[dict]:
     return sorted(table.to_pylist(), key=lambda r: r["c"])
 
 
 def _product(key, table):
     rows = _ordered(table)
-    out = _matrix(rows[0]["rows"], rows[0]["m"])
+    out = _matrix(rows[0]["rows"], rows[0]["m"], rows[0]["row"])
     for r in rows[1:]:
-        out = times(out, _matrix(r["rows"], r["m"]))
-    data = [[key[0].as_py()], [key[1].as_py()], [-(-rows[0]["n"] // GROUP)], [out.shape[0]], [out.tobytes()]]
-    return pa.table([pa.array(v, t) for v, t in zip(data, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["rid", "c", "n", "rows", "m"])
+        out = times(out, _matrix(r["rows"], r["m"], r["row"]))
+    return _matrix_rows(key[0].as_py(), key[1].as_py(), -(-rows[0]["n"] // GROUP), out)
 
 
 def _best_end(batches):
     """The best last piece of each text, by the matrix of the whole text."""
     for batch in batches:
-        last = [int(_matrix(r, m)[0].argmax()) for r, m in zip(batch.column("rows").to_pylist(), batch.column("m").to_pylist())]
+        last = [int(_matrix(*x)[0].argmax()) for x in zip(*[batch.column(c).to_pylist() for c in ("rows", "m", "row")])]
         data = [batch.column("rid"), batch.column("c"), pa.array([0] * len(last), pa.int32()), pa.array(last, pa.int32())]
         yield pa.RecordBatch.from_arrays(data, ["rid", "c", "first", "last"])
 
@@ -280,13 +325,13 @@ def _states_below(key, table):
     """States at the inner boundaries of a group whose outer ones are known."""
     rows = _ordered(table)
     first, last = rows[0]["first"], rows[0]["last"]
-    ms = [_matrix(r["rows"], r["m"]) for r in rows]
+    ms = [_matrix(r["rows"], r["m"], r["row"]) for r in rows]
     forward = [ms[0][first]]
     for m in ms[1:]:
-        forward.append((forward[-1][:, None] + m).max(0))
+        forward.append(after(forward[-1], m))
     at = [last]
     for m, f in zip(ms[:0:-1], forward[-2::-1]):
-        at.append(int((f + m[:, at[-1]]).argmax()))
+        at.append(int((f + m.into(at[-1])).argmax()))
     at = at[::-1]
     firsts = [first, *at[:-1]]
     data = [[r["rid"] for r in rows], [r["c"] for r in rows], firsts, at]
@@ -310,10 +355,9 @@ def _trace(path: str):
 
 def _scan(giant: DataFrame, path: str, chunk: int) -> DataFrame:
     """(rid, ids) of giant texts."""
-    chunks = stored(giant.mapInArrow(_chunks(path, chunk), _CHUNK), "chunks")
     parts = int(giant.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = chunks.repartition(parts, "rid", "c")
-    levels = [stored(dealt.mapInArrow(_matrices(path), _MATRIX), "matrices")]
+    chunks = stored(giant.mapInArrow(_chunks(path, chunk), _CHUNK).repartition(parts, "rid", "c"), "chunks")
+    levels = [stored(chunks.mapInArrow(_matrices(path), _MATRIX), "matrices")]
     while (levels[-1].agg(F.max("n")).first()[0] or 0) > 1:
         group = F.floor(F.col("c") / GROUP).cast("int").alias("g")
         levels.append(stored(levels[-1].groupBy("rid", group).applyInArrow(_product, _MATRIX), "matrices"))
@@ -338,13 +382,12 @@ def encode_pieces(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text
     """
     small_batches(docs.sparkSession)
     docs = docs.drop(*[c for c in docs.columns if c.lower() == "ids"])
-    p = own_columns(docs, "ids")
-    rows = numbered(docs, doc_id, f"{p}r")
-    base = rows.select(F.col(f"{p}r").alias("rid"), plain_text(text).alias("text"))
-    done = base.filter(F.length("text") <= giant_chars).mapInArrow(_encode_small(model_file), "rid bigint, ids array<int>")
-    giant = base.filter(F.length("text") > giant_chars)
-    done = done.unionByName(_scan(giant, model_file, chunk))
-    return rows.join(done.withColumnRenamed("rid", f"{p}r"), f"{p}r").drop(f"{p}r")
+    r = f"{own_columns(docs, 'ids')}r"
+    is_giant = F.length(plain_text(text)) > giant_chars
+    done = docs.filter(~is_giant).withColumn("ids", _encoded(model_file, F.col(text)))  # no shuffle: the row keeps its ids
+    giant = numbered(docs.filter(is_giant), doc_id, r)
+    found = _scan(giant.select(F.col(r).alias("rid"), F.col(text).alias("text")), model_file, chunk)
+    return done.unionByName(giant.join(found.withColumnRenamed("rid", r), r).drop(r))
 
 
 def decode_pieces(df: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 
 from pointloom.llm import piece_scan, queries
-from pointloom.llm.piece_scan import Pieces, decode_pieces, encode_pieces, times
+from pointloom.llm.piece_scan import Dense, Meeting, Pieces, after, decode_pieces, encode_pieces, times
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -23,14 +23,14 @@ def scanned(pieces, text, size):
     total = ms[0]
     for m in ms[1:]:
         total = times(total, m)
-    assert total.shape == (1, len([s for s in pieces.states(text, len(text)) if s[1] == len(text)]))
+    assert total[0].shape == (len([s for s in pieces.states(text, len(text)) if s[1] == len(text)]),)
     last = int(total[0].argmax())
     forward = [ms[0][0]]
     for m in ms[1:]:
-        forward.append((forward[-1][:, None] + m).max(0))
+        forward.append(after(forward[-1], m))
     at = [last]
     for m, f in zip(ms[:0:-1], forward[-2::-1]):
-        at.append(int((f + m[:, at[-1]]).argmax()))
+        at.append(int((f + m.into(at[-1])).argmax()))
     out, entry = [], (0, 0)
     for (a, b), state in zip(spans, at[::-1]):
         exits = [s for s in pieces.states(text, b) if b < len(text) or s[1] == len(text)]
@@ -39,6 +39,19 @@ def scanned(pieces, text, size):
     return out, total[0].max()
 
 
+def test_products_of_both_kinds_agree():
+    rnd = np.random.default_rng(3)
+    for _ in range(30):
+        a, b, c = rnd.integers(1, 6, 3)
+        x, y = Meeting(rnd.normal(size=a), rnd.normal(size=b)), Meeting(rnd.normal(size=b), rnd.normal(size=c))
+        full = lambda m: m.all if isinstance(m, Dense) else m.column[:, None] + m.row[None, :]
+        want = full(times(Dense(full(x)), Dense(full(y))))
+        for left in (x, Dense(full(x))):
+            for right in (y, Dense(full(y))):
+                assert np.allclose(full(times(left, right)), want)
+                assert np.allclose(after(left[0], right), want[0])
+
+
 def test_bpe_equals_the_library():
     m = piece_scan.Model(PATH)
     rnd = random.Random(6)
