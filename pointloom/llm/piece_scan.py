@@ -396,7 +396,9 @@ def decode_pieces(df: DataFrame, model_file: str, ids: str = "ids", out: str = "
     @F.arrow_udf("string")
     def text_of(column: pa.Array) -> pa.Array:
         sp = model(model_file).sp
-        return pa.array([None if x is None else sp.decode(x) for x in column.to_pylist()], pa.string())
+        cut, flat = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False).tolist()
+        known = column.is_valid().to_pylist()
+        return pa.array([sp.decode(flat[i:j]) if ok else None for ok, i, j in zip(known, cut[:-1], cut[1:])], pa.string())
 
     return df.withColumn(out, text_of(F.col(ids)))
 
