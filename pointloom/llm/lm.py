@@ -3,9 +3,12 @@
 Counts are kept on a logarithmic scale: an n-gram with quantised count q is stored as the q
 pairs (n-gram, 1) to (n-gram, q).  A reader probes (n-gram, 1), (n-gram, 2), ... until one is
 missing; a false positive can only raise a count.  The filter is built in segments by hash
-range, each by the task that has counted that range, with about twelve bits per stored level
-whatever the corpus.  A filter within a bound is broadcast once; the segments of a larger one
-stay with their hash range, where the n-grams of each pack of documents are sent to be probed.
+range, with about twelve bits per stored level whatever the corpus.
+
+``lm_score`` has one plan for all sizes: packs of documents send their distinct n-grams with
+their training counts to the hash ranges; the task of a range counts, builds its segment, probes
+it for every n-gram asked and sends the levels back to the packs, with exact counts of tokens.
+``train`` collects the segments of a filter within a bound into a model that can be broadcast.
 """
 
 from __future__ import annotations
@@ -22,7 +25,6 @@ from ._shared import as_text, mixed, numbered, own_columns, plain_text, runs_of,
 END = np.uint64(0x45D9F3B3335B369)  # stands for the end of a text
 _HALF = np.uint64(32)
 _PACK = "range int, what int, a binary, b binary, c binary, d binary"
-_HOT = 65_536
 _PROBES = 1 << 18  # n-grams whose bit positions are computed at once
 _SHORT = np.uint64((1 << 40) - 1)  # what the filter sees of a hash besides its range: a chance match in a range of 10 ** 7 entries has odds of 1 to 10 ** 5
 _ANY = np.uint64(1 << 63)
@@ -118,9 +120,21 @@ def _bits(h: np.ndarray, level: int, k: int, size) -> np.ndarray:
         return np.stack([((a + np.uint64(i) * b) >> np.uint64(1)) % size for i in range(k)])
 
 
-def _count_ranges(base: float, hot: int, bits_per_entry: int = 12):
-    """Per range: the filter segment (what 0: a = bytes, b = number of hash functions, entries),
-    token totals (what 1) and the most frequent tokens (what 2)."""
+def _segment(keys: np.ndarray, level: np.ndarray, bits_per_entry: int = 12) -> tuple[np.ndarray, int, int]:
+    """Bytes of the filter of one range, number of hash functions, stored levels."""
+    entries = int(level.sum())
+    size = max(512, -(-entries * bits_per_entry // 8) * 8)
+    k = min(8, max(1, round(0.693 * size / max(1, entries))))
+    bits = np.zeros(size, np.uint8)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        own = keys[level >= q]
+        for at in range(0, len(own), _PROBES):
+            bits[_bits(own[at : at + _PROBES], q, k, np.uint64(size))] = 1
+    return np.packbits(bits, bitorder="little"), k, entries
+
+
+def _count_ranges(base: float, bits_per_entry: int = 12):
+    """Per range: the filter segment (what 0: a = bytes, b = number of hash functions, entries) and token totals (what 1)."""
 
     def run(batches):
         got: dict[int, dict[int, list]] = {}
@@ -139,21 +153,11 @@ def _count_ranges(base: float, hot: int, bits_per_entry: int = 12):
                 keys, times = keys[first], np.add.reduceat(times, first)
                 if n == 1:
                     out.append((r, 1, np.array([times.sum(), len(keys)], np.int64).tobytes(), b"", b"", b""))
-                    top = np.argsort(-times, kind="stable")[:hot]
-                    out.append((r, 2, keys[top].tobytes(), times[top].tobytes(), b"", b""))
                 grams.append(keys)
                 counts.append(times)
-            keys, level = np.concatenate(grams), quantised(np.concatenate(counts), base)
-            entries = int(level.sum())
-            size = max(512, -(-entries * bits_per_entry // 8) * 8)
-            k = min(8, max(1, round(0.693 * size / max(1, entries))))
-            bits = np.zeros(size, np.uint8)
-            for q in range(1, int(level.max()) + 1):
-                own = keys[level >= q]
-                for at in range(0, len(own), _PROBES):
-                    bits[_bits(own[at : at + _PROBES], q, k, np.uint64(size))] = 1
-            info = np.array([k, entries, size], np.int64)
-            out.append((r, 0, np.packbits(bits, bitorder="little").tobytes(), info.tobytes(), b"", b""))
+            bits, k, entries = _segment(np.concatenate(grams), quantised(np.concatenate(counts), base), bits_per_entry)
+            info = np.array([k, entries, 8 * len(bits)], np.int64)
+            out.append((r, 0, bits.tobytes(), info.tobytes(), b"", b""))
             yield _rows(out)
 
     return run
@@ -193,9 +197,28 @@ class Filter:
         return out
 
 
+def log_probabilities(levels: list[np.ndarray], counts: np.ndarray, base: float, weight: float, n_tokens: int, n_types: int) -> np.ndarray:
+    """log10 of the smoothed probability of each token after the ones before it.
+
+    ``levels`` holds, order by order, the level of the n-gram that ends at each token.  An order is
+    mixed with the next lower one as with ``weight`` pseudo-counts; the lowest is add-one over the
+    known types and one unknown.
+    """
+    below = expected(levels[0], base)
+    p = (below + 1) / (n_tokens + n_types + 1)
+    first = np.cumsum(counts) - counts
+    for level in levels[1:]:
+        context = np.concatenate([[0.0], below[:-1]])
+        context[first] = 0.0
+        here = np.minimum(expected(level, base), context)  # an n-gram is never more frequent than its context
+        p = (here + weight * p) / (context + weight)
+        below = here
+    return np.log10(p)
+
+
 @dataclass
 class Model:
-    """Totals, exact counts of frequent tokens, and the filter if it is small enough to be broadcast."""
+    """Totals, and the filter if it is small enough to be broadcast."""
 
     order: int
     base: float
@@ -205,39 +228,15 @@ class Model:
     n_types: int
     entries: int
     filter: Filter | None
-    hot_keys: np.ndarray
-    hot_counts: np.ndarray
 
     def level(self, h: np.ndarray) -> np.ndarray:
         if self.filter is None:
             raise ValueError("the filter lies with its hash ranges")
         return self.filter.level(h)
 
-    def log_probabilities(self, tokens: np.ndarray, counts: np.ndarray, level) -> np.ndarray:
-        """log10 of the smoothed probability of each token after the ones before it.
-
-        Counts come from the filter, by ``level``.  An order is mixed with the next lower one as with
-        ``weight`` pseudo-counts; the lowest is add-one over the known types and one unknown.
-        """
-        below = expected(level(tokens), self.base)
-        p = (below + 1) / (self.n_tokens + self.n_types + 1)
-        first = np.cumsum(counts) - counts
-        for n in range(2, self.order + 1):
-            h = _grams(tokens, counts, n)
-            here = expected(level(h), self.base)
-            context = np.concatenate([[0.0], below[:-1]])
-            context[first] = 0.0
-            here = np.minimum(here, context)  # an n-gram is never more frequent than its context
-            p = (here + self.weight * p) / (context + self.weight)
-            below = here
-        return np.log10(p)
-
-    def hot_count(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(is frequent, exact count) of tokens."""
-        if not len(self.hot_keys):
-            return np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
-        at = np.minimum(np.searchsorted(self.hot_keys, tokens), len(self.hot_keys) - 1)
-        return self.hot_keys[at] == tokens, self.hot_counts[at]
+    def log_probabilities(self, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        levels = [self.level(_grams(tokens, counts, n)) for n in range(1, self.order + 1)]
+        return log_probabilities(levels, counts, self.base, self.weight, self.n_tokens, self.n_types)
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -245,54 +244,47 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def _ranges(rows: DataFrame) -> int:
+    """Hash ranges: one per 64 MB of text, or as many as there are shuffle partitions."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20)))
+
+
 def train(docs: DataFrame, text: str = "text", order: int = 2, base: float = 2.0, weight: float = 5.0, filter_bytes: int = 64 << 20) -> Model:
     """Count the n-grams of all rows of ``docs`` and build the filter.
 
     Every n-gram up to ``order`` is counted, none is cut off.  The filter takes about twelve
     bits per stored level; one larger than ``filter_bytes`` is not part of the model.
     """
-    return _train(docs, text, order, base, weight, filter_bytes)[0]
-
-
-def _train(docs: DataFrame, text: str, order: int, base: float, weight: float, filter_bytes: int) -> tuple[Model, DataFrame]:
-    """The model, and the stored segments of its filter (what 0)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(plain_text(text).alias("text"))
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(ranges, -(-size // (64 << 20)))
+    ranges = _ranges(rows)
     packs = rows.mapInArrow(_count_packs(order, ranges), _PACK).repartitionById(ranges, F.col("range"))
-    hot = max(1, 2 * _HOT // ranges)
-    parts = stored(packs.mapInArrow(_count_ranges(base, hot), _PACK), "counts")
+    parts = stored(packs.mapInArrow(_count_ranges(base), _PACK), "counts")
     start, sizes, ks = np.zeros(ranges, np.int64), np.zeros(ranges, np.int64), np.ones(ranges, np.int64)
     total = types = entries = at = 0
-    hot_keys, hot_counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    # a few numbers per range and 2 * _HOT tokens, whatever the corpus
+    # a few numbers per range
     for r in parts.select("range", "what", F.when(F.col("what") > 0, F.col("a")).alias("a"), "b").orderBy("range", "what").collect():
         if r["what"] == 0:
             k, n, bits = np.frombuffer(r["b"], np.int64)
             start[r["range"]], sizes[r["range"]], ks[r["range"]] = at, bits, k
             at += int(bits) // 8
             entries += int(n)
-        elif r["what"] == 1:
+        else:
             a, b = np.frombuffer(r["a"], np.int64)
             total, types = total + int(a), types + int(b)
-        else:
-            hot_keys.append(np.frombuffer(r["a"], np.uint64))
-            hot_counts.append(np.frombuffer(r["b"], np.int64))
-    keys, counts = np.concatenate(hot_keys), np.concatenate(hot_counts)
-    sort = np.argsort(keys)
     held = None
     if at <= filter_bytes:
         segments = [np.frombuffer(r["a"], np.uint8) for r in parts.filter("what = 0").select("range", "a").orderBy("range").collect()]
         held = Filter(ranges, np.concatenate(segments) if segments else np.zeros(1, np.uint8), start, sizes, ks)
-    return Model(order, base, weight, ranges, total, types, entries, held, keys[sort], counts[sort]), parts.filter("what = 0")
+    return Model(order, base, weight, ranges, total, types, entries, held)
 
 
 _TEXTS = "pack bigint, ids binary, sizes binary, data binary"
-_PROBE = "range int, pack bigint, data binary, info binary"
-_ANSWER = "pack bigint, range int, levels binary"
+_ASKED = "range int, pack bigint, n int, grams binary, times binary"
+_ANSWER = "range int, pack bigint, n int, levels binary, exact binary, total bigint, types bigint"
+_PACK_BYTES = 8 << 20
 
 
 def _batch(rows, names: str) -> pa.RecordBatch:
@@ -303,13 +295,24 @@ def _batch(rows, names: str) -> pa.RecordBatch:
 
 def _text_packs(batches):
     """Packs of documents, named by their first number; ids = numbers with the training flag in the last bit."""
+
+    def packed(ids, texts):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        data = pa.compress(b"".join(texts), "zstd", asbytes=True)
+        return _batch([(ids[0] >> 1, np.array(ids, np.int64).tobytes(), sizes.tobytes(), data)], _TEXTS)
+
+    ids, texts, size = [], [], 0
     for batch in batches:
-        rids, train = (np.array(batch.column(c).to_pylist()) for c in ("rid", "train"))
-        texts = [as_text(t) for t in batch.column("text").to_pylist()]
-        flagged = (rids.astype(np.int64) << 1) | train.astype(np.int64)
-        for i, j in runs_of(texts, 4 << 20):
-            sizes = np.array([len(t) for t in texts[i:j]], np.int64)
-            yield _batch([(int(rids[i]), flagged[i:j].tobytes(), sizes.tobytes(), pa.compress(b"".join(texts[i:j]), "zstd", asbytes=True))], _TEXTS)
+        for rid, train, text in zip(*[batch.column(c).to_pylist() for c in ("rid", "train", "text")]):
+            t = as_text(text)
+            if ids and size + len(t) > _PACK_BYTES:
+                yield packed(ids, texts)
+                ids, texts, size = [], [], 0
+            ids.append(rid << 1 | train)
+            texts.append(t)
+            size += len(t)
+    if ids:
+        yield packed(ids, texts)
 
 
 def _unpacked(sizes: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -319,157 +322,96 @@ def _unpacked(sizes: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _token_runs([raw[i:j] for i, j in zip([0, *ends], ends)])
 
 
-def _own_grams(tokens: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
-    """The distinct n-grams of a pack, ascending, and so by hash range."""
-    h = np.unique(np.concatenate([_grams(tokens, counts, n) for n in range(1, order + 1)]))
-    return h[h != 0]
+def _ask(order: int, ranges: int):
+    """Distinct n-grams of each pack with their times in its training documents, by hash range."""
 
-
-def _probe_packs(order: int, ranges: int):
     def run(batches):
         for batch in batches:
-            for pack, sizes, data in zip(*[batch.column(c).to_pylist() for c in ("pack", "sizes", "data")]):
-                h = _own_grams(*_unpacked(sizes, data), order)
-                cut = np.searchsorted(_range_of(h, ranges), np.arange(ranges + 1, dtype=np.uint64))
-                rows = [(int(r), pack, _shortened(h[cut[r] : cut[r + 1]]), None) for r in np.flatnonzero(np.diff(cut))]
-                if rows:
-                    yield _batch(rows, _PROBE)
+            for pack, ids, sizes, data in zip(*[batch.column(c).to_pylist() for c in ("pack", "ids", "sizes", "data")]):
+                tokens, counts = _unpacked(sizes, data)
+                train = np.repeat(np.frombuffer(ids, np.int64) & 1, counts).astype(bool)
+                out = []
+                for n in range(1, order + 1):
+                    h = _grams(tokens, counts, n)
+                    keys = np.unique(h[h != 0])
+                    learnt, seen = np.unique(h[train & (h != 0)], return_counts=True)
+                    times = np.zeros(len(keys), np.uint32)
+                    times[np.searchsorted(keys, learnt)] = seen
+                    cut = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1, dtype=np.uint64))
+                    for r in np.flatnonzero(np.diff(cut)):
+                        own = keys[cut[r] : cut[r + 1]]
+                        out.append((int(r), pack, n, own.tobytes() if n == 1 else _shortened(own), times[cut[r] : cut[r + 1]].tobytes()))
+                if out:
+                    yield _batch(out, _ASKED)
 
     return run
 
 
-def _answer_probes(batches):
-    """Levels of the n-grams of each pack, from the filter segment of their range (the row with ``info``)."""
-    asked: dict[int, list] = {}
-    held: dict[int, Filter] = {}
-    for batch in batches:
-        for r, pack, data, info in zip(*[c.to_pylist() for c in batch.columns]):
-            if info is None:
-                asked.setdefault(r, []).append((pack, data))
-            else:
-                k, _, size = np.frombuffer(info, np.int64)
-                held[r] = Filter(1, np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.array([size]), np.array([k]))
-    while asked:
-        r, probes = asked.popitem()
-        h, place = np.unique(_lengthened(b"".join(d for _, d in probes)), return_inverse=True)
-        level = (held[r].level(h | _ANY) if r in held else np.zeros(len(h), np.int64)).astype(np.uint16)[place]
-        ends = np.cumsum([len(d) // 5 for _, d in probes]).tolist()
-        rows = [(pack, r, level[i:j].tobytes()) for (pack, _), i, j in zip(probes, [0, *ends], ends)]
-        for i in range(0, len(rows), 1000):
-            yield _batch(rows[i : i + 1000], _ANSWER)
-
-
-def _answered(texts: DataFrame, segments: DataFrame, order: int, ranges: int) -> DataFrame:
-    """Packs of documents with the levels of their n-grams, by hash range."""
-    probes = texts.mapInArrow(_probe_packs(order, ranges), _PROBE)
-    filters = segments.select("range", F.lit(-1).cast("long").alias("pack"), F.col("a").alias("data"), F.col("b").alias("info"))
-    answers = probes.unionByName(filters).repartitionById(ranges, F.col("range")).mapInArrow(_answer_probes, _ANSWER)
-    answers = answers.groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("range", "levels"))).alias("l"))
-    return texts.join(answers.select("pack", F.col("l.levels").alias("levels")), "pack").select("ids", "sizes", "data", "levels")
-
-
-def _score_packs(shared, ranges: int):
-    """Scores per document (what 1) and, for tokens without a known exact count, packs (what 0).
-
-    what 1: a = numbers, b = tokens, c = known tokens and log sums of frequent ones, d = scores.
-    what 0: a = numbers with the training flag in the last bit, b = token hashes and their
-    numbers of documents, c = local document numbers, d = times in the document.
+def _answer(base: float):
+    """Levels of the n-grams of each pack, probed in the segment that their range builds from all packs.
+
+    Tokens (n = 1) also get their exact counts; a row of n = 0 has the totals of the range.
     """
 
     def run(batches):
-        model: Model = shared.value
+        got: dict[int, dict[int, list]] = {}
         for batch in batches:
-            rids, train = (np.array(batch.column(c).to_pylist()) for c in ("rid", "train"))
-            flagged = (rids.astype(np.int64) << 1) | train.astype(np.int64)
-            texts = [as_text(t) for t in batch.column("text").to_pylist()]
-            for i, j in runs_of(texts, 4 << 20):
-                yield _scored(model, flagged[i:j], *_token_runs(texts[i:j]), model.level, ranges)
+            for r, pack, n, grams, times in zip(*[c.to_pylist() for c in batch.columns]):
+                got.setdefault(r, {}).setdefault(n, []).append((pack, grams, times))
+        while got:
+            r, by_order = got.popitem()
+            found, total, types = {}, 0, 0
+            for n, parts in by_order.items():
+                joined = b"".join(p[1] for p in parts)
+                keys, place = np.unique(np.frombuffer(joined, np.uint64) if n == 1 else _lengthened(joined), return_inverse=True)
+                times = np.frombuffer(b"".join(p[2] for p in parts), np.uint32)
+                count = np.bincount(place, times, len(keys)).astype(np.int64)
+                if n == 1:
+                    total, types = int(count.sum()), int((count > 0).sum())
+                found[n] = keys, place.astype(np.int32), count
+            keys, count = (np.concatenate([f[i] for f in found.values()]) for i in (0, 2))
+            bits, k, _ = _segment(keys[count > 0], quantised(count[count > 0], base))
+            segment = Filter(1, bits, np.zeros(1, np.int64), np.array([8 * len(bits)]), np.array([k]))
+            yield _batch([(r, None, 0, None, None, total, types)], _ANSWER)
+            for n, (keys, place, count) in found.items():
+                level = segment.level(keys | _ANY).astype(np.uint16)
+                ends = np.cumsum([len(p[2]) // 4 for p in by_order[n]]).tolist()
+                rows = []
+                for (pack, _, _), i, j in zip(by_order[n], [0, *ends], ends):
+                    exact = count[place[i:j]].tobytes() if n == 1 else None
+                    rows.append((r, pack, n, level[place[i:j]].tobytes(), exact, None, None))
+                for i in range(0, len(rows), 100):
+                    yield _batch(rows[i : i + 100], _ANSWER)
 
     return run
 
 
-def _score_answered(shared, ranges: int):
-    """As ``_score_packs``, for packs that bring the levels of their n-grams."""
+_SCORE = "rid bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
-    def run(batches):
-        model: Model = shared.value
-        for batch in batches:
-            for ids, sizes, data, levels in zip(*[c.to_pylist() for c in batch.columns]):
-                tokens, counts = _unpacked(sizes, data)
-                keys, found = _own_grams(tokens, counts, model.order), np.frombuffer(b"".join(levels), np.uint16).astype(np.int64)
-                level = lambda h: np.where(h != 0, found[np.searchsorted(keys, np.maximum(h, keys[0]))], 0)  # noqa: B023, E731
-                yield _scored(model, np.frombuffer(ids, np.int64), tokens, counts, level, ranges)
-
-    return run
 
+def _score(order: int, base: float, weight: float, n_tokens: int, n_types: int):
+    """Scores of the documents of packs that bring the answers to their n-grams, in order of n and range."""
 
-def _scored(model: Model, flagged: np.ndarray, tokens: np.ndarray, counts: np.ndarray, level, ranges: int) -> pa.RecordBatch:
-    ids = flagged >> 1
-    first = np.cumsum(counts) - counts
-    score = np.add.reduceat(model.log_probabilities(tokens, counts, level), first)
-    doc = np.repeat(np.arange(len(ids)), counts)
-    is_hot, exact = model.hot_count(tokens)
-    denominator = np.log10(model.n_tokens + model.n_types + 1)
-    log = np.where(is_hot, np.log10(exact + 1) - denominator, 0.0)
-    known = np.bincount(doc, is_hot & (exact > 0), len(ids)).astype(np.int64)
-    base = np.add.reduceat(log, first)
-    out = [(int(ids[0] % ranges), 1, ids.tobytes(), counts.astype(np.int64).tobytes(), known.tobytes() + base.tobytes(), score.tobytes())]
-    rare = np.flatnonzero(~is_hot)
-    sort = rare[np.lexsort((doc[rare], tokens[rare]))]
-    keys, owner = tokens[sort], doc[sort]
-    head = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]) if len(keys) else np.empty(0, np.int64)
-    times = np.diff(np.r_[head, len(keys)]).astype(np.uint32)
-    keys, owner = keys[head], owner[head]
-    cut = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1, dtype=np.uint64))
-    for r in np.flatnonzero(np.diff(cut)):
-        k, o, t = (x[cut[r] : cut[r + 1]] for x in (keys, owner, times))
-        used, local = np.unique(o, return_inverse=True)
-        own, n = np.unique(k, return_counts=True)
-        b = own.tobytes() + n.astype(np.uint32).tobytes()
-        out.append((int(r), 0, flagged[used].tobytes(), b, local.astype(np.uint16).tobytes(), t.tobytes()))
-    return _rows(out)
-
-
-_PARTIAL = "rid bigint, n_tokens bigint, n_known bigint, base_score double, score double"
-
-
-def _partial(rid, n, known, base, score) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((rid, n, known, base, score), types)], [x.split()[0] for x in _PARTIAL.split(", ")])
-
-
-def _score_ranges(n_tokens: int, n_types: int):
     def run(batches):
-        got: dict[int, list] = {}
         for batch in batches:
-            for r, what, a, b, c, d in zip(*[x.to_pylist() for x in batch.columns]):
-                if what:
-                    ids = np.frombuffer(a, np.int64)
-                    known, base = np.frombuffer(c[: 8 * len(ids)], np.int64), np.frombuffer(c[8 * len(ids) :], np.float64)
-                    yield _partial(ids, np.frombuffer(b, np.int64), known, base, np.frombuffer(d, np.float64))
-                else:
-                    got.setdefault(r, []).append((a, b, c, d))
-        while got:
-            parts = got.popitem()[1]
-            keys, docs, times, at = [], [], [], 0
-            for a, b, c, d in parts:
-                n = len(b) // 12
-                own = np.frombuffer(b[: 8 * n], np.uint64)
-                keys.append(np.repeat(own, np.frombuffer(b[8 * n :], np.uint32)))
-                docs.append(np.frombuffer(c, np.uint16).astype(np.int64) + at)
-                times.append(np.frombuffer(d, np.uint32))
-                at += len(a) // 8
-            flagged = np.frombuffer(b"".join(p[0] for p in parts), np.int64)
-            keys, docs, times = np.concatenate(keys), np.concatenate(docs), np.concatenate(times).astype(np.int64)
-            sort = np.argsort(keys, kind="stable")
-            keys, docs, times = keys[sort], docs[sort], times[sort]
-            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            count = np.add.reduceat(np.where(flagged[docs] & 1, times, 0), first)
-            count = np.repeat(count, np.diff(np.r_[first, len(keys)]))
-            log = times * (np.log10(count + 1) - np.log10(n_tokens + n_types + 1))
-            zero = np.zeros(at, np.int64)
-            known = np.bincount(docs, np.where(count > 0, times, 0), at).astype(np.int64)
-            yield _partial(flagged >> 1, zero, known, np.bincount(docs, log, at), zero.astype(float))
+            for ids, sizes, data, answers in zip(*[batch.column(c).to_pylist() for c in ("ids", "sizes", "data", "answers")]):
+                tokens, counts = _unpacked(sizes, data)
+                levels = []
+                for n in range(1, order + 1):
+                    h = _grams(tokens, counts, n)
+                    known = np.flatnonzero(h)
+                    place = np.unique(h[known], return_inverse=True)[1]
+                    level = np.zeros(len(h), np.int64)
+                    level[known] = np.frombuffer(b"".join(a["levels"] for a in answers if a["n"] == n), np.uint16)[place]
+                    levels.append(level)
+                    if n == 1:
+                        exact = np.frombuffer(b"".join(a["exact"] for a in answers if a["n"] == 1), np.int64)[place]
+                first = np.cumsum(counts) - counts
+                score = np.add.reduceat(log_probabilities(levels, counts, base, weight, n_tokens, n_types), first)
+                basic = np.add.reduceat(np.log10(exact + 1) - np.log10(n_tokens + n_types + 1), first)
+                known = np.add.reduceat((exact > 0).astype(np.int64), first)
+                columns = (np.frombuffer(ids, np.int64) >> 1, counts.astype(np.int64), known, basic, score)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in _SCORE.split(", ")])
 
     return run
 
@@ -482,7 +424,6 @@ def lm_score(
     order: int = 2,
     base: float = 2.0,
     weight: float = 5.0,
-    filter_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Score every document by a model learnt from those that are not held out.
 
@@ -491,12 +432,8 @@ def lm_score(
     n_tokens, n_known, train_tokens, base_score (exact add-one unigram log10 probability) and
     score (the model's).  Columns of ``docs`` with these names are replaced.
 
-    A filter of up to ``filter_bytes`` is broadcast; with a larger one, packs of documents send
-    their distinct n-grams to the segments and get the levels back.  The scores are the same.
-
-    Exact counts of the most frequent tokens are broadcast (a bounded number); all others are
-    counted where their hash range is, in the same shuffle that brings in the documents' own
-    tokens, and go back as one partial sum per document and range.
+    Levels and exact counts of tokens come back to packs of documents from their hash ranges, so
+    nothing that grows with the corpus is broadcast or collected.
 
     Null text is one end token.  Rows with null ids are trained on.  Repeated ids and rows are
     scored row by row and counted as often as they come.  An empty table gives an empty table;
@@ -508,18 +445,15 @@ def lm_score(
     docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
     p = own_columns(docs, *new)
     docs = docs.withColumn(f"{p}h", held_out(F.col(doc_id)) if held is None else held)
-    model, segments = _train(docs.filter(~F.col(f"{p}h")), text, order, base, weight, filter_bytes)
     docs = numbered(docs, doc_id, f"{p}r")
     rows = docs.select(F.col(f"{p}r").alias("rid"), (~F.col(f"{p}h")).alias("train"), plain_text(text).alias("text"))
-    shared = spark.sparkContext.broadcast(model)
-    if model.filter is not None:
-        packs = rows.mapInArrow(_score_packs(shared, model.ranges), _PACK)
-    else:
-        texts = stored(rows.mapInArrow(_text_packs, _TEXTS), "texts")
-        packs = _answered(texts, segments, order, model.ranges).mapInArrow(_score_answered(shared, model.ranges), _PACK)
-    packs = packs.repartitionById(model.ranges, F.col("range"))
-    partial = packs.mapInArrow(_score_ranges(model.n_tokens, model.n_types), _PARTIAL)
-    sums = partial.groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    sums = sums.withColumnRenamed("rid", f"{p}r")
-    out = docs.withColumn("held_out", F.col(f"{p}h")).withColumn("train_tokens", F.lit(model.n_tokens).cast("long")).join(sums, f"{p}r")
-    return out.drop(f"{p}r", f"{p}h")
+    texts = stored(rows.mapInArrow(_text_packs, _TEXTS), "texts")
+    ranges = _ranges(rows)
+    asked = texts.mapInArrow(_ask(order, ranges), _ASKED).repartitionById(ranges, F.col("range"))
+    answers = stored(asked.mapInArrow(_answer(base), _ANSWER), "answers")
+    sums = answers.filter("n = 0").agg(F.sum("total").alias("total"), F.sum("types").alias("types")).first()
+    total, types = sums["total"] or 0, sums["types"] or 0
+    back = answers.filter("n > 0").groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("n", "range", "levels", "exact"))).alias("answers"))
+    scores = texts.join(back, "pack").select("ids", "sizes", "data", "answers").mapInArrow(_score(order, base, weight, total, types), _SCORE)
+    out = docs.withColumn("held_out", F.col(f"{p}h")).withColumn("train_tokens", F.lit(total).cast("long"))
+    return out.join(scores.withColumnRenamed("rid", f"{p}r"), f"{p}r").drop(f"{p}r", f"{p}h")

@@ -45,7 +45,7 @@ def test_whole_table(spark):
 
 
 def test_edges(spark, monkeypatch):
-    monkeypatch.setattr(lm, "_HOT", 3)
+    monkeypatch.setattr(lm, "_PACK_BYTES", 300)  # many packs
     rnd = random.Random(7)
     rows = [(i, " ".join(rnd.choice(["the", "a", "Cat", "dog", f"w{i}", "é"]) for _ in range(rnd.randrange(40)))) for i in range(80)]
     rows += [(1, "again"), (1, "again"), (None, None), (None, "the the"), (200, "word " * 3000), (201, "\t\n ")]
@@ -77,16 +77,20 @@ def test_filter_never_undercounts(spark):
     assert (model.level(strange) == 0).mean() > 0.97
 
 
-def test_filter_over_the_broadcast_bound(spark):
+def test_same_scores_as_the_broadcast_filter(spark, monkeypatch):
+    monkeypatch.setattr(lm, "_PACK_BYTES", 20_000)
     rnd = random.Random(4)
     rows = [(i, " ".join(f"w{rnd.randrange(2000)}" for _ in range(150))) for i in range(300)] + [(None, None), (7, ""), (7, "w1 w1")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     held = F.coalesce(F.col("doc_id") % 5 == 2, F.lit(False))
-    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"])
-    want = sorted(lm.lm_score(df, held=held).collect(), key=key)
-    got = sorted(lm.lm_score(df, held=held, filter_bytes=512).collect(), key=key)
-    assert [g[:7] for g in got] == [w[:7] for w in want]
-    assert np.allclose([[g["base_score"], g["score"]] for g in got], [[w["base_score"], w["score"]] for w in want], rtol=1e-12)
-    per = lambda h: sum(g["score"] for g in got if g["held_out"] == h) / sum(g["n_tokens"] for g in got if g["held_out"] == h)
-    assert per(False) > per(True) + 0.5  # seen and unseen text stay apart
-    assert lm.lm_score(df, held=F.lit(True), filter_bytes=0).filter("score is not null").count() == len(rows)
+    for order in (1, 2, 3):
+        model = lm.train(df.filter(~held), order=order)
+        got = lm.lm_score(df, held=held, order=order).collect()
+        toks, counts = lm._tokens([(r["text"] or "").encode() for r in got])
+        want = np.add.reduceat(model.log_probabilities(toks, counts), np.cumsum(counts) - counts)
+        assert np.allclose([r["score"] for r in got], want, rtol=1e-12) and {r["train_tokens"] for r in got} == {model.n_tokens}
+        if order == 2:
+            per = lambda h: sum(r["score"] for r in got if r["held_out"] == h) / sum(r["n_tokens"] for r in got if r["held_out"] == h)
+            assert per(False) > per(True) + 0.5  # seen and unseen text stay apart
+            assert lm.train(df, filter_bytes=512).filter is None
+    assert lm.lm_score(df, held=F.lit(True)).filter("score is not null").count() == len(rows)
