@@ -15,6 +15,7 @@ Going down again fixes the states at all boundaries, and each chunk traces its o
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,13 @@ from ._shared import numbered, own_columns, plain_text, small_batches, stored
 GROUP = 64
 #: Stretches up to this length are merged directly and remembered.
 LONG = 64
+#: Words and stretches that a worker remembers; more start it anew.
+MOST = 400_000
 NO = -np.inf
+BLANK = "\u2581"
+SPACED = (" ", BLANK)
+#: Marks that end a word; no piece joins most of them to the letter before.
+MARKS = ",.;:!?)"
 
 
 @dataclass
@@ -81,23 +88,40 @@ class Pieces:
         self.score, self.bpe = score, bpe
         self.longest = max(map(len, score), default=1)
         self.inside = {p[i : i + 2] for p in score for i in range(len(p) - 1)}
+        self._letter = {c: i + 1 for i, c in enumerate(sorted({c for pair in self.inside for c in pair}))}
+        codes = np.array([0, *map(ord, self._letter)], np.int64)  # 0 stands for letters of no pair
+        self._codes = codes
+        self._crossed = np.zeros((len(codes), len(codes)), bool)
+        for a, b in self.inside:
+            self._crossed[self._letter[a], self._letter[b]] = True
         self.unknown = min(score.values(), default=0.0) - 10.0
         self._pairs: dict[tuple[str, str], bool] = {}
-        self._words: dict[str, list[str]] = {}
+        self._words: dict[str, tuple[list[str], float]] = {}
+
+    def free(self, text: str, lo: int, hi: int) -> list[int]:
+        """Places in [lo, hi] that no piece crosses."""
+        left = max(lo - 1, 0)
+        chars = np.frombuffer(text[left : hi + 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        at = np.searchsorted(self._codes, chars).clip(max=len(self._codes) - 1)
+        letters = np.where(self._codes[at] == chars, at, 0)
+        places = (np.flatnonzero(~self._crossed[letters[:-1], letters[1:]]) + left + 1).tolist()
+        return [0, *places] + [len(text)] * (hi == len(text) > 0) if lo == 0 else places + [len(text)] * (hi == len(text))
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text: the best-scored neighbours merge first, the leftmost of equals."""
-        known = self._words.get(text)
-        if known is None:
-            known = list(text)
-            while len(known) > 1:
-                best, at = max(((self.score.get(a + b, NO), -i) for i, (a, b) in enumerate(zip(known, known[1:]))))
-                if best == NO:
-                    break
-                known[-at : 2 - at] = [known[-at] + known[1 - at]]
-            if len(self._words) > 200_000:
-                self._words.clear()
-            self._words[text] = known
+        known, get = list(text), self.score.get
+        gain = [get(a + b, NO) for a, b in zip(known, known[1:])]
+        while gain:
+            best = max(gain)
+            if best == NO:
+                break
+            i = gain.index(best)
+            known[i] += known.pop(i + 1)
+            del gain[i]
+            if i < len(gain):
+                gain[i] = get(known[i] + known[i + 1], NO)
+            if i:
+                gain[i - 1] = get(known[i - 1] + known[i], NO)
         return known
 
     def follows(self, a: str, b: str) -> bool:
@@ -167,16 +191,20 @@ class Pieces:
             at = back[at]
         return out[::-1]
 
-    def best(self, word: str) -> list[str]:
-        """The best path of a stretch whose two ends no piece crosses."""
-        if self.bpe and len(word) <= LONG:
-            return self.merged(word)
+    def best(self, word: str) -> tuple[list[str], float]:
+        """The best path of a stretch whose two ends no piece crosses, and its weight."""
         known = self._words.get(word)
         if known is None:
-            exits = [s for s in self.states(word, len(word)) if s[1] == len(word)]
-            last = exits[int(self.lattice(word, 0, len(word), [(0, 0)], exits)[0].argmax())]
-            known = self.lattice(word, 0, len(word), [(0, 0)], exact=last)
+            if self.bpe and len(word) <= LONG:
+                path = self.merged(word)
+            else:
+                exits = [s for s in self.states(word, len(word)) if s[1] == len(word)]
+                last = exits[int(self.lattice(word, 0, len(word), [(0, 0)], exits)[0].argmax())]
+                path = self.lattice(word, 0, len(word), [(0, 0)], exact=last)
+            known = path, sum(map(self.weight, path))
             if len(word) <= LONG:
+                if len(self._words) >= MOST:
+                    self._words.clear()
                 self._words[word] = known
         return known
 
@@ -188,18 +216,18 @@ class Pieces:
         """
         entries = [exact[0]] if exact else self.states(text, lo)
         exits = [s for s in self.states(text, hi) if not last or s[1] == len(text)]
-        free = [p for p in range(lo, hi + 1) if p in (0, len(text)) or text[p - 1 : p + 1] not in self.inside]
+        free = self.free(text, lo, hi)
         if len(free) < 2:
             return Dense(self.lattice(text, lo, hi, entries, exits)) if exact is None else self.lattice(text, lo, hi, entries, exact=exact[1])
         first, end = free[0], free[-1]
-        middle = [p for a, b in zip(free, free[1:]) for p in self.best(text[a:b])]
-        turn = (end - len(middle[-1]), end)
+        middle = [self.best(text[a:b]) for a, b in zip(free, free[1:])]
+        turn = (end - len(middle[-1][0][-1]), end)
         meet = self.states(text, first) if first > lo else []
         left = self.lattice(text, lo, first, entries, meet) if first > lo else np.zeros((len(entries), 1))
         if exact:
             out = self.lattice(text, lo, first, entries, exact=meet[int(left[0].argmax())]) if first > lo else []
-            return out + middle + (self.lattice(text, end, hi, [turn], exact=exact[1]) if end < hi else [])
-        weight = sum(map(self.weight, middle))
+            return out + [p for path, _ in middle for p in path] + (self.lattice(text, end, hi, [turn], exact=exact[1]) if end < hi else [])
+        weight = sum(w for _, w in middle)
         right = self.lattice(text, end, hi, [turn], exits)[0] if end < hi else np.array([0.0 if s == turn else NO for s in exits])
         return Meeting(left.max(1) + weight, right)
 
@@ -220,6 +248,47 @@ class Model:
         self.pieces = Pieces({p: sp.get_score(i) for p, i in self.ids.items()}, spec.trainer_spec.model_type == 2)
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if spec.trainer_spec.byte_fallback else None
         self.unk = sp.unk_id()
+        norm, sizes = spec.normalizer_spec, {p.lstrip(BLANK) for p in self.ids}
+        #: Words are apart: nothing is rewritten but blanks, and no piece goes on behind a word's end.
+        self.apart = (
+            self.pieces.bpe and self.byte is not None and norm.name == "identity" and not norm.precompiled_charsmap
+            and norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces
+            and not spec.trainer_spec.treat_whitespace_as_suffix and BLANK not in "".join(sizes)
+            and not any(p.type == 4 for p in spec.pieces)
+        )
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the last full one; what is asked for again moves on
+        self.marks = {c: array("i", [self.ids[c]]).tobytes() for c in MARKS if c in self.ids}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts by the library, packed; each word once where words are apart."""
+        parts = [self._words(t) for t in texts] if self.apart else [None] * len(texts)
+        whole = [t for t, p in zip(texts, parts) if p is None]
+        done = iter(self._packed(whole))
+        words = set().union(*[p for p in parts if p is not None])
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > MOST:
+            self.older, self.known, new = self.known, {}, list(words)
+        self.known.update([(w, self.older[w]) for w in new if w in self.older])
+        new = [w for w in new if w not in self.known]
+        marked = [w for w in new if len(w) > 1 and w[-1] in self.marks and w[-2:] not in self.pieces.inside]
+        held = set(marked)
+        plain = list({w[:-1] for w in marked if w[:-1] not in self.known}.union(w for w in new if w not in held) - held)
+        for i in range(0, len(plain), 20_000):
+            some = plain[i : i + 20_000]
+            self.known.update(zip(some, self._packed(some)))
+        for w in sorted(marked, key=len):  # what stands before a mark may end with a mark itself
+            self.known[w] = self.known[w[:-1]] + self.marks[w[-1]]
+        return [next(done) if p is None else b"".join([self.known[w] for w in p]) for p in parts]
+
+    def _words(self, text: str) -> list[str] | None:
+        """Words of a text, or None where blanks stand side by side or at the end."""
+        if not text or text[0] in SPACED or text[-1] in SPACED or BLANK in text or "  " in text or "\0" in text:
+            return None
+        return text.split(" ")
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        return [array("i", ids).tobytes() for ids in self.sp.encode(texts, num_threads=1)]
 
     def numbers(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -247,7 +316,14 @@ def _encoded(path: str, text: Column) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids_of(column: pa.Array) -> pa.Array:
-        return pa.array(model(path).sp.encode([t or "" for t in column.to_pylist()], num_threads=1), pa.list_(pa.int32()))
+        m, texts, out, at, size = model(path), [t or "" for t in column.to_pylist()], [], 0, 0
+        for i, t in enumerate(texts):  # bounded slices
+            size += len(t)
+            if size > 1 << 21 or i == len(texts) - 1:
+                out += m.encode(texts[at : i + 1])
+                at, size = i + 1, 0
+        cut = np.cumsum([0, *[len(b) // 4 for b in out]], dtype=np.int64).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(cut), pa.array(np.frombuffer(b"".join(out), "<i4")))
 
     return ids_of(text)
 

@@ -103,3 +103,26 @@ def test_whole_table(spark):
 
 def test_empty_table(spark):
     assert encode_pieces(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_free_places_and_merges():
+    p = piece_scan.Model(PATH).pieces
+    rnd = random.Random(2)
+    for _ in range(60):
+        text = "".join(rnd.choice(["th", "▁", "e", "日", "🙂", ".", "\n", "q", "ing"]) for _ in range(rnd.randrange(1, 30)))
+        lo = rnd.randrange(len(text))
+        hi = rnd.randrange(lo, len(text) + 1)
+        want = [i for i in range(lo, hi + 1) if i in (0, len(text)) or text[i - 1 : i + 1] not in p.inside]
+        assert p.free(text, lo, hi) == want, (text, lo, hi)
+
+
+def test_words_through_the_table_equal_whole_texts(monkeypatch):
+    monkeypatch.setattr(piece_scan, "MOST", 40)  # tables fill up and are changed often
+    m = piece_scan.Model(PATH)
+    assert m.apart
+    rnd = random.Random(9)
+    parts = ["a", "the", "ing", " ", " ", "  ", "\n", "\t", "é", "日本", "🙂", "er", ".", ",", "!", ")", "▁", "<s>", "<0x0A>", " ", "\0", "é"]
+    texts = ["", " ", "▁", *["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 40))) for _ in range(600)]]
+    for i in range(0, len(texts), 50):
+        got = m.encode(texts[i : i + 50])
+        assert [np.frombuffer(b, "<i4").tolist() for b in got] == [m.sp.encode(t) for t in texts[i : i + 50]]
