@@ -29,13 +29,10 @@ from ._shared import numbered, own_columns, plain_text, small_batches, stored
 GROUP = 64
 #: Stretches up to this length are merged directly and remembered.
 LONG = 64
-#: Words and stretches that a worker remembers; more start it anew.
-MOST = 400_000
+#: Stretches that a worker remembers; more start it anew.
+MOST = 200_000
 NO = -np.inf
 BLANK = "\u2581"
-SPACED = (" ", BLANK)
-#: Marks that end a word; no piece joins most of them to the letter before.
-MARKS = ",.;:!?)"
 
 
 @dataclass
@@ -248,48 +245,32 @@ class Model:
         self.pieces = Pieces({p: sp.get_score(i) for p, i in self.ids.items()}, spec.trainer_spec.model_type == 2)
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if spec.trainer_spec.byte_fallback else None
         self.unk = sp.unk_id()
-        norm, sizes = spec.normalizer_spec, {p.lstrip(BLANK) for p in self.ids}
-        #: Words are apart: nothing is rewritten but blanks, and no piece goes on behind a word's end.
-        self.apart = (
-            self.pieces.bpe and self.byte is not None and norm.name == "identity" and not norm.precompiled_charsmap
-            and norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces
-            and not spec.trainer_spec.treat_whitespace_as_suffix and BLANK not in "".join(sizes)
-            and not any(p.type == 4 for p in spec.pieces)
-        )
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # the last full one; what is asked for again moves on
-        self.marks = {c: array("i", [self.ids[c]]).tobytes() for c in MARKS if c in self.ids}
+        #: Nothing is rewritten but blanks, so pieces joined are the text behind one blank.
+        norm = spec.normalizer_spec
+        plain = norm.name == "identity" and norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces
+        plain = plain and self.byte is not None and not spec.HasField("denormalizer_spec") and not spec.trainer_spec.treat_whitespace_as_suffix
+        #: Bytes of each piece, and pieces that lose just their blank at the start of a text.
+        self.text: dict[int, bytes] = {}
+        if plain:
+            for p, i in self.ids.items():
+                self.text[i] = p.replace(BLANK, " ").encode()
+            for b, i in enumerate(self.byte):
+                self.text[i] = bytes([b])
+        self.heads = {i for p, i in self.ids.items() if plain and p[0] == BLANK and len(p) > 1 and p[1] != BLANK}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts by the library, packed; each word once where words are apart."""
-        parts = [self._words(t) for t in texts] if self.apart else [None] * len(texts)
-        whole = [t for t, p in zip(texts, parts) if p is None]
-        done = iter(self._packed(whole))
-        words = set().union(*[p for p in parts if p is not None])
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > MOST:
-            self.older, self.known, new = self.known, {}, list(words)
-        self.known.update([(w, self.older[w]) for w in new if w in self.older])
-        new = [w for w in new if w not in self.known]
-        marked = [w for w in new if len(w) > 1 and w[-1] in self.marks and w[-2:] not in self.pieces.inside]
-        held = set(marked)
-        plain = list({w[:-1] for w in marked if w[:-1] not in self.known}.union(w for w in new if w not in held) - held)
-        for i in range(0, len(plain), 20_000):
-            some = plain[i : i + 20_000]
-            self.known.update(zip(some, self._packed(some)))
-        for w in sorted(marked, key=len):  # what stands before a mark may end with a mark itself
-            self.known[w] = self.known[w[:-1]] + self.marks[w[-1]]
-        return [next(done) if p is None else b"".join([self.known[w] for w in p]) for p in parts]
-
-    def _words(self, text: str) -> list[str] | None:
-        """Words of a text, or None where blanks stand side by side or at the end."""
-        if not text or text[0] in SPACED or text[-1] in SPACED or BLANK in text or "  " in text or "\0" in text:
-            return None
-        return text.split(" ")
-
-    def _packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts by the library, packed."""
         return [array("i", ids).tobytes() for ids in self.sp.encode(texts, num_threads=1)]
 
+    def decode(self, ids: list[int]) -> str:
+        """The library's text; joined from a table where that is plain."""
+        if ids and ids[0] in self.heads:
+            try:
+                return b"".join([self.text[i] for i in ids])[1:].decode()
+            except (KeyError, UnicodeDecodeError):  # control, unknown and no pieces, loose bytes
+                pass
+        return self.sp.decode(ids)
+
     def numbers(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
         for p in pieces:
@@ -471,10 +452,10 @@ def decode_pieces(df: DataFrame, model_file: str, ids: str = "ids", out: str = "
 
     @F.arrow_udf("string")
     def text_of(column: pa.Array) -> pa.Array:
-        sp = model(model_file).sp
+        m = model(model_file)
         cut, flat = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False).tolist()
         known = column.is_valid().to_pylist()
-        return pa.array([sp.decode(flat[i:j]) if ok else None for ok, i, j in zip(known, cut[:-1], cut[1:])], pa.string())
+        return pa.array([m.decode(flat[i:j]) if ok else None for ok, i, j in zip(known, cut[:-1], cut[1:])], pa.string())
 
     return df.withColumn(out, text_of(F.col(ids)))
 
