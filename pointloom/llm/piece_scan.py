@@ -306,7 +306,8 @@ def _encoded(path: str, text: Column) -> Column:
         cut = np.cumsum([0, *[len(b) // 4 for b in out]], dtype=np.int64).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(cut), pa.array(np.frombuffer(b"".join(out), "<i4")))
 
-    return ids_of(text)
+    # Spark would otherwise put the call into each expression that reads the ids, and encode once for each
+    return ids_of.asNondeterministic()(text)
 
 
 _CHUNK = "rid bigint, c int, n int, lo int, hi int, text string"

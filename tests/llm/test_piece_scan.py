@@ -130,3 +130,11 @@ def test_decoding_equals_the_library():
         m.decode([some[2], 10**6])
     with pytest.raises(IndexError):
         m.decode([some[2], -1])
+
+
+def test_texts_are_encoded_once(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    df = decode_pieces(encode_pieces(docs, PATH), PATH).select("doc_id", "decoded", piece_scan.ids_crc32("ids").alias("c"), "ids")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ids_of(") == 1
+    assert df.first()["decoded"] == "a b"
