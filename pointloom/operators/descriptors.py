@@ -21,12 +21,7 @@ def oriented_pairs(points: DataFrame, keys: list[str], radius: float, extra: lis
 
     ``points`` are feature lists or voxel-filtered clouds, whose density is bounded.
     """
-    near = radius_pairs(points, points, keys, radius)
-    names = ["x", "y", "z", "nx", "ny", "nz", *extra]
-    for end in "ab":
-        side = points.select(*keys, F.col("id").alias(end), *[F.col(c).alias(end + c) for c in names])
-        near = near.join(side, [*keys, end])
-    return near
+    return radius_pairs(points, points, keys, radius, ["x", "y", "z", "nx", "ny", "nz", *extra])
 
 
 def hash_bins(features: DataFrame, keys: list[str], radius: float = 20.0) -> DataFrame:
@@ -106,9 +101,8 @@ def fpfh(points: DataFrame, keys: list[str], radius: float, wanted: DataFrame |
 
 def normals(points: DataFrame, keys: list[str], radius: float) -> DataFrame:
     """Normal of every point from the covariance of its neighbours, facing the sensor."""
-    near = radius_pairs(points, points, keys, radius).select(*keys, F.col("a").alias("id"), "b")
-    there = points.select(*keys, F.col("id").alias("b"), "x", "y", "z")
-    g = gaussians(near.join(there, [*keys, "b"]), [*keys, "id"])
+    near = radius_pairs(points, points, keys, radius, ["x", "y", "z"])
+    g = gaussians(near.select(*keys, F.col("a").alias("id"), *[F.col("b" + a).alias(a) for a in "xyz"]), [*keys, "id"])
     g = with_eigenvector(with_eigenvalues(g), "l0").select(*keys, "id", "nx", "ny", "nz")
     out = points.select(*keys, "id", "x", "y", "z").join(g, [*keys, "id"])
     away = dot(cols("n"), cols("")) > 0
@@ -121,10 +115,7 @@ def iss_keypoints(points: DataFrame, keys: list[str], resolution: float, gamma:
     Saliency is the smallest eigenvalue of the scatter about a point, for points whose
     eigenvalues differ enough; only local maxima with enough neighbours stay.
     """
-    near = radius_pairs(points, points, keys, 6.0 * resolution)
-    there = points.select(*keys, F.col("id").alias("b"), *[F.col(c).alias("b" + c) for c in "xyz"])
-    here = points.select(*keys, F.col("id").alias("a"), *[F.col(c).alias("a" + c) for c in "xyz"])
-    both = near.join(there, [*keys, "b"]).join(here, [*keys, "a"]).filter(F.col("a") != F.col("b"))
+    both = radius_pairs(points, points, keys, 6.0 * resolution, ["x", "y", "z"]).filter(F.col("a") != F.col("b"))
     d = {c: F.col("b" + c) - F.col("a" + c) for c in "xyz"}
     scatter = both.groupBy(*keys, F.col("a").alias("id")).agg(
         F.count(F.lit(1)).alias("near"), *[F.avg(d[n[0]] * d[n[1]]).alias(n) for n in ("xx", "xy", "xz", "yy", "yz", "zz")]
@@ -132,9 +123,10 @@ def iss_keypoints(points: DataFrame, keys: list[str], resolution: float, gamma:
     shaped = with_eigenvalues(scatter)
     ok = (F.col("l1") < gamma * F.col("l2")) & (F.col("l0") < gamma * F.col("l1"))
     salient = cut_lineage(shaped.select(*keys, "id", F.when(ok, F.col("l0")).otherwise(0.0).alias("saliency")))
-    ring = near.filter(F.col("d2") <= (4.0 * resolution) ** 2).filter(F.col("a") != F.col("b"))
-    top = ring.join(salient.select(*keys, F.col("id").alias("b"), "saliency"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("id")).agg(
-        F.max("saliency").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    # only salient points can be kept; every neighbour with a saliency counts
+    there = cut_lineage(points.select(*keys, "id", "x", "y", "z").join(salient, [*keys, "id"]))
+    ring = radius_pairs(there.filter("saliency > 0").drop("saliency"), there, keys, 4.0 * resolution, ["saliency"]).filter(F.col("a") != F.col("b"))
+    top = ring.groupBy(*keys, F.col("a").alias("id")).agg(F.max("bsaliency").alias("_m"), F.count(F.lit(1)).alias("_n"))
     out = salient.filter("saliency > 0").join(top, [*keys, "id"])
     out = out.filter((F.col("saliency") > F.col("_m")) & (F.col("_n") >= min_neighbours)).select(*keys, "id", "saliency")
     return points.join(out, [*keys, "id"])
