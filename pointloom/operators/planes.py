@@ -30,9 +30,8 @@ def plane_regions(voxels: DataFrame, keys: list[str], max_offset: float = 0.2, m
     vec = {f"{s}{p}": tuple(F.col(f"{s}{p}{a}") for a in "xyz") for s in "uv" for p in "mn"}
     ok = plane_consistent(vec["um"], vec["un"], vec["vm"], vec["vn"], max_offset, min_cos) & plane_consistent(
         vec["vm"], vec["vn"], vec["um"], vec["un"], max_offset, min_cos)
-    edges = both.filter(ok).select(F.struct(*keys, "u.*").alias("u"), F.struct(*keys, "v.*").alias("v"))
-    labels = connected_components(flat.select(F.struct(*keys, *KEY).alias("id")), edges)
-    return labels.select("id.*", F.struct(*[f"component.{c}" for c in KEY]).alias("region"))
+    labels = connected_components(flat.select(*keys, F.struct(*KEY).alias("id")), both.filter(ok).select(*keys, "u", "v"), keys=keys)
+    return labels.select(*keys, "id.*", F.col("component").alias("region"))
 
 
 def plane_features(voxels: DataFrame, regions: DataFrame, keys: list[str], min_points: int = 20, max_nz: float = 0.707) -> DataFrame:

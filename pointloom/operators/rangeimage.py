@@ -117,7 +117,7 @@ def overlapping_runs(rs: DataFrame, keys: list[str], rule: RangeImageRule, bucke
     return cur.join(prev, [*keys, "row_b", "_u"]).filter(meet & first).drop("_u", "_k")
 
 
-def link_rows(pixels: DataFrame, rs: DataFrame, keys: list[str], rule: RangeImageRule) -> DataFrame:
+def link_rows(pixels: DataFrame, rs: DataFrame, keys: list[str], rule: RangeImageRule, bucket: int = 64) -> DataFrame:
     """Runs of nearby rows that belong together.
 
     Overlapping runs need one pair of pixels a few columns apart that is close in XY; runs
@@ -128,12 +128,15 @@ def link_rows(pixels: DataFrame, rs: DataFrame, keys: list[str], rule: RangeImag
     ends = F.when(F.col("eb") < F.col("sa"), flat_gap("ha", "tb")).otherwise(flat_gap("ta", "hb"))
     names = [*keys, "row_a", "run_a", "row_b", "run_b"]
     by_ends = both.filter(apart & (ends < rule.link_gap)).select(*names)
-    offsets = F.explode(F.sequence(F.lit(-rule.link_cols), F.lit(rule.link_cols)))
-    cur = pixels.select(*keys, F.col("row").alias("row_a"), F.col("run").alias("run_a"), F.col("col").alias("_c"), F.struct("x", "y").alias("_p"),
-                        F.explode(F.sequence(F.lit(1), F.lit(rule.link_rows))).alias("_k"))
-    cur = cur.select("*", offsets.alias("_o")).withColumns({"row_b": F.col("row_a") - F.col("_k"), "col": F.col("_c") + F.col("_o")})
-    prev = pixels.select(*keys, F.col("row").alias("row_b"), F.col("run").alias("run_b"), "col", F.struct("x", "y").alias("_q"))
-    touch = cur.join(prev, [*keys, "row_b", "col"]).filter(flat_gap("_p", "_q") < rule.link_gap).select(*names).distinct()
+    # pixels meet in stretches of columns; those next to a border go to both sides of it
+    reach = rule.link_cols
+    cur = pixels.select(*keys, F.col("row").alias("row_a"), F.col("run").alias("run_a"), F.col("col").alias("_c"), F.col("x").alias("_x"), F.col("y").alias("_y"),
+                        F.explode(F.sequence(F.floor((F.col("col") - reach) / bucket), F.floor((F.col("col") + reach) / bucket))).alias("_u"))
+    cur = cur.select("*", F.explode(F.sequence(F.col("row_a") - rule.link_rows, F.col("row_a") - 1)).alias("row_b"))
+    prev = pixels.select(*keys, F.col("row").alias("row_b"), F.col("run").alias("run_b"), F.col("col"), "x", "y", F.floor(F.col("col") / bucket).alias("_u"))
+    dx, dy = F.col("_x") - F.col("x"), F.col("_y") - F.col("y")
+    near = (F.abs(F.col("_c") - F.col("col")) <= reach) & (F.sqrt(dx * dx + dy * dy) < rule.link_gap)
+    touch = cur.join(prev, [*keys, "row_b", "_u"]).filter(near).select(*names).distinct()
     by_pixels = both.filter(~apart).select(*names).join(touch, names, "left_semi")
     return by_ends.unionByName(by_pixels)
 
@@ -145,15 +148,13 @@ def cluster(pixels: DataFrame, keys: list[str], rule: RangeImageRule) -> DataFra
     cross_rows = link_rows(pixels, rs, keys, rule)
 
     def node(row: str, run: str) -> Column:
-        return F.struct(*keys, F.col(row).alias("row"), F.col(run).alias("run"))
+        return F.struct(F.col(row).alias("row"), F.col(run).alias("run"))
 
-    edges = same.select(node("row", "a").alias("u"), node("row", "b").alias("v")).unionByName(
-        cross_rows.select(node("row_a", "run_a").alias("u"), node("row_b", "run_b").alias("v"))
-    )
-    labels = connected_components(rs.select(node("row", "run").alias("id")), edges)
-    return pixels.join(
-        labels.select("id.*", F.struct("component.row", "component.run").alias("cluster")), [*keys, "row", "run"]
+    edges = same.select(*keys, node("row", "a").alias("u"), node("row", "b").alias("v")).unionByName(
+        cross_rows.select(*keys, node("row_a", "run_a").alias("u"), node("row_b", "run_b").alias("v"))
     )
+    labels = connected_components(rs.select(*keys, node("row", "run").alias("id")), edges, keys=keys)
+    return pixels.join(labels.select(*keys, "id.*", F.col("component").alias("cluster")), [*keys, "row", "run"])
 
 
 def segment(points: DataFrame, keys: list[str], order: list[str], rule: RangeImageRule) -> DataFrame:
