@@ -216,10 +216,5 @@ def connected_components(spark, sf):
     corr = corr_table(spark, sf)
     edges = cg.compatible_pairs(corr, PAIR, LEVELS, "point").filter("min_level = 0")
 
-    def node(c):
-        return F.struct(*PAIR, F.col(c).alias("corr_id"))
-
-    out = components.connected_components(
-        corr.select(node("corr_id").alias("id")), edges.select(node("u").alias("u"), node("v").alias("v"))
-    )
-    return out.select("id.src", "id.tgt", "id.corr_id", F.col("component.corr_id").alias("component"))
+    out = components.connected_components(corr.select(*PAIR, F.col("corr_id").alias("id")), edges.select(*PAIR, "u", "v"), keys=PAIR)
+    return out.select(*PAIR, F.col("id").alias("corr_id"), "component")
