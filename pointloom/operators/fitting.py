@@ -12,6 +12,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,16 +26,19 @@ MOMENTS = ["w", *["s" + a for a in "xyz"], *["t" + a for a in "xyz"], *[f"h{i}{j
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def rotation_of(h: pd.Series) -> pd.Series:
-    """Closest rotation V diag(1, 1, +-1) U' of each row-major 3x3 cross covariance."""
-    m = np.stack(h.to_numpy()).reshape(-1, 3, 3)
+def closest_rotations(m: np.ndarray) -> np.ndarray:
+    """Closest rotation V diag(1, 1, +-1) U' of each 3x3 cross covariance."""
     u, _, vt = np.linalg.svd(m)
     v = np.swapaxes(vt, 1, 2)
     flip = np.where(np.linalg.det(v) * np.linalg.det(u) < 0, -1.0, 1.0)
     v[:, :, 2] *= flip[:, None]
-    r = v @ np.swapaxes(u, 1, 2)
-    return pd.Series(list(r.reshape(-1, 9)))
+    return v @ np.swapaxes(u, 1, 2)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def rotation_of(h: pd.Series) -> pd.Series:
+    """Closest rotation of each row-major 3x3 cross covariance."""
+    return pd.Series(list(closest_rotations(np.stack(h.to_numpy()).reshape(-1, 3, 3)).reshape(-1, 9)))
 
 
 def source() -> tuple[Column, ...]:
@@ -299,15 +304,30 @@ def with_distance(rows: DataFrame, tf: str = "tf") -> DataFrame:
     return rows.withColumn("dist", F.sqrt(residual2(tf)))
 
 
+#: Pairs with at most so many correspondences are drawn from as one row.
+_PACKED = 512
+#: Draws of one row.
+_DRAWS = 2048
+_POINT = ["src_id", "tgt_id", "sx", "sy", "sz", "tx", "ty", "tz"]
+
+
+def _pick(k: int, seed: int, pair: list[str], draw: Column) -> Column:
+    """Row number ``k`` of a draw."""
+    return F.pmod(F.xxhash64(draw, F.lit(k), F.lit(seed), *pair), F.col("_n"))
+
+
 def _drawn(corr: DataFrame, live: DataFrame, pair: list[str], size: int, threshold: float, scale: float, min_inliers: int, seed: int) -> DataFrame:
-    """Best model of each pair among ``size`` more draws: inliers, draw, tf."""
+    """Best model of each pair among ``size`` more draws: inliers, draw, tf.
+
+    Draws, their points and their fits meet by joins, so a pair may be of any size.
+    """
     draws = live.withColumn("draw", F.explode(F.sequence(F.col("drawn"), F.col("drawn") + (size - 1))))
     picks = draws.select(
         *pair, "draw", F.posexplode(F.array(*[
-            F.pmod(F.xxhash64("draw", F.lit(k), F.lit(seed), *pair), F.col("_n")) for k in range(3)
+            _pick(k, seed, pair, F.col("draw")) for k in range(3)
         ])).alias("_k", "corr_id"),
     )
-    point = F.struct("src_id", "tgt_id", "sx", "sy", "sz", "tx", "ty", "tz")
+    point = F.struct(*_POINT)
     got = picks.join(corr, [*pair, "corr_id"]).groupBy(*pair, "draw").agg(
         *[F.max(F.when(F.col("_k") == k, point)).alias(f"p{k}") for k in range(3)]
     )
@@ -330,12 +350,100 @@ def _drawn(corr: DataFrame, live: DataFrame, pair: list[str], size: int, thresho
     return good.groupBy(*pair).agg(F.min_by(F.struct("inliers", "draw", "tf"), order).alias("_b"))
 
 
+def _best_draw(rows: pa.StructArray, picks: np.ndarray, threshold: float, scale: float, min_inliers: int):
+    """First draw with most inliers: inliers, place among the draws, tf; None if all have too few.
+
+    ``rows`` are one pair's correspondences in order of ``corr_id``; ``picks`` three of those ids per draw.
+    """
+    number = pc.fill_null(rows.field("corr_id"), -1).to_numpy(zero_copy_only=False)
+    ends = [pc.fill_null(rows.field(c).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False) for c in ("src_id", "tgt_id")]
+    s, t = (np.stack([rows.field(side + a).to_numpy(zero_copy_only=False) for a in "xyz"]) for side in "st")
+    n = len(number)
+    if number[0] == 0 and number[-1] == n - 1 and (np.diff(number) == 1).all():
+        at, places = picks, np.arange(picks.shape[1])
+    else:
+        at = np.searchsorted(number, picks, "right") - 1
+        places = np.flatnonzero(((at >= 0) & (number[at] == picks)).all(axis=0))
+
+    def fit_together(i, j):
+        """Whether rows differ in both ends and have about the same distance on both sides."""
+        u, v = (np.sqrt(sum((x - y) * (x - y) for x, y in zip(p[:, i], p[:, j]))) for p in (s, t))
+        ok = (u >= v * scale) & (v >= u * scale)
+        for e in ends:
+            ok &= (e[i] != e[j]) & (e[i] >= 0) & (e[j] >= 0)
+        return ok
+
+    # few rows: every two of them once, and the draws look it up
+    known = fit_together(*np.divmod(np.arange(n * n), n)) if n * n <= 4 * picks.shape[1] else None
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        p, q = at[i][places], at[j][places]
+        places = places[fit_together(p, q) if known is None else known[p * n + q]]
+    if not len(places):
+        return None
+    ps, pt = s[:, at[:, places]], t[:, at[:, places]]  # axis, point, draw
+    ms, mt = ps.sum(axis=1), pt.sum(axis=1)
+    h = np.stack([(ps[i] * pt[j]).sum(axis=0) - ms[i] * mt[j] / 3.0 for i in range(3) for j in range(3)], axis=1)
+    rot = closest_rotations(h.reshape(-1, 3, 3)).reshape(-1, 9).T
+    ms, mt = ms / 3.0, mt / 3.0
+    move = [mt[i] - (rot[3 * i] * ms[0] + rot[3 * i + 1] * ms[1] + rot[3 * i + 2] * ms[2]) for i in range(3)]
+    hits = np.zeros(len(places), np.int64)
+    step = max(1, (1 << 17) // s.shape[1])
+    for a in range(0, len(places), step):
+        r, m = rot[:, a : a + step, None], [x[a : a + step, None] for x in move]
+        d = [t[i] - (r[3 * i] * s[0] + r[3 * i + 1] * s[1] + r[3 * i + 2] * s[2] + m[i]) for i in range(3)]
+        hits[a : a + step] = (np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) < threshold).sum(axis=1)
+    b = int(hits.argmax())
+    if hits[b] < min_inliers:
+        return None
+    tf = [float(c) for i in range(3) for c in (*rot[3 * i : 3 * i + 3, b], move[i][b])]
+    return int(hits[b]), int(places[b]), [*tf, 0.0, 0.0, 0.0, 1.0]
+
+
+def _drawn_packed(packs: DataFrame, live: DataFrame, pair: list[str], size: int, threshold: float, scale: float, min_inliers: int, seed: int) -> DataFrame:
+    """As :func:`_drawn` for pairs whose correspondences travel as one row ``_rows``.
+
+    Draws are dealt out in bounded stretches: each meets the pair's row once and leaves its best model.
+    """
+    step = min(size, _DRAWS)
+    parts = int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.col("drawn") + F.col("_part") * step
+    dealt = live.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit((size - 1) // step)))).withColumn("_first", first)
+    dealt = dealt.withColumn("_last", F.least(F.col("_first") + step, F.col("drawn") + size) - 1)
+    met = dealt.join(packs, pair).repartition(parts, *pair, "_part")
+    draws = F.sequence("_first", "_last")
+
+    def picked(k):
+        return lambda d: _pick(k, seed, pair, d).cast("int")
+
+    met = met.select(*pair, "_first", "_rows", *[F.transform(draws, picked(k)).alias(f"_p{k}") for k in range(3)])
+
+    def best(batches):
+        for batch in batches:
+            kept, found = [], []
+            for r in range(batch.num_rows):
+                picks = np.stack([batch.column(f"_p{k}")[r].values.to_numpy() for k in range(3)])
+                b = _best_draw(batch.column("_rows")[r].values, picks, threshold, scale, min_inliers)
+                if b is not None:
+                    kept.append(r)
+                    found.append((b[0], batch.column("_first")[r].as_py() + b[1], b[2]))
+            taken = batch.take(pa.array(kept, pa.int64()))
+            new = [pa.array([f[i] for f in found], ty) for i, ty in enumerate((pa.int64(), pa.int32(), pa.list_(pa.float64())))]
+            yield pa.RecordBatch.from_arrays([*[taken.column(k) for k in pair], *new], [*pair, "inliers", "draw", "tf"])
+
+    names = ", ".join(f"{k} {live.schema[k].dataType.simpleString()}" for k in pair)
+    scored = met.mapInArrow(best, f"{names}, inliers bigint, draw int, tf array<double>")
+    order = F.struct((-F.col("inliers")).alias("neg"), "draw")
+    return scored.groupBy(*pair).agg(F.min_by(F.struct("inliers", "draw", "tf"), order).alias("_b"))
+
+
 def ransac_fit(corr: DataFrame, pair: list[str], threshold: float = 0.5, scale: float = 0.95, confidence: float = 0.999,
                most: int = 100_000, block: int = 128, min_inliers: int = 3, seed: int = 7) -> DataFrame:
     """Best of seeded three-point fits per pair, by inlier count.
 
     A draw picks three row numbers by hash; draws that share a point or whose edge
     lengths differ too much are dropped before any fit.  Equal counts go to the first draw.
+    The few correspondences of most pairs travel as one row to their draws; only pairs
+    with more than ``_PACKED`` of them draw by joins.
 
     Draws come in blocks that double.  After each, a pair is done once so many draws would
     have hit three inliers with the wanted ``confidence``, given the share of inliers found
@@ -346,11 +454,18 @@ def ransac_fit(corr: DataFrame, pair: list[str], threshold: float = 0.5, scale:
     state = corr.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n")).withColumns(
         {"drawn": F.lit(0), "_b": F.lit(None).cast("struct<inliers:bigint,draw:int,tf:array<double>>"), "converged": F.lit(False)})
     state, size = cut_lineage(state), block
+    small = F.col("_n") <= _PACKED
+    large = not state.filter(~small).isEmpty()
+    few = corr.join(state.filter(small).select(*pair), pair, "left_semi") if large else corr
+    packs = cut_lineage(few.groupBy(*pair).agg(F.sort_array(F.collect_list(F.struct("corr_id", *_POINT))).alias("_rows")))
     while True:
         live = state.filter(~F.col("converged") & (F.col("drawn") < most))
         if live.isEmpty():
             break
-        found = _drawn(corr, live.select(*pair, "_n", "drawn"), pair, size, threshold, scale, min_inliers, seed)
+        todo = live.select(*pair, "_n", "drawn")
+        found = _drawn_packed(packs, todo.filter(small), pair, size, threshold, scale, min_inliers, seed)
+        if large:
+            found = found.unionByName(_drawn(corr, todo.filter(~small), pair, size, threshold, scale, min_inliers, seed))
         new = live.join(found.withColumnRenamed("_b", "_f"), pair, "left").withColumn("drawn", F.col("drawn") + size)
         better = F.col("_f").isNotNull() & (F.col("_b").isNull() | (F.col("_f.inliers") > F.col("_b.inliers")))
         new = new.withColumn("_b", F.when(better, F.col("_f")).otherwise(F.col("_b"))).drop("_f")

@@ -98,6 +98,31 @@ def test_clusters_equal_brute_force(spark):
     assert all((names[i] == names[j]) == (root[i] == root[j]) for i in range(0, 260, 3) for j in range(260))
 
 
+def test_ransac_draws_on_one_row_of_a_pair(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = []
+    for g, n in ((0, 40), (1, 9), (None, 6)):
+        s = rng.uniform(-20, 20, (n, 3))
+        t = s + [1.0, 2.0, 3.0] + rng.normal(0, 0.3, (n, 3))
+        rows += [(g, i, i // 2, i, *map(float, s[i]), *map(float, t[i])) for i in range(n)]
+    rows += [(0, 7, 90, 91, *map(float, rng.uniform(-20, 20, 6))), (0, 44, 92, 93, *map(float, rng.uniform(-20, 20, 6)))]  # repeated and beyond a gap
+    rows += [(0, 40, None, 94, *rows[3][4:]), (0, 41, 95, 95, None, *rows[4][5:])]
+    corr = spark.createDataFrame(rows, "g long, corr_id long, src_id long, tgt_id long, sx double, sy double, sz double, tx double, ty double, tz double")
+
+    def fitted():
+        return {x["g"]: (x["inliers"], x["drawn"], x["converged"], np.round(x["tf"], 6).tolist()) for x in fitting.ransac_fit(corr, ["g"], 0.5, block=100, most=5_000).collect()}
+
+    with monkeypatch.context() as m:
+        m.setattr(fitting, "_PACKED", 0)
+        by_joins = fitted()
+
+    def joined(*_):
+        raise AssertionError("small pairs need no joins")
+
+    monkeypatch.setattr(fitting, "_drawn", joined)
+    assert fitted() == by_joins and by_joins[0][0] > 10
+
+
 def test_ransac_stops_by_confidence(spark):
     rng = np.random.default_rng(8)
     a = 0.7
