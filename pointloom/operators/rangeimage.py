@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components, sized
+from .pairs import parts_for
 from .voxels import first_per_cell
 
+#: Points of a pixel meet in so many parts first, in case one pixel holds a large share of a cloud.
+_SALTS = 16
+
 
 @dataclass(frozen=True)
 class RangeImageRule:
@@ -34,6 +38,8 @@ def project(points: DataFrame, keys: list[str], order: list[str], rule: RangeIma
     """Row and column of every point in range; the first point of a pixel wins.
 
     Afterwards a row of a cloud holds at most ``cols`` points, which bounds the row windows.
+    The number of partitions follows the number of points, so that no task sorts more than
+    its share; the pixels of a row end up in one partition, where windows need no exchange.
     """
     x, y, z = (F.col(c) for c in "xyz")
     flat = F.sqrt(x * x + y * y)
@@ -47,7 +53,11 @@ def project(points: DataFrame, keys: list[str], order: list[str], rule: RangeIma
     col = F.when(col >= rule.cols, col - rule.cols).otherwise(col)
     seen = points.filter((span >= rule.min_range) & (span <= rule.max_range)).withColumns({"row": row, "col": col})
     seen = seen.filter((F.col("row") % rule.keep_every == 0) & F.col("col").between(0, rule.cols - 1))
-    return first_per_cell(seen, [*keys, "row", "col"], order, list("xyz"))
+    parts = parts_for(points)
+    cell = [*keys, "row", "col"]
+    seen = seen.select(*cell, *order, *[v for v in "xyz" if v not in order], F.pmod(F.xxhash64(*order), F.lit(_SALTS)).alias("_salt"))
+    some = first_per_cell(seen.repartition(parts, *cell, "_salt"), [*cell, "_salt"], order, list("xyz"))
+    return first_per_cell(some.drop("_salt").repartition(parts, *keys, "row"), cell, order, list("xyz"))
 
 
 def flat_gap(a: str, b: str) -> Column:
@@ -95,10 +105,10 @@ def row_links(rs: DataFrame, keys: list[str], rule: RangeImageRule, ring: bool =
     return out
 
 
-def overlapping_runs(rs: DataFrame, keys: list[str], rule: RangeImageRule, bucket: int = 64) -> DataFrame:
+def overlapping_runs(rs: DataFrame, keys: list[str], rule: RangeImageRule, parts: int, bucket: int = 64) -> DataFrame:
     """Runs of the rows just above that overlap a run extended by a few columns.
 
-    Column buckets give the interval join an equality key.
+    Column buckets give the interval join an equality key; both sides meet in ``parts`` partitions.
     """
     def buckets(lo: Column, hi: Column) -> Column:
         return F.explode(F.sequence(F.floor(lo / bucket), F.floor(hi / bucket)))
@@ -114,7 +124,8 @@ def overlapping_runs(rs: DataFrame, keys: list[str], rule: RangeImageRule, bucke
     meet = (F.col("sa") - ext <= F.col("eb")) & (F.col("sb") <= F.col("ea") + ext)
     # count a pair only in the first bucket both touch
     first = F.col("_u") == F.greatest(F.floor((F.col("sa") - ext) / bucket), F.floor(F.col("sb") / bucket))
-    return cur.join(prev, [*keys, "row_b", "_u"]).filter(meet & first).drop("_u", "_k")
+    meeting = [*keys, "row_b", "_u"]
+    return cur.repartition(parts, *meeting).join(prev.repartition(parts, *meeting), meeting).filter(meet & first).drop("_u", "_k")
 
 
 def link_rows(pixels: DataFrame, rs: DataFrame, keys: list[str], rule: RangeImageRule, bucket: int = 64) -> DataFrame:
@@ -123,7 +134,7 @@ def link_rows(pixels: DataFrame, rs: DataFrame, keys: list[str], rule: RangeImag
     Overlapping runs need one pair of pixels a few columns apart that is close in XY; runs
     that only meet through the extension need close end points.
     """
-    both = overlapping_runs(rs, keys, rule)
+    both = overlapping_runs(rs, keys, rule, parts_for(pixels, rule.link_rows + 1))
     apart = (F.col("eb") < F.col("sa")) | (F.col("ea") < F.col("sb"))
     ends = F.when(F.col("eb") < F.col("sa"), flat_gap("ha", "tb")).otherwise(flat_gap("ta", "hb"))
     names = [*keys, "row_a", "run_a", "row_b", "run_b"]
