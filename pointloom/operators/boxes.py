@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linalg import SYM, add, cols, cross, dot, mat_vec, norm, rigid, rotate_sym, sub, with_eigenvalues, with_eigenvector
 from ..session import cut_lineage
+from .pairs import beside, parts_for
 from .running import with_row_number
 from .voxels import gaussians
 
@@ -84,9 +85,11 @@ def _hull_by_slabs(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.join(met.filter(corner).select(*keys, "u", "v"), [*keys, "u", "v"], "left_semi").select(points.columns)
 
 
-def convex_hull(points: DataFrame, keys: list[str]) -> DataFrame:
+def convex_hull(points: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
     """Hull points of ``u, v`` per group; other columns are kept.
 
+    Rows meet in ``parts`` partitions, by default as many as their number asks for.
+
     Large groups lose most points by the hulls of bounded random chunks, as the hull of
     hulls is the hull.  What then fits a chunk is finished in one; groups that stay larger,
     because most of their points are corners, are compared slab by slab.
@@ -96,19 +99,20 @@ def convex_hull(points: DataFrame, keys: list[str]) -> DataFrame:
     def hull(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.drop(columns="_part").iloc[hull_rows(pdf[["u", "v"]].to_numpy())]
 
-    left, slabs = points.dropDuplicates([*keys, "u", "v"]), None
+    parts = parts or parts_for(points)
+    left, slabs = points.repartition(parts, *keys, "u", "v").dropDuplicates([*keys, "u", "v"]), None
     for last in (False, True):
-        parts = cut_lineage(left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_parts")))
-        if (parts.agg(F.max("_parts")).first()[0] or 0) <= 1:
+        sizes = cut_lineage(left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_parts")))
+        if (sizes.agg(F.max("_parts")).first()[0] or 0) <= 1:
             break
-        split = left.join(parts, keys)
+        split = left.join(sizes, keys)
         if last:
             slabs = _hull_by_slabs(split.filter(F.col("_parts") > 1).select(points.columns), keys)
             left = split.filter(F.col("_parts") == 1).select(points.columns)
             break
         split = split.withColumn("_part", F.pmod(F.xxhash64("u", "v"), F.col("_parts"))).drop("_parts")
         left = cut_lineage(split.groupBy(*keys, "_part").applyInPandas(hull, schema))
-    done = left.withColumn("_part", F.lit(0)).groupBy(*keys).applyInPandas(hull, schema)
+    done = left.withColumn("_part", F.lit(0)).repartition(parts, *keys).groupBy(*keys).applyInPandas(hull, schema)
     return done if slabs is None else done.unionByName(slabs)
 
 
@@ -127,25 +131,33 @@ def with_plane_basis(features: DataFrame) -> DataFrame:
 
 #: Candidate box angles: the middles of so many equal parts of a right angle.
 ANGLES = 128
+#: Angles that are tried in one place.
+_TOGETHER = 16
 
 
 def best_angles(hull: DataFrame, keys: list[str], angles: int = ANGLES) -> DataFrame:
     """Best box of the hull points ``u, v`` of each group among ``angles`` candidates.
 
     Every point is turned by every candidate; the extremes per (group, angle) give the
-    boxes, and a second pass adds up how far the points are from the border.  The score is
+    boxes, and a window adds up how far the points are from the border.  Points travel once
+    per ``_TOGETHER`` angles, to a number of partitions that follows theirs.  The score is
     area plus that sum; of equal scores (to nine digits) the smaller angle wins.
     """
+    parts = parts_for(hull, angles)
+    blocks = -(-angles // _TOGETHER)
+    dealt = hull.dropna(subset=keys).select(*keys, "u", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    dealt = dealt.repartition(parts, *keys, "_block")
+    first = F.col("_block") * _TOGETHER
     degrees = (F.col("k") + 0.5) * F.lit(90.0 / angles)
-    turned = hull.select(*keys, "u", "v", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))).alias("k")).withColumn("angle", degrees)
+    turned = dealt.select("*", F.explode(F.sequence(first, F.least(first + _TOGETHER, F.lit(angles)) - 1)).alias("k")).withColumn("angle", degrees)
     c, s = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
-    turned = turned.select(*keys, "k", "angle", (c * F.col("u") + s * F.col("v")).alias("p"), (c * F.col("v") - s * F.col("u")).alias("q"))
-    box = turned.groupBy(*keys, "k").agg(
-        F.min("p").alias("lo_u"), F.max("p").alias("hi_u"), F.min("q").alias("lo_v"), F.max("q").alias("hi_v")
-    )
+    turned = turned.select(*keys, "_block", "k", "angle", (c * F.col("u") + s * F.col("v")).alias("p"), (c * F.col("v") - s * F.col("u")).alias("q"))
+    w = Window.partitionBy(*keys, "_block", "k")
+    boxed = turned.withColumns({e + n: f(v).over(w) for n, v in (("_u", "p"), ("_v", "q")) for e, f in (("lo", F.min), ("hi", F.max))})
     gap = F.least(F.col("p") - F.col("lo_u"), F.col("hi_u") - F.col("p"), F.col("q") - F.col("lo_v"), F.col("hi_v") - F.col("q"))
     area = (F.col("hi_u") - F.col("lo_u")) * (F.col("hi_v") - F.col("lo_v"))
-    scored = turned.join(box, [*keys, "k"]).groupBy(*keys, "k", "angle", "lo_u", "hi_u", "lo_v", "hi_v").agg(F.sum(gap).alias("_gaps"))
+    corners = ["lo_u", "hi_u", "lo_v", "hi_v"]
+    scored = boxed.groupBy(*keys, "_block", "k").agg(F.first("angle").alias("angle"), *[F.first(n).alias(n) for n in corners], F.sum(gap).alias("_gaps"))
     scored = scored.withColumn("score", area + F.col("_gaps"))
     names = ["angle", "lo_u", "hi_u", "lo_v", "hi_v", "score"]
     best = scored.groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct(F.round("score", 9), "k")).alias("_b"))
@@ -158,12 +170,12 @@ def tight_boxes(points: DataFrame, features: DataFrame, keys: list[str]) -> Data
     ``features`` give the normal ``nx ny nz``.  Points are projected on the plane of the
     normal, reduced to their hull and boxed at the best of the candidate angles.
     """
-    based = with_plane_basis(features.select(*keys, "nx", "ny", "nz"))
-    rows = points.select(*keys, "x", "y", "z").join(based, keys)
+    based = cut_lineage(with_plane_basis(features.select(*keys, "nx", "ny", "nz")))
+    rows = points.select(*keys, "x", "y", "z").join(beside(based, based.count(), 160), keys)  # nine doubles and the keys
     p = cols("")
     flat = rows.select(*keys, dot(p, cols("e")).alias("u"), dot(p, cols("f")).alias("v"))
     depth = rows.groupBy(*keys).agg(F.min(dot(p, cols("n"))).alias("w_low"), F.max(dot(p, cols("n"))).alias("w_high"))
-    boxes = best_angles(cut_lineage(convex_hull(flat, keys)), keys).join(depth, keys).join(based, keys)
+    boxes = best_angles(cut_lineage(convex_hull(flat, keys, parts_for(points))), keys).join(depth, keys).join(based, keys)
     c, s = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
     turned = {**{"g" + a: c * F.col("e" + a) + s * F.col("f" + a) for a in "xyz"}, **{"h" + a: c * F.col("f" + a) - s * F.col("e" + a) for a in "xyz"}}
     boxes = boxes.withColumns(turned)

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.operators import boxes, fitting, polar
+from pointloom.operators import boxes, fitting, pairs, polar, rangeimage
 from pointloom.operators.boxes import hull_rows
 
 
@@ -138,3 +138,25 @@ def test_ransac_stops_by_confidence(spark):
         m = np.array(got[g]["tf"]).reshape(4, 4)
         assert got[g]["inliers"] >= good and got[g]["converged"] and np.allclose(m[:3, :3], r, atol=1e-2) and np.allclose(m[:3, 3], [1, 2, 3], atol=0.1)
     assert got[1]["drawn"] == 128 < got[0]["drawn"] and not got[2]["converged"]
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "PART_ROWS", 20)
+    rng = np.random.default_rng(5)
+    xyz = rng.uniform(-20, 20, (600, 3))
+    xyz[:40] = xyz[0]  # one pixel with many points
+    pts = spark.createDataFrame([(i % 2, i, *map(float, p)) for i, p in enumerate(xyz)], "g long, pid long, x double, y double, z double")
+    rule = rangeimage.RangeImageRule(rows=17, cols=90, min_angle=-45.0, max_angle=45.0)
+    pixels = rangeimage.project(pts, ["g"], ["pid"], rule)
+    assert pixels.rdd.getNumPartitions() == 30
+    got = pixels.collect()
+    first = {}
+    for r in sorted(rangeimage.project(pts.withColumn("one", F.col("pid")), ["g", "one"], ["pid"], rule).collect(), key=lambda r: r["pid"]):
+        first.setdefault((r["g"], r["row"], r["col"]), r["pid"])
+    assert {(r["g"], r["row"], r["col"]): r["pid"] for r in got} == first and len(got) == len(first) < 600
+    runs = rangeimage.runs(rangeimage.with_runs(pixels, ["g"], rule), ["g"])
+    assert rangeimage.overlapping_runs(runs, ["g"], rule, 30).rdd.getNumPartitions() == 30
+    flat = pts.select("g", F.col("x").alias("u"), F.col("y").alias("v"))
+    assert boxes.convex_hull(flat, ["g"]).rdd.getNumPartitions() == 30
+    plan = boxes.best_angles(flat.limit(10), ["g"])._jdf.queryExecution().toString()
+    assert f"{-(-10 * boxes.ANGLES // 20)})" in plan
