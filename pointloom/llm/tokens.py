@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Long stretches without a blank are encoded but not remembered.
 _LONG = 64
@@ -19,6 +22,65 @@ _SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) != " "]
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
+class _Words:
+    """Words and their ids: number i of the words has ``sizes[i]`` ids from ``starts[i]`` on in one array.
+
+    Numbers follow the order in which words came, which is that of ``number`` too.
+    """
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.n_ids = 0
+        self.ids, self.starts, self.sizes, self.seen = (np.zeros(1 << 16, t) for t in ("<u4", "i8", "i8", "i4"))
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """Number of each word, -1 if it is not known."""
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+
+    def add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """New words, with their ids side by side."""
+        n, m = len(self.number), len(self.number) + len(words)
+        self.ids = _longer(self.ids, self.n_ids + len(ids))
+        self.starts, self.sizes, self.seen = (_longer(a, m) for a in (self.starts, self.sizes, self.seen))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.starts[n:m] = self.n_ids + np.cumsum(sizes) - sizes
+        self.sizes[n:m] = sizes
+        self.seen[n:m] = 0
+        self.number.update(zip(words, range(n, m)))
+        self.n_ids += len(ids)
+
+    def drop_last(self, n: int) -> None:
+        for _ in range(n):
+            self.n_ids -= int(self.sizes[self.number.popitem()[1]])
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after the other, and where those of each word end."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[numbers] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self.ids[at], ends
+
+    def keep(self, most: int) -> None:
+        """Only words that came in more than one slice stay, the most frequent ``most`` of them."""
+        seen = self.seen[: len(self.number)]
+        stay = np.argsort(-seen, kind="stable")[: min(most, int((seen > 1).sum()))]
+        stay.sort()
+        words, (ids, _), sizes, seen = list(self.number), self.joined(stay), self.sizes[stay], seen[stay] // 2
+        self.number, self.n_ids = {}, 0
+        self.add([words[i] for i in stay.tolist()], sizes, ids)
+        self.seen[: len(seen)] = seen
+
+
+def _longer(a: np.ndarray, n: int) -> np.ndarray:
+    """``a`` with room for ``n``, at least half as much again if it has to grow."""
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, len(a) + len(a) // 2), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
 class Encoder:
     """Ids of whole texts, as packed little-endian unsigned 32-bit integers.
 
@@ -26,11 +88,12 @@ class Encoder:
     known here a text may be cut at blanks and each distinct stretch encoded once:
 
     * ``led``: byte-level words that take one blank in front.  A text is cut before a blank
-      with other characters on both sides.
+      with other characters on both sides.  Many words are looked up together, by number.
     * ``dropped``: white space only separates words.  A text is cut at blanks and line ends.
 
     All other tokenizers encode whole texts, and so are texts that hold the string of an added
-    token, which the library finds before it splits.  The cache is emptied when it is full.
+    token, which the library finds before it splits.  A full cache keeps the words that came
+    again and again, at most half of it, or is emptied.
     """
 
     def __init__(self, path: str):
@@ -47,8 +110,13 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.folds = '"Lowercase"' in spec
         self.marks = dict(zip(_MARKS, self._encode(list(_MARKS)))) if self.kind != "whole" else {}
-        self.led: dict[str, bytes] = {}
+        self.led = _Words()
         self.plain: dict[str, bytes] = {}
+        if self.kind == "led":
+            vocab = self.tokenizer.get_vocab()
+            self.blank = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids whose first byte is a blank
+            self.blank[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+            self.mark_id = {c: np.frombuffer(b, "<u4")[0] for c, b in self.marks.items() if len(b) == 4}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -103,6 +171,81 @@ class Encoder:
             return cache
         return cache | dict(zip(long, self._encode([lead + p for p in long])))
 
+    def _encode_led(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each part has after a blank, and all ids; many parts are one text for the library.
+
+        Parts hold no blank and have no white space at their ends, so an id that begins with a blank begins a part.
+        """
+        if not self.spaced:
+            some = [" " + " ".join(parts[i : i + _JOINED]) for i in range(0, len(parts), _JOINED)]
+            done = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in done])
+            starts = np.flatnonzero(self.blank[ids])
+            if len(starts) == len(parts):
+                return np.diff(starts, append=len(ids)), ids
+        return self._encode_apart(parts)
+
+    def _encode_apart(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        done = self._encode([" " + p for p in parts])
+        return np.array([len(b) // 4 for b in done], np.int64), np.frombuffer(b"".join(done), "<u4")
+
+    def _learn_led(self, new: list[str]) -> int:
+        """Add words to ``led``; the last of them, as many as returned, are too long to be remembered."""
+        long, marked, apart, words, known = [], [], [], set(), self.led.number
+        for p in new:
+            if len(p) > _LONG:
+                long.append(p)
+            elif p.isalpha():
+                words.add(p)
+            elif p[-1:] in self.mark_id and _letters(p[:-1]):
+                marked.append(p)
+                if p[:-1] not in known:
+                    words.add(p[:-1])
+            elif not p or p.strip() != p:
+                apart.append(p)
+            else:
+                words.add(p)
+        words = list(words)
+        for i in range(0, len(words), 20_000):
+            some = words[i : i + 20_000]
+            self.led.add(some, *self._encode_led(some))
+        if apart:
+            self.led.add(apart, *self._encode_apart(apart))
+        if marked:
+            ids, ends = self.led.joined(self.led.find([p[:-1] for p in marked]))
+            ids = np.insert(ids, ends, [self.mark_id[p[-1]] for p in marked])
+            self.led.add(marked, np.diff(ends, prepend=0) + 1, ids)
+        if long:
+            self.led.add(long, *self._encode_apart(long))
+        return len(long)
+
+    def _numbers(self, words: list[str]) -> tuple[np.ndarray, int]:
+        """Numbers of distinct words in ``led``, and how many are to be dropped from it after use."""
+        at = self.led.find(words)
+        for most in (_MOST // 2, 0):
+            if len(self.led.number) + int((at < 0).sum()) > _MOST:
+                self.led.keep(most)
+                at = self.led.find(words)
+        gaps = np.flatnonzero(at < 0)
+        new = [words[i] for i in gaps.tolist()]
+        n_long = self._learn_led(new)
+        at[gaps] = self.led.find(new)
+        self.led.seen[at] += 1
+        return at, n_long
+
+    def _by_blank(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that may be cut before each blank."""
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        to = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        at, n_long = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, ends = self.led.joined(at[coded.indices.to_numpy()])
+        self.led.drop_last(n_long)
+        firsts = [t.split(" ", 1)[0] for t in texts]  # no blank in front
+        plain = self._learn(self.plain, set(firsts), "")
+        raw, ends = ids.tobytes(), 4 * ends
+        return [plain[p] + raw[a:b] for p, a, b in zip(firsts, ends[to[:-1]].tolist(), ends[to[1:] - 1].tolist())]
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         at = size = 0
@@ -134,14 +277,18 @@ class Encoder:
             parts = [(_folded(t) if self.folds else t).replace("\n", " ").split(" ") for t in texts]
             table = self._learn(self.plain, set().union(*parts), "")
             return [b"".join([table[p] for p in x]) for x in parts]
-        parts = [t.split(" ") if _simple(t) else None for t in texts]
-        cut = [None if p is not None else _CUT.split(t) for t, p in zip(texts, parts)]
-        led = self._learn(self.led, set().union(*[p[1:] for p in parts if p is not None]), " ")
-        plain = self._learn(self.plain, {p[0] for p in parts if p is not None}.union(*[c for c in cut if c is not None]), "")
-        return [
-            b"".join([plain[x] for x in c]) if p is None else plain[p[0]] + b"".join([led[x] for x in p[1:]])
-            for p, c in zip(parts, cut)
-        ]
+        out = [b""] * len(texts)
+        simple = [i for i, t in enumerate(texts) if _simple(t)]
+        if simple:
+            for i, ids in zip(simple, self._by_blank([texts[i] for i in simple])):
+                out[i] = ids
+        if len(simple) < len(texts):
+            held = set(simple)
+            cut = {i: _CUT.split(t) for i, t in enumerate(texts) if i not in held}
+            plain = self._learn(self.plain, set().union(*cut.values()), "")
+            for i, c in cut.items():
+                out[i] = b"".join([plain[x] for x in c])
+        return out
 
 
 def _letters(word: str) -> bool:

@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -38,3 +39,42 @@ def test_full_cache_is_emptied(monkeypatch):
     whole = enc.tokenizer
     for t in ("one two three four five", "six seven one", "a b c d"):
         assert np.frombuffer(enc([t])[0], "<u4").tolist() == whole.encode(t).ids
+
+
+class Counted:
+    """The library, and how often each word was given to it."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.words = tokenizer, Counter()
+
+    def encode_batch(self, texts, **more):
+        self.words.update(w for t in texts for w in t.split())
+        return self.tokenizer.encode_batch(texts, **more)
+
+    def encode_batch_fast(self, texts, **more):
+        self.words.update(w for t in texts for w in t.split())
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def test_words_that_come_again_outlive_a_full_cache(monkeypatch):
+    monkeypatch.setattr(tokens, "_MOST", 40)
+    enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    whole, enc.tokenizer = enc.tokenizer, Counted(enc.tokenizer)
+    often = ["thereupon", "whereof", "naïvely", "odd***", "x|y"]
+    for k in range(60):
+        fresh = ["once" + "abcdefghij"[k % 10] + "klmnopqrst"[k // 10] + c + end for c in "uvwxyz" for end in ("", ",")]
+        text = " ".join(["First", *often, *fresh, "thereupon."])
+        assert np.frombuffer(enc([text])[0], "<u4").tolist() == whole.encode(text).ids
+        assert len(enc.led.number) <= 40
+    assert max(enc.tokenizer.words[w] for w in often) == 1
+
+
+def test_slice_with_more_words_than_the_cache_and_long_ones(monkeypatch):
+    monkeypatch.setattr(tokens, "_MOST", 20)
+    enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(6)
+    for _ in range(20):
+        texts = [" ".join("".join(rnd.choice("abé1,.\n'") for _ in range(rnd.choice([1, 2, 3, 70]))) for _ in range(rnd.randrange(1, 30))) for _ in range(10)]
+        got = [np.frombuffer(b, "<u4").tolist() for b in enc(texts)]
+        assert got == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert max(map(len, enc.led.number), default=0) <= 64
