@@ -73,8 +73,8 @@ def _write(path: str, end_id: int, folder: str):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             n_null += sum(i is None for i in ids)
             docs.append(np.array([i for i in ids if i is not None], np.int64))
-            for at in range(0, len(texts), 500):
-                packed = [p + end for p in encode_texts(texts[at : at + 500])]
+            for at in range(0, len(texts), 1000):
+                packed = [p + end for p in encode_texts(texts[at : at + 1000])]
                 sizes.append(np.array([len(p) // 4 for p in packed], np.int64))
                 out.write(np.frombuffer(b"".join(packed), "<u4").astype(kind).tobytes())
         if out is None:

@@ -98,7 +98,7 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = f.read()
@@ -117,6 +117,8 @@ class Encoder:
             self.blank = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids whose first byte is a blank
             self.blank[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
             self.mark_id = {c: np.frombuffer(b, "<u4")[0] for c, b in self.marks.items() if len(b) == 4}
+            self.letters = Tokenizer(self.tokenizer.model)
+            self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -176,14 +178,20 @@ class Encoder:
 
         Parts hold no blank and have no white space at their ends, so an id that begins with a blank begins a part.
         """
-        if not self.spaced:
-            some = [" " + " ".join(parts[i : i + _JOINED]) for i in range(0, len(parts), _JOINED)]
-            done = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            ids = np.concatenate([np.array(e.ids, "<u4") for e in done])
-            starts = np.flatnonzero(self.blank[ids])
-            if len(starts) == len(parts):
-                return np.diff(starts, append=len(ids)), ids
-        return self._encode_apart(parts)
+        if self.spaced:
+            return self._encode_apart(parts)
+        return self._divided(parts, self.tokenizer, " ")
+
+    def _encode_letters(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for parts of ASCII letters alone, which no rule splits: they go to the model in its own alphabet."""
+        return self._divided(parts, self.letters, "\u0120")
+
+    def _divided(self, parts: list[str], tokenizer, lead: str) -> tuple[np.ndarray, np.ndarray]:
+        between = " " + lead.strip()
+        some = [lead + between.join(parts[i : i + _JOINED]) for i in range(0, len(parts), _JOINED)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)])
+        starts = np.flatnonzero(self.blank[ids])
+        return (np.diff(starts, append=len(ids)), ids) if len(starts) == len(parts) else self._encode_apart(parts)
 
     def _encode_apart(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         done = self._encode([" " + p for p in parts])
@@ -191,24 +199,24 @@ class Encoder:
 
     def _learn_led(self, new: list[str]) -> int:
         """Add words to ``led``; the last of them, as many as returned, are too long to be remembered."""
-        long, marked, apart, words, known = [], [], [], set(), self.led.number
+        long, marked, apart, letters, words, known = [], [], [], set(), set(), self.led.number
         for p in new:
             if len(p) > _LONG:
                 long.append(p)
             elif p.isalpha():
-                words.add(p)
+                (letters if p.isascii() else words).add(p)
             elif p[-1:] in self.mark_id and _letters(p[:-1]):
                 marked.append(p)
                 if p[:-1] not in known:
-                    words.add(p[:-1])
+                    (letters if p.isascii() else words).add(p[:-1])
             elif not p or p.strip() != p:
                 apart.append(p)
             else:
                 words.add(p)
-        words = list(words)
-        for i in range(0, len(words), 20_000):
-            some = words[i : i + 20_000]
-            self.led.add(some, *self._encode_led(some))
+        for encode, parts in ((self._encode_letters, [*letters]), (self._encode_led, [*words])):
+            for i in range(0, len(parts), 20_000):
+                some = parts[i : i + 20_000]
+                self.led.add(some, *encode(some))
         if apart:
             self.led.add(apart, *self._encode_apart(apart))
         if marked:
@@ -251,7 +259,7 @@ class Encoder:
         at = size = 0
         for i, t in enumerate(texts):  # bounded slices: the words of a slice are looked up together
             size += len(t or "")
-            if size > 1 << 21 or i == len(texts) - 1:
+            if size > 1 << 22 or i == len(texts) - 1:
                 out += self._slice([t or "" for t in texts[at : i + 1]])
                 at, size = i + 1, 0
         return out
