@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from itertools import chain
 from random import Random
 
 import numpy as np
@@ -27,13 +28,12 @@ def _cut(path: str, end_id: int, capacity: int):
         for batch in batches:
             out = []
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 500):
-                for doc, packed in zip(ids[at : at + 500], encode(texts[at : at + 500])):
-                    packed += end
-                    for piece, start in enumerate(range(0, len(packed), 4 * capacity)):
-                        part = packed[start : start + 4 * capacity]
-                        out.append((rid, doc, piece, start // 4, len(part) // 4, zlib.crc32(part)))
-                        rid += 1
+            for doc, packed in zip(ids, chain.from_iterable(encode.slices(texts))):
+                packed += end
+                for piece, start in enumerate(range(0, len(packed), 4 * capacity)):
+                    part = packed[start : start + 4 * capacity]
+                    out.append((rid, doc, piece, start // 4, len(part) // 4, zlib.crc32(part)))
+                    rid += 1
             if out:
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 names = ["rid", "doc_id", "piece", "start", "length", "ids_crc32"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from codecs import charmap_decode
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -20,6 +22,11 @@ _JOINED = 500
 _MARKS = ",.;:!?"
 _SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) != " "]
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Letters that no rule splits and no normalizer changes except to lower case, then ASCII marks.
+_TAILED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+_KEPT = {0x0A, *range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+#: The character that stands for each byte in a byte-level vocabulary; line ends stay, to part words.
+_ALPHABET = "".join(chr(b) if b in _KEPT else chr(256 + b - sum(k < b and k != 0x0A for k in _KEPT)) for b in range(256))
 
 
 class _Words:
@@ -88,10 +95,10 @@ class Encoder:
     known here a text may be cut at blanks and each distinct stretch encoded once:
 
     * ``led``: byte-level words that take one blank in front.  A text is cut before a blank
-      with other characters on both sides.  Many words are looked up together, by number.
+      with other characters on both sides.
     * ``dropped``: white space only separates words.  A text is cut at blanks and line ends.
 
-    All other tokenizers encode whole texts, and so are texts that hold the string of an added
+    Many words are looked up together, by number.  All other tokenizers encode whole texts, and so are texts that hold the string of an added
     token, which the library finds before it splits.  A full cache keeps the words that came
     again and again, at most half of it, or is emptied.
     """
@@ -110,13 +117,18 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.folds = '"Lowercase"' in spec
         self.marks = dict(zip(_MARKS, self._encode(list(_MARKS)))) if self.kind != "whole" else {}
-        self.led = _Words()
+        self.led = _Words()  # words after a blank, of ``dropped`` ones without it
         self.plain: dict[str, bytes] = {}
+        self.tails: dict[str, np.ndarray] = {}
+        self.letters, self.lead = None, ""
+        vocab = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids that begin a word (``led``) or end it
         if self.kind == "led":
-            vocab = self.tokenizer.get_vocab()
-            self.blank = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids whose first byte is a blank
-            self.blank[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
-            self.mark_id = {c: np.frombuffer(b, "<u4")[0] for c, b in self.marks.items() if len(b) == 4}
+            self.lead = " "
+            self.edge[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        elif suffix := self.kind == "dropped" and _letters_stay(parsed) and parsed["model"].get("end_of_word_suffix"):
+            self.edge[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        if self.edge.any():
             self.letters = Tokenizer(self.tokenizer.model)
             self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
@@ -124,32 +136,14 @@ class Encoder:
         done = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in done]
 
-    def _encode_joined(self, parts: list[str], lead: str) -> list[bytes]:
-        """Ids of each part after ``lead``; many parts are one text for the library, cut again by its offsets.
-
-        A call of the library costs more than the few letters of a part.  Parts stand apart by
-        blanks, where texts may be cut anyway.
-        """
-        if self.spaced:
-            return self._encode([lead + p for p in parts])
-        out: list[bytes] = []
-        groups = [parts[i : i + _JOINED] for i in range(0, len(parts), _JOINED)]
-        done = self.tokenizer.encode_batch([lead + " ".join(g) for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, done):
-            at = np.cumsum([0, *[len(p) + 1 for p in group]])[:-1] + len(lead)
-            starts = np.array([o[0] for o in e.offsets], np.int64)
-            cut = [0, *np.searchsorted(starts, at[1:] - 1).tolist(), len(starts)]  # the blank belongs to what follows
-            raw = np.array(e.ids, "<u4").tobytes()
-            out += [raw[4 * a : 4 * b] for a, b in zip(cut, cut[1:])]
-        return out
-
-    def _learn(self, cache: dict[str, bytes], parts: set[str], lead: str) -> dict[str, bytes]:
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
         """A table that has all of ``parts``: the cache itself, unless a part is too long for it."""
+        cache = self.plain
         new = [p for p in parts if p not in cache]
         if len(cache) + len(new) > _MOST:
             cache.clear()
             new = list(parts)
-        long, marked, apart, words = [], [], [], set()
+        long, marked, words = [], [], set()
         for p in new:
             if len(p) > _LONG:
                 long.append(p)
@@ -157,76 +151,102 @@ class Encoder:
                 marked.append(p)
                 if p[:-1] not in cache:
                     words.add(p[:-1])
-            elif not p or p.strip() != p:
-                apart.append(p)
             else:
                 words.add(p)
-        encode = self._encode_joined if lead or self.kind == "dropped" else lambda some, lead: self._encode([lead + p for p in some])
         words = list(words)
         for i in range(0, len(words), 20_000):
             some = words[i : i + 20_000]
-            cache.update(zip(some, encode(some, lead)))
-        cache.update(zip(apart, self._encode([lead + p for p in apart])))
+            cache.update(zip(some, self._encode(some)))
         for p in marked:
             cache[p] = cache[p[:-1]] + self.marks[p[-1]]
         if not long:
             return cache
-        return cache | dict(zip(long, self._encode([lead + p for p in long])))
+        return cache | dict(zip(long, self._encode(long)))
 
-    def _encode_led(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """How many ids each part has after a blank, and all ids; many parts are one text for the library.
+    def _encode_joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each part has, and all ids; many parts are one text for the library.
 
-        Parts hold no blank and have no white space at their ends, so an id that begins with a blank begins a part.
+        A call of the library costs more than the few letters of a part.  Parts hold no blank and have no white
+        space at their ends.  After a blank, an id that begins with one begins a part; without, offsets tell.
         """
         if self.spaced:
             return self._encode_apart(parts)
-        return self._divided(parts, self.tokenizer, " ")
+        if self.kind == "led":
+            return self._divided(parts, self.tokenizer, [" " + " ".join(g) for g in _groups(parts)])
+        sizes, ids = [], []
+        groups = _groups(parts)
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            at = np.cumsum([0, *[len(p) + 1 for p in group]])[:-1]
+            starts = np.array([o[0] for o in e.offsets], np.int64)
+            sizes.append(np.diff(np.searchsorted(starts, at[1:] - 1), prepend=0, append=len(starts)))  # the blank belongs to what follows
+            ids.append(np.array(e.ids, "<u4"))
+        return np.concatenate(sizes), np.concatenate(ids)
 
     def _encode_letters(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for parts of ASCII letters alone, which no rule splits: they go to the model in its own alphabet."""
-        return self._divided(parts, self.letters, "\u0120")
-
-    def _divided(self, parts: list[str], tokenizer, lead: str) -> tuple[np.ndarray, np.ndarray]:
-        between = " " + lead.strip()
-        some = [lead + between.join(parts[i : i + _JOINED]) for i in range(0, len(parts), _JOINED)]
+        """The same for parts of letters alone, which no rule splits: they go to the model in its own alphabet."""
+        if self.letters is None:
+            return self._encode_joined(parts)
+        some = ["\n".join([self.lead + p for p in g] if self.lead else g) for g in _groups(parts)]
+        if self.folds:
+            some = [t.lower() for t in some]
+        return self._divided(parts, self.letters, [charmap_decode(t.encode(), "strict", _ALPHABET)[0] for t in some])
+
+    def _divided(self, parts: list[str], tokenizer, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = np.concatenate([np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)])
-        starts = np.flatnonzero(self.blank[ids])
-        return (np.diff(starts, append=len(ids)), ids) if len(starts) == len(parts) else self._encode_apart(parts)
+        edges = np.flatnonzero(self.edge[ids])
+        if len(edges) != len(parts):
+            return self._encode_apart(parts)
+        return np.diff(edges, append=len(ids)) if self.lead else np.diff(edges, prepend=-1), ids
 
     def _encode_apart(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        done = self._encode([" " + p for p in parts])
+        done = self._encode([self.lead + p for p in parts])
         return np.array([len(b) // 4 for b in done], np.int64), np.frombuffer(b"".join(done), "<u4")
 
     def _learn_led(self, new: list[str]) -> int:
         """Add words to ``led``; the last of them, as many as returned, are too long to be remembered."""
-        long, marked, apart, letters, words, known = [], [], [], set(), set(), self.led.number
+        long, tailed, bases, tails, apart, letters, words, known = [], [], [], [], [], set(), set(), self.led.number
         for p in new:
             if len(p) > _LONG:
                 long.append(p)
-            elif p.isalpha():
-                (letters if p.isascii() else words).add(p)
-            elif p[-1:] in self.mark_id and _letters(p[:-1]):
-                marked.append(p)
-                if p[:-1] not in known:
-                    (letters if p.isascii() else words).add(p[:-1])
+            elif m := _TAILED.fullmatch(p):
+                base, tail = m.groups()
+                if tail:
+                    tailed.append(p)
+                    bases.append(base)
+                    tails.append(tail)
+                if base not in known:
+                    letters.add(base)
             elif not p or p.strip() != p:
                 apart.append(p)
             else:
                 words.add(p)
-        for encode, parts in ((self._encode_letters, [*letters]), (self._encode_led, [*words])):
+        plain = [*letters]
+        plain.sort(key=str.isascii)
+        for encode, parts in ((self._encode_letters, plain), (self._encode_joined, [*words])):
             for i in range(0, len(parts), 20_000):
                 some = parts[i : i + 20_000]
                 self.led.add(some, *encode(some))
         if apart:
             self.led.add(apart, *self._encode_apart(apart))
-        if marked:
-            ids, ends = self.led.joined(self.led.find([p[:-1] for p in marked]))
-            ids = np.insert(ids, ends, [self.mark_id[p[-1]] for p in marked])
-            self.led.add(marked, np.diff(ends, prepend=0) + 1, ids)
+        if tailed:
+            ids, ends = self.led.joined(self.led.find(bases))
+            marks = self._tails(tails)
+            sizes = np.array([len(t) for t in marks], np.int64)
+            ids = np.insert(ids, np.repeat(ends, sizes), np.concatenate(marks))
+            self.led.add(tailed, np.diff(ends, prepend=0) + sizes, ids)
         if long:
             self.led.add(long, *self._encode_apart(long))
         return len(long)
 
+    def _tails(self, tails: list[str]) -> list[np.ndarray]:
+        """Ids of the marks behind words."""
+        new = list({t for t in tails if t not in self.tails})
+        if len(self.tails) + len(new) > _MOST:
+            self.tails.clear()
+            new = list(set(tails))
+        self.tails.update(zip(new, [np.frombuffer(b, "<u4") for b in self._encode(new)]))
+        return [self.tails[t] for t in tails]
+
     def _numbers(self, words: list[str]) -> tuple[np.ndarray, int]:
         """Numbers of distinct words in ``led``, and how many are to be dropped from it after use."""
         at = self.led.find(words)
@@ -241,28 +261,34 @@ class Encoder:
         self.led.seen[at] += 1
         return at, n_long
 
-    def _by_blank(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts that may be cut before each blank."""
+    def _split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the stretches between blanks, where those of each stretch end, and the first stretch of each text."""
         words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        to = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
         at, n_long = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         ids, ends = self.led.joined(at[coded.indices.to_numpy()])
         self.led.drop_last(n_long)
+        return ids, ends, words.offsets.to_numpy()
+
+    def _by_blank(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that may be cut before each blank."""
+        ids, ends, to = self._split(texts)
         firsts = [t.split(" ", 1)[0] for t in texts]  # no blank in front
-        plain = self._learn(self.plain, set(firsts), "")
+        plain = self._learn(set(firsts))
         raw, ends = ids.tobytes(), 4 * ends
         return [plain[p] + raw[a:b] for p, a, b in zip(firsts, ends[to[:-1]].tolist(), ends[to[1:] - 1].tolist())]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
+        return [ids for some in self.slices(texts) for ids in some]
+
+    def slices(self, texts: list[str | None]) -> Iterator[list[bytes]]:
+        """The same in bounded slices: the words of a slice are looked up together."""
         at = size = 0
-        for i, t in enumerate(texts):  # bounded slices: the words of a slice are looked up together
+        for i, t in enumerate(texts):
             size += len(t or "")
             if size > 1 << 22 or i == len(texts) - 1:
-                out += self._slice([t or "" for t in texts[at : i + 1]])
+                yield self._slice([t or "" for t in texts[at : i + 1]])
                 at, size = i + 1, 0
-        return out
 
     def _slice(self, texts: list[str]) -> list[bytes]:
         if self.kind == "whole":
@@ -282,9 +308,9 @@ class Encoder:
 
     def _by_word(self, texts: list[str]) -> list[bytes]:
         if self.kind == "dropped":
-            parts = [(_folded(t) if self.folds else t).replace("\n", " ").split(" ") for t in texts]
-            table = self._learn(self.plain, set().union(*parts), "")
-            return [b"".join([table[p] for p in x]) for x in parts]
+            ids, ends, to = self._split([(_folded(t) if self.folds else t).replace("\n", " ") for t in texts])
+            raw, cuts = ids.tobytes(), (4 * ends[to[1:] - 1]).tolist()
+            return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
         out = [b""] * len(texts)
         simple = [i for i, t in enumerate(texts) if _simple(t)]
         if simple:
@@ -293,12 +319,16 @@ class Encoder:
         if len(simple) < len(texts):
             held = set(simple)
             cut = {i: _CUT.split(t) for i, t in enumerate(texts) if i not in held}
-            plain = self._learn(self.plain, set().union(*cut.values()), "")
+            plain = self._learn(set().union(*cut.values()))
             for i, c in cut.items():
                 out[i] = b"".join([plain[x] for x in c])
         return out
 
 
+def _groups(parts: list[str]) -> list[list[str]]:
+    return [parts[i : i + _JOINED] for i in range(0, len(parts), _JOINED)]
+
+
 def _letters(word: str) -> bool:
     """Only letters that stay one letter each in lower case and combine with nothing."""
     return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and len(word.lower()) == len(word)))
@@ -333,6 +363,17 @@ def _kind(spec: dict) -> str:
     return "whole"
 
 
+def _letters_stay(spec: dict) -> bool:
+    """A word of letters comes to the model of a ``dropped`` tokenizer as its bytes, in lower case at most."""
+    byte_level = spec["pre_tokenizer"]["pretokenizers"][1:]
+    replaced = [n for n in spec["normalizer"]["normalizers"] if n["type"] == "Replace"] if spec.get("normalizer") else []
+    return (
+        [(p["type"], p.get("use_regex"), p.get("add_prefix_space")) for p in byte_level] == [("ByteLevel", False, False)]
+        and r"[\p{L}]+" in spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].split("|")
+        and all(n["pattern"] == {"Regex": r"\s+"} for n in replaced)
+    )
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

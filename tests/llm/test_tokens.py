@@ -78,3 +78,53 @@ def test_slice_with_more_words_than_the_cache_and_long_ones(monkeypatch):
         got = [np.frombuffer(b, "<u4").tolist() for b in enc(texts)]
         assert got == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
         assert max(map(len, enc.led.number), default=0) <= 64
+
+
+def test_words_without_blanks_outlive_a_full_cache(monkeypatch):
+    monkeypatch.setattr(tokens, "_MOST", 40)
+    enc = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    whole, enc.tokenizer = enc.tokenizer, Counted(enc.tokenizer)
+    often = ["odd1", "it's", "x|y"]
+    for k in range(60):
+        fresh = ["once" + "abcdefghij"[k % 10] + "klmnopqrst"[k // 10] + c + end for c in "uvwxyz" for end in ("", ",")]
+        text = " ".join(["First", *often, *fresh, "thereupon."])
+        assert np.frombuffer(enc([text])[0], "<u4").tolist() == whole.encode(text).ids
+        assert len(enc.led.number) <= 40
+    assert max(enc.tokenizer.words[w] for w in often) == 1
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_of_letters_and_marks_go_to_the_model(name):
+    enc = tokens.Encoder(public_tokenizers.path(name))
+    whole, enc.tokenizer = enc.tokenizer, Counted(enc.tokenizer)
+    text = "It naïvely, ÉCLAIR*** Straße ÿÀ!? hello hello. a×b µm it's"
+    assert np.frombuffer(enc([text])[0], "<u4").tolist() == whole.encode(text).ids
+    assert set(enc.tokenizer.words) - set(tokens._MARKS) <= {"It", "***", "!?", "a×b", "µm", "it's"}
+
+
+def test_other_rules_for_words_of_letters(tmp_path):
+    spec = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    split, replace = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"], spec["normalizer"]["normalizers"][1]
+    text = "Hello ÉCLAIR, naïve banana!! x"
+    for change in (
+        lambda: spec["normalizer"]["normalizers"].pop(),  # no lower case
+        lambda: split.update(Regex=split["Regex"].replace(r"[\p{L}]+", r"\p{L}{1,3}")),
+        lambda: replace.update(pattern={"Regex": "an"}, content="on"),
+    ):
+        change()
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec), encoding="utf-8")
+        enc = tokens.Encoder(str(path))
+        assert enc.kind == "dropped"
+        assert np.frombuffer(enc([text, text])[1], "<u4").tolist() == enc.tokenizer.encode(text).ids
+
+
+def test_dropped_blanks_with_more_words_than_the_cache(monkeypatch):
+    monkeypatch.setattr(tokens, "_MOST", 20)
+    enc = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    rnd = random.Random(6)
+    for _ in range(20):
+        texts = [" ".join("".join(rnd.choice("abÉé1,.\n'*") for _ in range(rnd.choice([0, 1, 2, 3, 70]))) for _ in range(rnd.randrange(1, 30))) for _ in range(10)]
+        got = [np.frombuffer(b, "<u4").tolist() for some in enc.slices(texts) for b in some]
+        assert got == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert max(map(len, enc.led.number), default=0) <= 64
