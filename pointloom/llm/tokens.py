@@ -23,10 +23,10 @@ _MARKS = ",.;:!?"
 _SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) != " "]
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Letters that no rule splits and no normalizer changes except to lower case, then ASCII marks.
-_TAILED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
-_KEPT = {0x0A, *range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-#: The character that stands for each byte in a byte-level vocabulary; line ends stay, to part words.
-_ALPHABET = "".join(chr(b) if b in _KEPT else chr(256 + b - sum(k < b and k != 0x0A for k in _KEPT)) for b in range(256))
+_TAILED = re.compile(r"(\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+_KEPT = {0x09, *range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+#: The character that stands for each byte in a byte-level vocabulary; tabs stay, to part words.
+_ALPHABET = "".join(chr(b) if b in _KEPT else chr(256 + b - sum(k < b and k != 0x09 for k in _KEPT)) for b in range(256))
 
 
 class _Words:
@@ -95,7 +95,8 @@ class Encoder:
     known here a text may be cut at blanks and each distinct stretch encoded once:
 
     * ``led``: byte-level words that take one blank in front.  A text is cut before a blank
-      with other characters on both sides.
+      with other characters on both sides, and before a line end if the text has no other white space
+      and no empty line; a stretch that begins with a line end has no blank in front.
     * ``dropped``: white space only separates words.  A text is cut at blanks and line ends.
 
     Many words are looked up together, by number.  All other tokenizers encode whole texts, and so are texts that hold the string of an added
@@ -128,6 +129,7 @@ class Encoder:
             self.edge[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
         elif suffix := self.kind == "dropped" and _letters_stay(parsed) and parsed["model"].get("end_of_word_suffix"):
             self.edge[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.starts = self.edge | np.isin(np.arange(len(self.edge)), vocab.get("\u010a", -1))  # the same for words of letters
         if self.edge.any():
             self.letters = Tokenizer(self.tokenizer.model)
             self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -172,7 +174,7 @@ class Encoder:
         if self.spaced:
             return self._encode_apart(parts)
         if self.kind == "led":
-            return self._divided(parts, self.tokenizer, [" " + " ".join(g) for g in _groups(parts)])
+            return self._divided(parts, self.tokenizer, self.edge, [" " + " ".join(g) for g in _groups(parts)])
         sizes, ids = [], []
         groups = _groups(parts)
         for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
@@ -186,20 +188,22 @@ class Encoder:
         """The same for parts of letters alone, which no rule splits: they go to the model in its own alphabet."""
         if self.letters is None:
             return self._encode_joined(parts)
-        some = ["\n".join([self.lead + p for p in g] if self.lead else g) for g in _groups(parts)]
+        some = ["\t".join([self.lead + p for p in g] if self.lead else g) for g in _groups(parts)]
+        if self.lead:
+            some = [t.replace(" \n", "\n\t") for t in some]
         if self.folds:
             some = [t.lower() for t in some]
-        return self._divided(parts, self.letters, [charmap_decode(t.encode(), "strict", _ALPHABET)[0] for t in some])
+        return self._divided(parts, self.letters, self.starts, [charmap_decode(t.encode(), "strict", _ALPHABET)[0] for t in some])
 
-    def _divided(self, parts: list[str], tokenizer, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _divided(self, parts: list[str], tokenizer, edge: np.ndarray, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = np.concatenate([np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)])
-        edges = np.flatnonzero(self.edge[ids])
+        edges = np.flatnonzero(edge[ids])
         if len(edges) != len(parts):
             return self._encode_apart(parts)
         return np.diff(edges, append=len(ids)) if self.lead else np.diff(edges, prepend=-1), ids
 
     def _encode_apart(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        done = self._encode([self.lead + p for p in parts])
+        done = self._encode([p if p[:1] == "\n" else self.lead + p for p in parts])
         return np.array([len(b) // 4 for b in done], np.int64), np.frombuffer(b"".join(done), "<u4")
 
     def _learn_led(self, new: list[str]) -> int:
@@ -261,9 +265,9 @@ class Encoder:
         self.led.seen[at] += 1
         return at, n_long
 
-    def _split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the stretches between blanks, where those of each stretch end, and the first stretch of each text."""
-        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        words = pc.split_pattern(texts, " ")
         coded = words.flatten().dictionary_encode()
         at, n_long = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         ids, ends = self.led.joined(at[coded.indices.to_numpy()])
@@ -272,7 +276,8 @@ class Encoder:
 
     def _by_blank(self, texts: list[str]) -> list[bytes]:
         """Ids of texts that may be cut before each blank."""
-        ids, ends, to = self._split(texts)
+        texts = [_lines_apart(t) for t in texts]
+        ids, ends, to = self._split(pa.array(texts, pa.large_string()))
         firsts = [t.split(" ", 1)[0] for t in texts]  # no blank in front
         plain = self._learn(set(firsts))
         raw, ends = ids.tobytes(), 4 * ends
@@ -308,7 +313,8 @@ class Encoder:
 
     def _by_word(self, texts: list[str]) -> list[bytes]:
         if self.kind == "dropped":
-            ids, ends, to = self._split([(_folded(t) if self.folds else t).replace("\n", " ") for t in texts])
+            folded = [(_folded(t) if self.folds else t).replace("\n", " ") for t in texts]
+            ids, ends, to = self._split(pa.array(folded, pa.large_string()))
             raw, cuts = ids.tobytes(), (4 * ends[to[1:] - 1]).tolist()
             return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
         out = [b""] * len(texts)
@@ -349,6 +355,13 @@ def _simple(text: str) -> bool:
     return not any(c in text and (c + " " in text or " " + c in text) for c in _SPACES)
 
 
+def _lines_apart(text: str) -> str:
+    """A blank before each line end, if that is the only white space beside single blanks."""
+    if "\n" not in text or "\n\n" in text or any(c in text for c in _SPACES if c != "\n"):
+        return text
+    return text.replace("\n", " \n")
+
+
 def _kind(spec: dict) -> str:
     pre, norm, model = spec.get("pre_tokenizer") or {}, spec.get("normalizer"), spec["model"]
     if model["type"] != "BPE" or model.get("dropout"):

@@ -128,3 +128,15 @@ def test_dropped_blanks_with_more_words_than_the_cache(monkeypatch):
         got = [np.frombuffer(b, "<u4").tolist() for some in enc.slices(texts) for b in some]
         assert got == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
         assert max(map(len, enc.led.number), default=0) <= 64
+
+
+def test_stretches_are_cut_before_line_ends():
+    enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    whole, enc.tokenizer = enc.tokenizer, Counted(enc.tokenizer)
+    rnd = random.Random(8)
+    texts = ["It was here.\nThe end\nof, É\n(all) it\n", "\nA b", "a\n\nb c", "a\n\n", "a\tb\nc\t\n", "x y\n" + "z" * 90 + "\n5"]
+    assert np.frombuffer(enc(texts[:1])[0], "<u4").tolist() == whole.encode(texts[0]).ids
+    assert set(enc.tokenizer.words) - set(tokens._MARKS) <= {"It", "(all)"}
+    texts += ["".join(rnd.choice("aÉ. \n'1") for _ in range(rnd.randrange(1, 12))) for _ in range(3000)]
+    got = [np.frombuffer(b, "<u4").tolist() for b in enc(texts)]
+    assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
