@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import pairs
 from .components import connected_components, sized
-from .pairs import parts_for
+from .pairs import beside, parts_for
 from .voxels import first_per_cell
 
-#: Points of a pixel meet in so many parts first, in case one pixel holds a large share of a cloud.
+#: Points of a pixel of a large cloud meet in so many parts first, in case one pixel holds a large share of them.
 _SALTS = 16
 
 
@@ -39,7 +42,9 @@ def project(points: DataFrame, keys: list[str], order: list[str], rule: RangeIma
 
     Afterwards a row of a cloud holds at most ``cols`` points, which bounds the row windows.
     The number of partitions follows the number of points, so that no task sorts more than
-    its share; the pixels of a row end up in one partition, where windows need no exchange.
+    its share.  The pixels of a cloud, at most ``rows * cols``, end up in one partition, where
+    windows and aggregates by ``keys`` and more need no exchange; a cloud of more points than
+    a partition is reduced to its pixels before.
     """
     x, y, z = (F.col(c) for c in "xyz")
     flat = F.sqrt(x * x + y * y)
@@ -51,13 +56,23 @@ def project(points: DataFrame, keys: list[str], order: list[str], rule: RangeIma
     width = 360.0 / rule.cols
     col = (-F.round((F.degrees(F.atan2(x, y)) - 90.0) / F.lit(width)) + F.lit(rule.cols // 2)).cast("int")
     col = F.when(col >= rule.cols, col - rule.cols).otherwise(col)
-    seen = points.filter((span >= rule.min_range) & (span <= rule.max_range)).withColumns({"row": row, "col": col})
-    seen = seen.filter((F.col("row") % rule.keep_every == 0) & F.col("col").between(0, rule.cols - 1))
+    cell, place = [*keys, "row", "col"], {"row": row, "col": col}
+    kept = [*keys, *order, *[v for v in "xyz" if v not in order]]
+    inside = (span >= rule.min_range) & (span <= rule.max_range) & (row % rule.keep_every == 0) & col.between(0, rule.cols - 1)
     parts = parts_for(points)
-    cell = [*keys, "row", "col"]
-    seen = seen.select(*cell, *order, *[v for v in "xyz" if v not in order], F.pmod(F.xxhash64(*order), F.lit(_SALTS)).alias("_salt"))
-    some = first_per_cell(seen.repartition(parts, *cell, "_salt"), [*cell, "_salt"], order, list("xyz"))
-    return first_per_cell(some.drop("_salt").repartition(parts, *keys, "row"), cell, order, list("xyz"))
+    large = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > pairs.PART_ROWS)
+    many = large.count()
+    if not many:
+        some = points.filter(inside).select(*kept)
+    else:
+        large, same = beside(large.select(*[F.col(k).alias("_" + k) for k in keys]), many), reduce(and_, [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys])
+        some = points.join(large, same, "left_anti").filter(inside).select(*kept)
+        salted = points.join(large, same, "left_semi").filter(inside).select(*kept, F.pmod(F.xxhash64(*order), F.lit(_SALTS)).alias("_salt")).withColumns(place)
+        few = first_per_cell(salted.repartition(parts, *cell, "_salt"), [*cell, "_salt"], order, list("xyz"))
+        few = first_per_cell(few.repartition(parts, *keys, "row"), cell, order, list("xyz"))
+        some = some.unionByName(few.select(*kept))
+    # a point's place is told again behind the exchange, which moves less without it
+    return first_per_cell(some.repartition(parts, *keys).withColumns(place), cell, order, list("xyz"))
 
 
 def flat_gap(a: str, b: str) -> Column:
@@ -85,18 +100,24 @@ def runs(pixels: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def known(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose image row and run can be equal to others, as in a join."""
+    return df.filter(reduce(and_, [F.col(c).isNotNull() for c in (*keys, "row", "run")]))
+
+
 def row_links(rs: DataFrame, keys: list[str], rule: RangeImageRule, ring: bool = False) -> DataFrame:
     """Runs of one row that continue each other behind an occlusion of few runs.
 
     Only rows with more than two runs are searched.  ``ring`` also closes the row from its
-    last to its first run.
+    last to its first run.  The runs of a row are few, so that windows find the next ones
+    where the row lies.
     """
     w = Window.partitionBy(*keys, "row")
-    many = rs.withColumn("_runs", F.max("run").over(w)).filter(F.col("_runs") > 2)
-    left = many.select(*keys, "row", F.col("run").alias("a"), F.col("tail").alias("_t"), F.explode(F.sequence(F.lit(1), F.lit(rule.skip))).alias("_k"))
-    left = left.withColumn("run", F.col("a") + F.col("_k"))
-    right = many.select(*keys, "row", "run", F.col("head").alias("_h"))
-    out = left.join(right, [*keys, "row", "run"]).filter(flat_gap("_t", "_h") < rule.row_gap).select(*keys, "row", "a", F.col("run").alias("b"))
+    many = known(rs, keys).withColumn("_runs", F.max("run").over(w)).filter(F.col("_runs") > 2)
+    ahead = F.collect_list(F.struct("run", "head")).over(w.orderBy("run").rangeBetween(*sorted((1, rule.skip))))
+    left = many.select(*keys, "row", F.col("run").alias("a"), F.col("tail").alias("_t"), ahead.alias("_next"))
+    left = left.select(*keys, "row", "a", "_t", F.explode("_next").alias("_n")).withColumn("_h", F.col("_n.head"))
+    out = left.filter(flat_gap("_t", "_h") < rule.row_gap).select(*keys, "row", "a", F.col("_n.run").alias("b"))
     if ring:
         first = many.filter(F.col("run") == 1).select(*keys, "row", F.col("head").alias("_h"))
         last = many.filter(F.col("run") == F.col("_runs")).select(*keys, "row", F.col("run").alias("b"), F.col("tail").alias("_t"))
@@ -128,32 +149,42 @@ def overlapping_runs(rs: DataFrame, keys: list[str], rule: RangeImageRule, parts
     return cur.repartition(parts, *meeting).join(prev.repartition(parts, *meeting), meeting).filter(meet & first).drop("_u", "_k")
 
 
-def link_rows(pixels: DataFrame, rs: DataFrame, keys: list[str], rule: RangeImageRule, bucket: int = 64) -> DataFrame:
-    """Runs of nearby rows that belong together.
+def link_rows(pixels: DataFrame, rs: DataFrame, keys: list[str], rule: RangeImageRule) -> DataFrame:
+    """Runs of nearby rows that belong together; ``rs`` are the runs of ``pixels``.
 
     Overlapping runs need one pair of pixels a few columns apart that is close in XY; runs
-    that only meet through the extension need close end points.
+    that only meet through the extension need close end points.  Both are pairs of pixels a
+    few columns apart: every pixel also goes to the rows just above, where a window along the
+    columns lists the pixels of that row around it.  Pixels that lie together by ``keys`` stay where
+    they are.
     """
-    both = overlapping_runs(rs, keys, rule, parts_for(pixels, rule.link_rows + 1))
-    apart = (F.col("eb") < F.col("sa")) | (F.col("ea") < F.col("sb"))
-    ends = F.when(F.col("eb") < F.col("sa"), flat_gap("ha", "tb")).otherwise(flat_gap("ta", "hb"))
-    names = [*keys, "row_a", "run_a", "row_b", "run_b"]
-    by_ends = both.filter(apart & (ends < rule.link_gap)).select(*names)
-    # pixels meet in stretches of columns; those next to a border go to both sides of it
-    reach = rule.link_cols
-    cur = pixels.select(*keys, F.col("row").alias("row_a"), F.col("run").alias("run_a"), F.col("col").alias("_c"), F.col("x").alias("_x"), F.col("y").alias("_y"),
-                        F.explode(F.sequence(F.floor((F.col("col") - reach) / bucket), F.floor((F.col("col") + reach) / bucket))).alias("_u"))
-    cur = cur.select("*", F.explode(F.sequence(F.col("row_a") - rule.link_rows, F.col("row_a") - 1)).alias("row_b"))
-    prev = pixels.select(*keys, F.col("row").alias("row_b"), F.col("run").alias("run_b"), F.col("col"), "x", "y", F.floor(F.col("col") / bucket).alias("_u"))
-    dx, dy = F.col("_x") - F.col("x"), F.col("_y") - F.col("y")
-    near = (F.abs(F.col("_c") - F.col("col")) <= reach) & (F.sqrt(dx * dx + dy * dy) < rule.link_gap)
-    touch = cur.join(prev, [*keys, "row_b", "_u"]).filter(near).select(*names).distinct()
-    by_pixels = both.filter(~apart).select(*names).join(touch, names, "left_semi")
-    return by_ends.unionByName(by_pixels)
+    run = Window.partitionBy(*keys, "row", "run")
+    seen = known(pixels, keys).select(*keys, "row", "run", "col", "x", "y", F.min("col").over(run).alias("start"), F.max("col").over(run).alias("end"))
+    pixel = F.struct("row", "run", "col", "x", "y", "start", "end")
+    steps = F.concat(F.array(F.lit(None).cast("int")), F.sequence(F.lit(1), F.lit(rule.link_rows)))  # none: a pixel in its own row
+    seen = seen.select(*keys, "col", pixel.alias("a"), F.explode(steps).alias("_k")).withColumn("row_b", F.col("a.row") - F.coalesce("_k", F.lit(0)))
+    reach = max(rule.link_cols, rule.extension)
+    around = Window.partitionBy(*keys, "row_b").orderBy("col").rangeBetween(-reach, reach)
+    seen = seen.withColumn("_near", F.collect_list(F.when(F.col("_k").isNull(), F.col("a"))).over(around))
+    both = seen.filter("_k IS NOT NULL").select(*keys, "a", F.explode("_near").alias("b")).filter(flat_gap("a", "b") < rule.link_gap)
+    touch = (F.abs(F.col("a.col") - F.col("b.col")) <= rule.link_cols) & (F.col("b.end") >= F.col("a.start")) & (F.col("a.end") >= F.col("b.start"))
+
+    def behind(p: str, q: str) -> Column:
+        """``p`` starts a run a few columns after ``q`` ends one."""
+        gap = F.col(f"{p}.start") - F.col(f"{q}.end")
+        return (F.col(f"{p}.col") == F.col(f"{p}.start")) & (F.col(f"{q}.col") == F.col(f"{q}.end")) & gap.between(1, rule.extension)
+
+    out = both.filter(touch | behind("a", "b") | behind("b", "a"))
+    return out.select(*keys, *[F.col(f"{p}.{c}").alias(f"{c}_{p}") for p in "ab" for c in ("row", "run")]).distinct()
 
 
 def cluster(pixels: DataFrame, keys: list[str], rule: RangeImageRule) -> DataFrame:
-    """Label every pixel of a run image with its cluster, a (row, run) struct."""
+    """Label every pixel of a run image with its cluster, a (row, run) struct.
+
+    ``pixels`` are read several times.  The links need no exchange of pixels that lie
+    together by ``keys``, as those of :func:`project` do.
+    """
+    pixels = known(pixels, keys)
     rs = runs(pixels, keys)
     same = row_links(rs, keys, rule)
     cross_rows = link_rows(pixels, rs, keys, rule)
@@ -164,8 +195,9 @@ def cluster(pixels: DataFrame, keys: list[str], rule: RangeImageRule) -> DataFra
     edges = same.select(*keys, node("row", "a").alias("u"), node("row", "b").alias("v")).unionByName(
         cross_rows.select(*keys, node("row_a", "run_a").alias("u"), node("row_b", "run_b").alias("v"))
     )
-    labels = connected_components(rs.select(*keys, node("row", "run").alias("id")), edges, keys=keys)
-    return pixels.join(labels.select(*keys, "id.*", F.col("component").alias("cluster")), [*keys, "row", "run"])
+    rest = [c for c in pixels.columns if c not in (*keys, "row", "run")]
+    labels = connected_components(pixels.withColumn("id", node("row", "run")), edges, keys=keys, carry=rest)
+    return labels.select(*keys, "id.*", *rest, F.col("component").alias("cluster"))
 
 
 def segment(points: DataFrame, keys: list[str], order: list[str], rule: RangeImageRule) -> DataFrame:

@@ -101,3 +101,89 @@ def test_row_links_copy_few_pixels(spark):
                     want.add((a.row, a.run, b.row, b.run))
     inside = {x for x in got if ends.loc[x[:2]]["min"] <= ends.loc[x[2:]]["max"] and ends.loc[x[2:]]["min"] <= ends.loc[x[:2]]["max"]}
     assert inside == want and want
+
+
+def _scene(seed, rows=4, cols=60, clouds=(1, 2)):
+    """Pixels of clouds, some in runs, and their rule: links reach fewer columns than ends."""
+    rng = np.random.default_rng(seed)
+    p = pd.DataFrame([(g, r, c, 1 + c // 4) for g in clouds for r in range(rows) for c in range(cols) if rng.random() < 0.5], columns=["cloud", "row", "col", "run"])
+    p["run"] = p.groupby(["cloud", "row"])["run"].rank(method="dense").astype(int)  # as counted along the row
+    p["x"], p["y"] = p["col"] * 0.25 + rng.uniform(-1, 1, len(p)), rng.uniform(0, 2, len(p))
+    return p, rangeimage.RangeImageRule(rows=rows, cols=cols, row_gap=0.7, link_rows=2, link_cols=2, extension=4, link_gap=0.6, skip=3)
+
+
+def _pixels(spark, p):
+    df = spark.createDataFrame(p.astype(object).where(p.notna(), None), "cloud long, row int, col int, run int, x double, y double")
+    return df.repartition(5, "cloud")
+
+
+def _links(p, rule):
+    """Links of runs by comparing all of them: in a row, and with the rows above."""
+    ends = {k: g.sort_values("col") for k, g in p.groupby(["cloud", "row", "run"])}
+    gap = lambda a, b: np.hypot(a["x"] - b["x"], a["y"] - b["y"])
+    most = p.groupby(["cloud", "row"])["run"].max()
+    same, cross = set(), set()
+    for (g, r, a), pa in ends.items():
+        for (h, s, b), pb in ends.items():
+            if g != h:
+                continue
+            if r == s and 1 <= b - a <= rule.skip and most[g, r] > 2 and gap(pa.iloc[-1], pb.iloc[0]) < rule.row_gap:
+                same.add((g, r, a, b))
+            if 1 <= r - s <= rule.link_rows:
+                (sa, ea), (sb, eb) = pa["col"].iloc[[0, -1]], pb["col"].iloc[[0, -1]]
+                if eb < sa or ea < sb:
+                    near = 0 < sa - eb <= rule.extension and gap(pa.iloc[0], pb.iloc[-1]) < rule.link_gap
+                    near |= 0 < sb - ea <= rule.extension and gap(pa.iloc[-1], pb.iloc[0]) < rule.link_gap
+                else:
+                    near = any(abs(u["col"] - v["col"]) <= rule.link_cols and gap(u, v) < rule.link_gap for _, u in pa.iterrows() for _, v in pb.iterrows())
+                if near:
+                    cross.add((g, r, a, s, b))
+    return same, cross
+
+
+def test_links_of_runs_stay_where_their_cloud_lies(spark):
+    p, rule = _scene(8)
+    pix = _pixels(spark, pd.concat([p, p[p["cloud"] == 1].assign(cloud=None)]))
+    rs = rangeimage.runs(pix, ["cloud"])
+    same, cross = _links(p, rule)
+    links = rangeimage.row_links(rs, ["cloud"], rule), rangeimage.link_rows(pix, rs, ["cloud"], rule)
+    for df, want in zip(links, (same, cross)):
+        rows = [tuple(r) for r in df.collect()]
+        assert set(rows) == want and len(rows) == len(want) and want
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan  # nothing but the pixels is exchanged
+    apart = {(g, r, a, s, b) for g, r, a, s, b in cross if p[(p.cloud == g) & (p.row == s) & (p.run == b)]["col"].max() < p[(p.cloud == g) & (p.row == r) & (p.run == a)]["col"].min()}
+    assert apart and apart < cross
+
+
+def test_clusters_of_runs(spark):
+    p, rule = _scene(9)
+    same, cross = _links(p, rule)
+    pix = _pixels(spark, pd.concat([p, p[p["cloud"] == 1].assign(cloud=None)]))
+    got = rangeimage.cluster(pix, ["cloud"], rule)
+    assert got.columns == ["cloud", "row", "run", "col", "x", "y", "cluster"]
+    nodes = sorted(set(p[["cloud", "row", "run"]].itertuples(index=False, name=None)))
+    at = {n: i for i, n in enumerate(nodes)}
+    root = _roots(len(nodes), [(at[g, r, a], at[g, r, b]) for g, r, a, b in same] + [(at[g, r, a], at[g, s, b]) for g, r, a, s, b in cross])
+    want = sorted((g, r, n, c, *nodes[root[at[g, r, n]]][1:]) for g, r, c, n in p[["cloud", "row", "col", "run"]].itertuples(index=False, name=None))
+    assert sorted((x["cloud"], x["row"], x["run"], x["col"], *x["cluster"]) for x in got.collect()) == want
+    assert 1 < len(set(root)) < len(nodes)
+
+
+def test_points_move_once_to_their_pixels(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    xyz = rng.uniform(-20, 20, (300, 3))
+    # cloud 0 and the points without a cloud are larger than a partition, half of cloud 0 lies in one pixel
+    rows = [(None if i >= 200 else 0 if i < 120 else 1 + i // 20, i, *map(float, xyz[0 if i < 60 else i])) for i in range(300)]
+    pts = spark.createDataFrame(rows, "g long, pid long, x double, y double, z double")
+    rule = rangeimage.RangeImageRule(rows=9, cols=30, min_angle=-45.0, max_angle=45.0)
+
+    def found():
+        df = rangeimage.project(pts, ["g"], ["pid"], rule)
+        return df._jdf.queryExecution().executedPlan().toString(), sorted(map(repr, df.collect()))
+
+    plan, want = found()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and 0 < len(want) < 300
+    monkeypatch.setattr(rangeimage.pairs, "PART_ROWS", 80)
+    plan, got = found()
+    assert plan.count("REPARTITION_BY_NUM") == 3 and got == want
