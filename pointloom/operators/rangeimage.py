@@ -190,14 +190,17 @@ def cluster(pixels: DataFrame, keys: list[str], rule: RangeImageRule) -> DataFra
     cross_rows = link_rows(pixels, rs, keys, rule)
 
     def node(row: str, run: str) -> Column:
-        return F.struct(F.col(row).alias("row"), F.col(run).alias("run"))
+        """One number, in the order of row and run."""
+        return F.shiftleft(F.col(row).cast("long"), 32) + F.col(run)
 
     edges = same.select(*keys, node("row", "a").alias("u"), node("row", "b").alias("v")).unionByName(
         cross_rows.select(*keys, node("row_a", "run_a").alias("u"), node("row_b", "run_b").alias("v"))
     )
     rest = [c for c in pixels.columns if c not in (*keys, "row", "run")]
-    labels = connected_components(pixels.withColumn("id", node("row", "run")), edges, keys=keys, carry=rest)
-    return labels.select(*keys, "id.*", *rest, F.col("component").alias("cluster"))
+    labels = connected_components(pixels.withColumn("id", node("row", "run")), edges, keys=keys, carry=["row", "run", *rest])
+    low = F.col("component").bitwiseAND(F.lit((1 << 32) - 1))
+    cluster = F.struct(F.shiftright("component", 32).cast("int").alias("row"), low.cast("int").alias("run"))
+    return labels.select(*keys, "row", "run", *rest, cluster.alias("cluster"))
 
 
 def segment(points: DataFrame, keys: list[str], order: list[str], rule: RangeImageRule) -> DataFrame:
